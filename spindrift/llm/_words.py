@@ -124,7 +124,7 @@ def shingle_hashes(h: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarra
     out[: len(full)] = full
     for r in short:
         a, b = bounds[r], bounds[r + 1]
-        out[a] = (h[a:b] * weights[: b - a]).sum(dtype=U64) + U64(b - a) * U64(0xA0761D6478BD642F)
+        out[a] = int((h[a:b] * weights[: b - a]).sum(dtype=U64)) + int(b - a) * 0xA0761D6478BD642F & 0xFFFFFFFFFFFFFFFF
         valid[a] = True
         valid[a + 1 : b] = False
     kept = np.concatenate([[0], np.cumsum(valid)])
