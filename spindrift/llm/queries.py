@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spindrift.llm import byte_bpe, fingerprints
+from spindrift.llm import byte_bpe, fingerprints, ngram_join
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,8 +25,13 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_prints(table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components by 4-word shingles at a Jaccard similarity of 85/100."""
+    return ngram_join.join(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op8_fingerprints)}
+    return {f.__name__: f for f in (op2_byte_bpe, op8_fingerprints, op9_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
