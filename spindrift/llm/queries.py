@@ -4,15 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spindrift.llm import byte_bpe, fingerprints, ngram_join
+from spindrift.llm import byte_bpe, fingerprints, language, ngram_join, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fold(of: int) -> Column:
+    """crc32 of doc_id as text, modulo `of`."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % of
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded with the 50k rank file and decoded again."""
     import public_tokenizers
@@ -20,6 +26,13 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those whose fold is not 2."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(_fold(4) != 2))
+    return language.predict(docs, model).select("doc_id", (_fold(4) == 2).alias("held_out"), "lang_pred", "score", "n_spans")
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint beside that of its edited text."""
     return fingerprints.edited_prints(table(spark, sf_dir, "documents"))
@@ -30,8 +43,16 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, learned from labels of those whose fold is not 0."""
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).where(_fold(5) != 0)
+    scored = quality.scores(docs, quality.fit(docs, labels))
+    return scored.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op8_fingerprints, op9_ngram_join)}
+    return {f.__name__: f for f in (op2_byte_bpe, op4_language, op8_fingerprints, op9_ngram_join, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
