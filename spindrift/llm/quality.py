@@ -29,6 +29,7 @@ def indicators(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
         h, bounds, starts, ends = word_hashes(data, at, lower=False)
         one = (mix(h, 71) >> shift).astype(np.int64)
         two = (mix(h[:-1] * U64(3) + mix(h[1:], 72), 73) >> shift).astype(np.int64)
+        two[h[1:] == h[:-1]] = BUCKETS - 1  # a word after itself is one n-gram, whatever the word
         b = data[at[0] : at[-1]].astype(U64)
         three = (mix(b[:-2] | (b[1:-1] << U64(8)) | (b[2:] << U64(16)), 74) >> shift).astype(np.int64) if len(b) > 2 else np.zeros(0, np.int64)
         flags = np.zeros(BUCKETS, bool)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import byte_bpe, fingerprints, language, ngram_join, quality
+from spindrift.llm import byte_bpe, fingerprints, language, lm_score, ngram_join, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def _fold(of: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % of
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff scores of every document by trigrams of all others."""
+    return lm_score.score(table(spark, sf_dir, "documents")).withColumns({c: F.round(c, 6) for c in ("score", "mean_score")})
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded with the 50k rank file and decoded again."""
     import public_tokenizers
@@ -52,8 +57,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op4_language, op8_fingerprints, op9_ngram_join, op10_quality)}
+    return {f.__name__: f for f in (op1_lm_score, op2_byte_bpe, op4_language, op8_fingerprints, op9_ngram_join, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_lm_score": lm_score.ORACLE_SQL}
