@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import byte_bpe, fingerprints, language, lm_score, ngram_join, quality
+from spindrift.llm import byte_bpe, fingerprints, language, lm_score, ngram_join, quality, template_lines
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,12 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_template_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines whose templates recur in ten documents."""
+    kept = template_lines.dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those whose fold is not 2."""
     docs = table(spark, sf_dir, "documents")
@@ -57,8 +63,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_byte_bpe, op4_language, op8_fingerprints, op9_ngram_join, op10_quality)}
+    return {f.__name__: f for f in (op1_lm_score, op2_byte_bpe, op3_template_lines, op4_language, op8_fingerprints, op9_ngram_join, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_lm_score": lm_score.ORACLE_SQL}
+    return {"op1_lm_score": lm_score.ORACLE_SQL, "op3_template_lines": template_lines.ORACLE_SQL}
