@@ -132,7 +132,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, errors: float = E
 
     query_blocks = dealt.groupBy("query_block").applyInArrow(pack, "query_block int, query_ids binary, vectors binary")
     # each block of queries with each block of codes: the stated queries against all rows
-    left = query_blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("long"))
+    left = query_blocks.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
     pairs = left.join(blocks, "shard").select("query_ids", "vectors", "n", "ids", "bits", "lengths", "products")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
