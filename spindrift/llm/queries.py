@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import byte_bpe, fingerprints, language, lm_score, mixing, ngram_join, quality, rotated_codes, template_lines
+from spindrift.llm import byte_bpe, fingerprints, language, licenses, lm_score, mixing, ngram_join, quality, rotated_codes, template_lines
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,11 @@ def op6_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotated_codes.search(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence of every document, its own or its directory's."""
+    return licenses.scan(licenses.document_paths(table(spark, sf_dir, "documents")))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint beside that of its edited text."""
     return fingerprints.edited_prints(table(spark, sf_dir, "documents"))
@@ -74,8 +79,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_byte_bpe, op3_template_lines, op4_language, op5_mixing, op6_rotated_codes, op8_fingerprints, op9_ngram_join, op10_quality)}
+    return {f.__name__: f for f in (op1_lm_score, op2_byte_bpe, op3_template_lines, op4_language, op5_mixing, op6_rotated_codes, op7_licenses, op8_fingerprints, op9_ngram_join, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_lm_score": lm_score.ORACLE_SQL, "op3_template_lines": template_lines.ORACLE_SQL, "op6_rotated_codes": rotated_codes.ORACLE_SQL}
+    return {"op1_lm_score": lm_score.ORACLE_SQL, "op3_template_lines": template_lines.ORACLE_SQL, "op6_rotated_codes": rotated_codes.ORACLE_SQL, "op7_licenses": licenses.ORACLE_SQL}
