@@ -1,7 +1,70 @@
-"""Stages."""
-STAGES = []
+"""A corpus from raw documents to tokens: five stages, each over all rows that the one before it kept.
+
+run() applies them to the table documents, with a Parquet table in the cluster's shared folder after each
+stage but the last. Every stage but the last returns the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spindrift.llm import byte_bpe, language, mixing, ngram_join, template_lines
+from spindrift.llm._shared import saved
+
+#: The least share of a text's letters in its language, and what near-duplicates are.
+LEAST_SHARE, WORDS, SIMILAR = 0.4, 5, (80, 100)
+
+
+def _measured(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """n_chars, where documents have it, of the text as it is now."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*columns) if "n_chars" in columns else docs.select(*columns)
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sets lang to the predicted language; documents without letters or without a main language go."""
+    found = language.annotate(docs, language.fit(docs)).where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SHARE))
+    return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes recurring lines out of texts; all documents stay."""
+    return _measured(template_lines.dedup(docs), docs.columns)
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates, the document with the smallest doc_id stays."""
+    groups = ngram_join.join(docs, WORDS, *SIMILAR)
+    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents in the order of the mixture of their sources."""
+    return mixing.mixed(docs)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id and its tokens' number and digests, encoded and decoded again."""
+    import public_tokenizers
+
+    return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("line dedup", dedup_lines),
+    ("n-gram Jaccard join", dedup_documents),
+    ("mixing sources to target weights", mix_sources),
+    ("byte-level BPE encoding and decoding", tokenize),
+]
+
+#: Language models, links and merges are beyond SQL; tests/llm hold every stage against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), name.split()[0])
+    return STAGES[-1][1](spark, docs, sf_dir)

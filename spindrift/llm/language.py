@@ -203,17 +203,26 @@ def _parts(texts: list[str]) -> Iterator[list[str]]:
 
 
 def _mapped(docs: DataFrame, model: Model, schema: str, make) -> DataFrame:
+    """The rows of docs, which has text, with the columns that make() gives."""
+    text = docs.columns.index("text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             i = 0
-            for part in _parts(batch.column(1).to_pylist()):
+            for part in _parts(batch.column(text).to_pylist()):
                 w = Words(part)
                 path = model.paths(w) if model.langs else np.zeros(len(w.starts), np.int64)
                 names, columns = make(w, path, len(part))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(part)), *columns], ["doc_id", *names])
+                own = batch.slice(i, len(part))
+                yield pa.RecordBatch.from_arrays([*own.columns, *columns], [*own.schema.names, *names])
                 i += len(part)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id long, {schema}")
+    own = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInArrow(run, f"{own}, {schema}")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -224,6 +233,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     of no language. doc_id is passed through, nulls and repeats as well; other columns are left out;
     no rows give no rows.
     """
+    return annotate(_texts(docs), model).drop("text")
+
+
+def annotate(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs with predict()'s columns; columns of those names are replaced. No shuffle."""
 
     def make(w: Words, path: np.ndarray, rows: int) -> tuple[list[str], list[pa.Array]]:
         langs = model.langs or [UNKNOWN]
@@ -238,7 +252,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         spans = np.bincount(of[starts], minlength=rows).astype(np.int32)
         return ["lang_pred", "score", "n_spans"], [pa.array(pred, pa.string()), pa.array(score), pa.array(spans)]
 
-    return _mapped(docs, model, "lang_pred string, score double, n_spans int", make)
+    return _mapped(docs.drop("lang_pred", "score", "n_spans"), model, "lang_pred string, score double, n_spans int", make)
 
 
 def spans(docs: DataFrame, model: Model) -> DataFrame:
@@ -257,4 +271,4 @@ def spans(docs: DataFrame, model: Model) -> DataFrame:
             out.append([{"start": int(w.starts[a + i] - w.offsets[r]), "end": int(w.ends[a + j - 1] - w.offsets[r]), "lang": model.langs[p[i]]} for i, j in zip(cut[:-1], cut[1:])])
         return ["spans"], [pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])))]
 
-    return _mapped(docs, model, "spans array<struct<start:int,end:int,lang:string>>", make)
+    return _mapped(_texts(docs), model, "spans array<struct<start:int,end:int,lang:string>>", make).drop("text")
