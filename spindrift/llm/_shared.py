@@ -32,11 +32,33 @@ def _clean() -> None:
         _drop(spark, path)
 
 
+#: Rows in an Arrow batch, so that batches of whole texts stay small beside an executor's memory.
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Lowers the session's Arrow batches to `rows` rows, where it leaves them at Spark's own size."""
+    if int(spark.conf.get(_BATCH, "10000")) == 10_000:
+        spark.conf.set(_BATCH, str(rows))
+
+
+#: Spark's own switch for removing an execution's shuffle files when it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, so that no later loss of an executor repeats its work."""
+    """df as a Parquet table in the shared folder, so that no later loss of an executor repeats its work.
+
+    The shuffle files that made it are of no use then and are removed.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    was = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if was is None else spark.conf.set(_CLEANUP, was)
     _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm._shared import saved
+from spindrift.llm._shared import saved, small_batches
 from spindrift.llm._words import U64, mix, utf8, word_hashes
 
 ORDER, ALPHA = 3, 0.4
@@ -202,10 +202,11 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, block: int
     """
     if order < 1 or not 0 < alpha <= 1:
         raise ValueError("order must be at least 1 and alpha in (0, 1]")
+    small_batches(docs.sparkSession)
     packed = saved(blocks(docs, block), "blocks")
     all_words, all_bytes = packed.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
     bits = min(24, max(3, math.ceil(math.log2(max(1, all_bytes / PARTITION)))))
-    answers = counted(requests(packed, order, bits))
+    answers = saved(counted(requests(packed, order, bits)), "counts")
 
     def one(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left):
