@@ -147,6 +147,33 @@ def term_positions(text: Column, analyzer: str = "simple") -> Column:
     return positions(text)
 
 
+def _followed(other: Column, shift: int) -> Callable[[Column], Column]:
+    return lambda i: F.array_contains(other, i + shift)
+
+
+def _up_to(e: Column) -> Callable[[Column], Column]:
+    return lambda i: i <= e
+
+
+def _stretch(places: list[Column]) -> Callable[[Column], Column]:
+    """The shortest stretch that ends at e and holds a place of each list, if there is one."""
+
+    def start(e: Column) -> Column:
+        latest = [F.array_max(F.filter(p, _up_to(e))) for p in places]
+        least = latest[0] if len(latest) == 1 else F.least(*latest)
+        complete = F.lit(True)
+        for x in latest:
+            complete = complete & x.isNotNull()
+        return F.when(complete, F.struct(least.alias("s"), e.alias("e")))
+
+    return start
+
+
+def _minimal(stretches: Column) -> Column:
+    """Of stretches by their ends, the first from each start."""
+    return F.filter(stretches, lambda x, i: (i == 0) | (F.get(stretches, i - 1)["s"] < x["s"]))
+
+
 def _starts(positions: Column, phrase: Phrase) -> Column:
     """Where a phrase starts, given a map of positions."""
     none = F.array().cast("array<int>")
@@ -154,7 +181,7 @@ def _starts(positions: Column, phrase: Phrase) -> Column:
     at = F.coalesce(F.try_element_at(positions, F.lit(term)), none)
     for t, shift in phrase.terms[1:]:
         other = F.coalesce(F.try_element_at(positions, F.lit(t)), none)
-        at = F.filter(at, lambda i, other=other, shift=shift: F.array_contains(other, i + shift))
+        at = F.filter(at, _followed(other, shift))
     return at
 
 
@@ -180,18 +207,8 @@ def cover_density(positions: Column, query: list[list[Phrase]]) -> Column:
     for alternative in query:
         places = [_starts(positions, p) for p in alternative if p.wanted]
         ends = F.array_sort(F.array_distinct(F.flatten(F.array(*places))))
-
-        def start(e: Column, places: list[Column] = places) -> Column:
-            latest = [F.array_max(F.filter(p, lambda i: i <= e)) for p in places]
-            least = latest[0] if len(latest) == 1 else F.least(*latest)
-            complete = F.lit(True)
-            for x in latest:
-                complete = complete & x.isNotNull()
-            return F.when(complete, F.struct(least.alias("s"), e.alias("e")))
-
-        stretches = F.filter(F.transform(ends, start), lambda x: x.isNotNull())
-        minimal = F.filter(stretches, lambda x, i: (i == 0) | (F.try_element_at(stretches, i)["s"] < x["s"]))
-        scores.append(F.aggregate(minimal, F.lit(0.0), lambda t, x: t + F.lit(1.0) / (x["e"] - x["s"] + 1)))
+        stretches = F.filter(F.transform(ends, _stretch(places)), lambda x: x.isNotNull())
+        scores.append(F.aggregate(_minimal(stretches), F.lit(0.0), lambda t, x: t + F.lit(1.0) / (x["e"] - x["s"] + 1)))
     if not scores:
         return F.lit(0.0)
     return scores[0] if len(scores) == 1 else F.greatest(*scores)

@@ -34,7 +34,7 @@ def remove_markers(text: Column) -> Column:
     """
     run = r"\[\d+\](?:(?:[ \t]*,[ \t]*)?\[\d+\])*"
     indent = F.regexp_extract(text, r"^([ \t]*)", 1)
-    bare = F.regexp_replace(F.regexp_replace(text, rf"[ \t]*{run}(?={HANGUL})", ""), run, "")
+    bare = F.regexp_replace(F.regexp_replace(text, rf"(?:[ \t]*{run})+(?={HANGUL})", ""), run, "")
     body = F.substring(bare, F.length(indent) + 1, F.length(bare))
     body = F.regexp_replace(body, r"^[ \t]+|[ \t]+$", "")
     body = F.regexp_replace(F.regexp_replace(body, r"[ \t]{2,}", " "), r"[ \t]+([.,!?])", "$1")

@@ -4,22 +4,476 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spindrift.functions import embedding, fulltext, vectors
+from spindrift.functions import text as T
+from spindrift.operators import chunking, citations, evaluation, grounding, retrieval
+from spindrift.plans import guard
+from spindrift.sources import chunk_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").limit(1)
+def _query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# --- vectors
+
+#: embeddings as chunks: a label is a space.
+_V = """v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+n AS (SELECT *, sqrt(list_reduce(list_prepend(0::DOUBLE, v), lambda s, x: s + x * x)) AS n FROM v),
+d AS (SELECT q.vec_id AS query_id, n.vec_id, n.label, n.v, q.v AS q,
+      1 - list_reduce(list_prepend(0::DOUBLE, list_transform(range(1, len(n.v) + 1), lambda i: n.v[i] * q.v[i])), lambda s, x: s + x) / (n.n * q.n) AS distance
+      FROM n JOIN (SELECT * FROM n WHERE vec_id % 100 = 0) q ON true)"""
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(F.format_string("s%02d", "label").alias("space_key"), F.format_string("%012d", "vec_id").alias("chunk_id"), "vec_id", "label", "embedding")
+
+
+def _asked(chunks: DataFrame) -> DataFrame:
+    return chunks.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+
+
+@_query(f"WITH {_V} SELECT vec_id, label, round(distance, 6) + 0 AS distance FROM d WHERE query_id = 0 ORDER BY d.distance, label, vec_id LIMIT 10")
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten vectors nearest to the first."""
+    chunks = _chunks(spark, sf_dir)
+    first = chunks.where("vec_id = 0").first()["embedding"]
+    return retrieval.search(chunks, first, top_k=10).select("vec_id", "label", (F.round("distance", 6) + 0).alias("distance"))
+
+
+@_query(f"WITH {_V} SELECT vec_id, round(distance, 6) + 0 AS distance FROM d WHERE query_id = 0 AND label = 1 ORDER BY d.distance, vec_id LIMIT 10")
+def vector_space_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same within one space."""
+    chunks = _chunks(spark, sf_dir)
+    first = chunks.where("vec_id = 0").first()["embedding"]
+    return retrieval.search(chunks, first, space_key="s01", top_k=10).select("vec_id", (F.round("distance", 6) + 0).alias("distance"))
+
+
+@_query(f"WITH {_V}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, label, vec_id) AS k FROM d) SELECT query_id, k::INT AS vector_rank, vec_id, round(distance, 6) + 0 AS distance FROM r WHERE k <= 20")
+def vector_topk_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of every hundredth vector."""
+    chunks = _chunks(spark, sf_dir)
+    found = retrieval.vector_candidates(chunks, _asked(chunks), 20)
+    return found.select("query_id", "vector_rank", F.col("chunk_id").cast("long").alias("vec_id"), (F.round("distance", 6) + 0).alias("distance"))
+
+
+@_query(f"""WITH {_V},
+a AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, label, vec_id) AS r FROM d),
+b AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY abs(v[1] - q[1]), label, vec_id) AS r FROM d),
+c AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY abs(v[2] - q[2]), label, vec_id) AS r FROM d),
+f AS (SELECT query_id, vec_id, max(CASE WHEN s = 1 THEN r END) AS x, max(CASE WHEN s = 2 THEN r END) AS y, max(CASE WHEN s = 3 THEN r END) AS z FROM
+      (SELECT *, 1 AS s FROM a WHERE r <= 20 UNION ALL SELECT *, 2 FROM b WHERE r <= 20 UNION ALL SELECT *, 3 FROM c WHERE r <= 20) GROUP BY query_id, vec_id)
+SELECT query_id, vec_id, x::INT AS vector_rank, y::INT AS fts_rank, z::INT AS trgm_rank,
+       round(coalesce(1::DOUBLE / (60 + x), 0) + coalesce(1::DOUBLE / (60 + y), 0) + coalesce(1::DOUBLE / (60 + z), 0), 9) AS rrf_score FROM f""")
+def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three ranked lists of every hundredth vector, fused."""
+    chunks = _chunks(spark, sf_dir)
+    asked = _asked(chunks)
+    near = retrieval.vector_candidates(chunks, asked, 20)
+    pairs = chunks.crossJoin(F.broadcast(asked))  # a stated query set, checked by vector_candidates
+
+    def by(i: int, rank: str) -> DataFrame:
+        gap = F.abs(F.col("embedding")[i].cast("double") - F.col("query_embedding")[i].cast("double"))
+        return retrieval._ranked(pairs.select("query_id", "space_key", "chunk_id", gap.alias("gap")), [F.col("gap").asc()], 20, rank)
+
+    fused = retrieval.fuse(near, by(0, "fts_rank"), by(1, "trgm_rank"))
+    return fused.select("query_id", F.col("chunk_id").cast("long").alias("vec_id"), "vector_rank", "fts_rank", "trgm_rank", F.round("rrf_score", 9).alias("rrf_score"))
+
+
+def _as_chunks(docs: DataFrame) -> DataFrame:
+    """documents as chunks: a language is a space."""
+    return docs.select(F.col("lang").alias("space_key"), F.format_string("%012d", "doc_id").alias("chunk_id"), F.col("doc_id"), F.col("text").alias("content"))
+
+
+@_query()
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three questions over all documents: hashed vectors, English full text and trigrams, fused."""
+    chunks = embedding.hashed(_as_chunks(table(spark, sf_dir, "documents")), "content", dimension=64)
+    asked = spark.createDataFrame([("a", "apache license version"), ("b", "alle rechte der verlag"), ("c", '"rights reserved" or mit')], "query_id string, query_text string")
+    asked = embedding.hashed(asked, "query_text", "query_embedding", 64)
+    hits = retrieval.hybrid(chunks, asked)
+    return hits.select("query_id", "ref", "doc_id", (F.round("distance", 6) + 0).alias("distance"), F.round("rrf_score", 9).alias("rrf_score"), "vector_rank", "fts_rank", "trgm_rank")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hybrid_search(spark, sf_dir)
+
+
+# --- full text and trigrams
+
+_TOKENS = r"t AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents)"
+
+
+def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = _as_chunks(table(spark, sf_dir, "documents"))
+    return chunks.withColumn("terms", fulltext.term_positions(F.col("content"), "simple"))
+
+
+@_query(f"""WITH {_TOKENS}, s AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS j FROM t)
+SELECT doc_id FROM s WHERE (list_contains(w, 'license') AND NOT list_contains(w, 'apache')) OR j LIKE '% rights reserved %'""")
+def fts_simple_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with one word and without another, or with a phrase."""
+    query = fulltext.parse_query('license -apache or "rights reserved"', "simple")
+    return _terms(spark, sf_dir).where(fulltext.matches(F.col("terms"), query)).select("doc_id")
+
+
+@_query(f"""WITH {_TOKENS}, p AS (SELECT doc_id, lang, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM t),
+a AS (SELECT doc_id, lang, i AS e, max(CASE WHEN x = 'the' THEN i END) OVER o AS f, max(CASE WHEN x = 'license' THEN i END) OVER o AS g FROM p WHERE x IN ('the', 'license') WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+b AS (SELECT doc_id, lang, least(f, g) AS s, e FROM a WHERE f IS NOT NULL AND g IS NOT NULL),
+c AS (SELECT *, lag(s) OVER (PARTITION BY doc_id ORDER BY e) AS before FROM b),
+m AS (SELECT doc_id, any_value(lang) AS lang, sum(1::DOUBLE / (e - s + 1)) AS score FROM c WHERE before IS NULL OR before < s GROUP BY doc_id),
+r AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, lang, doc_id) AS k FROM m)
+SELECT doc_id, k::INT AS fts_rank, round(score, 9) AS text_score FROM r WHERE k <= 20""")
+def fts_simple_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty documents with the densest covers of two words."""
+    query = fulltext.parse_query("the license", "simple")
+    hits = _terms(spark, sf_dir).where(fulltext.matches(F.col("terms"), query))
+    scored = hits.select(F.lit("q").alias("query_id"), "space_key", "chunk_id", "doc_id", F.round(fulltext.cover_density(F.col("terms"), query), 9).alias("text_score"))
+    return retrieval._ranked(scored, [F.col("text_score").desc()], 20, "fts_rank").select("doc_id", "fts_rank", "text_score")
+
+
+@_query()
+def fts_english(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best documents for a question under the English analyzer."""
+    found = retrieval.fulltext_candidates(_as_chunks(table(spark, sf_dir, "documents")), [("q", "licensed works or rights")], 20, "english")
+    return found.select(F.col("chunk_id").cast("long").alias("doc_id"), "fts_rank", F.round("text_score", 6).alias("text_score"))
+
+
+_TRIGRAMS = r"list_distinct(flatten(list_transform(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}\p{{M}}_]+'), lambda w: list_transform(range(1, len(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
+
+
+@_query(f"""WITH d AS (SELECT doc_id, {_TRIGRAMS.format('text')} AS t FROM documents), b AS (SELECT item_id, {_TRIGRAMS.format('text')} AS q FROM benchmark),
+s AS (SELECT doc_id, item_id, len(list_intersect(t, q)) AS n, len(t) AS x, len(q) AS y FROM d, b)
+SELECT doc_id, item_id, round(n::DOUBLE / (x + y - n), 6) AS similarity FROM s WHERE n::DOUBLE / (x + y - n) >= 0.5""")
+def trigram_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and benchmark items whose trigram sets are alike."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.trigram_set(F.col("text")).alias("t"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", T.trigram_set(F.col("text")).alias("q"))
+    pairs = docs.crossJoin(retrieval._sent(items)).withColumn("similarity", T.set_similarity(F.col("t"), F.col("q")))
+    return pairs.where("similarity >= 0.5").select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"))
+
+
+@_query(f"""WITH d AS (SELECT doc_id, {_TRIGRAMS.format('text')} AS t FROM documents), b AS (SELECT item_id, {_TRIGRAMS.format('text')} AS q FROM benchmark)
+SELECT item_id, count(*)::BIGINT AS candidates FROM d, b WHERE len(list_intersect(t, q)) >= 0.8 * len(q) GROUP BY item_id""")
+def trigram_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents hold enough of an item's trigrams to be looked at."""
+    docs = table(spark, sf_dir, "documents").select(T.trigram_set(F.col("text")).alias("t"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", T.trigram_set(F.col("text")).alias("q"))
+    kept = docs.crossJoin(retrieval._sent(items)).where(F.size(F.array_intersect("t", "q")) >= F.lit(0.8) * F.size("q"))
+    return kept.groupBy("item_id").agg(F.count("*").alias("candidates"))
+
+
+@_query()
+def word_similarity_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty documents with the most similar stretch for each of three texts."""
+    asked = spark.createDataFrame([("a", "Apache License"), ("b", "alle Rechte"), ("c", "creative commons by")], "query_id string, query_text string")
+    found = retrieval.trigram_candidates(_as_chunks(table(spark, sf_dir, "documents")), asked, 20)
+    return found.select("query_id", F.col("chunk_id").cast("long").alias("doc_id"), "trgm_rank", F.round("trgm_score", 6).alias("trgm_score"))
+
+
+# --- lines, headings and chunks; documents have no headings or fences, so both engines put some in
+
+_DERIVED = """x AS (SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda l, i:
+  CASE WHEN (i - 1) % 13 = 12 THEN '```' WHEN (i - 1) % 5 = 0 THEN repeat('#', (((i - 1) // 5 + doc_id) % 3 + 1)::INT) || ' ' || l ELSE l END), chr(10)) AS body FROM documents),
+s AS (SELECT doc_id, string_split(body, chr(10)) AS s FROM x),
+l AS (SELECT doc_id, unnest(list_transform(s, lambda x: x)) AS line, unnest(range(len(s))) AS pos, len(s) AS n FROM s),
+lines AS (SELECT doc_id, pos, line FROM l WHERE pos < n - 1 OR line <> ''),
+fenced AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^\\s*(```|~~~)') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) % 2 = 1 AS in_fence FROM lines)"""
+_HEADED = _DERIVED + """,
+h AS (SELECT *, CASE WHEN NOT in_fence AND regexp_matches(line, '^#{1,6}\\s') THEN len(regexp_extract(line, '^(#{1,6})\\s', 1)) END AS level, trim(regexp_extract(line, '^#{1,6}\\s+(.*)$', 1)) AS title FROM fenced),
+p AS (SELECT *, max(CASE WHEN level = 1 THEN pos END) OVER o AS p1, max(CASE WHEN level = 2 THEN pos END) OVER o AS p2, max(CASE WHEN level = 3 THEN pos END) OVER o AS p3,
+  count(level) OVER o AS section FROM h WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+titled AS (SELECT p.doc_id, p.pos, p.line, p.in_fence, p.section, CASE WHEN p.section > 0 THEN concat_ws(' > ', a.title,
+  CASE WHEN p.p2 > coalesce(p.p1, -1) THEN b.title END, CASE WHEN p.p3 > greatest(coalesce(p.p1, -1), coalesce(p.p2, -1)) THEN c.title END) END AS heading
+  FROM p LEFT JOIN h a ON a.doc_id = p.doc_id AND a.pos = p.p1 LEFT JOIN h b ON b.doc_id = p.doc_id AND b.pos = p.p2 LEFT JOIN h c ON c.doc_id = p.doc_id AND c.pos = p.p3)"""
+
+
+def _derived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def put(line: Column, i: Column) -> Column:
+        level = (F.floor(i / 5) + F.col("doc_id")) % 3 + 1
+        return F.when(i % 13 == 12, "```").when(i % 5 == 0, F.concat(F.repeat(F.lit("#"), level.cast("int")), F.lit(" "), line)).otherwise(line)
+
+    docs = table(spark, sf_dir, "documents")
+    body = F.array_join(F.transform(F.split("text", "\n", -1), put), "\n")
+    return docs.select(F.lit("S").alias("space_key"), F.col("doc_id").cast("string").alias("source_id"), F.lit("T").alias("title"), F.lit(None).cast("string").alias("breadcrumb"), body.alias("body"))
+
+
+@_query(f"WITH {_DERIVED} SELECT doc_id, pos::INT AS pos, md5(line) AS line FROM lines")
+def line_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines of all documents."""
+    return chunking.lines(_derived(spark, sf_dir)).select(F.col("source_id").cast("long").alias("doc_id"), "pos", F.md5("line").alias("line"))
+
+
+@_query(f"WITH {_DERIVED} SELECT doc_id, pos::INT AS pos, in_fence FROM fenced")
+def fence_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which lines stand in fenced code."""
+    return chunking.fences(chunking.lines(_derived(spark, sf_dir))).select(F.col("source_id").cast("long").alias("doc_id"), "pos", "in_fence")
+
+
+@_query(f"WITH {_HEADED} SELECT doc_id, pos::INT AS pos, section::INT AS section, md5(heading) AS heading FROM titled")
+def heading_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The path of titles above every line."""
+    found = chunking.headings(chunking.fences(chunking.lines(_derived(spark, sf_dir))))
+    return found.select(F.col("source_id").cast("long").alias("doc_id"), "pos", "section", F.md5("heading").alias("heading"))
+
+
+_SECTIONS = _HEADED + r""",
+g AS (SELECT doc_id, section, any_value(heading) AS heading, list(line ORDER BY pos) AS ls FROM titled GROUP BY doc_id, section),
+f AS (SELECT *, list_filter(ls, lambda x: trim(x) <> '') AS full_ls FROM g),
+sections AS (SELECT doc_id, section, heading, ls FROM f WHERE len(full_ls) > 1 OR (len(full_ls) = 1 AND NOT regexp_matches(full_ls[1], '^#{1,6}\s')))"""
+
+
+@_query(f"WITH {_SECTIONS} SELECT doc_id, section::INT AS section, md5(heading) AS heading, len(ls)::INT AS n_lines, md5(array_to_string(ls, chr(10))) AS content FROM sections")
+def section_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sections with more than a heading."""
+    found = chunking.sections(_derived(spark, sf_dir))
+    return found.select(F.col("source_id").cast("long").alias("doc_id"), "section", F.md5("heading").alias("heading"), F.size("lines").alias("n_lines"), F.md5(F.array_join("lines", "\n")).alias("content"))
+
+
+@_query(f"""WITH RECURSIVE {_SECTIONS},
+z AS (SELECT doc_id, section, ls, len(ls) AS n, list_transform(range(len(ls) + 1), lambda k: coalesce(list_sum(list_transform(ls[1:k], lambda x: len(x) + 1)), 0)::BIGINT) AS total FROM sections),
+r(doc_id, section, i, start, cut) AS (
+  SELECT doc_id, section, 1::BIGINT, 1::BIGINT, NULL::BIGINT FROM z WHERE total[n + 1] > 1800
+  UNION ALL
+  SELECT r.doc_id, r.section, r.i + 1, CASE WHEN z.total[r.i + 2] - z.total[r.start] > 1800 THEN greatest(r.start, r.i - 1) ELSE r.start END,
+         CASE WHEN z.total[r.i + 2] - z.total[r.start] > 1800 THEN r.start END
+  FROM r JOIN z ON z.doc_id = r.doc_id AND z.section = r.section WHERE r.i < z.n),
+e AS (SELECT doc_id, section, cut AS a, i - 1 AS b FROM r WHERE cut IS NOT NULL UNION ALL SELECT r.doc_id, r.section, start, i FROM r JOIN z ON z.doc_id = r.doc_id AND z.section = r.section WHERE r.i = z.n
+      UNION ALL SELECT doc_id, section, 1, n FROM z WHERE total[n + 1] <= 1800),
+c AS (SELECT e.doc_id, e.section, a, b, regexp_replace(array_to_string(z.ls[a:b], chr(10)), '^\\s+|\\s+$', '', 'g') AS content FROM e JOIN z ON z.doc_id = e.doc_id AND z.section = e.section)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY section, b) - 1)::INT AS seq, md5(content) AS content, len(content)::INT AS n FROM c WHERE content <> ''""")
+def oversize_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All chunks, long sections packed to pieces."""
+    found = chunking.chunks(_derived(spark, sf_dir))
+    return found.select(F.col("source_id").cast("long").alias("doc_id"), "seq", F.md5("content").alias("content"), F.length("content").alias("n"))
+
+
+@_query(f"""WITH {_TOKENS}, k AS (SELECT doc_id, sha256(unnest(w)) AS h FROM t),
+b AS (SELECT doc_id, (('0x' || h[1:8])::BIGINT % 64)::INT AS bucket, sum(CASE WHEN ('0x' || h[9:10])::INT % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS s FROM k GROUP BY ALL),
+n AS (SELECT doc_id, sqrt(sum(s * s)) AS n FROM b GROUP BY doc_id)
+SELECT doc_id, bucket, round(s / n, 9) AS weight FROM b JOIN n USING (doc_id) WHERE s <> 0""")
+def hashed_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The non-zero coordinates of all documents' hashed vectors."""
+    return embedding.hashed_table(table(spark, sf_dir, "documents"), ["doc_id"], "text", 64).select("doc_id", "bucket", F.round("weight", 9).alias("weight"))
+
+
+# --- the chunk table
+
+_TURNS = "t AS (SELECT role AS space_key, conv_id || '#' || turn AS chunk_id, conv_id::VARCHAR AS source_id, text AS content FROM conversations)"
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select(F.col("role").alias("space_key"), F.concat_ws("#", "conv_id", "turn").alias("chunk_id"), F.col("conv_id").cast("string").alias("source_id"), F.col("text").alias("content"))
+
+
+@_query(f"""WITH {_TURNS}, u AS (SELECT space_key, chunk_id, source_id, content || ' v2' AS content FROM t WHERE len(content) % 3 = 0)
+SELECT space_key, chunk_id, source_id, md5(content) AS content FROM u UNION ALL SELECT space_key, chunk_id, source_id, md5(content) FROM t WHERE len(content) % 3 <> 0""")
+def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations with two new versions of a third of them, of which the last counts."""
+    now = _turns(spark, sf_dir)
+    some = now.where(F.length("content") % 3 == 0)
+    new = some.crossJoin(spark.range(1, 3).select(F.col("id").alias("position"))).withColumn("content", F.concat("content", F.lit(" v"), F.col("position").cast("string")))
+    key = ["space_key", "chunk_id"]
+    return chunk_store.merged(now, chunk_store.latest(new, key), key).withColumn("content", F.md5("content"))
+
+
+@_query(f"""WITH {_TURNS} SELECT space_key, chunk_id, source_id, md5(content) AS content FROM t WHERE NOT (space_key = 'user' AND source_id = '3')
+UNION ALL SELECT space_key, chunk_id, source_id, md5(upper(content)) FROM t WHERE space_key = 'user' AND source_id = '3' AND chunk_id NOT LIKE '%#0'""")
+def replace_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One conversation's turns replaced in one space."""
+    now = _turns(spark, sf_dir)
+    new = now.where("space_key = 'user' and source_id = '3' and chunk_id not like '%#0'").withColumn("content", F.upper("content"))
+    out = chunk_store.merged(chunk_store.without_source(now, "user", "3"), new, ["space_key", "chunk_id"])
+    return out.withColumn("content", F.md5("content"))
+
+
+@_query(f"WITH {_TURNS} SELECT space_key, chunk_id FROM t WHERE NOT (space_key = 'user' AND source_id = '3')")
+def delete_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One conversation gone from one space."""
+    return chunk_store.without_source(_turns(spark, sf_dir), "user", "3").select("space_key", "chunk_id")
+
+
+# --- grounding: markers are put at the end of conversations' lines, evidence is the first turns
+
+_DRAFTS = """d AS (SELECT conv_id * 100 + turn AS answer_id, string_split(text, chr(10)) AS ls FROM conversations),
+l AS (SELECT answer_id, unnest(ls) AS line0, unnest(range(len(ls))) AS pos FROM d),
+m AS (SELECT answer_id, pos, CASE WHEN pos % 3 = 2 THEN line0 ELSE line0 || ' [' || (pos % 7) || '], [' || (pos % 2) || '].' END AS line FROM l),
+ev AS (SELECT conv_id * 100 + turn AS answer_id, unnest([0, 1, 2]) AS ref, text FROM conversations)"""
+_BOUND = _DRAFTS + r""",
+f AS (SELECT *, trim(line) = '' AS blank, list_transform(regexp_extract_all(line, '\[(\d+)\]', 1), lambda x: x::INT) AS refs FROM m),
+b AS (SELECT answer_id, pos, line, blank OR len(list_filter(refs, lambda x: x <= 2)) > 0 AS kept, list_filter(refs, lambda x: x <= 2) AS refs,
+  CASE WHEN blank OR len(list_filter(refs, lambda x: x <= 2)) = 0 THEN line ELSE regexp_replace(regexp_replace(trim(regexp_replace(line, '\[\d+\]([ \t]*,[ \t]*\[\d+\]|\[\d+\])*', '', 'g')), '[ \t]{2,}', ' ', 'g'), '[ \t]+([.,!?])', '\1', 'g') END AS text FROM f)"""
+
+
+def _drafts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("answer_id"), "text")
+
+    def mark(line: Column, i: Column) -> Column:
+        return F.when(i % 3 == 2, line).otherwise(F.concat(line, F.lit(" ["), (i % 7).cast("string"), F.lit("], ["), (i % 2).cast("string"), F.lit("].")))
+
+    drafts = turns.select("answer_id", F.array_join(F.transform(F.split("text", "\n", -1), mark), "\n").alias("text"))
+    known = turns.select("answer_id", F.explode(F.array(*(F.lit(i) for i in range(3)))).alias("ref"), F.col("text").alias("content"))
+    return drafts, known.select("answer_id", "ref", F.concat(F.lit("s"), "ref").alias("source_id"), F.lit("T").alias("title"), F.lit("").alias("heading"), F.lit(None).cast("string").alias("breadcrumb"), "content")
+
+
+@_query(f"WITH {_BOUND} SELECT answer_id, pos::INT AS pos, kept, md5(text) AS text FROM b")
+def bind_claims_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which lines of all drafts stay, and how they read then."""
+    return grounding.bind_lines(*_drafts(spark, sf_dir)).select("answer_id", "pos", "kept", F.md5("text").alias("text"))
+
+
+@_query(f"WITH {_BOUND} SELECT answer_id, pos::INT AS pos, md5(text) AS text FROM b WHERE kept")
+def marker_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kept lines without markers."""
+    return grounding.bind_lines(*_drafts(spark, sf_dir)).where("kept").select("answer_id", "pos", F.md5("text").alias("text"))
+
+
+@_query(f"""WITH {_BOUND}, r AS (SELECT answer_id, pos, unnest(refs) AS ref, unnest(range(len(refs))) AS i FROM b),
+o AS (SELECT answer_id, ref, min(pos * 1000 + i) AS place FROM r GROUP BY answer_id, ref)
+SELECT o.answer_id, row_number() OVER (PARTITION BY o.answer_id ORDER BY place)::INT AS n, 's' || o.ref AS source_id, md5(nullif(substr(ev.text, 1, 200), '')) AS snippet
+FROM o JOIN ev ON ev.answer_id = o.answer_id AND ev.ref = o.ref""")
+def citation_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each cited evidence once, in the order of first markers."""
+    drafts, known = _drafts(spark, sf_dir)
+    found = grounding.document_citations(grounding.bind_lines(drafts, known), known)
+    return found.select("answer_id", "n", "citation.source_id", F.md5("citation.snippet").alias("snippet"))
+
+
+@_query("""SELECT conv_id AS answer_id, (turn % 2)::INT AS ref, arg_max(md5(text), turn) AS content FROM conversations GROUP BY conv_id, turn % 2""")
+def evidence_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of references that came again, the last."""
+    turns = table(spark, sf_dir, "conversations")
+    calls = turns.select(F.col("conv_id").alias("answer_id"), F.col("turn").alias("call_no"), F.lit(0).alias("item_no"), (F.col("turn") % 2).cast("int").alias("ref"), F.md5("text").alias("content"))
+    return grounding.collect_evidence(calls)
+
+
+@_query("""SELECT conv_id AS answer_id, turn::INT AS call_no, CASE WHEN turn % 2 = 0 THEN 'p.d.t' || turn ELSE 'unknown.unknown.unknown' END AS source_id, len(text) || ' rows returned' AS snippet,
+CASE WHEN conv_id % 5 = 0 THEN 'a bigquery citation needs its SQL' END AS error FROM conversations""")
+def sql_citation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations of queries, and whether they are valid."""
+    turns = table(spark, sf_dir, "conversations")
+    tables = F.when(F.col("turn") % 2 == 0, F.array(F.concat(F.lit("p.d.t"), F.col("turn").cast("string")), F.lit("p.d.other"))).otherwise(F.array().cast("array<string>"))
+    calls = turns.select(F.col("conv_id").alias("answer_id"), F.col("turn").cast("int").alias("call_no"), F.when(F.col("conv_id") % 5 != 0, "select 1").alias("sql"), tables.alias("referenced_tables"), F.length("text").alias("row_count_returned"))
+    cited = calls.withColumn("c", grounding.sql_citation())
+    return cited.select("answer_id", "call_no", "c.source_id", "c.snippet", citations.citation_error(F.col("c")).alias("error"))
+
+
+@_query(f"""WITH {_BOUND}, a AS (SELECT answer_id, regexp_replace(coalesce(string_agg(text, chr(10) ORDER BY pos) FILTER (WHERE kept), ''), '^\\s+|\\s+$', '', 'g') AS answer, max(len(refs)) > 0 AS cited, count(*) FILTER (WHERE NOT kept) AS dropped FROM b GROUP BY answer_id)
+SELECT answer_id, CASE WHEN cited AND answer <> '' THEN 'grounded' ELSE 'refused' END AS status, CASE WHEN cited AND answer <> '' THEN md5(answer) END AS answer, dropped::INT AS dropped FROM a""")
+def grounded_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All drafts as answers, or refused."""
+    found = grounding.ground(*_drafts(spark, sf_dir))
+    return found.select("answer_id", "status", F.md5("answer").alias("answer"), F.size("dropped").alias("dropped"))
+
+
+@_query("""WITH a AS (SELECT doc_id, (contains(lower(text), 'license') OR contains(lower(text), 'reserved'))::INT + contains(lower(text), 'the ')::INT + contains(lower(text), 'öß')::INT AS hits, source FROM documents)
+SELECT doc_id, round(hits / 3::DOUBLE, 9) AS keyword_hit, source IN ('src0', 'src1') AS source_hit, CASE WHEN source IN ('src0', 'src1') AND hits > 0 THEN 'PASS' ELSE 'MISS' END AS status FROM a""")
+def keyword_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as answers against groups of keywords and an expected source."""
+    docs = table(spark, sf_dir, "documents")
+    groups = F.array(F.array(F.lit("LICENSE"), F.lit("Reserved")), F.array(F.lit("the ")), F.array(F.lit("öß")))
+    golden = docs.select(F.col("doc_id").alias("id"), F.when(F.col("source") == "src1", "src1").otherwise("src0").alias("expected_source_id"), groups.alias("expected_keywords"))
+    answers = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("answer"), F.array("source").alias("cited_source_ids"))
+    return evaluation.evaluate(golden, answers).select(F.col("id").alias("doc_id"), F.round("keyword_hit", 9).alias("keyword_hit"), "source_hit", "status")
+
+
+@_query("""WITH a AS (SELECT (contains(lower(d.text), 'the '))::INT::DOUBLE AS k, l.quality = 1 AS s FROM labels l LEFT JOIN documents d USING (doc_id))
+SELECT count(*)::BIGINT AS items, round(avg(k), 9) AS keyword_hit, count(*) FILTER (WHERE s)::BIGINT AS source_hits, count(*) FILTER (WHERE s) = count(*) AS passed FROM a""")
+def source_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary of an evaluation of all labelled documents."""
+    labels = table(spark, sf_dir, "labels")
+    golden = labels.select(F.col("doc_id").alias("id"), F.lit("1").alias("expected_source_id"), F.array(F.array(F.lit("the "))).alias("expected_keywords"))
+    answers = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("answer")).join(labels.select(F.col("doc_id").alias("id"), F.array(F.col("quality").cast("string")).alias("cited_source_ids")), "id")
+    out = evaluation.summary(evaluation.evaluate(golden, answers))
+    return out.withColumn("keyword_hit", F.round("keyword_hit", 9))
+
+
+# --- guarded SQL: the same statement in both engines, with a total order under the row cap
+
+_GUARDED = {
+    "guarded_sql_agg": """SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty, round(avg(l_discount), 6) AS disc, min(l_tax) AS low, max(l_tax) AS high
+        FROM lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag, l_linestatus LIMIT 50""",
+    "guarded_sql_join": """SELECT n_name, r_name, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+        JOIN region ON n_regionkey = r_regionkey GROUP BY n_name, r_name ORDER BY n_name LIMIT 50""",
+    "guarded_sql_outer_join": """SELECT c_mktsegment, count(*) AS customers, count(o_orderkey) AS orders FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'F'
+        GROUP BY c_mktsegment ORDER BY c_mktsegment LIMIT 50""",
+    "guarded_sql_semi_anti": """SELECT c_mktsegment, count(*) AS n FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000)
+        AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') GROUP BY c_mktsegment ORDER BY c_mktsegment LIMIT 50""",
+    "guarded_sql_in_subquery": """SELECT p_brand, count(*) AS n FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45) GROUP BY p_brand ORDER BY p_brand LIMIT 50""",
+    "guarded_sql_correlated": """SELECT o_orderpriority, count(*) AS n FROM orders o WHERE o_totalprice > (SELECT avg(i.o_totalprice) FROM orders i WHERE i.o_orderpriority = o.o_orderpriority)
+        GROUP BY o_orderpriority ORDER BY o_orderpriority LIMIT 50""",
+    "guarded_sql_window": """SELECT o_custkey, o_orderkey, r, prev, running FROM (SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS r,
+        lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS prev,
+        round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS running FROM orders) x
+        WHERE r <= 3 ORDER BY o_custkey, r LIMIT 50""",
+    "guarded_sql_rank": """SELECT s_nationkey, s_suppkey, rk, dr, nt, round(pr, 6) AS pr, round(cd, 6) AS cd FROM (SELECT s_nationkey, s_suppkey, CAST(rank() OVER w AS BIGINT) AS rk, CAST(dense_rank() OVER w AS BIGINT) AS dr, CAST(ntile(3) OVER w AS BIGINT) AS nt,
+        percent_rank() OVER w AS pr, cume_dist() OVER w AS cd FROM supplier WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey)) x ORDER BY s_nationkey, s_suppkey LIMIT 50""",
+    "guarded_sql_setop": """SELECT k FROM ((SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier) EXCEPT (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)) x
+        WHERE k IN (SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier) ORDER BY k LIMIT 50""",
+    "guarded_sql_rollup": """SELECT coalesce(l_returnflag, '-') AS flag, coalesce(l_linestatus, '-') AS status, CAST(grouping(l_returnflag) AS BIGINT) AS g, count(*) AS n FROM lineitem
+        GROUP BY ROLLUP (l_returnflag, l_linestatus) ORDER BY flag, status, g LIMIT 50""",
+    "guarded_sql_cube": """SELECT coalesce(o_orderstatus, '-') AS status, coalesce(o_orderpriority, '-') AS priority, count(*) AS n, count(DISTINCT o_custkey) AS customers FROM orders
+        GROUP BY CUBE (o_orderstatus, o_orderpriority) ORDER BY status, priority LIMIT 50""",
+    "guarded_sql_grouping_sets": """SELECT coalesce(p_brand, '-') AS brand, coalesce(p_size, -1) AS size, count(*) AS n FROM part GROUP BY GROUPING SETS ((p_brand), (p_size), ()) ORDER BY brand, size LIMIT 50""",
+    "guarded_sql_cte": """WITH big AS (SELECT o_custkey, sum(o_totalprice) AS t FROM orders GROUP BY o_custkey HAVING sum(o_totalprice) > 500000), named AS (SELECT c_name, t FROM big JOIN customer ON c_custkey = o_custkey)
+        SELECT c_name, round(t, 2) AS total FROM named ORDER BY total DESC, c_name LIMIT 50""",
+    "guarded_sql_range_join": """SELECT a.event_type, count(*) AS pairs FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL '1' HOUR GROUP BY a.event_type ORDER BY a.event_type LIMIT 50""",
+    "guarded_sql_asof": """SELECT event_id, last_id FROM (SELECT event_id, event_type, max(CASE WHEN event_type = 'purchase' THEN event_id END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_id FROM events) x
+        ORDER BY event_id LIMIT 50""",
+    "guarded_sql_scalars": """SELECT c_custkey, upper(substring(c_name, 1, 4)) AS head, CAST(length(c_name) AS BIGINT) AS n, CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal BETWEEN 0 AND 5000 THEN 'some' ELSE 'rich' END AS class,
+        round(abs(c_acctbal), 1) AS a, coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') AS segment, c_name LIKE '%1' AS ends FROM customer WHERE c_nationkey IN (1, 2, 3) ORDER BY c_custkey LIMIT 50""",
+    "guarded_sql_dates": """SELECT CAST(extract(YEAR FROM o_orderdate) AS BIGINT) AS y, CAST(extract(MONTH FROM o_orderdate) AS BIGINT) AS m, count(*) AS n FROM orders GROUP BY extract(YEAR FROM o_orderdate), extract(MONTH FROM o_orderdate) ORDER BY y, m LIMIT 50""",
+    "guarded_sql_topk": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 10",
+}
+_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+
+
+def _guarded(name: str, sql: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return guard.checked(spark, sql, {t: f"{sf_dir}/{t}.parquet" for t in _TABLES})
+
+    run.__name__ = name
+    _query(sql)(run)
+
+
+for _name, _statement in _GUARDED.items():
+    _guarded(_name, _statement)
+
+
+@_query("SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS hour, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
+def events_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tumbling window over events, as a stream would have it."""
+    hours = table(spark, sf_dir, "events").groupBy("event_type", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"))
+    return hours.agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+
+
+@_query("WITH v AS (SELECT vec_id, sqrt(list_reduce(list_prepend(0::DOUBLE, embedding::DOUBLE[]), lambda s, x: s + x * x)) AS n FROM embeddings) SELECT vec_id, round(n, 9) AS norm FROM v")
+def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(vectors.norm(vectors.doubles(F.col("embedding"))), 9).alias("norm"))
