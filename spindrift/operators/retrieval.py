@@ -8,6 +8,7 @@ carried along but joined back to what is left.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Sequence
 
 import pandas as pd
@@ -132,9 +133,19 @@ def _word_similarity(q: pd.Series, t: pd.Series) -> pd.Series:
     return pd.Series([_extent(list(a), list(b)) for a, b in zip(q, t)], dtype=float)
 
 
+def _text_trigrams(text: str | None) -> list[str]:
+    padded = [f"  {w} " for w in re.findall(r"\w+", (text or "").lower())]
+    return [p[i : i + 3] for p in padded for i in range(len(p) - 2)]
+
+
+@F.pandas_udf(ST.DoubleType())
+def _text_similarity(q: pd.Series, t: pd.Series) -> pd.Series:
+    return pd.Series([_extent(list(dict.fromkeys(_text_trigrams(a))), _text_trigrams(b)) if _text_trigrams(a) else 0.0 for a, b in zip(q, t)], dtype=float)
+
+
 def word_similarity(query: Column, content: Column) -> Column:
     """The similarity of a text's trigrams to the most similar contiguous stretch of a content's, from 0 to 1."""
-    return _word_similarity(T.trigram_set(query), T.trigrams(content))
+    return _text_similarity(query, content)
 
 
 def trigram_candidates(chunks: DataFrame, queries: DataFrame, k: int, threshold: float = TRGM_THRESHOLD) -> DataFrame:
