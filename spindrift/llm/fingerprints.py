@@ -2,7 +2,7 @@
 
 Every shingle is hashed once; its leading bits choose one of `bins` bins, and each bin keeps its
 smallest hash. Bins that stay empty copy a filled bin that a 2-universal hash of (bin, attempt)
-picks (optimal densification). A fingerprint holds the low `bits` bits of every bin, packed as
+picks (optimal densification). A fingerprint holds the low `bits` bits of every bin's hash, packed as
 hexadecimal digits; likeness() takes the chance agreement of low bits out of the share of equal bins.
 """
 
@@ -34,16 +34,17 @@ def codes(data: np.ndarray, at: np.ndarray, bins: int = BINS, bits: int = BITS,
         np.minimum.at(table, row * bins + (s >> lead).astype(np.int64), s >> U64(1))
     table = table.reshape(rows, bins)
     filled = table != _EMPTY
-    low = (mix(table, 3) & U64((1 << bits) - 1)).astype(np.uint8)
-    low[~filled] = 0
     r, b = np.nonzero(~filled & filled.any(axis=1)[:, None])
     attempt = 0
     while len(r):
         pick = (mix(b.astype(U64) + U64(bins * attempt), 5) % U64(bins)).astype(np.int64)
         found = filled[r, pick]
-        low[r[found], b[found]] = low[r[found], pick[found]]
+        table[r[found], b[found]] = table[r[found], pick[found]]
         r, b = r[~found], b[~found]
         attempt += 1
+    # each bin has low bits of its own, so that chance agreement of copied bins is as independent as of others
+    low = (mix(table ^ mix(np.arange(bins, dtype=U64), 7)[None, :], 3) & U64((1 << bits) - 1)).astype(np.uint8)
+    low[~filled.any(axis=1)] = 0
     return low
 
 
@@ -78,7 +79,7 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * parts)).first()[0] or []
     cuts = sorted(set(cuts))
-    number = F.coalesce(sum((F.col("doc_id") > c).cast("int") for c in cuts), F.lit(0)) if len(cuts) <= 8 else _bucket(cuts)
+    number = _bucket(cuts)
     heads = docs.groupBy(number.alias("part")).agg(F.min("doc_id").alias("head"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls")).orderBy("part").collect()
     before = {(None if h["nulls"] else h["head"]): heads[i - 1]["part"] for i, h in enumerate(heads)}
     known = [(h, p) for h, p in before.items() if h is not None]
