@@ -39,19 +39,14 @@ class Lines:
         breaks = np.flatnonzero(raw == 10)
         rows = len(at) - 1
         # a line starts at each text's start and after each line feed
-        starts = np.sort(np.concatenate([rel[:-1], breaks + 1]), kind="stable")
-        of = np.searchsorted(rel[1:], starts, "right")
-        # a line feed at the end of a text opens an empty line of that text, not of the next
-        last = np.zeros(len(starts), bool)
-        tail = breaks[np.isin(breaks + 1, rel[1:])] + 1
-        if len(tail):
-            position = np.searchsorted(starts, tail, "left")
-            last[position] = True
-            of[last] = np.searchsorted(rel[1:], starts[last] - 1, "right")
-        empty = np.flatnonzero(np.diff(rel) == 0)
-        order = np.lexsort((np.arange(len(starts)), of)) if len(empty) or len(tail) else np.arange(len(starts))
-        self.starts, self.of = starts[order], np.minimum(of[order], rows - 1)
-        self.number = np.arange(len(self.of)) - np.searchsorted(self.of, self.of)
+        lines = 1 + np.diff(np.searchsorted(breaks, rel))
+        first = np.cumsum(lines) - lines
+        after = np.ones(int(lines.sum()), bool)
+        after[first] = False
+        self.starts = np.empty(len(after), np.int64)
+        self.starts[first], self.starts[after] = rel[:-1], breaks + 1
+        self.of = np.repeat(np.arange(rows), lines)
+        self.number = np.arange(len(after)) - first[self.of]
         h, _, word_starts, word_ends = word_hashes(data, at, lower=False)
         word_starts, word_ends = word_starts - base, word_ends - base
         digits = np.concatenate([[0], np.cumsum(_DIGIT[raw])])
