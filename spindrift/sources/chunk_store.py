@@ -23,6 +23,22 @@ _COLUMNS = [x.split()[0] for x in SCHEMA.replace(", ", "\n").split("\n")]
 KEY = ["space_key", "chunk_id"]
 
 
+def latest(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Of rows with one key, the last by the column `position`."""
+    turn = Window.partitionBy(*key).orderBy(F.col("position").desc())
+    return rows.withColumn("__n", F.row_number().over(turn)).where("__n = 1").drop("__n", "position")
+
+
+def merged(current: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """current with new's rows inserted, or in the place of those with their key."""
+    return current.join(new.select(*key), key, "left_anti").select(*current.columns).unionByName(new.select(*current.columns))
+
+
+def without_source(rows: DataFrame, space_key: str, source_id: str) -> DataFrame:
+    """rows but those of one source in one space."""
+    return rows.where(~(F.col("space_key").eqNullSafe(space_key) & F.col("source_id").eqNullSafe(source_id)))
+
+
 class ChunkStore:
     """Chunks under a folder that all executors share, with vectors of one dimension from one embedder."""
 
@@ -92,11 +108,8 @@ class ChunkStore:
         return n
 
     def _latest(self, chunks: DataFrame) -> DataFrame:
-        """One row for each key: the last by the column `position`, where there is one."""
-        order = F.col("position").desc() if "position" in chunks.columns else F.monotonically_increasing_id().desc()
-        turn = Window.partitionBy(*KEY).orderBy(order)
-        out = chunks.withColumn("__order", F.row_number().over(turn)).where("__order = 1")
-        return out.withColumn("updated_at", F.current_timestamp()).select(*(F.col(c).cast("array<float>") if c == "embedding" else F.col(c) for c in _COLUMNS))
+        ordered = chunks if "position" in chunks.columns else chunks.withColumn("position", F.monotonically_increasing_id())
+        return latest(ordered, KEY).withColumn("updated_at", F.current_timestamp()).select(*(F.col(c).cast("array<float>") if c == "embedding" else F.col(c) for c in _COLUMNS))
 
     def _write(self, space_key: str, rows: DataFrame) -> None:
         state = self._state()
@@ -112,9 +125,8 @@ class ChunkStore:
     def replace_source(self, space_key: str, source_id: str, chunks: DataFrame) -> int:
         """Puts chunks in the place of all of one source's in one space; no chunks delete it. Returns their number."""
         n = self.validate(chunks, space_key, source_id)
-        others = self._current(space_key).where(~F.col("source_id").eqNullSafe(source_id))
-        new = self._latest(chunks)
-        self._write(space_key, others.join(new.select(*KEY), KEY, "left_anti").select(*_COLUMNS).unionByName(new))
+        others = without_source(self._current(space_key), space_key, source_id)
+        self._write(space_key, merged(others, self._latest(chunks), KEY).select(*_COLUMNS))
         return n
 
     def upsert(self, chunks: DataFrame) -> int:
@@ -122,7 +134,7 @@ class ChunkStore:
         n = self.validate(chunks)
         for (space,) in chunks.select("space_key").distinct().collect():
             new = self._latest(chunks.where(F.col("space_key") == space))
-            self._write(space, self._current(space).join(new.select(*KEY), KEY, "left_anti").select(*_COLUMNS).unionByName(new))
+            self._write(space, merged(self._current(space), new, KEY).select(*_COLUMNS))
         return n
 
     def delete_source(self, space_key: str, source_id: str) -> int:
@@ -132,7 +144,7 @@ class ChunkStore:
         now = self._current(space_key)
         n = now.where(F.col("source_id") == source_id).count()
         if n:
-            self._write(space_key, now.where(F.col("source_id") != source_id))
+            self._write(space_key, without_source(now, space_key, source_id))
         return n
 
     def search(self, query_embedding: list[float], space_key: str | None = None, top_k: int = 5) -> DataFrame:
