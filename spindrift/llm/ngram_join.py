@@ -11,9 +11,10 @@ already known to be one.
    keys are its classes' contents, in its own band and, where a partner can be there, the next one.
    Empty classes count only for a node with at most d filled ones. Every linked pair shares a key.
 3. In each group of nodes that share a key, an R-tree over count vectors (how many shingles hash to
-   each of DIMS groups) finds pairs: the sum over dimensions of the smaller count bounds an overlap,
+   each dimension; larger sets have more dimensions) finds pairs: the sum over dimensions of the smaller count bounds an overlap,
    that of the smaller upper edge bounds the overlaps between two boxes. Of the pairs that the bound
    leaves, a spanning forest is verified on the whole sets.
+   Pairs whose ends are connected by then need no verifying. Whole sets are fetched for nodes in pairs only.
 4. Where pairs of a group fail, the group comes again without them and with the components known by
    then, each time with more pairs at once, until every pair has been pruned, verified or is inside
    one component.
@@ -23,17 +24,20 @@ Groups above BLOCK nodes are split in blocks, and pairs of blocks go to differen
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from spindrift.llm._shared import components, saved
+from spindrift.llm._shared import components, saved, small_batches
 from spindrift.llm._words import U64, chunks, distinct, mix, shingle_hashes, word_hashes
 
-DIMS, LEAF, BLOCK = 32, 32, 20_000
+#: Shingles for each dimension of a count vector, members of a leaf, nodes of a block.
+PER_DIMENSION, LEAF, BLOCK = 4, 32, 20_000
 _GROWTH = 0.6
 
 
@@ -55,6 +59,11 @@ class Rule:
         """The number of classes for pairs whose larger set lies in a band: most differences, and one."""
         return 2 * (self.edges[band + 1] - 1) * (self.den - self.num) // (self.den + self.num) + 1
 
+    def dimensions(self, band: np.ndarray) -> np.ndarray:
+        """The dimensions of count vectors for pairs whose larger set lies in a band: a power of two."""
+        most = np.maximum((self.edges[band + 1] - 1) // PER_DIMENSION, 8)
+        return 1 << np.ceil(np.log2(most)).astype(np.int64)
+
     def enough(self, overlap: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Whether overlaps make links of pairs whose sizes add up to `sizes`."""
         return overlap * (self.num + self.den) >= self.num * sizes
@@ -88,14 +97,15 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def profiles(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, n_shingles long, node long: the size and name of every text's set."""
+    """doc_id, n_shingles long, node long, counts binary: the size, name and count vector of every text's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, u, bounds in _sets(batch.column(1), rule.words):
-                yield _batch(doc_id=batch.column(0).slice(i, j - i), n_shingles=pa.array(np.diff(bounds)), node=pa.array(_names(u, bounds)))
+                counts = count_vectors(u, bounds, rule)
+                yield _batch(doc_id=batch.column(0).slice(i, j - i), n_shingles=pa.array(np.diff(bounds)), node=pa.array(_names(u, bounds)), counts=pa.array(counts, pa.binary()))
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n_shingles long, node long")
+    return _texts(docs).mapInArrow(run, "doc_id long, n_shingles long, node long, counts binary")
 
 
 def _keys_of(u: np.ndarray, bounds: np.ndarray, names: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
@@ -203,24 +213,114 @@ def shared_keys(docs: DataFrame, rule: Rule) -> DataFrame:
     return keyed.repartition(shuffled, "key").sortWithinPartitions("key", "node").mapInArrow(runs, "gid long, node long").distinct()
 
 
-def count_vectors(u: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """How many of each row's shingles hash to each of DIMS groups."""
-    rows = len(bounds) - 1
-    cell = np.repeat(np.arange(rows), np.diff(bounds)) * DIMS + (mix(u, 61) >> U64(32)).astype(np.int64) % DIMS
-    return np.bincount(cell, minlength=rows * DIMS).reshape(rows, DIMS).astype(np.int32)
+def count_vectors(u: np.ndarray, bounds: np.ndarray, rule: Rule) -> list[bytes]:
+    """How many of each row's shingles hash to each dimension, as many as the next band has, in a byte.
+
+    A shingle's dimension is the first bits of a hash, so vectors fold to fewer dimensions by adding neighbours.
+    Should a count not fit a byte, all of that row are 255: the bound is then the other set's size, still a bound.
+    """
+    n = np.diff(bounds)
+    d = rule.dimensions(np.searchsorted(rule.edges, np.maximum(n, 1), "right"))
+    first = np.concatenate([[0], np.cumsum(d)])
+    of = np.repeat(np.arange(len(n)), n)
+    cell = first[of] + ((mix(u, 61) >> U64(32)) * d[of].astype(U64) >> U64(32)).astype(np.int64)
+    counts = np.bincount(cell, minlength=first[-1])
+    small = np.minimum(counts, 255).astype(np.uint8)
+    for r in np.flatnonzero(np.maximum.reduceat(counts, first[:-1]) > 255) if len(n) else ():
+        small[first[r] : first[r + 1]] = 255
+    return [small[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
+
+
+def folded(vectors: list[bytes]) -> np.ndarray:
+    """Count vectors in a matrix, all with as few dimensions as the shortest has."""
+    d = min(map(len, vectors))
+    if d == max(map(len, vectors)):
+        return np.frombuffer(b"".join(vectors), np.uint8).reshape(-1, d).astype(np.int32)
+    return np.array([np.frombuffer(v, np.uint8).reshape(d, -1).sum(axis=1, dtype=np.int32) for v in vectors])
+
+
+_ITEM = 6
+
+
+def _packed(u: np.ndarray) -> bytes:
+    """Ascending hashes, cut to their first 48 bits."""
+    return np.ascontiguousarray(u.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :_ITEM]).tobytes()
+
+
+def _items(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // _ITEM, 8), np.uint8)
+    wide[:, :_ITEM] = np.frombuffer(data, np.uint8).reshape(-1, _ITEM)
+    return wide.view(">u8").ravel()
+
+
+class Sieve:
+    """A Bloom filter of 64-bit values, built by partitions of its bits; the driver sees the bits, MOST bytes at most."""
+
+    MOST, HASHES, PARTS = 8 << 20, 4, 8
+
+    def __init__(self, values: DataFrame, n: int) -> None:
+        """values has one column of longs, n of them."""
+        self.size = min(self.MOST * 8, max(1 << 10, 1 << (16 * n - 1).bit_length()))
+        size, parts, places = self.size, self.PARTS, self._places
+
+        def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for part, place in zip(*(c.to_pylist() for c in batch.columns)):
+                    bits.setdefault(part, np.zeros(size // parts, bool))[place] = True
+            if bits:
+                yield _batch(part=pa.array(list(bits), pa.int32()), bits=pa.array([np.packbits(b).tobytes() for b in bits.values()], pa.binary()))
+
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = places(batch.column(0).to_numpy(), size).ravel()
+                yield _batch(part=pa.array((at // (size // parts)).astype(np.int32)), place=pa.array(at % (size // parts)))
+
+        found = values.mapInArrow(spread, "part int, place long").repartition(parts, "part").mapInArrow(slices, "part int, bits binary").collect()
+        whole = np.zeros((parts, size // parts // 8), np.uint8)
+        for r in found:
+            whole[r["part"]] |= np.frombuffer(r["bits"], np.uint8)
+        self.bits = whole.ravel()
+
+    @staticmethod
+    def _places(values: np.ndarray, size: int) -> np.ndarray:
+        return np.stack([(mix(values.view(U64), 110 + k) & U64(size - 1)).astype(np.int64) for k in range(Sieve.HASHES)])
 
+    def holds(self, values: np.ndarray) -> np.ndarray:
+        at = self._places(values, self.size)
+        return (self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).all(axis=0)
 
-def whole_sets(docs: DataFrame, rule: Rule) -> DataFrame:
-    """node long, size long, counts binary, items binary: one row for each text, sets in full."""
+
+def _row_names(doc_id: pa.Array, node: np.ndarray) -> np.ndarray:
+    return mix(mix(doc_id.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(U64), 121) ^ node.view(U64), 122).view(np.int64)
+
+
+def whole_sets(docs: DataFrame, rule: Rule, first: DataFrame) -> DataFrame:
+    """node long, items binary: the whole sets of the nodes in first(node, doc_id), and maybe a few others or one twice.
+
+    A filter of the wanted rows keeps texts of other rows from moving; where they are too many for it, the
+    texts are joined to them.
+    """
+    n = first.count()
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _batch(name=pa.array(_row_names(batch.column(0), batch.column(1).to_numpy())))
+
+    sieve = Sieve(first.select("doc_id", "node").mapInArrow(names, "name long"), n) if 16 * n <= 8 * Sieve.MOST else None
+    texts = _texts(docs)
+    if sieve is None:
+        texts = texts.join(first.select("doc_id").distinct(), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, u, bounds in _sets(batch.column(0), rule.words):
-                counts = count_vectors(u, bounds)
-                items = [u[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
-                yield _batch(node=pa.array(_names(u, bounds)), size=pa.array(np.diff(bounds)), counts=pa.array([c.tobytes() for c in counts], pa.binary()), items=pa.array(items, pa.binary()))
+            for i, j, u, bounds in _sets(batch.column(1), rule.words):
+                node = _names(u, bounds)
+                wanted = np.flatnonzero(sieve.holds(_row_names(batch.column(0).slice(i, j - i), node))) if sieve else np.arange(j - i)
+                items = [_packed(u[bounds[r] : bounds[r + 1]]) for r in wanted]
+                yield _batch(node=pa.array(node[wanted]), items=pa.array(items, pa.binary()))
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "node long, size long, counts binary, items binary")
+    return texts.mapInArrow(run, "node long, items binary")
 
 
 class Forest:
@@ -238,8 +338,8 @@ class Forest:
             x = up[x]
         return x
 
-    def roots(self) -> np.ndarray:
-        return np.array([self.root(i) for i in range(len(self.up))])[self.of]
+    def roots(self, positions: np.ndarray) -> np.ndarray:
+        return np.array([self.root(x) for x in self.of[positions].tolist()])
 
     def join(self, a: int, b: int) -> bool:
         a, b = self.root(int(self.of[a])), self.root(int(self.of[b]))
@@ -250,75 +350,85 @@ class Forest:
 
 
 def tree_pairs(counts: np.ndarray, sizes: np.ndarray, labels: np.ndarray, side: np.ndarray | None, failed: set[tuple[int, int]], times: int, rule: Rule) -> list[tuple[int, int]]:
-    """Pairs of positions that the count bound leaves: `times` spanning forests of them, one after the other.
+    """Pairs of positions that the count bound leaves: a spanning forest of them, and for times > 1 more.
 
-    Pairs with the same label or in failed don't come. With side, only pairs across its two values do.
+    Pairs with the same label or in failed don't come. With side, only pairs across its two values do. Beyond
+    the forest, a pair comes while one of its ends is in fewer than `times` pairs.
     """
-    order = np.lexsort((counts[:, 0], counts[:, : DIMS // 2].sum(axis=1), sizes))
-    leaves = [order[i : i + LEAF] for i in range(0, len(order), LEAF)]
+    n = len(sizes)
+    order = np.lexsort((counts[:, : counts.shape[1] // 2].sum(axis=1), sizes)) if n > LEAF else np.arange(n)
+    leaves = [order[i : i + LEAF] for i in range(0, n, LEAF)]
     low_size = np.array([sizes[x].min() for x in leaves])
-    high = np.array([counts[x].max(axis=0) for x in leaves])
-    taken = set(failed)
+    high = np.array([counts[x].max(axis=0) for x in leaves]) if n > LEAF else None
+    forest: Forest | None = None
+    used = [0] * n
     out: list[tuple[int, int]] = []
-    for _ in range(times):
-        forest, before = Forest(labels), len(out)
-        for i, x in enumerate(leaves):
-            # boxes that can hold a partner: the sum of the smaller upper edges bounds every overlap
-            near = np.flatnonzero(rule.enough(np.minimum(high[i], high[i:]).sum(axis=1), low_size[i] + low_size[i:])) + i
-            for j in near.tolist():
-                y = leaves[j]
-                roots_x = [forest.root(int(forest.of[a])) for a in x]
-                roots_y = [forest.root(int(forest.of[b])) for b in y]
-                if len({*roots_x, *roots_y}) == 1:
-                    continue
-                overlap = np.minimum(counts[x][:, None, :], counts[y][None, :, :]).sum(axis=2)
-                good = rule.enough(overlap, sizes[x][:, None] + sizes[y][None, :]) & (np.array(roots_x)[:, None] != np.array(roots_y)[None, :])
-                if side is not None:
-                    good &= side[x][:, None] != side[y][None, :]
-                for p, q in zip(*(v.tolist() for v in np.nonzero(good))):
-                    a, b = int(x[p]), int(y[q])
-                    pair = (a, b) if a < b else (b, a)
-                    if a != b and pair not in taken and forest.join(a, b):
-                        taken.add(pair)
-                        out.append(pair)
-        if len(out) == before:
-            break
+    for i, x in enumerate(leaves):
+        # boxes that can hold a partner: the sum of the smaller upper edges bounds every overlap
+        near = np.flatnonzero(rule.enough(np.minimum(high[i], high[i:]).sum(axis=1), low_size[i] + low_size[i:])) + i if high is not None else np.zeros(1, np.int64)
+        for j in near.tolist():
+            y = leaves[j]
+            own, other = (labels[z] if forest is None or times > 1 else forest.roots(z) for z in (x, y))
+            differ = own[:, None] != other[None, :]
+            if not differ.any():
+                continue
+            overlap = np.minimum(counts[x][:, None, :], counts[y][None, :, :]).sum(axis=2)
+            good = differ & rule.enough(overlap, sizes[x][:, None] + sizes[y][None, :])
+            if side is not None:
+                good &= side[x][:, None] != side[y][None, :]
+            if i == j:
+                good = np.triu(good, 1)
+            if not good.any():
+                continue
+            forest = forest or Forest(labels)
+            for p, q in zip(*(v.tolist() for v in np.nonzero(good))):
+                a, b = int(x[p]), int(y[q])
+                pair = (a, b) if a < b else (b, a)
+                if pair not in failed and (forest.join(a, b) or times > 1 and min(used[a], used[b]) < times):
+                    used[a], used[b] = used[a] + 1, used[b] + 1
+                    out.append(pair)
     return out
 
 
 def _candidates(groups: DataFrame, times: int, rule: Rule) -> DataFrame:
     """gid, a, b from rows (gid, i, j, node, other, side, label, size, counts) by group; other marks a failed pair."""
 
-    def one(rows: pa.Table) -> pa.RecordBatch:
-        other = rows["other"].to_numpy()
+    def one(gid: int, node: np.ndarray, other: np.ndarray, side: np.ndarray, split: bool, label: np.ndarray, size: np.ndarray, counts: list[bytes]) -> tuple[list[int], list[int], list[int]]:
         member = other == 0
-        node = rows["node"].to_numpy()
-        nodes = node[member]
-        place = {x: i for i, x in enumerate(nodes.tolist())}
-        pairs = {(place[a], place[b]) for a, b in zip(node[~member].tolist(), other[~member].tolist()) if a in place and b in place}
-        failed = {(a, b) if a < b else (b, a) for a, b in pairs}
-        counts = np.frombuffer(b"".join(rows["counts"].filter(pa.array(member)).to_pylist()), np.int32).reshape(-1, DIMS)
-        side = rows["side"].to_numpy()[member]
-        found = tree_pairs(counts, rows["size"].to_numpy()[member], rows["label"].to_numpy()[member], side if rows["split"][0].as_py() else None, failed, times, rule)
-        a = np.array([nodes[p] for p, _ in found], np.int64)
-        b = np.array([nodes[q] for _, q in found], np.int64)
-        return _batch(gid=pa.array([rows["gid"][0].as_py()] * len(found), pa.int64()), a=pa.array(np.minimum(a, b)), b=pa.array(np.maximum(a, b)))
+        failed: set[tuple[int, int]] = set()
+        if not member.all():
+            place = {x: i for i, x in enumerate(node[member].tolist())}
+            for a, b in zip(node[~member].tolist(), other[~member].tolist()):
+                if a in place and b in place:
+                    failed.add((min(place[a], place[b]), max(place[a], place[b])))
+            counts = [c for c, m in zip(counts, member) if m]
+            node, side, label, size = node[member], side[member], label[member], size[member]
+        if (label == label[0]).all():
+            return [], [], []
+        found = tree_pairs(folded(counts), size, label, side if split else None, failed, times, rule)
+        ends = [(min(x, y), max(x, y)) for x, y in ((int(node[p]), int(node[q])) for p, q in found)]
+        return [gid] * len(ends), [x for x, _ in ends], [y for _, y in ends]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left: list[pa.RecordBatch] = []
-        for batch in batches:
-            key = batch.column(0).to_numpy()
-            cut = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        """Rows come sorted by task; the last task of a batch may go on in the next."""
+        left: list[np.ndarray | list] | None = None
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                new = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1]] + [batch.columns[-1].to_pylist()]
+                left = new if left is None else [np.concatenate([a, b]) for a, b in zip(left[:-1], new[:-1])] + [left[-1] + new[-1]]
+            if left is None or not len(left[0]):
+                continue
+            task, gid, node, other, side, split, label, size, counts = left
+            cut = [0, *(np.flatnonzero(task[1:] != task[:-1]) + 1).tolist(), len(task)]
+            if batch is not None:  # held back
+                last = cut[-2]
+                left = [x[last:] for x in left]
+                cut = cut[:-1]
+            out: tuple[list[int], list[int], list[int]] = ([], [], [])
             for s, e in zip(cut[:-1], cut[1:]):
-                if s == e:
-                    continue
-                part = batch.slice(s, e - s)
-                if left and left[-1].column(0)[0].as_py() != int(key[s]):
-                    yield one(pa.Table.from_batches(left))
-                    left = []
-                left.append(part)
-        if left:
-            yield one(pa.Table.from_batches(left))
+                for column, more in zip(out, one(int(gid[s]), node[s:e], other[s:e], side[s:e], bool(split[s]), label[s:e], size[s:e], counts[s:e])):
+                    column += more
+            yield _batch(gid=pa.array(out[0], pa.int64()), a=pa.array(out[1], pa.int64()), b=pa.array(out[2], pa.int64()))
 
     n = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = groups.repartition(n, "task").sortWithinPartitions("task").select("task", "gid", "node", "other", "side", "split", "label", "size", "counts")
@@ -336,34 +446,64 @@ def _blocks(groups: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, rule: Rule, profile: DataFrame) -> DataFrame | None:
-    """a, b: links between nodes that connect every component; None if no two nodes share a key."""
+    """node, label of the components of nodes that links connect; None if no two nodes share a key."""
     groups = saved(shared_keys(docs, rule), "groups")
     if groups.isEmpty():
         return None
-    wanted = groups.select("node").distinct()
-    first = profile.join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    texts = _texts(docs).join(first.select("doc_id").distinct(), "doc_id")
-    sets = saved(whole_sets(texts, rule).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
-    vectors = sets.select("node", "size", "counts")
+    spark = docs.sparkSession
+    nodes = profile.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("counts").alias("counts"))
+    nodes = saved(nodes.join(groups.select("node").distinct(), "node", "left_semi"), "nodes")
     members = saved(_blocks(groups), "members")
-    failed = sets.sparkSession.createDataFrame([], "gid long, a long, b long")
-    found = sets.sparkSession.createDataFrame([], "a long, b long")
-    labels, todo, times = None, members, 1
+    failed = spark.createDataFrame([], "gid long, a long, b long")
+    found = spark.createDataFrame([], "a long, b long")
+    sets = spark.createDataFrame([], "node long, items binary")
+    labels, todo, times = spark.createDataFrame([], "node long, label long"), members, 1
     while True:
-        rows = todo.join(vectors, "node")
-        rows = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")) if labels is not None else rows.withColumn("label", F.col("node"))
+        rows = todo.join(nodes.select("node", "size", "counts"), "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         rows = rows.select("task", "gid", "node", F.lit(0).cast("long").alias("other"), "side", "split", "label", "size", "counts")
         past = failed.join(todo.select("gid", "task", "split").distinct(), "gid").select("task", "gid", F.col("a").alias("node"), F.col("b").alias("other"), F.lit(0).alias("side"), "split", F.lit(0).cast("long").alias("label"), F.lit(0).cast("long").alias("size"), F.lit(b"").alias("counts"))
         pairs = saved(_candidates(rows.unionByName(past), times, rule), "pairs")
-        judged = saved(_verified(pairs.select("a", "b").distinct(), sets, rule), "judged")
-        found = found.union(judged.where("good").select("a", "b"))
-        labels = components(found)
-        new = pairs.join(judged.where("not good").select("a", "b"), ["a", "b"]).select("gid", "a", "b")
+        if pairs.isEmpty():
+            return labels
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        need = nodes.select("node", "doc_id").join(ends, "node", "left_semi").join(sets.select("node").distinct(), "node", "left_anti")
+        need = saved(need, "need")
+        if not need.isEmpty():
+            sets = sets.union(saved(whole_sets(docs, rule, need), "sets"))
+        found, labels, wrong = _settled(pairs.select("a", "b").distinct(), found, labels, sets, rule)
+        new = pairs.join(wrong, ["a", "b"]).select("gid", "a", "b")
         failed = saved(failed.union(new), "failed")
-        again = new.select("gid").distinct()
-        if again.isEmpty():
-            return found
-        todo, times = members.join(again, "gid", "left_semi"), min(times * 4, 1 << 12)
+        if new.isEmpty():
+            return labels
+        # groups with a failed pair and more than one component
+        open_groups = members.join(new.select("gid").distinct(), "gid", "left_semi").join(labels, "node", "left").groupBy("gid").agg(F.count_distinct(F.coalesce("label", "node")).alias("n")).where("n > 1")
+        todo, times = saved(members.join(open_groups, "gid", "left_semi"), "members"), min(times * 64, 1 << 12)
+        if todo.isEmpty():
+            return labels
+
+
+def _settled(pairs: DataFrame, found: DataFrame, labels: DataFrame, sets: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Verifies pairs until each is verified or inside a component: all links, labels, and the pairs that don't link.
+
+    In each round a node is verified with its first open partner, later with more at a time; what that
+    connects need not be verified.
+    """
+    pairs, wrong, most = saved(pairs, "open"), None, 1
+    while True:
+        one, two = (labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab")
+        split = F.coalesce("label_a", "a") != F.coalesce("label_b", "b")
+        pairs = saved(pairs.join(one, "a", "left").join(two, "b", "left").where(split).select("a", "b"), "open")
+        if pairs.isEmpty():
+            return found, labels, wrong if wrong is not None else pairs
+        turn = Window.partitionBy("b").orderBy("a")
+        picked = saved(pairs.withColumn("n", F.row_number().over(turn)).where(F.col("n") <= most).select("a", "b"), "picked")
+        judged = saved(_verified(picked, sets, rule), "judged")
+        bad = judged.where("not good").select("a", "b")
+        wrong = bad if wrong is None else wrong.union(bad)
+        if not judged.where("good").isEmpty():
+            found = found.union(judged.where("good").select("a", "b"))
+            labels = components(found)
+        pairs, most = pairs.join(picked, ["a", "b"], "left_anti"), min(most * 4, 1 << 20)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -373,7 +513,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
         for batch in batches:
             good = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
+                x, y = _items(x.as_buffer()), _items(y.as_buffer())
                 good.append(bool(rule.enough(len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y))))
             yield _batch(a=batch.column(0), b=batch.column(1), good=pa.array(good, pa.bool_()))
 
@@ -391,6 +531,7 @@ def join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> Data
     the component of rows with the same set, or null. Repeated rows come repeatedly.
     Columns other than doc_id and text are left out; no rows give no rows.
     """
+    small_batches(docs.sparkSession)
     rule = Rule(words, num, den)
     profile = saved(profiles(docs, rule), "profiles")
     found = links(docs.where("text is not null and doc_id is not null"), rule, profile)
@@ -398,7 +539,7 @@ def join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> Data
     if found is None:
         labelled = full.withColumn("label", F.col("node"))
     else:
-        labelled = full.join(components(found), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        labelled = full.join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     some = labelled.join(least, "label").select("doc_id", "n_shingles", "component_id")
     return some.unionByName(profile.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
