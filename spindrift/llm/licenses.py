@@ -3,9 +3,9 @@
 All of it is DataFrame functions. Every line of a file is a header that may name a licence; a licence
 file is also compared as a whole. Weights are term counts times inverse document frequencies among the
 templates; a term of no template weighs as the rarest and counts in a line's length only. A line is
-compared once however often it occurs. Lines without any of a few anchor terms can't reach the least
-cosine (without those terms, what is left of every template is shorter than that) and are left out
-before any term is looked at. A file without a licence of its own has that of the licence files in the
+compared once however often it occurs. What a line holds of a template bounds their cosine: lines that hold
+too little of every template are left out before they are cut to terms.
+A file without a licence of its own has that of the licence files in the
 nearest directory above it.
 """
 
@@ -18,6 +18,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.llm._shared import saved
+
 LEAST = 0.75
 
 # SPDX identifiers, and short forms in which texts state those licences.
@@ -42,35 +44,30 @@ LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)([-._].*)?$"
 
 
 class Weights:
-    """Inverse frequencies of the templates' terms, the templates' unit vectors, and anchor terms for a least cosine."""
+    """Inverse frequencies of the templates' terms, and the templates' unit vectors."""
 
-    def __init__(self, templates: list[tuple[str, str]], least: float) -> None:
+    def __init__(self, templates: list[tuple[str, str]]) -> None:
         self.names = [name for name, _ in templates]
         counts = [Counter(re.findall(r"[a-z0-9]+", text.lower())) for _, text in templates]
         held = Counter(t for c in counts for t in c)
         self.unseen = math.log(1 + len(templates)) + 1
         self.idf = {t: math.log((1 + len(templates)) / (1 + n)) + 1 for t, n in sorted(held.items())}
         self.vectors = []
-        anchors = set()
         for c in counts:
             v = {t: n * self.idf[t] for t, n in c.items()}
             length = math.sqrt(sum(x * x for x in v.values()))
-            v = {t: x / length for t, x in v.items()}
-            self.vectors.append(v)
-            rest = 1.0
-            for t, x in sorted(v.items(), key=lambda e: (-e[1] * e[1] * len(e[0]), e[0])):
-                if math.sqrt(max(rest, 0)) < least - 1e-9:
-                    break
-                anchors.add(t)
-                rest -= x * x
-        self.anchors = sorted(anchors)
+            self.vectors.append({t: x / length for t, x in v.items()})
 
 
-def _any(text: Column, terms: list[str]) -> Column:
-    found = F.lit(False)
-    for t in terms:
-        found = found | F.contains(text, F.lit(t))
-    return found
+def _may_reach(line: Column, weights: Weights, least: float) -> Column:
+    """Whether the terms of some template that a lower-case line holds, as parts of words at least, can make the least cosine."""
+    out = F.lit(False)
+    for v in weights.vectors:
+        held = F.lit(0.0)
+        for t, x in v.items():
+            held = held + F.when(F.contains(line, F.lit(t)), x * x).otherwise(0.0)
+        out = out | (held >= least * least - 1e-9)
+    return out
 
 
 def _folder(path: Column) -> Column:
@@ -82,21 +79,30 @@ def own_licences(files: DataFrame, weights: Weights, least: float) -> DataFrame:
     """key, similarity double, template int: the best template of each file that reaches the least cosine."""
     text = F.lower("text")
     named = F.regexp_extract("path", r"([^/]*)$", 1).rlike(LICENCE_FILE)
-    some = files.where(_any(text, weights.anchors))
     whole = F.when(named, F.array(F.regexp_replace(text, "\n", " "))).otherwise(F.array().cast("array<string>"))
-    units = some.select("key", F.explode(F.concat(F.filter(F.split(text, "\n", -1), lambda x: _any(x, weights.anchors)), whole)).alias("unit"))
-    terms = units.select("unit").distinct().select("unit", F.explode(F.split("unit", "[^a-z0-9]+")).alias("term")).where("term <> ''")
-    counts = terms.groupBy("unit", "term").agg(F.count("*").cast("double").alias("n"))
+    units = files.select("key", F.explode(F.concat(F.split(text, "\n", -1), whole)).alias("unit"))
+    units = saved(units.where(_may_reach(F.col("unit"), weights, least)), "units")
+    units = units.withColumn("id", F.md5("unit"))
     spark = files.sparkSession
     entries = {t: [(k, v[t]) for k, v in enumerate(weights.vectors) if t in v] for t in weights.idf}
-    table = spark.createDataFrame([(t, weights.idf[t], entries[t]) for t in weights.idf], "term string, idf double, entries array<struct<template:int,weight:double>>")
-    weighed = counts.join(F.broadcast(table), "term", "left").withColumn("x", F.col("n") * F.coalesce("idf", F.lit(weights.unseen)))  # the templates' terms
-    lengths = weighed.groupBy("unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))
-    products = weighed.select("unit", "x", F.explode("entries").alias("e")).groupBy("unit", F.col("e.template").alias("template")).agg(F.sum(F.col("x") * F.col("e.weight")).alias("product"))
-    cosine = F.round(F.col("product") / F.col("length"), 9)
-    scored = products.join(lengths, "unit").select("unit", cosine.alias("similarity"), "template").where(F.col("similarity") >= least)
-    best = scored.groupBy("unit").agg(F.max(F.struct("similarity", (-F.col("template")).alias("last"))).alias("best"))
-    return units.join(best, "unit").groupBy("key").agg(F.max("best").alias("best")).select("key", "best.similarity", (-F.col("best.last")).alias("template"))
+    table = F.broadcast(spark.createDataFrame([(t, weights.idf[t], entries[t]) for t in weights.idf], "term string, idf double, entries array<struct<template:int,weight:double>>"))  # the templates' terms
+    known = F.lit(sorted(weights.idf))
+    cut = F.filter(F.split("unit", "[^a-z0-9]+"), lambda x: x != "")
+    cut = units.groupBy("id").agg(F.first("unit").alias("unit")).select("id", cut.alias("terms"))
+    cut = cut.select("id", "terms", F.filter("terms", lambda x: F.array_contains(known, x)).alias("own"))
+    # products with templates need the templates' terms only; with one for each other term, lengths are at least these
+    counts = cut.select("id", (F.size("terms") - F.size("own")).alias("others"), F.explode("own").alias("term")).groupBy("id", "others", "term").agg(F.count("*").cast("double").alias("n"))
+    weighed = counts.join(table, "term").withColumn("x", F.col("n") * F.col("idf"))
+    squares = weighed.groupBy("id").agg(F.sum(F.col("x") * F.col("x")).alias("square"), F.first("others").alias("others"))
+    products = weighed.select("id", "x", F.explode("entries").alias("e")).groupBy("id", F.col("e.template").alias("template")).agg(F.sum(F.col("x") * F.col("e.weight")).alias("product"))
+    most = F.col("product") / F.sqrt(F.col("square") + F.col("others") * F.lit(weights.unseen**2))
+    near = saved(products.join(squares, "id").where(most >= least - 1e-6).select("id", "template", "product", "square"), "near")
+    rest = cut.join(near.select("id").distinct(), "id", "left_semi").select("id", F.explode(F.filter("terms", lambda x: ~F.array_contains(known, x))).alias("term"))
+    rest = rest.groupBy("id", "term").agg(F.count("*").cast("double").alias("n")).groupBy("id").agg(F.sum(F.col("n") * F.col("n") * F.lit(weights.unseen**2)).alias("rest"))
+    cosine = F.round(F.col("product") / F.sqrt(F.col("square") + F.coalesce("rest", F.lit(0.0))), 9)
+    scored = near.join(rest, "id", "left").select("id", cosine.alias("similarity"), "template").where(F.col("similarity") >= least)
+    best = scored.groupBy("id").agg(F.max(F.struct("similarity", (-F.col("template")).alias("last"))).alias("best"))
+    return units.select("key", "id").join(best, "id").groupBy("key").agg(F.max("best").alias("best")).select("key", "best.similarity", (-F.col("best.last")).alias("template"))
 
 
 def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, least: float = LEAST) -> DataFrame:
@@ -110,7 +116,7 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, least
     ''. A null path inherits nothing; a null or empty text has no licence of its own. Repeated rows come
     repeatedly; other columns stay, but those named as the new ones, which are replaced. No rows give no rows.
     """
-    weights = Weights(templates or TEMPLATES, least)
+    weights = Weights(templates or TEMPLATES)
     new = ("license", "similarity", "origin", "from_dir")
     kept = [c for c in files.columns if c not in (*new, "text")]
     keyed = files.select(*kept, F.col("text").cast("string").alias("text"), F.xxhash64("path", "text").alias("key"))
@@ -152,7 +158,7 @@ def document_paths(docs: DataFrame) -> DataFrame:
 
 
 def _oracle() -> str:
-    w = Weights(TEMPLATES, LEAST)
+    w = Weights(TEMPLATES)
     idf = ", ".join(f"('{t}', {x!r}::DOUBLE)" for t, x in w.idf.items())
     entries = ", ".join(f"('{t}', {k}, {x!r}::DOUBLE)" for k, v in enumerate(w.vectors) for t, x in v.items())
     names = ", ".join(f"'{n}'" for n in w.names)
