@@ -1,10 +1,10 @@
 """Nearest neighbours by randomly rotated one-bit codes.
 
-A vector's difference from the centre is scaled to length one and turned by a fixed random rotation; the
-signs of its coordinates are its code, packed to bits. With two scalars, the difference's length and its
-inner product with the code's own direction, a query estimates its squared distance to the vector, with
-an error that is below a bound but for a small chance. Vectors whose lower bound is within the k-th
-smallest upper bound are reranked by their exact distance.
+A vector's difference from the centre is scaled to length one and turned by fixed random rotations; the
+signs of its coordinates after each are its code, packed to bits. With the difference's length and its
+inner products with the codes' own directions, a query estimates its squared distance to the vector, with
+an error that is below a bound but for a small chance. The k vectors with the best estimates are ranked
+exactly first; then every vector whose lower bound is within the k-th of those distances is.
 
 Codes are packed in blocks and queries in blocks; each block of queries meets each block of codes. No
 table of all queries or of all codes is sent to every task.
@@ -23,14 +23,18 @@ from pyspark.sql.window import Window
 
 from spindrift.llm._shared import saved
 
-#: Neighbours; standard errors in a bound; queries and codes in a block.
-K, ERRORS, QUERY_BLOCK, CODE_BLOCK = 10, 4.0, 1024, 16_384
+#: Neighbours; standard errors in a bound; rotations; queries and codes in a block.
+K, ERRORS, ROTATIONS, QUERY_BLOCK, CODE_BLOCK = 10, 3.5, 16, 1024, 4096
 
 
-def rotation(d: int, seed: int = 17) -> np.ndarray:
-    """A random orthogonal matrix, the same for the same arguments."""
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((d, d)))
-    return q * np.sign(np.diag(r))
+def rotations(d: int, n: int = ROTATIONS, seed: int = 17) -> np.ndarray:
+    """n random orthogonal matrices on top of each other, the same for the same arguments."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(n):
+        q, r = np.linalg.qr(rng.standard_normal((d, d)))
+        out.append(q * np.sign(np.diag(r)))
+    return np.concatenate(out)
 
 
 def valid(vectors: DataFrame) -> DataFrame:
@@ -41,11 +45,12 @@ def valid(vectors: DataFrame) -> DataFrame:
 
 
 def _encode(v: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Packed signs, lengths, and the unit vectors' inner products with their codes."""
+    """Packed signs, lengths, and the unit vectors' inner products with their code of each rotation."""
+    d = v.shape[1]
     u = v - centre
     length = np.sqrt((u * u).sum(axis=1))
     u = (u / np.where(length > 0, length, 1)[:, None]) @ turn.T
-    return np.packbits(u > 0, axis=1), length, np.abs(u).sum(axis=1) / math.sqrt(v.shape[1])
+    return np.packbits(u > 0, axis=1), length, (np.abs(u).reshape(len(v), -1, d).sum(axis=2) / math.sqrt(d)).astype(np.float32)
 
 
 def codes(vectors: DataFrame, centre: np.ndarray, turn: np.ndarray, size: int = CODE_BLOCK) -> DataFrame:
@@ -76,24 +81,19 @@ def codes(vectors: DataFrame, centre: np.ndarray, turn: np.ndarray, size: int =
     return vectors.mapInArrow(run, "n int, ids binary, bits binary, lengths binary, products binary")
 
 
-def bounds(queries: np.ndarray, centre: np.ndarray, turn: np.ndarray, bits: np.ndarray, lengths: np.ndarray, products: np.ndarray, errors: float) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bounds on squared distances, a row for each query."""
-    d = queries.shape[1]
+def estimates(queries: np.ndarray, centre: np.ndarray, turn: np.ndarray, bits: np.ndarray, lengths: np.ndarray, products: np.ndarray, errors: float) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated squared distances, a row for each query, and the errors that bound them."""
+    d, n = queries.shape[1], products.shape[1]
     u = (queries - centre) @ turn.T
-    far = np.sqrt((u * u).sum(axis=1))
-    signs = (np.unpackbits(bits, axis=1, count=d).astype(np.float32) * 2 - 1) / np.float32(math.sqrt(d))
-    safe = np.maximum(products, 1e-12)
-    inner = (u.astype(np.float32) @ signs.T) / safe[None, :]
-    wide = np.sqrt(np.maximum(1 - safe * safe, 0)) / safe * (errors / math.sqrt(max(d - 1, 1)))
+    far = np.sqrt((u[:, :d] ** 2).sum(axis=1))
+    safe = np.maximum(products, np.float32(1e-6))
+    signs = np.unpackbits(bits, axis=1, count=d * n).astype(np.float32) * 2 - 1
+    signs = (signs.reshape(len(bits), n, d) / (safe[:, :, None] * np.float32(n * math.sqrt(d)))).reshape(len(bits), -1)
+    inner = u.astype(np.float32) @ signs.T
+    spread = np.sqrt(np.maximum(1 / (safe * safe) - 1, 0).mean(axis=1) / (max(d - 1, 1) * n))
     middle = far[:, None] ** 2 + lengths[None, :] ** 2 - 2 * lengths[None, :] * inner
-    error = 2 * lengths[None, :] * wide[None, :] * far[:, None] + 1e-5 * (far[:, None] ** 2 + lengths[None, :] ** 2)
-    return middle - error, middle + error
-
-
-def _best(low: np.ndarray, high: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns whose lower bound is within their row's k-th smallest upper bound."""
-    limit = np.partition(high, k - 1, axis=1)[:, k - 1] if high.shape[1] > k else high.max(axis=1)
-    return np.nonzero(low <= limit[:, None])
+    error = 2 * errors * (lengths * spread)[None, :] * far[:, None] + 1e-5 * (far[:, None] ** 2 + lengths[None, :] ** 2)
+    return middle, error
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, errors: float = ERRORS) -> DataFrame:
@@ -104,7 +104,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, errors: float = E
     than k, all come. Vectors that are null, all zero, or hold a null, a NaN or an infinity take no part,
     nor do rows with a null vec_id; rows that repeat a vec_id count once, with its smallest vector. All
     vectors must have one length, else the job fails. No vectors or no queries give no rows. Other columns
-    are left out. With `errors` standard errors, a neighbour is missed with a chance below one in 10,000.
+    are left out. With `errors` standard errors, a neighbour is missed with a chance below one in 1,000.
     """
     spark = vectors.sparkSession
     base = valid(vectors).groupBy("vec_id").agg(F.min("v").alias("v"))
@@ -118,42 +118,58 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, errors: float = E
     d = sizes[0]
     base = saved(base, "vectors")
     centre = np.array(base.agg(*(F.avg(F.col("v")[i]) for i in range(d))).first(), float)
-    turn = rotation(d)
+    turn = rotations(d)
 
     shards = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = saved(codes(base, centre, turn), "codes").withColumn("shard", F.pmod(F.xxhash64("ids"), F.lit(shards)))
-    n_queries = asked.count()
-    split = max(1, math.ceil(n_queries / QUERY_BLOCK))
-    dealt = asked.withColumn("query_block", F.pmod(F.xxhash64("vec_id"), F.lit(split)).cast("int"))
-
-    def pack(key: tuple, rows: pa.Table) -> pa.Table:
-        v = rows["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        return pa.table({"query_block": pa.array([key[0].as_py()], pa.int32()), "query_ids": pa.array([rows["vec_id"].to_numpy().tobytes()], pa.binary()), "vectors": pa.array([v.tobytes()], pa.binary())})
-
-    query_blocks = dealt.groupBy("query_block").applyInArrow(pack, "query_block int, query_ids binary, vectors binary")
-    # each block of queries with each block of codes: the stated queries against all rows
-    left = query_blocks.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    pairs = left.join(blocks, "shard").select("query_ids", "vectors", "n", "ids", "bits", "lengths", "products")
+    split = max(1, math.ceil(asked.count() / QUERY_BLOCK))
+
+    def scan(questions: DataFrame, pick) -> DataFrame:
+        """query_id, vec_id, near of what pick(estimates, errors, limits) leaves of each block of codes; questions have vec_id, v and limit."""
+
+        def pack(key: tuple, rows: pa.Table) -> pa.Table:
+            columns = [rows["vec_id"].to_numpy(), rows["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False), rows["limit"].to_numpy()]
+            return pa.table({"query_block": pa.array([key[0].as_py()], pa.int32())} | {k: pa.array([c.tobytes()], pa.binary()) for k, c in zip(("query_ids", "vectors", "limits"), columns)})
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for q, v, limits, n, ids, bits, lengths, products in zip(*(c.to_pylist() for c in batch.columns)):
+                    q, ids = np.frombuffer(q, np.int64), np.frombuffer(ids, np.int64)
+                    middle, error = estimates(np.frombuffer(v, float).reshape(-1, d), centre, turn, np.frombuffer(bits, np.uint8).reshape(n, -1), np.frombuffer(lengths, float), np.frombuffer(products, np.float32).reshape(n, -1), errors)
+                    middle[q[:, None] == ids[None, :]] = np.inf
+                    r, c = pick(middle, error, np.frombuffer(limits, float))
+                    yield pa.RecordBatch.from_arrays([pa.array(q[r]), pa.array(ids[c]), pa.array(middle[r, c].astype(float))], ["query_id", "vec_id", "near"])
+
+        dealt = questions.withColumn("query_block", F.pmod(F.xxhash64("vec_id"), F.lit(split)).cast("int"))
+        query_blocks = dealt.groupBy("query_block").applyInArrow(pack, "query_block int, query_ids binary, vectors binary, limits binary")
+        # each block of queries with each block of codes: the stated queries against all rows
+        left = query_blocks.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+        pairs = left.join(blocks, "shard").select("query_ids", "vectors", "limits", "n", "ids", "bits", "lengths", "products")
+        return pairs.mapInArrow(run, "query_id long, vec_id long, near double")
+
+    def best(middle: np.ndarray, error: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The k best estimates of each row."""
+        last = np.partition(middle, k - 1, axis=1)[:, k - 1] if middle.shape[1] > k else middle.max(axis=1)
+        return np.nonzero((middle <= last[:, None]) & np.isfinite(middle))
+
+    def within(middle: np.ndarray, error: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those that may be as near as the limit."""
+        return np.nonzero((middle - error <= limits[:, None]) & np.isfinite(middle))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for q, v, n, ids, bits, lengths, products in zip(*(c.to_pylist() for c in batch.columns)):
-                q, ids = np.frombuffer(q, np.int64), np.frombuffer(ids, np.int64)
-                v = np.frombuffer(v, float).reshape(-1, d)
-                low, high = bounds(v, centre, turn, np.frombuffer(bits, np.uint8).reshape(n, -1), np.frombuffer(lengths, float), np.frombuffer(products, float), errors)
-                own = q[:, None] == ids[None, :]
-                low[own] = high[own] = np.inf
-                r, c = _best(low, high, k)
-                r, c = r[np.isfinite(low[r, c])], c[np.isfinite(low[r, c])]
-                yield pa.RecordBatch.from_arrays([pa.array(q[r]), pa.array(ids[c]), pa.array(low[r, c].astype(float)), pa.array(high[r, c].astype(float))], ["query_id", "vec_id", "low", "high"])
-
-    found = saved(pairs.mapInArrow(run, "query_id long, vec_id long, low double, high double"), "candidates")
     by = Window.partitionBy("query_id")
-    kth = found.withColumn("n", F.row_number().over(by.orderBy("high", "vec_id"))).where(F.col("n") <= k).groupBy("query_id").agg(F.max("high").alias("limit"))
-    close = found.join(kth, "query_id").where("low <= limit").select("query_id", "vec_id")
-    exact = close.join(base, "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
     squares = F.aggregate(F.zip_with("v", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    ranked = exact.select("query_id", "vec_id", F.sqrt(squares).alias("score")).withColumn("rank", F.row_number().over(by.orderBy("score", "vec_id")))
+
+    def exact(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(base, "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
+        return both.select("query_id", "vec_id", F.sqrt(squares).alias("score"))
+
+    first = scan(asked.withColumn("limit", F.lit(0.0)), best)
+    first = first.withColumn("n", F.row_number().over(by.orderBy("near", "vec_id"))).where(F.col("n") <= k)
+    # the k-th distance of those bounds the k-th of all; fewer than k are all there are
+    kth = exact(first.select("query_id", "vec_id")).groupBy("query_id").agg(F.when(F.count("*") >= k, F.max("score")).alias("s"))
+    limits = saved(kth.select("query_id", F.coalesce(F.col("s") * F.col("s") * (1 + 1e-9), F.lit(float("inf"))).alias("limit")), "limits")
+    found = scan(asked.join(limits, F.col("vec_id") == F.col("query_id")).select("vec_id", "v", "limit"), within)
+    ranked = exact(found.select("query_id", "vec_id")).withColumn("rank", F.row_number().over(by.orderBy("score", "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
