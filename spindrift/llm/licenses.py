@@ -5,6 +5,9 @@ file is also compared as a whole. Weights are term counts times inverse document
 templates; a term of no template weighs as the rarest and counts in a line's length only. A line is
 compared once however often it occurs. What a line holds of a template bounds their cosine: lines that hold
 too little of every template are left out before they are cut to terms.
+Standard headers, titles and whole licence texts are compared with windows of as many terms that start at a
+line or sentence, and with licence files as wholes; their term counts are damped by logarithms. SPDX tags are
+read as such. Both say more than the short forms and outrank them.
 A file without a licence of its own has that of the licence files in the
 nearest directory above it.
 """
@@ -19,8 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm._shared import saved
+from spindrift.llm.licence_forms import long_forms
 
 LEAST = 0.75
+#: Windows for a template start in steps of this part of its terms, or at every line and sentence where those are longer.
+STEPS = 32
 
 # SPDX identifiers, and short forms in which texts state those licences.
 TEMPLATES = [
@@ -40,24 +46,40 @@ TEMPLATES = [
     ("MPL-2.0", "Subject to the terms of the Mozilla Public License, version 2.0."),
     ("Proprietary", "All rights reserved."),
 ]
+#: An SPDX tag's expression, and the ends of identifiers that leave the licence as it is.
+SPDX = r"spdx-license-identifier:[ \t]*(\(*[a-z0-9.+-]+\)*(?:[ \t]+(?:and|or|with)[ \t]+\(*[a-z0-9.+-]+\)*)*)"
+SPDX_END = r"(-only|-or-later|\+)$"
+#: A copyright notice before the words that reserve all rights; its year and holder are fields.
+NOTICE = r"copyright\b(?:(?!licen[cs]e).){0,120}?\ball rights reserved"
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)([-._].*)?$"
 
 
 class Weights:
     """Inverse frequencies of the templates' terms, and the templates' unit vectors."""
 
-    def __init__(self, templates: list[tuple[str, str]]) -> None:
+    def __init__(self, templates: list[tuple[str, str]], damped: bool = False) -> None:
         self.names = [name for name, _ in templates]
         counts = [Counter(re.findall(r"[a-z0-9]+", text.lower())) for _, text in templates]
+        self.sizes = [sum(c.values()) for c in counts]
         held = Counter(t for c in counts for t in c)
         self.unseen = math.log(1 + len(templates)) + 1
         self.idf = {t: math.log((1 + len(templates)) / (1 + n)) + 1 for t, n in sorted(held.items())}
         self.vectors = []
         for c in counts:
-            v = {t: n * self.idf[t] for t, n in c.items()}
+            v = {t: (1 + math.log(n) if damped else n) * self.idf[t] for t, n in c.items()}
             length = math.sqrt(sum(x * x for x in v.values()))
             self.vectors.append({t: x / length for t, x in v.items()})
 
+    def fewest(self, least: float) -> list[int]:
+        """For each template, the fewest of its terms with which a text can have the least cosine."""
+        out = []
+        for v in self.vectors:
+            squares, n, held = sorted((x * x for x in v.values()), reverse=True), 0, 0.0
+            while n < len(squares) and held < least * least - 1e-9:
+                held, n = held + squares[n], n + 1
+            out.append(n)
+        return out
+
 
 def _may_reach(line: Column, weights: Weights, least: float) -> Column:
     """Whether the terms of some template that a lower-case line holds, as parts of words at least, can make the least cosine."""
@@ -82,7 +104,7 @@ def own_licences(files: DataFrame, weights: Weights, least: float) -> DataFrame:
     whole = F.when(named, F.array(F.regexp_replace(text, "\n", " "))).otherwise(F.array().cast("array<string>"))
     units = files.select("key", F.explode(F.concat(F.split(text, "\n", -1), whole)).alias("unit"))
     units = saved(units.where(_may_reach(F.col("unit"), weights, least)), "units")
-    units = units.withColumn("id", F.md5("unit"))
+    units = units.withColumn("unit", F.regexp_replace("unit", NOTICE, "all rights reserved")).withColumn("id", F.md5("unit"))
     spark = files.sparkSession
     entries = {t: [(k, v[t]) for k, v in enumerate(weights.vectors) if t in v] for t in weights.idf}
     table = F.broadcast(spark.createDataFrame([(t, weights.idf[t], entries[t]) for t in weights.idf], "term string, idf double, entries array<struct<template:int,weight:double>>"))  # the templates' terms
@@ -105,11 +127,62 @@ def own_licences(files: DataFrame, weights: Weights, least: float) -> DataFrame:
     return units.select("key", "id").join(best, "id").groupBy("key").agg(F.max("best").alias("best")).select("key", "best.similarity", (-F.col("best.last")).alias("template"))
 
 
+def long_licences(files: DataFrame, weights: Weights, least: float) -> DataFrame:
+    """key, similarity double, template int: the best long form of each file that reaches the least cosine.
+
+    A text that holds fewer terms of a template than any with that cosine is left out, as is such a window.
+    """
+    fewest, terms = weights.fewest(least), [sorted(v) for v in weights.vectors]
+    known = ", ".join(f"'{t}'" for t in sorted(weights.idf))
+    held = F.expr(f"array_distinct(filter(split(lower(text), '[^a-z0-9]+'), x -> x in ({known})))")
+    named = F.coalesce(F.regexp_extract("path", r"([^/]*)$", 1).rlike(LICENCE_FILE), F.lit(False))
+    may = [F.when((F.size("held") >= n) & (F.size(F.array_intersect(F.lit(t), F.col("held"))) >= n), F.lit(k)) for k, (n, t) in enumerate(zip(fewest, terms))]
+    # an array of one value, exploded, is evaluated once
+    texts = files.select("key", "text", named.alias("named"), held.alias("held")).select("key", "text", "named", F.explode(F.array(F.array_compact(F.array(*may)))).alias("templates"))
+    texts = saved(texts.where(F.size("templates") > 0), "texts")
+    # the first term of each line and sentence is marked
+    marked = F.regexp_replace(F.translate(F.lower("text"), "\x01", " "), r"(^|\n|[.!?;:]\s)[^a-z0-9]*", " \x01")
+    cut = F.filter(F.split(marked, "[^a-z0-9\x01]+"), lambda x: ~x.isin("", "\x01"))
+    cut = texts.select("key", "named", "templates", F.explode(F.array(cut)).alias("marked"))
+    starts = F.filter(F.transform("marked", lambda x, i: F.when(x.startswith("\x01"), i)), lambda i: i.isNotNull())
+    cut = saved(cut.select("key", "named", "templates", F.transform("marked", lambda x: F.translate(x, "\x01", "")).alias("terms"), starts.alias("starts")), "terms")
+    of = lambda values: F.element_at(F.lit(values), F.col("template") + 1)
+    cut = cut.select("key", "named", "terms", "starts", F.explode("templates").alias("template")).withColumn("n", of(weights.sizes))
+    step = F.greatest(F.floor(F.col("n") / STEPS), F.lit(1))
+    some = F.filter("starts", lambda p, i: F.when(i == 0, True).otherwise(F.floor(p / step) != F.floor(F.get("starts", i - 1) / step)))
+    whole = F.when(F.col("named") & (F.size("terms") > 0), F.array(F.struct(F.lit(1).alias("a"), F.size("terms").alias("n")))).otherwise(F.array().cast("array<struct<a:int,n:int>>"))
+    spans = F.concat(F.transform(some, lambda p: F.struct((p + 1).alias("a"), F.col("n").alias("n"))), whole)
+    windows = cut.select("key", "template", "terms", F.explode(F.array(spans)).alias("spans")).select("key", "template", "terms", F.explode("spans").alias("s"))
+    windows = windows.select("key", "template", F.slice("terms", F.col("s.a"), F.col("s.n")).alias("window"))
+    windows = windows.where(F.size(F.array_intersect("window", of(terms))) >= of(fewest)).withColumn("id", F.md5(F.array_join("window", " ")))
+    windows = saved(windows, "windows")
+    spark = files.sparkSession
+    table = F.broadcast(spark.createDataFrame([(t, x, [v.get(t, 0.0) for v in weights.vectors]) for t, x in weights.idf.items()], "term string, idf double, weights array<double>"))
+    once = windows.groupBy("template", "id").agg(F.first("window").alias("window")).select("template", "id", F.explode("window").alias("term"))
+    counts = once.groupBy("template", "id", "term").agg((1 + F.log(F.count("*"))).alias("n")).join(table, "term", "left")
+    x = F.col("n") * F.coalesce("idf", F.lit(weights.unseen))
+    weighed = counts.select("template", "id", x.alias("x"), F.coalesce(F.element_at("weights", F.col("template") + 1), F.lit(0.0)).alias("weight"))
+    cosine = F.round(F.sum(F.col("x") * F.col("weight")) / F.sqrt(F.sum(F.col("x") * F.col("x"))), 9)
+    scored = weighed.groupBy("template", "id").agg(cosine.alias("similarity")).where(F.col("similarity") >= least)
+    best = windows.select("key", "template", "id").join(scored, ["template", "id"]).groupBy("key").agg(F.max(F.struct("similarity", (-F.col("template")).alias("last"))).alias("best"))
+    return best.select("key", "best.similarity", (-F.col("best.last")).alias("template"))
+
+
+def tagged(files: DataFrame, names: list[str]) -> DataFrame:
+    """key, similarity double, template int: the first of a file's SPDX identifiers that is among names; its similarity is 1."""
+    tags = F.regexp_extract_all(F.lower("text"), F.lit(SPDX), 1)
+    ids = F.transform(F.flatten(F.transform(tags, lambda x: F.split(x, r"[ \t()]+"))), lambda x: F.regexp_replace(x, SPDX_END, ""))
+    places = F.filter(F.transform(ids, lambda x: F.array_position(F.lit([n.lower() for n in names]), x)), lambda i: i > 0)
+    found = files.where(F.lower("text").contains("spdx-license-identifier")).select("key", (F.get(places, 0) - 1).cast("int").alias("template"))
+    return found.where("template is not null").select("key", F.lit(1.0).alias("similarity"), "template")
+
+
 def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, least: float = LEAST) -> DataFrame:
     """files without text, and license string, similarity double, origin string, from_dir string.
 
     files has path and text. license is the template with the largest cosine of at least `least` among the
     file's lines (for a licence file also its whole text), the first in the list at a tie: origin is `own`.
+    With the templates of this module, an SPDX tag outranks all else, and a long form that reaches `least` all lines.
     Else it is that of the directory nearest above, the file's own one included, whose licence files have
     one (the most similar, then the first in the list): origin is `inherited`, from_dir that directory. Else
     license, similarity and from_dir are null and origin is `none`. Directories end at `/`; a bare name is in
@@ -117,14 +190,23 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, least
     repeatedly; other columns stay, but those named as the new ones, which are replaced. No rows give no rows.
     """
     weights = Weights(templates or TEMPLATES)
+    names = weights.names
     new = ("license", "similarity", "origin", "from_dir")
     kept = [c for c in files.columns if c not in (*new, "text")]
     keyed = files.select(*kept, F.col("text").cast("string").alias("text"), F.xxhash64("path", "text").alias("key"))
-    own = own_licences(keyed.where("text is not null").select("path", "text", "key"), weights, least)
+    texts = keyed.where("text is not null").select("path", "text", "key")
+    own = own_licences(texts, weights, least).withColumn("rank", F.lit(1))
+    if not templates:
+        long = Weights(long_forms(), damped=True)
+        found = long_licences(texts, long, least).withColumn("template", F.col("template") + len(names)).withColumn("rank", F.lit(2))
+        own = own.unionByName(found).unionByName(tagged(texts, names).withColumn("rank", F.lit(3)))
+        own = own.groupBy("key").agg(F.max(F.struct("rank", "similarity", (-F.col("template")).alias("last"))).alias("best"))
+        own = own.select("key", "best.rank", "best.similarity", (-F.col("best.last")).alias("template"))
+        names = names + long.names
     slim = keyed.select(*(F.col(c).alias(c) for c in kept), F.col("key").alias("__key"))
-    with_own = slim.join(own.select(F.col("key").alias("__key"), F.col("similarity").alias("__own"), F.col("template").alias("__template")), "__key", "left")
+    with_own = slim.join(own.select(F.col("key").alias("__key"), F.col("similarity").alias("__own"), F.col("template").alias("__template"), F.col("rank").alias("__rank")), "__key", "left")
     named = F.regexp_extract("path", r"([^/]*)$", 1).rlike(LICENCE_FILE)
-    folders = with_own.where(named & F.col("__template").isNotNull()).groupBy(_folder(F.col("path")).alias("__dir")).agg(F.max(F.struct(F.col("__own").alias("s"), (-F.col("__template")).alias("t"))).alias("__best"))
+    folders = with_own.where(named & F.col("__template").isNotNull()).groupBy(_folder(F.col("path")).alias("__dir")).agg(F.max(F.struct(F.col("__rank").alias("r"), F.col("__own").alias("s"), (-F.col("__template")).alias("t"))).alias("__best"))
     # every path with each directory above it
     parts = F.split(_folder(F.col("path")), "/")
     above = F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/")))
@@ -132,7 +214,7 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, least
     chains = paths.select("path", F.explode(F.array_distinct(above)).alias("__dir"))
     nearest = chains.join(folders, "__dir").groupBy("path").agg(F.max(F.struct(F.length("__dir").alias("n"), "__dir", "__best")).alias("__from"))
     out = with_own.join(nearest, "path", "left")
-    names = F.lit(weights.names)
+    names = F.lit(names)
     own_name = F.when(F.col("__template").isNotNull(), F.element_at(names, F.col("__template") + 1))
     from_name = F.when(F.col("__from").isNotNull(), F.element_at(names, 1 - F.col("__from.__best.t")))
     inherits = F.col("__template").isNull()

@@ -386,6 +386,22 @@ def test_licence_prefilter_loses_nothing(spark):
             assert got[f"f{i}"] == pytest.approx(best)
 
 
+def test_whole_texts_headers_and_tags(spark):
+    forms = licenses.long_forms()
+    assert {n for n, _ in forms} | {"Proprietary"} == {n for n, _ in licenses.TEMPLATES} and len(forms) > 20
+    prose = "Some words before it, on a line.\n\nAnd more of them. "
+    rows = [(f"{n}/{i}.txt", n, prose + "\n" + t + "\nint main() { return 0; }\n") for i, (n, t) in enumerate(forms)]
+    rows += [(f"{n}/{i}.c", n, prose + "\n/*\n" + "\n".join(" * " + x for x in re.findall(r".{1,58}(?:\s|$)", t.replace("\n", " "))) + "\n */ code();") for i, (n, t) in enumerate(forms)]
+    mit = next(t for n, t in reversed(forms) if n == "MIT")
+    rows += [
+        ("m/LICENSE", "MIT", "MIT License\n\nCopyright (c) 2020 Jane Doe\nAll rights reserved.\n\n" + mit), ("m/x/y.c", "MIT", "none of its own"), ("t/1", "MIT", "// SPDX-License-Identifier: MIT"),
+        ("t/2", "Apache-2.0", "x\n# SPDX-License-Identifier: (Zlib OR Apache-2.0)\nAll rights reserved."), ("t/3", "GPL-2.0", "SPDX-License-Identifier: GPL-2.0-or-later"), ("t/4", None, "SPDX-License-Identifier: Zlib see MIT"),
+        ("t/5", "Proprietary", "Copyright (c) 2020 Jane Doe. All rights reserved."), ("t/6", "GPL-3.0", "GNU GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007"), ("t/7", None, prose),
+    ]
+    got = {r.path: r.license for r in licenses.scan(spark.createDataFrame([(p, t) for p, _, t in rows], "path string, text string")).collect()}
+    assert got == {p: n for p, n, _ in rows}
+
+
 # --- quality
 
 
