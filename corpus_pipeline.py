@@ -45,10 +45,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and its tokens' number and digests, encoded and decoded again."""
+    """doc_id and its tokens' number and digests, encoded and decoded again; slot and in_block, its place in the mixture.
+
+    A table that is read again may come in any order; the places follow from its rows, as in the stage before.
+    """
     import public_tokenizers
 
-    return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return byte_bpe.round_trip(mixing.mix(docs), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ("slot", "in_block"))
 
 
 STAGES = [

@@ -94,7 +94,7 @@ def codec(model: bytes, pattern: str) -> Codec:
     return Codec(model, pattern)
 
 
-def _mapped(docs: DataFrame, vocabulary: str, pattern: str, schema: str, row: Callable[[Codec, str], tuple], names: dict[str, pa.DataType]) -> DataFrame:
+def _mapped(docs: DataFrame, vocabulary: str, pattern: str, schema: str, row: Callable[[Codec, str], tuple], names: dict[str, pa.DataType], keep: tuple[str, ...] = ()) -> DataFrame:
     model = serialise(read_ranks(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,9 +102,10 @@ def _mapped(docs: DataFrame, vocabulary: str, pattern: str, schema: str, row: Ca
         for batch in batches:
             rows = [row(c, x.as_py() or "") for x in batch.column(1)]
             columns = list(zip(*rows)) if rows else [()] * len(names)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, t) for v, t in zip(columns, names.values()))], ["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, t) for v, t in zip(columns, names.values())), *batch.columns[2:]], ["doc_id", *names, *keep])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, f"doc_id long, {schema}")
+    kept = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *keep).mapInArrow(run, f"doc_id long, {schema}{kept}")
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
@@ -134,8 +135,8 @@ def decode(encoded: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     return encoded.select(encoded["doc_id"].cast("long").alias("doc_id"), encoded["ids"].cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, data binary")
 
 
-def round_trip(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens long, ids_sha256, decoded_sha256: every whole text encoded, and its ids decoded.
+def round_trip(docs: DataFrame, vocabulary: str, pattern: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens long, ids_sha256, decoded_sha256: every whole text encoded, and its ids decoded; then the columns in keep.
 
     ids_sha256 is of the decimal ids joined by one space, decoded_sha256 of the decoded bytes. Nulls,
     empty texts, repeats and other columns are taken as encode() takes them.
@@ -145,4 +146,4 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
         ids = c.encode(text)
         return ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()
 
-    return _mapped(docs, vocabulary, pattern, "n_tokens long, ids_sha256 string, decoded_sha256 string", row, {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()})
+    return _mapped(docs, vocabulary, pattern, "n_tokens long, ids_sha256 string, decoded_sha256 string", row, {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}, keep)

@@ -117,6 +117,9 @@ def mix(docs: DataFrame, weights: Mapping[str, int] | None = None, block: int =
 
 
 def mixed(docs: DataFrame, weights: Mapping[str, int] | None = None, block: int = BLOCK) -> DataFrame:
-    """The rows of docs in the order of the mixture, with its own columns; a writer keeps that order by file and row."""
+    """The rows of docs in the order of the mixture, with its own columns.
+
+    A writer keeps that order by file and row, but a reader that splits files does not: mix() of the same rows gives their places again.
+    """
     out = mix(docs.drop("block_no", "slot", "in_block"), weights, block)
     return out.orderBy("slot", "in_block").drop("block_no", "slot", "in_block")

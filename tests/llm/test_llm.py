@@ -443,3 +443,16 @@ def test_pipeline_stages(spark, tmp_path):
             assert after == before
     out = {r.doc_id: r.decoded_sha256 for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert out == {r.doc_id: hashlib.sha256(r.text.encode()).hexdigest() for r in kept.collect()}
+
+
+def test_pipeline_result_has_the_mixture(spark, tmp_path, monkeypatch):
+    rows = [(i, f"text {i} " * (1 + 40 * (i % 5)), "en", f"s{min(i % 7, 2)}", 0) for i in range(400)]
+    docs = spark.createDataFrame(rows, DOC)
+    docs.repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[-2:])
+    monkeypatch.setattr(corpus_pipeline, "saved", lambda df, name: (df.write.option("maxRecordsPerFile", 60).parquet(str(tmp_path / name)), spark.read.parquet(str(tmp_path / name)))[1])
+    got = corpus_pipeline.run(spark, str(tmp_path)).orderBy("slot", "in_block").collect()
+    assert len(list((tmp_path / "mixing").glob("*.parquet"))) > 1
+    assert [(r.doc_id, r.slot, r.in_block) for r in got] == [(r.doc_id, r.slot, r.in_block) for r in mixing.mix(docs).orderBy("slot", "in_block").collect()]
+    assert [r.doc_id for r in got] == [r.doc_id for r in mixing.mixed(docs).collect()]
+    assert {r.doc_id: r.decoded_sha256 for r in got} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t, *_ in rows}
