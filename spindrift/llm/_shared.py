@@ -3,64 +3,84 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import os
+import tempfile
 import uuid
+from collections.abc import Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_made: list[tuple[SparkSession, str]] = []
+_made: dict[str, SparkSession] = {}
+_OWN = os.path.join(tempfile.gettempdir(), f"spindrift-{uuid.uuid4().hex}")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the session names it; where it is unset, a folder of this session's own warehouse."""
+    """spark.checkpoint.dir as the session names it. Where it is unset, a folder of this process if Spark is one process, else ValueError."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    return found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return _OWN
 
 
 def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
+    """Removes a table; a session that has ended, or a folder that is gone, is no error."""
+    with contextlib.suppress(Exception):
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # noqa: BLE001  the session may have ended already
-        pass
 
 
 @atexit.register
-def _clean() -> None:
-    for spark, path in _made:
-        _drop(spark, path)
+def release() -> None:
+    """Removes all saved tables; results that still read them can't be used any more."""
+    for path in list(_made):
+        _drop(_made.pop(path), path)
 
 
-#: Rows in an Arrow batch, so that batches of whole texts stay small beside an executor's memory.
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+@contextlib.contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """On leaving, removes the tables that were saved inside, but for those of the DataFrames in the list."""
+    before, kept = set(_made), []
+    yield kept
+    stay = before | {df._saved_at for df in kept}
+    for path in [p for p in _made if p not in stay]:
+        _drop(_made.pop(path), path)
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Lowers the session's Arrow batches to `rows` rows, where it leaves them at Spark's own size."""
-    if int(spark.conf.get(_BATCH, "10000")) == 10_000:
-        spark.conf.set(_BATCH, str(rows))
+#: Spark's own switch for removing an execution's shuffle files when it has ended, and its limits on Arrow batches.
+_CLEANUP, _ROWS, _BYTES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-#: Spark's own switch for removing an execution's shuffle files when it has ended.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+@contextlib.contextmanager
+def _settings(spark: SparkSession, values: Mapping[str, str]) -> Iterator[None]:
+    """The session with other settings for a while; what it had comes back."""
+    was = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, rows: int = 2000) -> DataFrame:
     """df as a Parquet table in the shared folder, so that no later loss of an executor repeats its work.
 
-    The shuffle files that made it are of no use then and are removed.
+    The shuffle files that made it are of no use then and are removed. Python functions in df get Arrow batches
+    of at most `rows` rows and 16 MB. The session's settings are as before afterwards.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    was = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    _made[path] = spark
+    with _settings(spark, {_CLEANUP: "true", _ROWS: str(rows), _BYTES: str(16 << 20)}):
         df.write.parquet(path)
-    finally:
-        spark.conf.unset(_CLEANUP) if was is None else spark.conf.set(_CLEANUP, was)
-    _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -70,15 +90,17 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     so the number of rounds follows the logarithm of a component's width. Null ends and loops are ignored;
     no links give no rows. All state is in tables; the driver sees one count a round.
     """
-    links = saved(links.where("a is not null and b is not null and a <> b").select("a", "b").distinct(), "links")
-    both = links.union(links.select(F.col("b"), F.col("a")))
-    labels = saved(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
-    for _ in range(rounds):
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("m"))
-        hooked = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("was"), F.least("label", "m").alias("label"))
-        up = hooked.select(F.col("node").alias("label"), F.col("label").alias("top"))
-        step = saved(hooked.join(up, "label", "left").select("node", "was", F.coalesce("top", "label").alias("label")), "labels")
-        labels = step.select("node", "label")
-        if not step.where("label <> was").limit(1).count():
-            return labels
+    with scratch() as kept:
+        links = saved(links.where("a is not null and b is not null and a <> b").select("a", "b").distinct(), "links")
+        both = links.union(links.select(F.col("b"), F.col("a")))
+        labels = saved(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
+        for _ in range(rounds):
+            near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("m"))
+            hooked = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("was"), F.least("label", "m").alias("label"))
+            up = hooked.select(F.col("node").alias("label"), F.col("label").alias("top"))
+            step = saved(hooked.join(up, "label", "left").select("node", "was", F.coalesce("top", "label").alias("label")), "labels")
+            labels = step.select("node", "label")
+            if not step.where("label <> was").limit(1).count():
+                kept.append(step)
+                return labels
     raise RuntimeError(f"components did not settle in {rounds} rounds")

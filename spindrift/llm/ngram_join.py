@@ -1,43 +1,45 @@
 """N-gram Jaccard join by count-vector R-trees.
 
 A document is its set of distinct word shingles, as 64-bit hashes. Two documents link when
-den * |A & B| >= num * |A | B|. All linked pairs are found, up to links inside a component that is
-already known to be one.
+den * |A & B| >= num * |A | B|. No link is lost and no pair that doesn't link makes one.
 
 1. Texts with the same set are one node, named by a hash of the set, so copies are never compared.
-2. Dealing out. Sizes fall in bands, growing by a factor below num / den. If the larger of two linked
-   sets lies in a band, they differ in at most d shingles (d follows from the band's upper edge). With
-   shingles dealt to d + 1 classes by hash, one class must hold the same shingles in both. A node's
-   keys are its classes' contents, in its own band and, where a partner can be there, the next one.
-   Empty classes count only for a node with at most d filled ones. Every linked pair shares a key.
-3. In each group of nodes that share a key, an R-tree over count vectors (how many shingles hash to
-   each dimension; larger sets have more dimensions) finds pairs: the sum over dimensions of the smaller count bounds an overlap,
-   that of the smaller upper edge bounds the overlaps between two boxes. Of the pairs that the bound
-   leaves, a spanning forest is verified on the whole sets.
-   Pairs whose ends are connected by then need no verifying. Whole sets are fetched for nodes in pairs only.
-4. Where pairs of a group fail, the group comes again without them and with the components known by
-   then, each time with more pairs at once, until every pair has been pruned, verified or is inside
-   one component.
-
-Groups above BLOCK nodes are split in blocks, and pairs of blocks go to different tasks.
+2. Dealing out. A tree over all sets would be one machine's work, so exact keys first bring together what can
+   link. Sizes fall in bands, growing by a factor below num / den. If the larger of two linked sets lies in a
+   band, they differ in at most d shingles (d follows from the band's upper edge). With shingles dealt
+   to d + 1 + s classes by hash, at least s + 1 classes hold the same shingles in both. A node's keys are its
+   classes' contents, in its own band and, where a partner can be there, the next one. Of these it leaves
+   out the s that most nodes have, empty classes before all others: in any order that is the same for all nodes, two
+   that share s + 1 keys still share one. Passages of many documents make such keys, so they gather no groups.
+3. Candidates. In each group of nodes that share a key, an R-tree over count vectors (how many shingles hash
+   to each dimension) finds the pairs that can link: the sum over dimensions of the smaller count bounds
+   an overlap, that of the smaller upper edge bounds the overlaps between two boxes. Each task reports a
+   spanning forest of its pairs, so rows stay in proportion to members. Components of these are clusters.
+4. Links. Every cluster gets each member's whole set once. A finer R-tree in the cluster finds pairs again,
+   and the sets themselves decide, until every pair has been pruned, verified or is inside one component.
+
+Groups and clusters beyond a block are dealt to blocks twice, in two random ways; where that leaves more than one
+component, all pairs of blocks that hold different ones are searched too.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spindrift.llm._shared import components, saved, small_batches
+from spindrift.llm._shared import components, saved, scratch
 from spindrift.llm._words import U64, chunks, distinct, mix, shingle_hashes, word_hashes
 
-#: Shingles for each dimension of a count vector, members of a leaf, nodes of a block.
-PER_DIMENSION, LEAF, BLOCK = 4, 32, 20_000
+#: Shingles for each dimension of a group's count vectors, children of a box, nodes and shingles of a block.
+PER_DIMENSION, FAN, BLOCK, BLOCK_SHINGLES = 4, 16, 8192, 4 << 20
+#: Bytes of count vectors that are compared at once, and groups that need no tree.
+_AT_ONCE, _FLAT = 1 << 22, 24
 _GROWTH = 0.6
 
 
@@ -55,9 +57,9 @@ class Rule:
             edges.append(max(edges[-1] + 1, int(edges[-1] / _GROWTH)))
         self.edges = np.array(edges, np.int64)
 
-    def classes(self, band: np.ndarray) -> np.ndarray:
-        """The number of classes for pairs whose larger set lies in a band: most differences, and one."""
-        return 2 * (self.edges[band + 1] - 1) * (self.den - self.num) // (self.den + self.num) + 1
+    def differences(self, band: np.ndarray) -> np.ndarray:
+        """The most shingles by which linked sets can differ whose larger one lies in a band."""
+        return 2 * (self.edges[band + 1] - 1) * (self.den - self.num) // (self.den + self.num)
 
     def dimensions(self, band: np.ndarray) -> np.ndarray:
         """The dimensions of count vectors for pairs whose larger set lies in a band: a power of two."""
@@ -69,6 +71,11 @@ class Rule:
         return overlap * (self.num + self.den) >= self.num * sizes
 
 
+def spare(differences: np.ndarray) -> np.ndarray:
+    """Classes beyond differences + 1, and so the keys that a node may leave out: the more, the larger its set."""
+    return np.where(differences > 0, 1 + differences // 4, 0)
+
+
 def _sets(column: pa.Array, words: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Row ranges and their distinct shingles."""
     for i, j, data, at in chunks(column):
@@ -97,120 +104,112 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def profiles(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, n_shingles long, node long, counts binary: the size, name and count vector of every text's set."""
+    """doc_id, text_key long, n_shingles long, node long, counts binary: hash of every text; size, name and count vector of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, u, bounds in _sets(batch.column(1), rule.words):
+                doc_id, key = (batch.column(k).slice(i, j - i) for k in (0, 2))
                 counts = count_vectors(u, bounds, rule)
-                yield _batch(doc_id=batch.column(0).slice(i, j - i), n_shingles=pa.array(np.diff(bounds)), node=pa.array(_names(u, bounds)), counts=pa.array(counts, pa.binary()))
+                yield _batch(doc_id=doc_id, text_key=key, n_shingles=pa.array(np.diff(bounds)), node=pa.array(_names(u, bounds)), counts=pa.array(counts, pa.binary()))
+
+    return _texts(docs).withColumn("text_key", text_key()).mapInArrow(run, "doc_id long, text_key long, n_shingles long, node long, counts binary")
+
+
+def text_key() -> Column:
+    """A hash of the column text, to tell rows apart that share a doc_id."""
+    return F.xxhash64(F.col("text").cast("string"))
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n_shingles long, node long, counts binary")
 
+def _keys_of(u: np.ndarray, bounds: np.ndarray, names: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, their nodes, and how many more of its keys in the band a node may leave out.
 
-def _keys_of(u: np.ndarray, bounds: np.ndarray, names: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and their nodes."""
+    The last six bits of a key are its band. Empty classes are left out first, and come only where there are
+    more of them than a node may leave out.
+    """
     n = np.diff(bounds)
     own = np.searchsorted(rule.edges, n, "right") - 1
-    keys, nodes = [], []
+    keys, nodes, left = [], [], []
     for step in (0, 1):
         rows = np.flatnonzero((n > 0) & ((step == 0) | (n * rule.den >= rule.num * rule.edges[own + 1])))
+        band = own[rows] + step
+        most = rule.differences(band)
+        rows, band, most = rows[most > 0], band[most > 0], most[most > 0]  # else linked sets are equal
         if not len(rows):
             continue
-        band = own[rows] + step
-        m = rule.classes(band)
+        free = spare(most)
+        m = most + 1 + free
         first = np.concatenate([[0], np.cumsum(m)])
         of = np.repeat(np.arange(len(rows)), n[rows])
-        if len(rows) == len(n):
-            x = u
-        else:
-            take = np.zeros(len(n), bool)
-            take[rows] = True
-            x = u[np.repeat(take, n)]
+        take = np.zeros(len(n), bool)
+        take[rows] = True
+        x = u[np.repeat(take, n)]
         cell = first[of] + ((mix(x, 41) >> U64(32)) * m[of].astype(U64) >> U64(32)).astype(np.int64)
         total = np.zeros(first[-1], U64)
         np.add.at(total, cell, mix(x, 42))
         filled = np.zeros(first[-1], bool)
         filled[cell] = True
         row = np.repeat(np.arange(len(rows)), m)
-        kept = filled | (np.add.reduceat(filled.astype(np.int64), first[:-1]) < m)[row]
+        empty = np.add.reduceat((~filled).astype(np.int64), first[:-1])
+        kept = filled
+        if (empty > free).any():
+            rank = np.cumsum(~filled) - np.concatenate([[0], np.cumsum(empty)])[row]  # of empty classes in a row, from 1
+            kept = filled | (rank > free[row])
         number = np.arange(first[-1]) - first[row]
         key = mix(total ^ mix(number.astype(U64) + (band[row].astype(U64) << U64(40)), 43), 44)
+        key = (key & ~U64(63)) | band[row].astype(U64)
         keys.append(key[kept])
         nodes.append(names[rows][row[kept]])
+        left.append(np.maximum(free - empty, 0)[row[kept]])
     if not keys:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(keys).view(np.int64), np.concatenate(nodes)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+    return np.concatenate(keys).view(np.int64), np.concatenate(nodes), np.concatenate(left).astype(np.int32)
+
+
+def _fresh(names: np.ndarray, seen: set, most: int = 200_000) -> np.ndarray:
+    """Which names are new; `seen` is emptied beyond `most`, so a name may be new again."""
+    new = np.zeros(len(names), bool)
+    for i, x in enumerate(names.tolist()):
+        if x not in seen:
+            seen.add(x)
+            new[i] = True
+    if len(seen) > most:
+        seen.clear()
+    return new
 
 
-def shared_keys(docs: DataFrame, rule: Rule) -> DataFrame:
-    """gid long, node long: groups of two nodes or more that share a key, each group once or a few times."""
+def _keyed(docs: DataFrame, rule: Rule) -> DataFrame:
+    """key long, node long, spare int; each task leaves copies of a node out that it has seen lately."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for _, _, u, bounds in _sets(batch.column(0), rule.words):
-                names = _names(u, bounds)
-                new = np.zeros(len(names), bool)
-                for i, x in enumerate(names.tolist()):
-                    if x not in seen:
-                        seen.add(x)
-                        new[i] = True
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                n = np.diff(bounds)
-                u = u[np.repeat(new, n)]
-                bounds = np.concatenate([[0], np.cumsum(n[new])])
-                key, node = _keys_of(u, bounds, names[new], rule)
-                for a in range(0, len(key), 1 << 18):
-                    yield _batch(key=pa.array(key[a : a + (1 << 18)]), node=pa.array(node[a : a + (1 << 18)]))
-
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by (key, node); a group's members are named by the hash of the group."""
-        seen: set[int] = set()
-        key_left, node_left = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-        def close(key: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
-            if not len(key):
-                return
-            fresh = np.ones(len(key), bool)
-            fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-            key, node = key[fresh], node[fresh]
-            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            size = np.diff(np.concatenate([start, [len(key)]]))
-            many = size > 1
-            if not many.any():
-                return
-            take = np.repeat(many, size)
-            key, node, size = key[take], node[take], size[many]
-            bounds = np.concatenate([[0], np.cumsum(size)])
-            gid = mix(_sum_by(mix(node.view(U64), 51), bounds) ^ size.astype(U64), 52).view(np.int64)
-            new = np.zeros(len(gid), bool)
-            for i, g in enumerate(gid.tolist()):
-                if g not in seen:
-                    seen.add(g)
-                    new[i] = True
-            if len(seen) > 1_000_000:
-                seen.clear()
-            keep = np.repeat(new, size)
-            yield _batch(gid=pa.array(np.repeat(gid, size)[keep]), node=pa.array(node[keep]))
+                names, n = _names(u, bounds), np.diff(bounds)
+                new = _fresh(names, seen)
+                key, node, left = _keys_of(u[np.repeat(new, n)], np.concatenate([[0], np.cumsum(n[new])]), names[new], rule)
+                for a in range(0, len(key), 1 << 17):
+                    b = a + (1 << 17)
+                    yield _batch(key=pa.array(key[a:b]), node=pa.array(node[a:b]), spare=pa.array(left[a:b]))
 
-        for batch in batches:
-            key = np.concatenate([key_left, batch.column(0).to_numpy()])
-            node = np.concatenate([node_left, batch.column(1).to_numpy()])
-            if not len(key):
-                continue
-            cut = int(np.searchsorted(key, key[-1]))  # the last key may go on
-            yield from close(key[:cut], node[:cut])
-            key_left, node_left = key[cut:], node[cut:]
-            if len(key_left) > 1 << 16:  # copies of a node in a long run are of no use
-                fresh = np.concatenate([[True], node_left[1:] != node_left[:-1]])
-                key_left, node_left = key_left[fresh], node_left[fresh]
-        yield from close(key_left, node_left)
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(emit, "key long, node long, spare int")
 
-    shuffled = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(emit, "key long, node long")
-    return keyed.repartition(shuffled, "key").sortWithinPartitions("key", "node").mapInArrow(runs, "gid long, node long").distinct()
+
+def groups(docs: DataFrame, rule: Rule) -> DataFrame:
+    """gid long, node long: nodes that share a key, once for each set of nodes.
+
+    Keys are counted first, combined inside tasks. Only keys of two nodes or more are joined back, a join that
+    adaptive execution splits where a key is hot.
+    """
+    keyed = _keyed(docs, rule)
+    often = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("often"))
+    shared = saved(often.where("low <> high").select("key", "often"), "shared")
+    order = Window.partitionBy("node", F.col("key").bitwiseAND(63)).orderBy(F.desc("often"), "key")
+    own = keyed.join(shared, "key").dropDuplicates(["key", "node"]).withColumn("place", F.row_number().over(order))
+    own = saved(own.where("place > spare").select("key", "node"), "keys")
+    named = own.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x")).where("n > 1")
+    chosen = named.groupBy(F.xxhash64("x", "n").alias("gid")).agg(F.min("key").alias("key"))
+    return own.join(chosen, "key").select("gid", "node")
 
 
 def count_vectors(u: np.ndarray, bounds: np.ndarray, rule: Rule) -> list[bytes]:
@@ -222,324 +221,321 @@ def count_vectors(u: np.ndarray, bounds: np.ndarray, rule: Rule) -> list[bytes]:
     n = np.diff(bounds)
     d = rule.dimensions(np.searchsorted(rule.edges, np.maximum(n, 1), "right"))
     first = np.concatenate([[0], np.cumsum(d)])
-    of = np.repeat(np.arange(len(n)), n)
-    cell = first[of] + ((mix(u, 61) >> U64(32)) * d[of].astype(U64) >> U64(32)).astype(np.int64)
-    counts = np.bincount(cell, minlength=first[-1])
+    counts = np.bincount(_cells(u, np.repeat(np.arange(len(n)), n), d, first), minlength=first[-1])
     small = np.minimum(counts, 255).astype(np.uint8)
     for r in np.flatnonzero(np.maximum.reduceat(counts, first[:-1]) > 255) if len(n) else ():
         small[first[r] : first[r + 1]] = 255
     return [small[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
 
 
+def _cells(u: np.ndarray, of: np.ndarray, d: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return first[of] + ((mix(u, 61) >> U64(32)) * d[of].astype(U64) >> U64(32)).astype(np.int64)
+
+
 def folded(vectors: list[bytes]) -> np.ndarray:
     """Count vectors in a matrix, all with as few dimensions as the shortest has."""
     d = min(map(len, vectors))
     if d == max(map(len, vectors)):
-        return np.frombuffer(b"".join(vectors), np.uint8).reshape(-1, d).astype(np.int32)
+        return np.frombuffer(b"".join(vectors), np.uint8).reshape(-1, d)
     return np.array([np.frombuffer(v, np.uint8).reshape(d, -1).sum(axis=1, dtype=np.int32) for v in vectors])
 
 
-_ITEM = 6
+def _fine(sets: list[np.ndarray]) -> np.ndarray:
+    """Count vectors of whole sets, with about as many dimensions as the middle one has shingles."""
+    n = np.array([len(x) for x in sets])
+    d = 1 << int(np.ceil(np.log2(max(8, np.median(n)))))
+    of = np.repeat(np.arange(len(sets)), n)
+    where = _cells(np.concatenate(sets) & ~U64(0xFFFF), of, np.full(len(sets), d), np.arange(len(sets)) * d)
+    counts = np.bincount(where, minlength=len(sets) * d).reshape(-1, d)
+    return counts.astype(np.uint8 if counts.max() < 256 else np.int32)
 
 
-def _packed(u: np.ndarray) -> bytes:
-    """Ascending hashes, cut to their first 48 bits."""
-    return np.ascontiguousarray(u.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :_ITEM]).tobytes()
+def near_pairs(counts: np.ndarray, sizes: np.ndarray, rule: Rule, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (i, j) of all pairs that `wanted` lets through and whose count bound makes a link possible, a part at a time.
 
+    An R-tree, packed in order of size: a box has its members' largest count in each dimension and their least
+    and largest size. Pairs of boxes are followed down from the root. `wanted` is asked when a part's turn comes.
+    """
+    n = len(sizes)
+    if n <= _FLAT:
+        order = np.arange(n)
+        stack = [(0, *np.triu_indices(n, 1))]
+    else:
+        order = np.lexsort((counts[:, : counts.shape[1] // 2].sum(axis=1), sizes))
+        stack = []
+    levels = [(counts[order], sizes[order], sizes[order])]
+    while n > _FLAT and len(levels[-1][1]) > 1:
+        high, low, top = levels[-1]
+        cut = np.arange(0, len(low), FAN)
+        levels.append((np.maximum.reduceat(high, cut), np.minimum.reduceat(low, cut), np.maximum.reduceat(top, cut)))
+    stack = stack or [(len(levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    step = max(16, _AT_ONCE // (counts.shape[1] * counts.itemsize))
+    child = np.arange(FAN)
+    while stack:
+        level, i, j = stack.pop()
+        if len(i) > step:
+            stack.append((level, i[step:], j[step:]))
+            i, j = i[:step], j[:step]
+        if level == 0:
+            ask = (i != j) & wanted(order[i], order[j])
+            i, j = i[ask], j[ask]
+        high, low, top = levels[level]
+        overlap = np.minimum(np.minimum(high[i], high[j]).sum(axis=1, dtype=np.int64), np.minimum(top[i], top[j]))
+        good = rule.enough(overlap, low[i] + low[j])
+        i, j = i[good], j[good]
+        if not len(i):
+            continue
+        if level == 0:
+            yield order[i], order[j]
+            continue
+        x = np.repeat(i[:, None] * FAN + child, FAN, axis=1).ravel()
+        y = np.tile(j[:, None] * FAN + child, (1, FAN)).ravel()
+        there = (y < len(levels[level - 1][1])) & (x <= y)  # i <= j, so x is there if y is
+        stack.append((level - 1, x[there], y[there]))
 
-def _items(data: bytes) -> np.ndarray:
-    wide = np.zeros((len(data) // _ITEM, 8), np.uint8)
-    wide[:, :_ITEM] = np.frombuffer(data, np.uint8).reshape(-1, _ITEM)
-    return wide.view(">u8").ravel()
 
+def forest(counts: np.ndarray, sizes: np.ndarray, labels: np.ndarray, side: np.ndarray | None, rule: Rule, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """Pairs of positions that connect what all pairs would: those that the count bound leaves, or with sets those that link.
 
-class Sieve:
-    """A Bloom filter of 64-bit values, built by partitions of its bits; the driver sees the bits, MOST bytes at most."""
+    labels are components known before; with side, only pairs across its two values come.
+    """
+    root = np.unique(labels, return_inverse=True)[1]
+    out: list[tuple[int, int]] = []
 
-    MOST, HASHES, PARTS = 8 << 20, 4, 8
+    def wanted(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        apart = root[i] != root[j]
+        return apart if side is None else apart & (side[i] != side[j])
+
+    for i, j in near_pairs(counts, sizes, rule, wanted):
+        at = np.argsort(i, kind="stable")
+        i, j = i[at], j[at]
+        cut = [0, *(np.flatnonzero(i[1:] != i[:-1]) + 1).tolist(), len(i)]
+        for s, e in zip(cut[:-1], cut[1:]):
+            a = int(i[s])
+            others = j[s:e][root[j[s:e]] != root[a]]
+            if sets is not None and len(others):
+                others = others[_linked(sets[a], [sets[b] for b in others], rule)]
+            if not len(others):
+                continue
+            gone, first = np.unique(root[others], return_index=True)
+            out += [(a, int(b)) for b in others[first]]
+            root[np.isin(root, gone) if len(gone) > 1 else root == gone[0]] = root[a]
+        if root[0] == root[-1] and (root == root[0]).all():
+            break
+    return out
 
-    def __init__(self, values: DataFrame, n: int) -> None:
-        """values has one column of longs, n of them."""
-        self.size = min(self.MOST * 8, max(1 << 10, 1 << (16 * n - 1).bit_length()))
-        size, parts, places = self.size, self.PARTS, self._places
 
-        def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits: dict[int, np.ndarray] = {}
-            for batch in batches:
-                for part, place in zip(*(c.to_pylist() for c in batch.columns)):
-                    bits.setdefault(part, np.zeros(size // parts, bool))[place] = True
-            if bits:
-                yield _batch(part=pa.array(list(bits), pa.int32()), bits=pa.array([np.packbits(b).tobytes() for b in bits.values()], pa.binary()))
+def _linked(one: np.ndarray, others: list[np.ndarray], rule: Rule) -> np.ndarray:
+    n = np.array([len(x) for x in others])
+    items = np.concatenate(others)
+    at = np.minimum(np.searchsorted(one, items), len(one) - 1)
+    overlap = np.add.reduceat((one[at] == items).astype(np.int64), np.concatenate([[0], np.cumsum(n)[:-1]]))
+    return rule.enough(overlap, n + len(one))
 
-        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at = places(batch.column(0).to_numpy(), size).ravel()
-                yield _batch(part=pa.array((at // (size // parts)).astype(np.int32)), place=pa.array(at % (size // parts)))
 
-        found = values.mapInArrow(spread, "part int, place long").repartition(parts, "part").mapInArrow(slices, "part int, bits binary").collect()
-        whole = np.zeros((parts, size // parts // 8), np.uint8)
-        for r in found:
-            whole[r["part"]] |= np.frombuffer(r["bits"], np.uint8)
-        self.bits = whole.ravel()
+_ITEM = 6
 
-    @staticmethod
-    def _places(values: np.ndarray, size: int) -> np.ndarray:
-        return np.stack([(mix(values.view(U64), 110 + k) & U64(size - 1)).astype(np.int64) for k in range(Sieve.HASHES)])
 
-    def holds(self, values: np.ndarray) -> np.ndarray:
-        at = self._places(values, self.size)
-        return (self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).all(axis=0)
+def _packed(u: np.ndarray) -> bytes:
+    """Ascending hashes, cut to their first 48 bits."""
+    return np.ascontiguousarray(u.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :_ITEM]).tobytes()
 
 
-def _row_names(doc_id: pa.Array, node: np.ndarray) -> np.ndarray:
-    return mix(mix(doc_id.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(U64), 121) ^ node.view(U64), 122).view(np.int64)
+def _items(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // _ITEM, 8), np.uint8)
+    wide[:, :_ITEM] = np.frombuffer(data, np.uint8).reshape(-1, _ITEM)
+    return wide.view(">u8").ravel().astype(U64)
 
 
-def whole_sets(docs: DataFrame, rule: Rule, first: DataFrame) -> DataFrame:
-    """node long, items binary: the whole sets of the nodes in first(node, doc_id), and maybe a few others or one twice.
+def _by_task(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Columns (node, label, size, side, data) of one task after another; rows come sorted by task."""
+    parts: list[tuple] = []
+    current = None
+    for batch in batches:
+        task, *rest = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1])
+        data = batch.columns[-1].to_pylist()
+        cut = [0, *(np.flatnonzero(task[1:] != task[:-1]) + 1).tolist(), len(task)] if len(task) else [0]
+        for s, e in zip(cut[:-1], cut[1:]):
+            if parts and task[s] != current:
+                yield _whole(parts)
+                parts = []
+            current = task[s]
+            parts.append((*(c[s:e] for c in rest), data[s:e]))
+    if parts:
+        yield _whole(parts)
 
-    A filter of the wanted rows keeps texts of other rows from moving; where they are too many for it, the
-    texts are joined to them.
-    """
-    n = first.count()
 
-    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield _batch(name=pa.array(_row_names(batch.column(0), batch.column(1).to_numpy())))
+def _whole(parts: list[tuple]) -> tuple:
+    if len(parts) == 1:
+        return parts[0]
+    *columns, data = zip(*parts)
+    return (*(np.concatenate(c) for c in columns), list(itertools.chain.from_iterable(data)))
+
 
-    sieve = Sieve(first.select("doc_id", "node").mapInArrow(names, "name long"), n) if 16 * n <= 8 * Sieve.MOST else None
-    texts = _texts(docs)
-    if sieve is None:
-        texts = texts.join(first.select("doc_id").distinct(), "doc_id")
+def _edges(rows: DataFrame, rule: Rule, exact: bool) -> DataFrame:
+    """a, b: forests of tasks from rows (task, node, label, size, side, data); side is -1 where all pairs count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j, u, bounds in _sets(batch.column(1), rule.words):
-                node = _names(u, bounds)
-                wanted = np.flatnonzero(sieve.holds(_row_names(batch.column(0).slice(i, j - i), node))) if sieve else np.arange(j - i)
-                items = [_packed(u[bounds[r] : bounds[r + 1]]) for r in wanted]
-                yield _batch(node=pa.array(node[wanted]), items=pa.array(items, pa.binary()))
+        seen: set[tuple[int, int]] = set()
+        a, b = [], []
+        for node, label, size, side, data in _by_task(batches):
+            if len(node) < 2 or (label == label[0]).all():
+                continue
+            sets = [_items(x) for x in data] if exact else None
+            counts = _fine(sets) if exact else folded(data)
+            for p, q in forest(counts, size, label, None if side[0] < 0 else side, rule, sets):
+                pair = (min(node[p], node[q]).item(), max(node[p], node[q]).item())
+                if pair not in seen:
+                    seen.add(pair)
+                    a.append(pair[0])
+                    b.append(pair[1])
+            if len(a) > 10_000:
+                yield _batch(a=pa.array(a, pa.int64()), b=pa.array(b, pa.int64()))
+                a, b = [], []
+            if len(seen) > 200_000:
+                seen.clear()
+        yield _batch(a=pa.array(a, pa.int64()), b=pa.array(b, pa.int64()))
 
-    return texts.mapInArrow(run, "node long, items binary")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select("task", "node", "label", "size", "side", "data").repartition(n, "task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
 
 
-class Forest:
-    """Union-find over positions."""
+def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return members.withColumn("label", F.col("node"))
+    return members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
-    def __init__(self, labels: np.ndarray) -> None:
-        _, first = np.unique(labels, return_inverse=True)
-        self.of = first
-        self.up = list(range(int(first.max()) + 1))
 
-    def root(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
+def _connected(members: DataFrame, payload: DataFrame, rule: Rule, exact: bool, block: int) -> DataFrame:
+    """node, label of the components that the pairs inside groups make, from members(gid, node, size) and payload(node, data)."""
+    totals = members.groupBy("gid").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
+    blocks = F.ceil(F.greatest(F.col("n") / block, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    large = saved(totals.select("gid", blocks.alias("blocks")).where("blocks > 1"), "large")
+    some = not large.isEmpty()
+    dealt = members.join(large, "gid", "left") if some else members.withColumn("blocks", F.lit(None).cast("int"))
+    own = lambda salt: F.when(F.col("blocks").isNull(), F.col("gid")).otherwise(F.xxhash64("gid", F.pmod(F.xxhash64("node", F.lit(salt)), "blocks")))
 
-    def roots(self, positions: np.ndarray) -> np.ndarray:
-        return np.array([self.root(x) for x in self.of[positions].tolist()])
+    def found(rows: DataFrame) -> DataFrame:
+        return saved(_edges(rows.join(payload, "node"), rule, exact), "edges")
 
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.root(int(self.of[a])), self.root(int(self.of[b]))
-        if a == b:
-            return False
-        self.up[max(a, b)] = min(a, b)
-        return True
+    edges = found(_labelled(dealt, None).withColumn("task", own(0)).withColumn("side", F.lit(-1)))
+    labels = components(edges)
+    if not some:
+        return labels
+    dealt = saved(dealt.where("blocks is not null"), "large")
+    edges = edges.union(found(_labelled(dealt, labels).withColumn("task", own(1)).withColumn("side", F.lit(-1))))
+    labels = components(edges)
+    rest = _block_pairs(_labelled(dealt, labels), block)
+    if rest.isEmpty():
+        return labels
+    return components(edges.union(found(rest)))
 
 
-def tree_pairs(counts: np.ndarray, sizes: np.ndarray, labels: np.ndarray, side: np.ndarray | None, failed: set[tuple[int, int]], times: int, rule: Rule) -> list[tuple[int, int]]:
-    """Pairs of positions that the count bound leaves: a spanning forest of them, and for times > 1 more.
+def _block_pairs(members: DataFrame, block: int) -> DataFrame:
+    """Rows of large groups with more than one label, for each pair of blocks that holds different ones.
 
-    Pairs with the same label or in failed don't come. With side, only pairs across its two values do. Beyond
-    the forest, a pair comes while one of its ends is in fewer than `times` pairs.
+    A label of many nodes has blocks of its own, which never meet each other; the others share blocks.
     """
-    n = len(sizes)
-    order = np.lexsort((counts[:, : counts.shape[1] // 2].sum(axis=1), sizes)) if n > LEAF else np.arange(n)
-    leaves = [order[i : i + LEAF] for i in range(0, n, LEAF)]
-    low_size = np.array([sizes[x].min() for x in leaves])
-    high = np.array([counts[x].max(axis=0) for x in leaves]) if n > LEAF else None
-    forest: Forest | None = None
-    used = [0] * n
-    out: list[tuple[int, int]] = []
-    for i, x in enumerate(leaves):
-        # boxes that can hold a partner: the sum of the smaller upper edges bounds every overlap
-        near = np.flatnonzero(rule.enough(np.minimum(high[i], high[i:]).sum(axis=1), low_size[i] + low_size[i:])) + i if high is not None else np.zeros(1, np.int64)
-        for j in near.tolist():
-            y = leaves[j]
-            own, other = (labels[z] if forest is None or times > 1 else forest.roots(z) for z in (x, y))
-            differ = own[:, None] != other[None, :]
-            if not differ.any():
-                continue
-            overlap = np.minimum(counts[x][:, None, :], counts[y][None, :, :]).sum(axis=2)
-            good = differ & rule.enough(overlap, sizes[x][:, None] + sizes[y][None, :])
-            if side is not None:
-                good &= side[x][:, None] != side[y][None, :]
-            if i == j:
-                good = np.triu(good, 1)
-            if not good.any():
-                continue
-            forest = forest or Forest(labels)
-            for p, q in zip(*(v.tolist() for v in np.nonzero(good))):
-                a, b = int(x[p]), int(y[q])
-                pair = (a, b) if a < b else (b, a)
-                if pair not in failed and (forest.join(a, b) or times > 1 and min(used[a], used[b]) < times):
-                    used[a], used[b] = used[a] + 1, used[b] + 1
-                    out.append(pair)
-    return out
+    split = members.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("gid")
+    members = members.join(split, "gid", "left_semi")
+    sizes = members.groupBy("gid", "label").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
+    parts = F.ceil(F.greatest(2 * F.col("n") / block, 2 * F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    sizes = sizes.withColumn("parts", parts)
+    pools = sizes.where("parts = 1").groupBy("gid").agg(F.sum("n").alias("n"), F.sum("shingles").alias("shingles")).select("gid", parts.alias("pools"))
+    sizes = sizes.select("gid", "label", "parts").join(pools, "gid", "left")
+    own = F.xxhash64("label", F.pmod(F.xxhash64("node"), "parts"))
+    pool = F.xxhash64(F.pmod(F.xxhash64("label"), "pools"))
+    alone = F.col("parts") > 1
+    placed = saved(members.join(sizes, ["gid", "label"]).select("gid", "node", "label", "size", F.when(alone, own).otherwise(pool).alias("block"), F.when(alone, F.col("label")).alias("owner")), "blocks")
+    kinds = placed.select("gid", "block", "owner").distinct()
+    left, right = (kinds.select("gid", F.col("block").alias(f"block_{x}"), F.col("owner").alias(f"owner_{x}")) for x in "lr")
+    pairs = left.join(right, "gid").where("block_l <= block_r and (owner_l is null or owner_r is null or owner_l <> owner_r)")
+    pairs = pairs.select("gid", "block_l", "block_r", F.xxhash64("gid", "block_l", "block_r").alias("task"))
+    same = F.col("block_l") == F.col("block_r")
+    one = pairs.select("gid", F.col("block_l").alias("block"), "task", F.when(same, -1).otherwise(0).alias("side"))
+    two = pairs.where(~same).select("gid", F.col("block_r").alias("block"), "task", F.lit(1).alias("side"))
+    return placed.join(one.union(two), ["gid", "block"]).select("task", "node", "label", "size", "side")
+
+
+def whole_sets(docs: DataFrame, rule: Rule, wanted: DataFrame) -> DataFrame:
+    """node long, data binary: the whole sets of wanted(node, doc_id), maybe twice where doc_ids repeat."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked = batch.column(1).to_numpy()
+            for i, j, u, bounds in _sets(batch.column(0), rule.words):
+                node = _names(u, bounds)
+                rows = np.flatnonzero(node == asked[i:j])
+                yield _batch(node=pa.array(node[rows]), data=pa.array([_packed(u[bounds[r] : bounds[r + 1]]) for r in rows], pa.binary()))
 
-def _candidates(groups: DataFrame, times: int, rule: Rule) -> DataFrame:
-    """gid, a, b from rows (gid, i, j, node, other, side, label, size, counts) by group; other marks a failed pair."""
-
-    def one(gid: int, node: np.ndarray, other: np.ndarray, side: np.ndarray, split: bool, label: np.ndarray, size: np.ndarray, counts: list[bytes]) -> tuple[list[int], list[int], list[int]]:
-        member = other == 0
-        failed: set[tuple[int, int]] = set()
-        if not member.all():
-            place = {x: i for i, x in enumerate(node[member].tolist())}
-            for a, b in zip(node[~member].tolist(), other[~member].tolist()):
-                if a in place and b in place:
-                    failed.add((min(place[a], place[b]), max(place[a], place[b])))
-            counts = [c for c, m in zip(counts, member) if m]
-            node, side, label, size = node[member], side[member], label[member], size[member]
-        if (label == label[0]).all():
-            return [], [], []
-        found = tree_pairs(folded(counts), size, label, side if split else None, failed, times, rule)
-        ends = [(min(x, y), max(x, y)) for x, y in ((int(node[p]), int(node[q])) for p, q in found)]
-        return [gid] * len(ends), [x for x, _ in ends], [y for _, y in ends]
+    return _texts(docs).join(wanted.select("doc_id", "node"), "doc_id").select("text", "node").mapInArrow(run, "node long, data binary")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by task; the last task of a batch may go on in the next."""
-        left: list[np.ndarray | list] | None = None
-        for batch in itertools.chain(batches, [None]):
-            if batch is not None:
-                new = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1]] + [batch.columns[-1].to_pylist()]
-                left = new if left is None else [np.concatenate([a, b]) for a, b in zip(left[:-1], new[:-1])] + [left[-1] + new[-1]]
-            if left is None or not len(left[0]):
-                continue
-            task, gid, node, other, side, split, label, size, counts = left
-            cut = [0, *(np.flatnonzero(task[1:] != task[:-1]) + 1).tolist(), len(task)]
-            if batch is not None:  # held back
-                last = cut[-2]
-                left = [x[last:] for x in left]
-                cut = cut[:-1]
-            out: tuple[list[int], list[int], list[int]] = ([], [], [])
-            for s, e in zip(cut[:-1], cut[1:]):
-                for column, more in zip(out, one(int(gid[s]), node[s:e], other[s:e], side[s:e], bool(split[s]), label[s:e], size[s:e], counts[s:e])):
-                    column += more
-            yield _batch(gid=pa.array(out[0], pa.int64()), a=pa.array(out[1], pa.int64()), b=pa.array(out[2], pa.int64()))
-
-    n = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = groups.repartition(n, "task").sortWithinPartitions("task").select("task", "gid", "node", "other", "side", "split", "label", "size", "counts")
-    return dealt.mapInArrow(run, "gid long, a long, b long")
-
-
-def _blocks(groups: DataFrame) -> DataFrame:
-    """(gid, node) with the task that takes it: large groups as pairs of blocks."""
-    sized = groups.join(groups.groupBy("gid").agg(F.count("*").alias("members")), "gid")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    sized = sized.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    sized = sized.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    i, j = F.least("block", "with"), F.greatest("block", "with")
-    return sized.select("gid", "node", F.when(F.col("blocks") == 1, F.col("gid")).otherwise(F.xxhash64("gid", i, j)).alias("task"), (F.col("block") > F.col("with")).cast("int").alias("side"), (i != j).alias("split"))
-
-
-def links(docs: DataFrame, rule: Rule, profile: DataFrame) -> DataFrame | None:
-    """node, label of the components of nodes that links connect; None if no two nodes share a key."""
-    groups = saved(shared_keys(docs, rule), "groups")
-    if groups.isEmpty():
-        return None
-    spark = docs.sparkSession
-    nodes = profile.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("counts").alias("counts"))
-    nodes = saved(nodes.join(groups.select("node").distinct(), "node", "left_semi"), "nodes")
-    members = saved(_blocks(groups), "members")
-    failed = spark.createDataFrame([], "gid long, a long, b long")
-    found = spark.createDataFrame([], "a long, b long")
-    sets = spark.createDataFrame([], "node long, items binary")
-    labels, todo, times = spark.createDataFrame([], "node long, label long"), members, 1
-    while True:
-        rows = todo.join(nodes.select("node", "size", "counts"), "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        rows = rows.select("task", "gid", "node", F.lit(0).cast("long").alias("other"), "side", "split", "label", "size", "counts")
-        past = failed.join(todo.select("gid", "task", "split").distinct(), "gid").select("task", "gid", F.col("a").alias("node"), F.col("b").alias("other"), F.lit(0).alias("side"), "split", F.lit(0).cast("long").alias("label"), F.lit(0).cast("long").alias("size"), F.lit(b"").alias("counts"))
-        pairs = saved(_candidates(rows.unionByName(past), times, rule), "pairs")
-        if pairs.isEmpty():
-            return labels
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        need = nodes.select("node", "doc_id").join(ends, "node", "left_semi").join(sets.select("node").distinct(), "node", "left_anti")
-        need = saved(need, "need")
-        if not need.isEmpty():
-            sets = sets.union(saved(whole_sets(docs, rule, need), "sets"))
-        found, labels, wrong = _settled(pairs.select("a", "b").distinct(), found, labels, sets, rule)
-        new = pairs.join(wrong, ["a", "b"]).select("gid", "a", "b")
-        failed = saved(failed.union(new), "failed")
-        if new.isEmpty():
-            return labels
-        # groups with a failed pair and more than one component
-        open_groups = members.join(new.select("gid").distinct(), "gid", "left_semi").join(labels, "node", "left").groupBy("gid").agg(F.count_distinct(F.coalesce("label", "node")).alias("n")).where("n > 1")
-        todo, times = saved(members.join(open_groups, "gid", "left_semi"), "members"), min(times * 64, 1 << 12)
-        if todo.isEmpty():
-            return labels
-
-
-def _settled(pairs: DataFrame, found: DataFrame, labels: DataFrame, sets: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Verifies pairs until each is verified or inside a component: all links, labels, and the pairs that don't link.
-
-    In each round a node is verified with its first open partner, later with more at a time; what that
-    connects need not be verified.
-    """
-    pairs, wrong, most = saved(pairs, "open"), None, 1
-    while True:
-        one, two = (labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab")
-        split = F.coalesce("label_a", "a") != F.coalesce("label_b", "b")
-        pairs = saved(pairs.join(one, "a", "left").join(two, "b", "left").where(split).select("a", "b"), "open")
-        if pairs.isEmpty():
-            return found, labels, wrong if wrong is not None else pairs
-        turn = Window.partitionBy("b").orderBy("a")
-        picked = saved(pairs.withColumn("n", F.row_number().over(turn)).where(F.col("n") <= most).select("a", "b"), "picked")
-        judged = saved(_verified(picked, sets, rule), "judged")
-        bad = judged.where("not good").select("a", "b")
-        wrong = bad if wrong is None else wrong.union(bad)
-        if not judged.where("good").isEmpty():
-            found = found.union(judged.where("good").select("a", "b"))
-            labels = components(found)
-        pairs, most = pairs.join(picked, ["a", "b"], "left_anti"), min(most * 4, 1 << 20)
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """a, b, good: whether whole sets link."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = _items(x.as_buffer()), _items(y.as_buffer())
-                good.append(bool(rule.enough(len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y))))
-            yield _batch(a=batch.column(0), b=batch.column(1), good=pa.array(good, pa.bool_()))
+def links(docs: DataFrame, rule: Rule, nodes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """node, label of the components of nodes that links connect, from nodes(node, doc_id, size, counts)."""
+    with scratch() as kept:
+        sizes = nodes.select("node", "size")
+        members = saved(groups(docs, rule).join(sizes, "node"), "members")
+        clusters = _connected(members, nodes.select("node", F.col("counts").alias("data")), rule, False, block)
+        wanted = saved(clusters.join(nodes.select("node", "doc_id", "size"), "node"), "wanted")
+        sets = saved(whole_sets(docs, rule, wanted), "sets")
+        found = saved(_connected(wanted.select(F.col("label").alias("gid"), "node", "size"), sets, rule, True, block), "found")
+        kept.append(found)
+    return found
+
 
-    one = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
-    two = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, good boolean")
+def labelled(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, block: int = BLOCK) -> DataFrame:
+    """doc_id, text_key long, n_shingles long, label long of every row: rows that links connect share a label; null without shingles.
+
+    Rows with a null doc_id start no link, but share the label of rows with the same set where there are any.
+    """
+    rule = Rule(words, num, den)
+    profile = saved(profiles(docs, rule), "profiles")
+    some = profile.where("n_shingles > 0 and doc_id is not null")
+    nodes = saved(some.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("counts").alias("counts")), "nodes")
+    found = links(docs.where("text is not null and doc_id is not null"), rule, nodes, block)
+    full = _labelled(profile.where("n_shingles > 0").select("doc_id", "text_key", "n_shingles", "node"), found).drop("node")
+    return full.unionByName(profile.where("n_shingles = 0").select("doc_id", "text_key", "n_shingles", F.lit(None).cast("long").alias("label")))
 
 
-def join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+def join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles long, component_id long of every row of docs.
 
     component_id is the smallest doc_id that links reach, the row's own included. Words are lower-cased
     (A-Z) runs of bytes that are not white space. A text of fewer words than `words` is one shingle; null,
     empty and blank texts have no shingle and stand alone. A row with a null doc_id starts no link; it gets
     the component of rows with the same set, or null. Repeated rows come repeatedly.
-    Columns other than doc_id and text are left out; no rows give no rows.
+    Columns other than doc_id and text are left out; no rows give no rows. `block` is the most nodes that
+    one task compares with each other; the result does not depend on it.
     """
-    small_batches(docs.sparkSession)
-    rule = Rule(words, num, den)
-    profile = saved(profiles(docs, rule), "profiles")
-    found = links(docs.where("text is not null and doc_id is not null"), rule, profile)
-    full = profile.where("n_shingles > 0")
-    if found is None:
-        labelled = full.withColumn("label", F.col("node"))
-    else:
-        labelled = full.join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    some = labelled.join(least, "label").select("doc_id", "n_shingles", "component_id")
-    return some.unionByName(profile.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    rows = saved(labelled(docs, words, num, den, block), "labelled")
+    least = rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    full = rows.where("label is not null").join(least, "label").select("doc_id", "n_shingles", "component_id")
+    return full.unionByName(rows.where("label is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def representatives(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, block: int = BLOCK) -> DataFrame:
+    """The rows of docs without near-duplicates: one row of each component stays, and every row without shingles.
+
+    It is the row with the smallest doc_id (nulls last), of those the one with the smallest text_key, of
+    repeated rows the smallest by all columns, whose types must have an order. Decisions are by doc_id and text together, so rows of other texts
+    that share a doc_id are safe. A null doc_id counts as in labelled(): such rows are copies of rows with the
+    same set only. No rows give no rows.
+    """
+    rows = saved(labelled(docs, words, num, den, block), "labelled")
+    first = rows.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("r"))
+    alone = rows.where("label is null").select("doc_id", "text_key").distinct()
+    stay = saved(first.select("r.doc_id", "r.text_key").withColumn("full", F.lit(True)).unionByName(alone.withColumn("full", F.lit(False))), "stay")
+    counts = rows.where("label is not null").join(stay.where("full"), _same_row(rows, stay), "left_semi").groupBy("doc_id", "text_key").count()
+    many = saved(counts.where("count > 1").drop("count"), "repeated")
+    own = docs.withColumn("__key", text_key())
+    kept = own.join(stay, own["doc_id"].cast("long").eqNullSafe(stay["doc_id"]) & (own["__key"] == stay["text_key"]), "left_semi")
+    if many.isEmpty():
+        return kept.drop("__key")
+    again = kept["doc_id"].cast("long").eqNullSafe(many["doc_id"]) & (kept["__key"] == many["text_key"])
+    once = kept.join(many, again, "left_semi").groupBy("__key", "doc_id").agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
+    return kept.join(many, again, "left_anti").drop("__key").unionByName(once)
+
+
+def _same_row(one: DataFrame, two: DataFrame) -> Column:
+    return one["doc_id"].eqNullSafe(two["doc_id"]) & (one["text_key"] == two["text_key"])

@@ -143,23 +143,87 @@ def test_ngram_join_of_odd_tables(spark, empty):
         ngram_join.Rule(4, 50, 100)
 
 
-def test_tree_pairs_in_large_groups_and_blocks(monkeypatch):
-    rng = np.random.default_rng(4)
+@pytest.mark.parametrize("block", [2, 7])
+def test_ngram_join_in_blocks(spark, block):
+    """Groups and clusters far above a block, in chains and stars, give the same components."""
+    rng = random.Random(block)
+    base = [f"w{i}" for i in range(90)]
+    texts = {0: " ".join(base)}
+    for i in range(1, 60):  # each is one or two words away from some earlier text, so that some chains drift apart
+        words = texts[rng.choice([0, i - 1, rng.randrange(i)])].split()
+        for _ in range(rng.choice([1, 1, 2])):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        texts[i] = " ".join(words)
+    texts |= {100 + i: " ".join(base[:45] + [f"y{i}_{j}" for j in range(rng.choice([5, 30]))]) for i in range(30)}  # one shared passage
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 4, 85, 100, block=block).collect()}
+    want = brute_components(texts, 4, 85, 100)
+    assert len({c for _, c in want.values()}) > 20 and got == want
+
+
+def test_representatives_are_chosen_by_row(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, long, "b"), (1, long, "a"), (1, "quite another text of some words", "c"), (2, long + " x", "d"), (2, "a third text that is on its own", "e")]
+    rows += [(None, long, "f"), (None, "no id but words of its own", "g"), (None, "no id but words of its own", "g"), (3, None, "h"), (3, None, "h"), (4, "", "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("label", F.lit(1))
+    got = sorted((r.doc_id or -1, r.source, r.label) for r in ngram_join.representatives(docs).collect())
+    assert got == [(-1, "g", 1), (1, "a", 1), (1, "c", 1), (2, "e", 1), (3, "h", 1), (3, "h", 1), (4, "i", 1)]
+    assert ngram_join.representatives(docs.where("false")).count() == 0
+
+
+def random_sets(n: int, rng) -> list:
     base = rng.integers(0, 1 << 62, 300).astype(np.uint64)
-    rows = []
-    for _ in range(150):
-        keep = rng.random(300) > rng.choice([0.02, 0.1])
-        rows.append(np.unique(np.concatenate([base[keep], rng.integers(0, 1 << 62, 300 - keep.sum()).astype(np.uint64)])))
+    out = []
+    for _ in range(n):
+        keep = rng.random(300) > rng.choice([0.02, 0.05, 0.1])
+        out.append(np.unique(np.concatenate([base[keep], rng.integers(0, 1 << 62, 300 - keep.sum()).astype(np.uint64)])))
+    return out
+
+
+def test_tree_finds_every_pair():
+    rows = random_sets(150, np.random.default_rng(4))
     rule = ngram_join.Rule(4, 85, 100)
     bounds = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-    counts = ngram_join.folded(ngram_join.count_vectors(np.concatenate(rows), bounds, rule))
     sizes = np.diff(bounds)
-    found = set(ngram_join.tree_pairs(counts, sizes, np.arange(len(rows)), None, set(), 1 << 12, rule))
-    for a, b in combinations(range(len(rows)), 2):
-        if rule.enough(len(np.intersect1d(rows[a], rows[b])), sizes[a] + sizes[b]):
-            assert (a, b) in found
-    forest = ngram_join.tree_pairs(counts, sizes, np.arange(len(rows)), None, set(), 1, rule)
-    assert len(forest) < len(rows)
+    want = {(a, b) for a, b in combinations(range(len(rows)), 2) if rule.enough(len(np.intersect1d(rows[a], rows[b])), sizes[a] + sizes[b])}
+    for counts in (ngram_join.folded(ngram_join.count_vectors(np.concatenate(rows), bounds, rule)), ngram_join._fine(rows)):
+        parts = list(ngram_join.near_pairs(counts, sizes, rule, lambda i, j: np.ones(len(i), bool)))
+        found = [tuple(sorted(p)) for i, j in parts for p in zip(i.tolist(), j.tolist())]
+        assert want <= set(found) and len(found) == len(set(found)) < 150 * 149 / 2
+        side = np.arange(150) % 2
+        for sets, good in ((None, set(found)), (rows, want)):
+            for ask in (None, side):
+                edges = ngram_join.forest(counts, sizes, np.arange(150), ask, rule, sets)
+                pairs = [p for p in good if ask is None or ask[p[0]] != ask[p[1]]]
+                assert len(edges) < 150 and {tuple(sorted(e)) for e in edges} <= set(pairs)
+                assert parts_of(edges, 150) == parts_of(pairs, 150)
+
+
+def parts_of(edges, n):
+    label = list(range(n))
+    for a, b in edges:
+        x, y = label[a], label[b]
+        label = [min(x, y) if v in (x, y) else v for v in label]
+    return label
+
+
+def test_keys_of_linked_sets_meet_beyond_the_spare_ones():
+    """Any two linked sets share more keys, empty classes counted, than either may leave out."""
+    rng = np.random.default_rng(9)
+    rule = ngram_join.Rule(5, 80, 100)
+    for n in (3, 5, 8, 12, 40, 150, 700):
+        for _ in range(30):
+            a = rng.integers(0, 1 << 62, n).astype(np.uint64)
+            d = int(2 * n * 0.2 / 1.8 * rng.random())
+            b = np.concatenate([a[d // 2 :], rng.integers(0, 1 << 62, rng.integers(0, d // 2 + 1)).astype(np.uint64)])
+            if not rule.enough(len(np.intersect1d(a, b)), len(a) + len(b)) or len(a) == len(b) == len(np.intersect1d(a, b)):
+                continue
+            keys, nodes, left = ngram_join._keys_of(np.concatenate([np.sort(a), np.sort(b)]), np.array([0, len(a), len(a) + len(b)]), np.array([1, 2]), rule)
+            both = {}
+            for k, node, more in zip(keys.tolist(), nodes.tolist(), left.tolist()):
+                both.setdefault(k, {})[node] = more
+            shared = [v for v in both.values() if len(v) == 2]
+            bands = {k & 63 for k, v in both.items() if len(v) == 2}
+            assert any(len([1 for k, v in both.items() if len(v) == 2 and k & 63 == x]) > max(max(v.values()) for k, v in both.items() if len(v) == 2 and k & 63 == x) for x in bands) and shared
 
 
 def test_components(spark):
