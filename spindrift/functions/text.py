@@ -33,13 +33,13 @@ def split_lines(text: Column) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
-def words(text: Column) -> Column:
-    """Lower-cased runs of letters, digits, marks and underscores, in order."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\w+)"), 1)
+def tokens(text: Column) -> Column:
+    """Lower-cased runs of letters, digits and underscores of any script, in order: what embeddings and trigrams are made of."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), 1)
 
 
-def ascii_words(text: Column) -> Column:
-    """Lower-cased runs of letters and digits of any script, in order: the tokens of the `simple` analyzer."""
+def terms(text: Column) -> Column:
+    """Lower-cased runs of letters and digits of any script, in order: the `simple` analyzer's terms."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), 1)
 
 
@@ -51,11 +51,12 @@ def word_trigrams(word: Column) -> Column:
 
 def trigrams(text: Column) -> Column:
     """All words' trigrams, in order and with repeats."""
-    return F.flatten(F.transform(words(text), word_trigrams))
+    return F.flatten(F.transform(tokens(text), word_trigrams))
 
 
 def trigram_set(text: Column) -> Column:
-    return F.array_distinct(trigrams(text))
+    """The distinct trigrams, in the order of their first places."""
+    return F.array_distinct(F.flatten(F.transform(F.array_distinct(tokens(text)), word_trigrams)))
 
 
 def set_similarity(a: Column, b: Column) -> Column:

@@ -55,12 +55,24 @@ def headings(fenced: DataFrame, key: list[str] = _DOC) -> DataFrame:
     return named.withColumn("heading", path).drop(*(f"__h{k}" for k in range(1, 7)), "title_here")
 
 
+def last_of_each(docs: DataFrame) -> DataFrame:
+    """space_key, source_id, title, breadcrumb, body: of documents with one key, the one with the largest position.
+
+    position is a column of docs, if there is one; among equals, and without it, the largest by body, title
+    and breadcrumb counts, nulls being smallest.
+    """
+    order = [F.desc(c) for c in (["position"] if "position" in docs.columns else []) + ["body", "title", "breadcrumb"]]
+    turn = F.row_number().over(Window.partitionBy(*_DOC).orderBy(*order))
+    return docs.withColumn("__turn", turn).where("__turn = 1").select(*_DOC, "title", "breadcrumb", "body")
+
+
 def sections(docs: DataFrame) -> DataFrame:
     """space_key, source_id, title, breadcrumb, section int, heading string, lines array<string>.
 
-    A section runs from a heading to the next; those with nothing but a heading, or nothing at all, go.
+    A section runs from a heading to the next; those with nothing but a heading, or nothing at all, go. Of
+    documents with one key only the last counts. All windows and groups here share one shuffle, by key.
     """
-    named = headings(fences(lines(docs.select("space_key", "source_id", "title", "breadcrumb", "body"))))
+    named = headings(fences(lines(last_of_each(docs))))
     grouped = named.groupBy(*_DOC, "section").agg(
         F.first("title").alias("title"), F.first("breadcrumb").alias("breadcrumb"), F.first("heading").alias("heading"),
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]).alias("lines"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 import yaml
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DOCUMENT = "source_id string, title string, space_key string, body string, breadcrumb string, error string"
@@ -13,8 +13,13 @@ DOCUMENT = "source_id string, title string, space_key string, body string, bread
 def read(spark: SparkSession, folder: str, strict: bool = False) -> DataFrame:
     """The documents of folder/*.md, one for each file; a file's name without its ending stands in for a missing source_id."""
     files = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True)
-    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
-    return parse(files.select(F.url_decode(F.replace(stem, F.lit("+"), F.lit("%2B"))).alias("fallback"), F.col("value").alias("text")), strict)
+    return parse(files.select(stem().alias("fallback"), F.col("value").alias("text")), strict)
+
+
+def stem() -> Column:
+    """A file's name without its ending, from its metadata, which gives it as in a URL."""
+    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
 
 
 def parse(files: DataFrame, strict: bool = False) -> DataFrame:
@@ -62,23 +67,5 @@ def parse(files: DataFrame, strict: bool = False) -> DataFrame:
     good = {k: F.when(error.isNull(), F.col(f"f.{k}")).alias(k) for k in ("source_id", "title", "space_key", "breadcrumb")}
     out = found.select(good["source_id"], good["title"], good["space_key"], body.alias("body"), good["breadcrumb"], error.alias("error"))
     if strict:
-        out = out.withColumn("source_id", F.when(F.col("error").isNotNull(), F.raise_error("error")).otherwise(F.col("source_id")))
+        out = out.withColumn("source_id", F.when(F.col("error").isNotNull(), F.raise_error(F.col("error"))).otherwise(F.col("source_id")))
     return out
-
-
-def parse_text(text: str, fallback: str | None = None) -> dict[str, str | None]:
-    """One document, parsed on the driver with the rules of parse(); raises ValueError."""
-    stripped = text.lstrip()
-    if not stripped.startswith("---"):
-        raise ValueError("missing frontmatter block")
-    header, end, body = stripped[3:].partition("\n---")
-    if not end:
-        raise ValueError("unterminated frontmatter block")
-    found = yaml.safe_load(header) or {}
-    if not isinstance(found, dict):
-        raise ValueError("frontmatter must be a YAML mapping")
-    out = {k: str(found.get(k) or "").strip() for k in ("title", "space_key")} | {"source_id": str(found.get("source_id") or fallback or "").strip()}
-    if missing := [k for k, v in out.items() if not v]:
-        raise ValueError(f"frontmatter requires {', '.join(sorted(missing))}")
-    return out | {"breadcrumb": str(found["breadcrumb"]).strip() if found.get("breadcrumb") else None, "body": body.strip()}
-

@@ -11,7 +11,7 @@ from spindrift.sources import golden
 
 EVIDENCE = "answer_id int, ref int, source_id string, title string, heading string, breadcrumb string, content string"
 SQL = "answer_id int, call_no int, sql string, referenced_tables array<string>, row_count_returned int"
-DOCS = [(1, 1, "runbook", "Runbook", "Cadence", "A > B", "Deploys happen on two days."), (1, 2, "risks", "Risks", "R-01", None, "Severity: high.")]
+DOCS = [(1, 1, "tides", "Tide tables", "Spring", "Coast > Harbour", "High water comes twice a day."), (1, 2, "lamps", "Lamp log", "Wicks", None, "The wick is trimmed at dusk.")]
 
 
 def ground(spark, text, docs=DOCS, sql=()):
@@ -21,18 +21,19 @@ def ground(spark, text, docs=DOCS, sql=()):
 
 
 CASES = [
-    ("Deploys are twice weekly. [1]\nThis line is unsupported.", "Deploys are twice weekly.", ["runbook"], ["This line is unsupported."]),
-    ("Deploys happen twice weekly [1].", "Deploys happen twice weekly.", ["runbook"], []),
-    ("Risk first. [2] Deploy next. [1] Duplicate. [2] Unknown. [99]", "Risk first. Deploy next. Duplicate. Unknown.", ["risks", "runbook"], []),
-    ("First claim [1] .  Second claim [2] ,  third claim [1] !", "First claim. Second claim, third claim!", ["runbook", "risks"], []),
-    ("Risk one. [2][1][2]\nRisk two. [1]", "Risk one.\nRisk two.", ["risks", "runbook"], []),
-    ("Combined claim. [1], [2]", "Combined claim.", ["runbook", "risks"], []),
-    ("배포를 진행했다 [1]는 결정이 있었다.", "배포를 진행했다는 결정이 있었다.", ["runbook"], []),
-    ("승인 완료 [1], [2]로 종료.", "승인 완료로 종료.", ["runbook", "risks"], []),
-    ("정책 문서 [1] 참고 바랍니다.", "정책 문서 참고 바랍니다.", ["runbook"], []),
-    ("# Owners\n| Name | Source |\n|---|---|\n| Alice | on call [2] |\n| Bob | off [9] |", "# Owners\n| Name | Source |\n|---|---|\n| Alice | on call |", ["risks"], ["| Bob | off [9] |"]),
-    ("| Action [1] | done | see [2] |", "| Action [1] | done | see |", ["risks"], []),
-    ("```\ncode [9]\n```\n> quote\n- item\nYes [1]!\nSure [1]?", "```\ncode [9]\n```\nYes!\nSure?", ["runbook"], ["> quote", "- item"]),
+    ("Water rises twice daily. [1]\nNobody wrote this down.", "Water rises twice daily.", ["tides"], ["Nobody wrote this down."]),
+    ("The wick is short [2].", "The wick is short.", ["lamps"], []),
+    ("Wick [2] before water [1], wick again [2], and a ghost [77].", "Wick before water, wick again, and a ghost.", ["lamps", "tides"], []),
+    ("Calm [1] ,   dark [2] !", "Calm, dark!", ["tides", "lamps"], []),
+    ("Lit [2][2][1]\nWet [1]", "Lit\nWet", ["lamps", "tides"], []),
+    ("Both logs agree [1] , [2]", "Both logs agree", ["tides", "lamps"], []),
+    ("등대 [2]는 밝다.", "등대는 밝다.", ["lamps"], []),
+    ("물때 [1],[2]와 바람.", "물때와 바람.", ["tides", "lamps"], []),
+    ("물때 [1] 그리고 바람.", "물때 그리고 바람.", ["tides"], []),
+    ("# Watch\n| Hour | Note |\n|:---|---:|\n| dusk | trim [2] |\n| dawn | lost [8] |", "# Watch\n| Hour | Note |\n|:---|---:|\n| dusk | trim |", ["lamps"], ["| dawn | lost [8] |"]),
+    ("| noon [1] | flood | read [2] |", "| noon [1] | flood | read |", ["lamps"], []),
+    ("```\nraw [8]\n```\n> aside\n* point\nSo [1]!\nNo [1]?", "```\nraw [8]\n```\nSo!\nNo?", ["tides"], ["> aside", "* point"]),
+    ("***\n\n   ## Night\nDark [2]", "***\n\n   ## Night\nDark", ["lamps"], []),
 ]
 
 
@@ -41,47 +42,50 @@ def test_drafts(spark):
     known = spark.createDataFrame([(i, *d[1:]) for i in range(len(CASES)) for d in DOCS], EVIDENCE)
     got = {r.answer_id: r for r in grounding.ground(drafts, known).collect()}
     for i, (text, answer, cited, dropped) in enumerate(CASES):
-        assert (got[i].answer.replace("on call  |", "on call |").replace("see  |", "see |"), [c.source_id for c in got[i].citations], list(got[i].dropped)) == (answer, cited, dropped), text
+        assert (got[i].answer, [c.source_id for c in got[i].citations], list(got[i].dropped)) == (answer, cited, dropped), text
 
 
 def test_refusals(spark):
-    for text, docs in (("Confident.\nAnother.", DOCS), ("Answer. [9]", DOCS), ("Anything.", [])):
+    for text, docs in (("Surely so.\nAnd more.", DOCS), ("Says who? [31]", DOCS), ("No log at all.", [])):
         with pytest.raises(grounding.NoEvidenceError):
             ground(spark, text, docs)
 
 
 def test_sql_evidence(spark):
-    out = ground(spark, "There are 3.", [], [(1, 1, "select 1", ["p.d.t", "p.d.u"], 3)])
-    assert out["answer"] == "There are 3." and out["citations"][0]["source_id"] == "p.d.t" and out["citations"][0]["snippet"] == "3 rows returned"
-    mixed = ground(spark, "Marked [2].\nUnmarked.", DOCS, [(1, 1, "select 1", [], None)])
-    assert [c["source_id"] for c in mixed["citations"]] == [grounding.UNKNOWN_TABLE, "risks"] and mixed["dropped"] == ["Unmarked."]
-
-
-def plain_removal(text):
-    """Marker removal from right to left, by spans."""
-    lead = re.match(r"[ \t]*", text)[0]
-    spans = [list(m.span()) for m in re.finditer(r"\[\d+\]", text)]
-    runs = []
-    for a, b in spans:
-        if runs and re.fullmatch(r"(?:[ \t]*,[ \t]*)?", text[runs[-1][1] : a]):
-            runs[-1][1] = b
+    out = ground(spark, "Three ships came in.", [], [(1, 1, "select 1", ["p.d.t", "p.d.u"], 3)])
+    assert out["answer"] == "Three ships came in." and out["citations"][0]["source_id"] == "p.d.t" and out["citations"][0]["snippet"] == "3 rows returned"
+    mixed = ground(spark, "Trimmed [2].\nGuessed.", DOCS, [(1, 1, "select 1", [], None)])
+    assert [c["source_id"] for c in mixed["citations"]] == [grounding.UNKNOWN_TABLE, "lamps"] and mixed["dropped"] == ["Guessed."]
+
+
+def without_markers(text):
+    """The rule by characters: each is marked as gone or not, and what is left is tidied."""
+    gone = [False] * len(text)
+    markers = [(m.start(), m.end()) for m in re.finditer(r"\[[0-9]+\]", text)]
+    for i, (a, b) in enumerate(markers):
+        gap = text[b : markers[i + 1][0]] if i + 1 < len(markers) else None
+        joined = gap == "" or gap is not None and gap.strip(" \t") == ","
+        gone[a : b + len(gap) if joined else b] = [True] * (b - a + (len(gap) if joined else 0))
+    following = ""
+    for i in reversed(range(len(text))):
+        if gone[i]:
+            continue
+        if following and i + 1 < len(text) and gone[i + 1] and "가" <= following <= "힣" and text[i] in " \t":
+            gone[i] = True  # blanks between a word and the particle that its marker stood before
         else:
-            runs.append([a, b])
-    for a, b in reversed(runs):
-        if "가" <= text[b : b + 1] <= "힣":
-            while a and text[a - 1] in " \t":
-                a -= 1
-        text = text[:a] + text[b:]
-    body = re.sub(r"[ \t]{2,}", " ", text[len(lead) :].strip(" \t"))
-    return lead + re.sub(r"[ \t]+([.,!?])", r"\1", body)
+            following = text[i]
+    kept = "".join(c for c, x in zip(text, gone) if not x)
+    indent = len(text) - len(text.lstrip(" \t"))
+    words = re.sub("[ \t][ \t]+", " ", kept[indent:].strip(" \t"))
+    return text[:indent] + re.sub("[ \t]+(?=[.,!?])", "", words)
 
 
-def test_marker_removal_against_spans(spark):
+def test_marker_removal_by_characters(spark):
     rng = random.Random(11)
     texts = ["".join(rng.choices(["[1]", "[22]", " ", ",", "가", "x", ".", "  "], k=rng.randrange(1, 12))) for _ in range(600)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     for r in df.select("t", grounding.remove_markers(F.col("t")).alias("c")).collect():
-        assert r.c == plain_removal(r.t), repr(r.t)
+        assert r.c == without_markers(r.t), repr(r.t)
 
 
 def test_last_evidence_wins_and_trace(spark):

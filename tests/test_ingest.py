@@ -11,54 +11,66 @@ from pyspark.sql import functions as F
 from spindrift.functions import embedding
 from spindrift.operators import chunking
 from spindrift.sources import markdown
+from spindrift.streaming import ingest
 
-HEAD = "---\nsource_id: d1\ntitle: Doc One\nspace_key: S\nbreadcrumb: A > B\n---\n"
+HEAD = "---\nsource_id: w7\ntitle: Whale watch\nspace_key: SEA\nbreadcrumb: North > Bay\n---\n"
 DOC = "space_key string, source_id string, title string, breadcrumb string, body string"
 
 
 def chunks(spark, body, **options):
-    docs = spark.createDataFrame([("S", "d1", "Doc One", "A > B", body)], DOC)
+    docs = spark.createDataFrame([("SEA", "w7", "Whale watch", "North > Bay", body)], DOC)
     return chunking.chunks(docs, **options).orderBy("seq").collect()
 
 
 def test_header_is_parsed(spark):
-    files = spark.createDataFrame([(HEAD + "\nhello", "x"), ("no header", "x"), ("---\ntitle: t\n", "x"), ("---\ntitle: t\n---\nb", "x"), ("---\n- a\n---\nb", "x"), ("---\ntitle: 0\nspace_key: S\n---\nb", "x")], "text string, fallback string")
-    rows = markdown.parse(files).collect()
-    assert (rows[0].source_id, rows[0].title, rows[0].space_key, rows[0].breadcrumb, rows[0].body, rows[0].error) == ("d1", "Doc One", "S", "A > B", "hello", None)
-    assert [bool(r.error) for r in rows] == [False, True, True, True, True, True]
-    assert "unterminated" in rows[2].error and "mapping" in rows[4].error
+    texts = [HEAD + "\nblow!\n", "blow!", "---\ntitle: w\n", "---\ntitle: w\n---\nb", "---\n- w\n---\nb", "---\ntitle: 0\nspace_key: SEA\n---\nb", "---\ntitle: [\n---\nb", "\n ---\ntitle: T\nspace_key: SEA\n---\n\n a \n"]
+    rows = markdown.parse(spark.createDataFrame([(t, "stem") for t in texts], "text string, fallback string")).collect()
+    assert (rows[0].source_id, rows[0].title, rows[0].space_key, rows[0].breadcrumb, rows[0].body, rows[0].error) == ("w7", "Whale watch", "SEA", "North > Bay", "blow!", None)
+    assert [bool(r.error) for r in rows] == [False, True, True, True, True, True, True, False]
+    assert "unterminated" in rows[2].error and "mapping" in rows[4].error and (rows[7].source_id, rows[7].body) == ("stem", "a")
+    with pytest.raises(Exception, match="missing"):
+        markdown.parse(spark.createDataFrame([("x", "y")], "text string, fallback string"), strict=True).collect()
 
 
-def test_fallback_and_driver_side_agree(spark):
-    text = "---\ntitle: T\nspace_key: S\n---\n\n body \n"
-    row = markdown.parse(spark.createDataFrame([(text, "stem")], "text string, fallback string")).first()
-    one = markdown.parse_text(text, "stem")
-    assert row.source_id == one["source_id"] == "stem" and row.body == one["body"] == "body"
-    with pytest.raises(ValueError, match="frontmatter requires"):
-        markdown.parse_text("---\ntitle: T\n---\nb")
+def test_files_and_streams_name_sources_alike(spark, tmp_path):
+    for name in ("a b+c.md", "d.e.md", "백.md"):
+        (tmp_path / name).write_text("---\ntitle: T\nspace_key: SEA\n---\nx")
+    batch = sorted(r.source_id for r in markdown.read(spark, str(tmp_path)).collect())
+    stream = ingest.stream_markdown(spark, str(tmp_path)).writeStream.format("memory").queryName("files").trigger(availableNow=True).start()
+    stream.awaitTermination()
+    assert sorted(r.fallback for r in spark.table("files").collect()) == batch == ["a b+c", "d.e", "백"]
 
 
 def test_preamble_and_sections(spark):
-    rows = chunks(spark, "intro\n\n## Section One\n\ntext\n\n## Section Two\n\nmore")
-    assert [r.heading for r in rows] == [None, "Section One", "Section Two"]
-    assert [r.chunk_id for r in rows] == ["d1#0", "d1#1", "d1#2"]
-    assert rows[1].embedding_text.startswith("[A > B > Doc One > Section One]\n## Section One")
-    assert rows[1].content == "## Section One\n\ntext"
+    rows = chunks(spark, "seen from shore\n\n## Humpback\n\nsings\n\n## Minke\n\nhides")
+    assert [(r.heading, r.chunk_id) for r in rows] == [(None, "w7#0"), ("Humpback", "w7#1"), ("Minke", "w7#2")]
+    assert rows[1].content == "## Humpback\n\nsings" and rows[1].embedding_text == "[North > Bay > Whale watch > Humpback]\n## Humpback\n\nsings"
+
+
+def test_documents_with_one_key_are_not_mixed(spark):
+    docs = spark.createDataFrame([("SEA", "k", "T", None, "# one\nalpha\nbeta"), ("SEA", "k", "T", None, "# two\ngamma\ndelta"), ("AIR", "k", "T", None, "own")], DOC)
+    got = sorted((r.space_key, r.chunk_id, r.heading, r.content) for r in chunking.chunks(docs).collect())
+    assert got == [("AIR", "k#0", None, "own"), ("SEA", "k#0", "two", "# two\ngamma\ndelta")]
+    first = chunking.chunks(docs.withColumn("position", F.when(F.col("body").contains("one"), 2).otherwise(1))).where("space_key = 'SEA'").collect()
+    assert [r.content for r in first] == ["# one\nalpha\nbeta"]
 
 
 def test_nested_paths_and_level_jumps(spark):
-    rows = chunks(spark, "# API\na\n## Retry\nb\n# Worker\nc\n## Retry\nd\n#### Deep\ne\n## Back\nf")
-    assert [r.heading for r in rows] == ["API", "API > Retry", "Worker", "Worker > Retry", "Worker > Retry > Deep", "Worker > Back"]
+    rows = chunks(spark, "# Whales\na\n## Song\nb\n# Seals\nc\n## Song\nd\n##### Pups\ne\n### Moult\nf")
+    assert [r.heading for r in rows] == ["Whales", "Whales > Song", "Seals", "Seals > Song", "Seals > Song > Pups", "Seals > Song > Moult"]
 
 
 def test_headings_in_fences_and_alone(spark):
-    assert [r.heading for r in chunks(spark, "## Real\n```\n## no\n```\nx")] == ["Real"]
-    assert [r.heading for r in chunks(spark, "## Empty Section\n\n## Full\nx")] == ["Full"]
+    assert [r.heading for r in chunks(spark, "## Code\n~~~\n# comment\n~~~\nafter")] == ["Code"]
+    assert [r.heading for r in chunks(spark, "# Bare\n\n## Kept\nkrill\n## Last")] == ["Bare > Kept"]
 
 
 def test_oversize_sections_split(spark):
-    rows = chunks(spark, "## Big\n" + "\n".join(f"line {i} " + "x" * 80 for i in range(60)), max_chars=1000)
-    assert len(rows) > 1 and len({r.chunk_id for r in rows}) == len(rows) and {r.heading for r in rows} == {"Big"}
+    body = "# Log\n" + "\n".join(f"{h:02d}:00{' spout' * (h % 9)}" for h in range(72))
+    rows = chunks(spark, body, max_chars=300)
+    assert [r.chunk_id for r in rows] == [f"w7#{i}" for i in range(len(rows))] and len(rows) > 5 and {r.heading for r in rows} == {"Log"}
+    for one, two in zip(rows, rows[1:]):  # two lines are shared
+        assert one.content.split("\n")[-2:] == two.content.split("\n")[:2]
 
 
 def packed(lines, most, overlap=2):
@@ -101,10 +113,12 @@ def plain_vector(text, d):
 
 
 def test_hashed_embedding(spark):
-    texts = ["Hello hello world", "", "배포 완료 a_b 12", "!!!", None]
+    texts = ["Krill krill blow", "", "고래 노래 a_b 12", "!!!", None, "é\u0301x ₂ ½ ー"]
     rows = embedding.hashed(spark.createDataFrame([(t,) for t in texts], "t string"), "t", dimension=32).collect()
     for r, t in zip(rows, texts):
         assert r.embedding == pytest.approx(plain_vector(t or "", 32))
+    long = embedding.hashed_table(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string"), ["i"], "t", 32).collect()
+    assert sorted((r.i, r.bucket, round(r.weight, 9)) for r in long) == [(i, b, round(x, 9)) for i, t in enumerate(texts) for b, x in enumerate(plain_vector(t or "", 32)) if x]
 
 
 def test_model_embedding_and_retries(spark):
@@ -120,14 +134,22 @@ def test_model_embedding_and_retries(spark):
     class Busy(Exception):
         code = 503
 
-    tries, pauses = [], []
+    waits = []
 
-    def call():
-        tries.append(1)
-        if len(tries) < 3:
-            raise Busy
-        return [1]
+    def busy(times):
+        replies = [Busy()] * times
+        def call():
+            if replies:
+                raise replies.pop()
+            return ["done"]
+        return call
 
-    assert embedding.retried(call, sleep=pauses.append) == [1] and pauses == [2.0, 4.0]
+    assert embedding.retried(busy(2), sleep=waits.append) == ["done"] and waits == [2.0, 4.0]
+    with pytest.raises(Busy):
+        embedding.retried(busy(3), sleep=waits.append)
+    assert waits == [2.0, 4.0, 2.0, 4.0]
     with pytest.raises(KeyError):
-        embedding.retried(lambda: {}["x"], sleep=pauses.append)
+        embedding.retried(lambda: {}["x"], sleep=waits.append)
+    with pytest.raises(ValueError):
+        embedding.retried(busy(0), attempts=0)
+    assert len(waits) == 4
