@@ -1,8 +1,9 @@
 """The table of chunks: versions of Parquet files under a folder, with an atomic pointer to the current one.
 
-A write stages a new version and then replaces the small file CURRENT, so readers see all of a write or
-nothing of it. Only the spaces that a write touches are rewritten; a version's other spaces stay where an
-earlier version put them. There is one writer at a time. Rows have the key (space_key, chunk_id).
+A write stages its rows once, writes all spaces that it touches to a folder of their own, and then replaces the
+small file CURRENT, so readers see all of a write or nothing of it, however many spaces it has. Spaces that
+a write does not touch stay where an earlier one put them. There is one writer at a time. Rows have the key
+(space_key, chunk_id). vacuum() removes folders that CURRENT does not name any more.
 """
 
 from __future__ import annotations
@@ -20,7 +21,11 @@ from spindrift.functions import vectors as V
 
 SCHEMA = "space_key string, chunk_id string, source_id string, title string, heading string, breadcrumb string, content string, embedding array<float>, updated_at timestamp"
 _COLUMNS = [x.split()[0] for x in SCHEMA.replace(", ", "\n").split("\n")]
+_STORED = f"{SCHEMA}, terms map<string,array<int>>"
 KEY = ["space_key", "chunk_id"]
+_SOURCE = ["space_key", "source_id"]
+#: The most spaces that one write may touch; their names pass through the driver.
+MOST_SPACES = 100_000
 
 
 def latest(rows: DataFrame, key: list[str]) -> DataFrame:
@@ -85,68 +90,122 @@ class ChunkStore:
     def read(self, space_key: str | None = None) -> DataFrame:
         """The current chunks, of one space or, for None or '', of all; with `terms`, positions by the store's analyzer."""
         spaces = self._state().get("spaces", {})
-        paths = [p for s, p in spaces.items() if not space_key or s == space_key]
-        schema = f"{SCHEMA}, terms map<string,array<int>>"
+        return self._at([p for s, p in spaces.items() if not space_key or s == space_key])
+
+    def _at(self, paths: list[str]) -> DataFrame:
         if not paths:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*paths)
-
-    def validate(self, chunks: DataFrame, space_key: str | None = None, source_id: str | None = None) -> int:
-        """The number of chunks; raises ValueError for a vector of another length, or a chunk of another space or source."""
-        foreign = F.lit(False)
-        if space_key is not None:
-            foreign = ~F.col("space_key").eqNullSafe(space_key) | ~F.col("source_id").eqNullSafe(source_id)
+            return self.spark.createDataFrame([], _STORED)
+        return self.spark.read.schema(_STORED).parquet(*paths)
+
+    def validate(self, chunks: DataFrame, sources: DataFrame | None = None) -> int:
+        """The number of chunks; raises ValueError for a vector of another length, a chunk without key, or of none of the sources."""
         keyless = F.col("space_key").isNull() | F.col("chunk_id").isNull()
         wrong = F.coalesce(F.size("embedding"), F.lit(-1)) != self.dimension
-        n, bad, strange, no_key = chunks.agg(F.count("*"), F.count_if(wrong), F.count_if(foreign), F.count_if(keyless)).first()
+        n, bad, no_key = chunks.agg(F.count("*"), F.count_if(wrong), F.count_if(keyless)).first()
         if bad:
             raise ValueError(f"{bad} chunks have an embedding whose dimension is not {self.dimension}")
-        if strange:
-            raise ValueError(f"{strange} chunks do not belong to {space_key}/{source_id}")
         if no_key:
             raise ValueError(f"{no_key} chunks lack space_key or chunk_id")
+        if sources is not None and (strange := chunks.join(sources, _SOURCE, "left_anti").count()):
+            raise ValueError(f"{strange} chunks do not belong to the sources that are replaced")
         return n
 
-    def _latest(self, chunks: DataFrame) -> DataFrame:
-        ordered = chunks if "position" in chunks.columns else chunks.withColumn("position", F.monotonically_increasing_id())
-        return latest(ordered, KEY).withColumn("updated_at", F.current_timestamp()).select(*(F.col(c).cast("array<float>") if c == "embedding" else F.col(c) for c in _COLUMNS))
-
-    def _write(self, space_key: str, rows: DataFrame) -> None:
+    def _staged(self, chunks: DataFrame, sources: DataFrame | None) -> tuple[DataFrame, int, str]:
+        """The batch as a table of its own, so that embeddings are made once; its number of rows; its folder."""
+        path = f"{self.folder}/staged/{uuid.uuid4().hex}"
+        fields = [F.col(c).cast("array<float>") if c == "embedding" else F.col(c) for c in _COLUMNS if c != "updated_at"]
+        order = [F.col("position").cast("long").alias("position")] if "position" in chunks.columns else []
+        chunks.select(*fields, *order).write.parquet(path)
+        batch = self.spark.read.parquet(path)
+        try:
+            n = self.validate(batch, sources)
+            if not order and batch.groupBy(*KEY).count().where("count > 1").limit(1).count():
+                raise ValueError("chunks repeat a key: a column position must tell which is the last")
+        except ValueError:
+            self._remove(path)
+            raise
+        return batch, n, path
+
+    def _remove(self, path: str) -> None:
+        fs, at = self._fs(path)
+        fs.delete(at, True)
+
+    def _spaces(self, rows: DataFrame) -> list[str]:
+        found = [r[0] for r in rows.select("space_key").distinct().limit(MOST_SPACES + 1).collect()]
+        if len(found) > MOST_SPACES:
+            raise ValueError(f"more than {MOST_SPACES} spaces in one write")
+        return found
+
+    def _commit(self, spaces: list[str], rows: DataFrame) -> None:
+        """Makes rows all that the spaces hold: one write, then one move of CURRENT."""
         state = self._state()
         path = f"{self.folder}/data/{uuid.uuid4().hex}"
-        terms = FT.term_positions(F.col("content"), state["analyzer"])
-        rows.withColumn("terms", terms).write.parquet(path)
-        state["spaces"][space_key] = path
+        rows.withColumn("__at", F.concat(F.lit("s"), "space_key")).write.partitionBy("__at").parquet(path)
+        fs, _ = self._fs(path)
+        escaped = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        for space in spaces:
+            own = f"{path}/__at={escaped('s' + space)}"
+            if fs.exists(self._fs(own)[1]):
+                state["spaces"][space] = own
+            else:
+                state["spaces"].pop(space, None)
         self._point(state)
 
-    def _current(self, space_key: str) -> DataFrame:
-        return self.read(space_key).drop("terms") if space_key in self._state()["spaces"] else self.spark.createDataFrame([], SCHEMA)
+    def _put(self, batch: DataFrame, spaces: list[str], gone: DataFrame | None) -> None:
+        """Writes the spaces with the batch's chunks in them and without the sources in `gone`."""
+        state = self._state()
+        now = self._at([state["spaces"][s] for s in spaces if s in state["spaces"]])
+        if gone is not None:
+            now = now.join(gone, _SOURCE, "left_anti").select(*now.columns)
+        new = latest(batch, KEY) if "position" in batch.columns else batch
+        new = new.withColumn("updated_at", F.current_timestamp()).withColumn("terms", FT.term_positions(F.col("content"), state["analyzer"]))
+        self._commit(spaces, merged(now, new, KEY))
+
+    def replace_sources(self, sources: DataFrame, chunks: DataFrame) -> int:
+        """Puts chunks in the place of all chunks of sources(space_key, source_id), in one atomic write.
+
+        A source without chunks is deleted. Returns the number of chunks.
+        """
+        sources = sources.select(*_SOURCE).distinct()
+        batch, n, path = self._staged(chunks, sources)
+        self._put(batch, self._spaces(sources), sources)
+        self._remove(path)
+        return n
 
     def replace_source(self, space_key: str, source_id: str, chunks: DataFrame) -> int:
-        """Puts chunks in the place of all of one source's in one space; no chunks delete it. Returns their number."""
-        n = self.validate(chunks, space_key, source_id)
-        others = without_source(self._current(space_key), space_key, source_id)
-        self._write(space_key, merged(others, self._latest(chunks), KEY).select(*_COLUMNS))
-        return n
+        """The same for one source."""
+        return self.replace_sources(self.spark.createDataFrame([(space_key, source_id)], "space_key string, source_id string"), chunks)
 
     def upsert(self, chunks: DataFrame) -> int:
-        """Inserts chunks, or replaces those with their key; of chunks with one key the last counts. Returns their number."""
-        n = self.validate(chunks)
-        for (space,) in chunks.select("space_key").distinct().collect():
-            new = self._latest(chunks.where(F.col("space_key") == space))
-            self._write(space, merged(self._current(space), new, KEY).select(*_COLUMNS))
+        """Inserts chunks, or replaces those with their key, in one atomic write. Returns their number.
+
+        Of chunks with one key the one with the largest position counts; without that column, keys that repeat raise ValueError.
+        """
+        batch, n, path = self._staged(chunks, None)
+        self._put(batch, self._spaces(batch), None)
+        self._remove(path)
         return n
 
     def delete_source(self, space_key: str, source_id: str) -> int:
         """Removes a source from one space; returns how many chunks went."""
-        if space_key not in self._state()["spaces"]:
-            return 0
-        now = self._current(space_key)
+        now = self.read(space_key) if space_key in self._state().get("spaces", {}) else self._at([])
         n = now.where(F.col("source_id") == source_id).count()
         if n:
-            self._write(space_key, without_source(now, space_key, source_id))
+            self._commit([space_key], without_source(now, space_key, source_id))
         return n
 
+    def vacuum(self) -> int:
+        """Removes folders that the current version does not read, and returns their number. Readers of older versions lose them."""
+        used = {p.split("/data/")[1].split("/")[0] for p in self._state().get("spaces", {}).values()}
+        gone = 0
+        for name in ("data", "staged"):
+            fs, at = self._fs(f"{self.folder}/{name}")
+            for x in fs.listStatus(at) if fs.exists(at) else ():
+                if name == "staged" or x.getPath().getName() not in used:
+                    fs.delete(x.getPath(), True)
+                    gone += 1
+        return gone
+
     def search(self, query_embedding: list[float], space_key: str | None = None, top_k: int = 5) -> DataFrame:
         from spindrift.operators import retrieval
 
