@@ -14,8 +14,9 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from spindrift.functions import text as T
 
@@ -152,16 +153,13 @@ def _up_to(e: Column) -> Callable[[Column], Column]:
     return lambda i: i <= e
 
 
-def _stretch(places: list[Column]) -> Callable[[Column], Column]:
+def _stretch(places: Column) -> Callable[[Column], Column]:
     """The shortest stretch that ends at e and holds a place of each list, if there is one."""
 
     def start(e: Column) -> Column:
-        latest = [F.array_max(F.filter(p, _up_to(e))) for p in places]
-        least = latest[0] if len(latest) == 1 else F.least(*latest)
-        complete = F.lit(True)
-        for x in latest:
-            complete = complete & x.isNotNull()
-        return F.when(complete, F.struct(least.alias("s"), e.alias("e")))
+        latest = F.transform(places, lambda p: F.array_max(F.filter(p, _up_to(e))))
+        complete = ~F.exists(latest, lambda x: x.isNull())
+        return F.when(complete, F.struct(F.array_min(latest).alias("s"), e.alias("e")))
 
     return start
 
@@ -194,18 +192,59 @@ def matches(positions: Column, query: list[list[Phrase]]) -> Column:
     return found
 
 
-def cover_density(positions: Column, query: list[list[Phrase]]) -> Column:
-    """The sum of 1 / length over the minimal stretches that hold a place of each wanted phrase, of the best alternative.
+def density(places: Column) -> Column:
+    """The sum of 1 / length over the minimal stretches that hold a place of each list of array<array<int>>, rounded to 9 decimals.
 
-    A stretch ends at each place; it starts at the smallest of the phrases' last places up to there. Only the
+    A stretch ends at each place; it starts at the smallest of the lists' last places up to there. Only the
     first stretch from each start is minimal.
     """
-    scores = []
-    for alternative in query:
-        places = [_starts(positions, p) for p in alternative if p.wanted]
-        ends = F.array_sort(F.array_distinct(F.flatten(F.array(*places))))
-        stretches = F.filter(F.transform(ends, _stretch(places)), lambda x: x.isNotNull())
-        scores.append(F.aggregate(_minimal(stretches), F.lit(0.0), lambda t, x: t + F.lit(1.0) / (x["e"] - x["s"] + 1)))
+    ends = F.array_sort(F.array_distinct(F.flatten(places)))
+    stretches = F.filter(F.transform(ends, _stretch(places)), lambda x: x.isNotNull())
+    return F.round(F.aggregate(_minimal(stretches), F.lit(0.0), lambda t, x: t + F.lit(1.0) / (x["e"] - x["s"] + 1)), 9)
+
+
+def cover_density(positions: Column, query: list[list[Phrase]]) -> Column:
+    """The density() of the wanted phrases' starts, of the best alternative; 0 for a query of nothing."""
+    scores = [density(F.array(*(_starts(positions, p) for p in alternative if p.wanted))) for alternative in query]
     if not scores:
         return F.lit(0.0)
     return scores[0] if len(scores) == 1 else F.greatest(*scores)
+
+
+def query_terms(queries: DataFrame, analyzer: str = "english") -> DataFrame:
+    """query_id, alt, phrase, wanted, term, shift, size, needed: the terms of queries(query_id, query_text), parsed.
+
+    size is the number of the phrase's terms, needed that of the alternative's wanted phrases. A query of
+    nothing has no rows.
+    """
+
+    @F.pandas_udf("array<struct<alt:int,phrase:int,wanted:boolean,term:string,shift:int,size:int,needed:int>>")
+    def parsed(texts: pd.Series) -> pd.Series:
+        return pd.Series([[
+            (a, p, phrase.wanted, term, shift, len(phrase.terms), sum(x.wanted for x in alternative))
+            for a, alternative in enumerate(parse_query(text or "", analyzer)) for p, phrase in enumerate(alternative) for term, shift in phrase.terms
+        ] for text in texts])
+
+    return queries.select("query_id", F.explode(parsed(F.col("query_text"))).alias("x")).select("query_id", "x.*")
+
+
+@F.pandas_udf(StringType())
+def _stems(words: pd.Series) -> pd.Series:
+    return words.map(stem)
+
+
+def word_rows(texts: DataFrame, key: list[str], text: str, wanted: DataFrame, analyzer: str = "english") -> DataFrame:
+    """key, term, positions array<int>: where texts have the terms of wanted(term), from 1, as term_positions() would say.
+
+    Words are cut by built-in functions. Under `english` only the distinct words of all texts are stemmed, in
+    Python; words whose stems are wanted are looked up.
+    """
+    if analyzer not in ANALYZERS:
+        raise ValueError(f"no analyzer {analyzer}")
+    if analyzer == "simple":
+        names = wanted.select(F.col("term").alias("word"), "term")
+    else:
+        words = texts.select(F.explode(F.array_distinct(T.terms(F.col(text)))).alias("word")).distinct().where(~F.col("word").isin(sorted(STOP_WORDS)))
+        names = words.withColumn("term", _stems("word")).join(wanted, "term")
+    rows = texts.select(*key, F.posexplode(T.terms(F.col(text))).alias("i", "word")).join(names, "word")
+    return rows.groupBy(*key, "term").agg(F.array_sort(F.collect_list(F.col("i") + 1)).alias("positions"))

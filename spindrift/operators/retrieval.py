@@ -7,6 +7,7 @@ carried along but joined back to what is left.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections.abc import Sequence
@@ -26,6 +27,8 @@ TOP_K, CANDIDATE_K, RRF_K, TRGM_THRESHOLD = 5, 20, 60, 0.2
 
 #: The most queries that go to every task as one table.
 MOST_QUERIES = 10_000
+#: The most short rows (terms, trigrams, candidates) that go to every task as one table; more are joined by shuffles.
+MOST_SENT = 1_000_000
 KEY = ["space_key", "chunk_id"]
 
 
@@ -56,19 +59,36 @@ def _sent(queries: DataFrame) -> DataFrame:
     return F.broadcast(queries)
 
 
+def _blocks(queries: DataFrame) -> list[DataFrame]:
+    """Queries by blocks that go to every task, one after the other; a block has about half of MOST_QUERIES at most."""
+    n = queries.count()
+    if n <= MOST_QUERIES:
+        return [F.broadcast(queries)]
+    parts = -(-2 * n // MOST_QUERIES)
+    return [F.broadcast(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)) for i in range(parts)]
+
+
+def _if_small(df: DataFrame, rows: int) -> DataFrame:
+    """df, as a table for every task where it has at most MOST_SENT rows, of which the caller knows the number."""
+    return F.broadcast(df) if rows <= MOST_SENT else df
+
+
 def _ranked(scored: DataFrame, order: list[Column], k: int, rank: str) -> DataFrame:
     window = Window.partitionBy("query_id").orderBy(*order, *(F.col(c).asc() for c in KEY))
     return scored.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
 
 
 def vector_candidates(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, space_key, chunk_id, distance, vector_rank: the k nearest of each query by (distance, key); NaN comes last."""
+    """query_id, space_key, chunk_id, distance, vector_rank: the k nearest of each query by (distance, key); NaN comes last.
+
+    Queries meet all chunks in blocks of MOST_QUERIES; a task keeps the k best of each query of what it reads.
+    """
     base = chunks.select(*KEY, V.doubles(F.col("embedding")).alias("v"))
     base = base.withColumn("n", V.norm(F.col("v")))
     asked = queries.select("query_id", V.doubles(F.col("query_embedding")).alias("q")).withColumn("m", V.norm(F.col("q")))
     distance = V.cosine_distance(F.col("v"), F.col("q"), F.col("n"), F.col("m"))
-    scored = base.crossJoin(_sent(asked)).select("query_id", *KEY, distance.alias("distance"))
-    return _ranked(scored, [F.col("distance").asc()], k, "vector_rank")
+    found = [_ranked(base.crossJoin(some).select("query_id", *KEY, distance.alias("distance")), [F.col("distance").asc()], k, "vector_rank") for some in _blocks(asked)]
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def search(chunks: DataFrame, query_embedding: Sequence[float], space_key: str | None = None, top_k: int = TOP_K, dimension: int | None = None) -> DataFrame:
@@ -79,25 +99,33 @@ def search(chunks: DataFrame, query_embedding: Sequence[float], space_key: str |
     return in_space(chunks, space_key).withColumn("distance", near).drop("embedding").orderBy("distance", *KEY).limit(top_k)
 
 
-def fulltext_candidates(chunks: DataFrame, queries: Sequence[tuple[str, str]], k: int, analyzer: str = "english") -> DataFrame:
-    """query_id, space_key, chunk_id, text_score, fts_rank for (query_id, text) pairs of the driver's.
+def fulltext_matches(chunks: DataFrame, queries: DataFrame, analyzer: str = "english") -> DataFrame:
+    """query_id, space_key, chunk_id, text_score of all chunks that satisfy queries(query_id, query_text).
 
-    Each query is parsed on the driver to one expression; chunks come with `terms` (a map of positions) or
-    are analyzed here. All queries share one scan of the chunks.
+    Terms of queries meet the chunks' terms by an equi-join: stored ones (`terms`, maps of positions), or the
+    words of `content`. Only matching terms' positions move: they make phrases, phrases alternatives.
     """
-    terms = F.col("terms") if "terms" in chunks.columns else FT.term_positions(F.col("content"), analyzer)
-    base = chunks.select(*KEY, terms.alias("terms"))
-    cases = []
-    for name, text in queries:
-        parsed = FT.parse_query(text, analyzer)
-        if parsed:
-            found = FT.matches(F.col("terms"), parsed)
-            cases.append(F.when(found, F.struct(F.lit(name).alias("query_id"), FT.cover_density(F.col("terms"), parsed).alias("text_score"))))
-    spark = chunks.sparkSession
-    if not cases:
-        return spark.createDataFrame([], "query_id string, space_key string, chunk_id string, text_score double, fts_rank int")
-    hits = base.select(*KEY, F.explode(F.filter(F.array(*cases), lambda x: x.isNotNull())).alias("hit")).select("hit.query_id", *KEY, "hit.text_score")
-    return _ranked(hits, [F.col("text_score").desc()], k, "fts_rank")
+    asked = FT.query_terms(queries, analyzer)
+    terms = asked.select("term").distinct()
+    terms = _if_small(terms, terms.limit(MOST_SENT + 1).count())
+    if "terms" in chunks.columns:
+        rows = chunks.select(*KEY, F.explode("terms").alias("term", "positions")).join(terms, "term")
+    else:
+        rows = FT.word_rows(chunks, KEY, "content", terms, analyzer)
+    asked = _if_small(asked, asked.limit(MOST_SENT + 1).count())
+    begin = F.transform("positions", lambda p: p - F.col("shift")).alias("begin")
+    found = rows.join(asked, "term").select("query_id", *KEY, "alt", "phrase", "wanted", "size", "needed", begin)
+    phrases = found.groupBy("query_id", *KEY, "alt", "phrase", "wanted", "size", "needed").agg(F.collect_list("begin").alias("all")).where(F.size("all") == F.col("size"))
+    starts = F.aggregate(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0))), F.element_at("all", 1), F.array_intersect)
+    phrases = phrases.withColumn("starts", starts).where(F.size("starts") > 0)
+    alternatives = phrases.groupBy("query_id", *KEY, "alt", "needed").agg(F.count_if(~F.col("wanted")).alias("unwanted"), F.collect_list(F.when(F.col("wanted"), F.col("starts"))).alias("places"))
+    good = alternatives.where((F.col("unwanted") == 0) & (F.size("places") == F.col("needed")))
+    return good.select("query_id", *KEY, FT.density(F.col("places")).alias("score")).groupBy("query_id", *KEY).agg(F.max("score").alias("text_score"))
+
+
+def fulltext_candidates(chunks: DataFrame, queries: DataFrame, k: int, analyzer: str = "english") -> DataFrame:
+    """query_id, space_key, chunk_id, text_score, fts_rank: the k best matches of each query by (score, key)."""
+    return _ranked(fulltext_matches(chunks, queries, analyzer), [F.col("text_score").desc()], k, "fts_rank")
 
 
 def _extent(q: list[str], t: list[str]) -> float:
@@ -128,39 +156,78 @@ def _extent(q: list[str], t: list[str]) -> float:
     return best
 
 
-@F.pandas_udf(ST.DoubleType())
-def _word_similarity(q: pd.Series, t: pd.Series) -> pd.Series:
-    return pd.Series([_extent(list(a), list(b)) for a, b in zip(q, t)], dtype=float)
-
-
-def _text_trigrams(text: str | None) -> list[str]:
-    padded = [f"  {w} " for w in re.findall(r"\w+", (text or "").lower())]
-    return [p[i : i + 3] for p in padded for i in range(len(p) - 2)]
+def stretch_similarity(query: str, content: str) -> float:
+    """word_similarity() of two strings."""
+    q, t = ([f"  {w} "[i : i + 3] for w in re.findall(r"\w+", text.lower()) for i in range(len(w) + 1)] for text in (query, content))
+    return _extent(list(dict.fromkeys(q)), t) if q else 0.0
 
 
 @F.pandas_udf(ST.DoubleType())
-def _text_similarity(q: pd.Series, t: pd.Series) -> pd.Series:
-    return pd.Series([_extent(list(dict.fromkeys(_text_trigrams(a))), _text_trigrams(b)) if _text_trigrams(a) else 0.0 for a, b in zip(q, t)], dtype=float)
+def _similarity(q: pd.Series, t: pd.Series) -> pd.Series:
+    return pd.Series([stretch_similarity(a or "", b or "") for a, b in zip(q, t)], dtype=float)
 
 
 def word_similarity(query: Column, content: Column) -> Column:
-    """The similarity of a text's trigrams to the most similar contiguous stretch of a content's, from 0 to 1."""
-    return _text_similarity(query, content)
+    """The similarity of a text's trigrams to the most similar contiguous stretch of a content's, from 0 to 1; 0 for a null."""
+    return _similarity(query, content)
 
 
 def trigram_candidates(chunks: DataFrame, queries: DataFrame, k: int, threshold: float = TRGM_THRESHOLD) -> DataFrame:
     """query_id, space_key, chunk_id, trgm_score, trgm_rank: chunks with a word similarity of threshold or more.
 
-    The share of a query's trigrams that a chunk has at all bounds the similarity, so chunks with too small a
-    share are left out by set functions before any stretch is looked at.
+    The share of a query's trigrams that a chunk has at all bounds the similarity. Trigrams of chunks meet
+    those of queries by an equi-join and are counted; contents come for pairs with a sufficient share only.
     """
-    base = chunks.select(*KEY, T.trigrams(F.col("content")).alias("t")).withColumn("ts", F.array_distinct("t"))
-    asked = queries.select("query_id", T.trigram_set(F.col("query_text")).alias("q")).where(F.size("q") > 0)
-    near = base.crossJoin(_sent(asked)).where(F.size(F.array_intersect("q", "ts")) >= F.lit(threshold) * F.size("q"))
-    scored = near.select("query_id", *KEY, _word_similarity("q", "t").alias("trgm_score")).where((F.col("trgm_score") >= threshold) & (F.col("trgm_score") > 0))
+    asked = queries.select("query_id", "query_text", T.trigram_set(F.col("query_text")).alias("q")).withColumn("least", F.greatest(F.lit(threshold) * F.size("q"), F.lit(1)))
+    wanted = asked.select("query_id", "least", F.explode("q").alias("trigram"))
+    wanted = _if_small(wanted, wanted.limit(MOST_SENT + 1).count())
+    own = chunks.select(*KEY, F.explode(T.trigram_set(F.col("content"))).alias("trigram"))
+    shares = own.join(wanted, "trigram").groupBy("query_id", *KEY, "least").agg(F.count("*").alias("n")).where("n >= least").select("query_id", *KEY)
+    texts = chunks.select(*KEY, "content").join(shares, KEY).join(_if_small(asked.select("query_id", "query_text"), asked.limit(MOST_SENT + 1).count()), "query_id")
+    once = _similarity.asNondeterministic()  # else a filter would work it out again
+    scored = texts.select("query_id", *KEY, once("query_text", "content").alias("trgm_score")).where((F.col("trgm_score") >= threshold) & (F.col("trgm_score") > 0))
     return _ranked(scored, [F.col("trgm_score").desc()], k, "trgm_rank")
 
 
+def _rarest(sets: DataFrame, key: str, often: DataFrame, keep: Column) -> DataFrame:
+    """key, trigram, n of the first `keep` trigrams of each of sets(key, trigrams, n): those that fewest sets of `often` have."""
+    rows = sets.select(key, "n", F.explode("trigrams").alias("trigram")).join(often, "trigram", "left")
+    order = Window.partitionBy(key).orderBy(F.coalesce("often", F.lit(0)), "trigram")
+    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= keep).select(key, "trigram", "n")
+
+
+def similar_sets(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """left_id, right_id, similarity of all pairs of left(left_id, trigrams) and right(right_id, trigrams) with a Jaccard similarity of least or more.
+
+    Pairs must share one of the rarest trigrams of each, as many as the smaller share leaves room for, and be
+    of like size; such pairs are joined by trigram and then compared. Ids must be unique; empty sets pair with nothing.
+    """
+    left, right = (x.withColumn("n", F.size("trigrams")).where("n > 0") for x in (left, right))
+    low, high = right.agg(F.min("n"), F.max("n")).first()
+    if low is None:
+        return left.select("left_id").crossJoin(right.select("right_id")).withColumn("similarity", F.lit(0.0)).where("false")
+    left = left.where(F.col("n").between(F.floor(F.lit(least * low)), F.ceil(F.lit(high / least))))
+    often = right.select(F.explode("trigrams").alias("trigram")).union(left.select(F.explode("trigrams"))).groupBy("trigram").agg(F.count("*").alias("often"))
+    keep = F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1
+    one = _rarest(left, "left_id", often, keep).withColumnRenamed("n", "n_left")
+    two = _rarest(right, "right_id", often, keep).withColumnRenamed("n", "n_right")
+    alike = (F.col("n_left") >= least * F.col("n_right") - 1e-9) & (F.col("n_right") >= least * F.col("n_left") - 1e-9)
+    pairs = one.join(two, "trigram").where(alike).select("left_id", "right_id").distinct()
+    full = pairs.join(left.select("left_id", "trigrams"), "left_id").join(right.select("right_id", F.col("trigrams").alias("others")), "right_id")
+    return full.select("left_id", "right_id", T.set_similarity(F.col("trigrams"), F.col("others")).alias("similarity")).where(F.col("similarity") >= least)
+
+
+def holding_sets(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """left_id, right_id of all pairs where left's trigrams hold at least the share `least` of right's; inputs as in similar_sets()."""
+    left, right = (x.withColumn("n", F.size("trigrams")).where("n > 0") for x in (left, right))
+    own = left.select("left_id", F.explode("trigrams").alias("trigram"))
+    often = own.join(right.select(F.explode("trigrams").alias("trigram")).distinct(), "trigram").groupBy("trigram").agg(F.count("*").alias("often"))
+    few = _rarest(right, "right_id", often, F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1)
+    pairs = own.join(few, "trigram").select("left_id", "right_id").distinct()
+    full = pairs.join(left.select("left_id", "trigrams"), "left_id").join(right.select("right_id", F.col("trigrams").alias("wanted"), "n"), "right_id")
+    return full.where(F.size(F.array_intersect("trigrams", "wanted")) >= F.lit(least) * F.col("n")).select("left_id", "right_id")
+
+
 def fuse(vector: DataFrame, fts: DataFrame, trgm: DataFrame, rrf_k: int = RRF_K) -> DataFrame:
     """query_id, space_key, chunk_id, vector_rank, fts_rank, trgm_rank, rrf_score of all candidates, each once.
 
@@ -187,12 +254,12 @@ def hybrid(chunks: DataFrame, queries: DataFrame, space_key: str | None = None,
     """
     check_arguments(top_k, candidate_k, rrf_k, trgm_threshold)
     found = in_space(chunks, space_key)
-    texts = [(r["query_id"], r["query_text"]) for r in queries.select("query_id", "query_text").limit(MOST_QUERIES + 1).collect()]
-    fused = fuse(vector_candidates(found, queries, candidate_k), fulltext_candidates(found, texts, candidate_k, analyzer), trigram_candidates(found, queries, candidate_k, trgm_threshold), rrf_k)
+    fused = fuse(vector_candidates(found, queries, candidate_k), fulltext_candidates(found, queries, candidate_k, analyzer), trigram_candidates(found, queries, candidate_k, trgm_threshold), rrf_k)
+    n = queries.count()
     kept = [c for c in found.columns if c not in ("embedding", "terms", *KEY)]
-    full = found.select(*KEY, *kept, V.doubles(F.col("embedding")).alias("v")).join(F.broadcast(fused), KEY)  # 3 * candidate_k rows a query
+    full = found.select(*KEY, *kept, V.doubles(F.col("embedding")).alias("v")).join(_if_small(fused, 3 * candidate_k * n), KEY)
     asked = queries.select("query_id", V.doubles(F.col("query_embedding")).alias("q"))
-    near = full.join(F.broadcast(asked), "query_id").withColumn("distance", V.cosine_distance(F.col("v"), F.col("q")))
+    near = full.join(F.broadcast(asked) if n <= MOST_QUERIES else asked, "query_id").withColumn("distance", V.cosine_distance(F.col("v"), F.col("q")))
     order = Window.partitionBy("query_id").orderBy(F.desc("rrf_score"), F.asc("distance"), *(F.asc(c) for c in KEY))
     return near.withColumn("ref", F.row_number().over(order)).where(F.col("ref") <= top_k).select("query_id", "ref", *KEY, *kept, "distance", "rrf_score", "vector_rank", "fts_rank", "trgm_rank")
 

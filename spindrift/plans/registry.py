@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.functions import embedding, fulltext, vectors
+from spindrift.functions import embedding, vectors
 from spindrift.functions import text as T
 from spindrift.operators import chunking, citations, evaluation, grounding, retrieval
 from spindrift.plans import guard
@@ -97,11 +99,12 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _chunks(spark, sf_dir)
     asked = _asked(chunks)
     near = retrieval.vector_candidates(chunks, asked, 20)
-    pairs = chunks.crossJoin(F.broadcast(asked))  # a stated query set, checked by vector_candidates
+    blocks = retrieval._blocks(asked)  # a stated query set
 
     def by(i: int, rank: str) -> DataFrame:
         gap = F.abs(F.col("embedding")[i].cast("double") - F.col("query_embedding")[i].cast("double"))
-        return retrieval._ranked(pairs.select("query_id", "space_key", "chunk_id", gap.alias("gap")), [F.col("gap").asc()], 20, rank)
+        found = [retrieval._ranked(chunks.crossJoin(some).select("query_id", "space_key", "chunk_id", gap.alias("gap")), [F.col("gap").asc()], 20, rank) for some in blocks]
+        return functools.reduce(DataFrame.unionByName, found)
 
     fused = retrieval.fuse(near, by(0, "fts_rank"), by(1, "trgm_rank"))
     return fused.select("query_id", F.col("chunk_id").cast("long").alias("vec_id"), "vector_rank", "fts_rank", "trgm_rank", F.round("rrf_score", 9).alias("rrf_score"))
@@ -131,42 +134,51 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TOKENS = r"t AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents)"
 
 
-def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = _as_chunks(table(spark, sf_dir, "documents"))
-    return chunks.withColumn("terms", fulltext.term_positions(F.col("content"), "simple"))
+def _question(spark: SparkSession, text: str) -> DataFrame:
+    return spark.createDataFrame([("q", text)], "query_id string, query_text string")
 
 
 @_query(f"""WITH {_TOKENS}, s AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS j FROM t)
 SELECT doc_id FROM s WHERE (list_contains(w, 'license') AND NOT list_contains(w, 'apache')) OR j LIKE '% rights reserved %'""")
 def fts_simple_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with one word and without another, or with a phrase."""
-    query = fulltext.parse_query('license -apache or "rights reserved"', "simple")
-    return _terms(spark, sf_dir).where(fulltext.matches(F.col("terms"), query)).select("doc_id")
+    chunks = _as_chunks(table(spark, sf_dir, "documents"))
+    found = retrieval.fulltext_matches(chunks, _question(spark, 'license -apache or "rights reserved"'), "simple")
+    return found.select(F.col("chunk_id").cast("long").alias("doc_id"))
 
 
-@_query(f"""WITH {_TOKENS}, p AS (SELECT doc_id, lang, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM t),
-a AS (SELECT doc_id, lang, i AS e, max(CASE WHEN x = 'the' THEN i END) OVER o AS f, max(CASE WHEN x = 'license' THEN i END) OVER o AS g FROM p WHERE x IN ('the', 'license') WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+_COVERS = """a AS (SELECT doc_id, lang, i AS e, max(CASE WHEN x = 'f' THEN i END) OVER o AS f, max(CASE WHEN x = 'g' THEN i END) OVER o AS g FROM p WHERE x IN ('f', 'g') WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 b AS (SELECT doc_id, lang, least(f, g) AS s, e FROM a WHERE f IS NOT NULL AND g IS NOT NULL),
 c AS (SELECT *, lag(s) OVER (PARTITION BY doc_id ORDER BY e) AS before FROM b),
-m AS (SELECT doc_id, any_value(lang) AS lang, sum(1::DOUBLE / (e - s + 1)) AS score FROM c WHERE before IS NULL OR before < s GROUP BY doc_id),
+m AS (SELECT doc_id, any_value(lang) AS lang, sum(1::DOUBLE / (e - s + 1)) AS score FROM c WHERE before IS NULL OR before < s GROUP BY doc_id)"""
+
+
+@_query(f"""WITH {_TOKENS}, w AS (SELECT doc_id, lang, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM t),
+p AS (SELECT doc_id, lang, i, CASE x WHEN 'the' THEN 'f' WHEN 'license' THEN 'g' END AS x FROM w), {_COVERS},
 r AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, lang, doc_id) AS k FROM m)
 SELECT doc_id, k::INT AS fts_rank, round(score, 9) AS text_score FROM r WHERE k <= 20""")
 def fts_simple_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty documents with the densest covers of two words."""
-    query = fulltext.parse_query("the license", "simple")
-    hits = _terms(spark, sf_dir).where(fulltext.matches(F.col("terms"), query))
-    scored = hits.select(F.lit("q").alias("query_id"), "space_key", "chunk_id", "doc_id", F.round(fulltext.cover_density(F.col("terms"), query), 9).alias("text_score"))
-    return retrieval._ranked(scored, [F.col("text_score").desc()], 20, "fts_rank").select("doc_id", "fts_rank", "text_score")
+    found = retrieval.fulltext_candidates(_as_chunks(table(spark, sf_dir, "documents")), _question(spark, "the license"), 20, "simple")
+    return found.select(F.col("chunk_id").cast("long").alias("doc_id"), "fts_rank", "text_score")
 
 
-@_query()
+#: The English words whose Porter stems are those of `license` and of `rights`.
+_STEMS = "CASE WHEN x IN ('license', 'licenses', 'licensed', 'licensing') THEN 'f' WHEN x IN ('version', 'versions') THEN 'g' WHEN x IN ('right', 'rights', 'righted', 'righting') THEN 'h' END"
+
+
+@_query(f"""WITH {_TOKENS}, w AS (SELECT doc_id, lang, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM t),
+p AS (SELECT doc_id, lang, i, {_STEMS} AS x FROM w), {_COVERS},
+z AS (SELECT doc_id, lang, max(score) AS score FROM (SELECT doc_id, lang, score FROM m UNION ALL SELECT doc_id, any_value(lang), count(*)::DOUBLE FROM p WHERE x = 'h' GROUP BY doc_id) GROUP BY doc_id, lang),
+r AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, lang, doc_id) AS k FROM z)
+SELECT doc_id, k::INT AS fts_rank, round(score, 9) AS text_score FROM r WHERE k <= 20""")
 def fts_english(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty best documents for a question under the English analyzer."""
-    found = retrieval.fulltext_candidates(_as_chunks(table(spark, sf_dir, "documents")), [("q", "licensed works or rights")], 20, "english")
-    return found.select(F.col("chunk_id").cast("long").alias("doc_id"), "fts_rank", F.round("text_score", 6).alias("text_score"))
+    found = retrieval.fulltext_candidates(_as_chunks(table(spark, sf_dir, "documents")), _question(spark, "licensed by the versions or rights"), 20, "english")
+    return found.select(F.col("chunk_id").cast("long").alias("doc_id"), "fts_rank", "text_score")
 
 
-_TRIGRAMS = r"list_distinct(flatten(list_transform(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}\p{{M}}_]+'), lambda w: list_transform(range(1, len(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
+_TRIGRAMS = r"list_distinct(flatten(list_transform(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+'), lambda w: list_transform(range(1, len(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
 
 
 @_query(f"""WITH d AS (SELECT doc_id, {_TRIGRAMS.format('text')} AS t FROM documents), b AS (SELECT item_id, {_TRIGRAMS.format('text')} AS q FROM benchmark),
@@ -174,20 +186,21 @@ s AS (SELECT doc_id, item_id, len(list_intersect(t, q)) AS n, len(t) AS x, len(q
 SELECT doc_id, item_id, round(n::DOUBLE / (x + y - n), 6) AS similarity FROM s WHERE n::DOUBLE / (x + y - n) >= 0.5""")
 def trigram_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and benchmark items whose trigram sets are alike."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", T.trigram_set(F.col("text")).alias("t"))
-    items = table(spark, sf_dir, "benchmark").select("item_id", T.trigram_set(F.col("text")).alias("q"))
-    pairs = docs.crossJoin(retrieval._sent(items)).withColumn("similarity", T.set_similarity(F.col("t"), F.col("q")))
-    return pairs.where("similarity >= 0.5").select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"))
+    found = retrieval.similar_sets(*_trigram_sets(spark, sf_dir), 0.5)
+    return found.select(F.col("left_id").alias("doc_id"), F.col("right_id").alias("item_id"), F.round("similarity", 6).alias("similarity"))
+
+
+def _trigram_sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("left_id"), T.trigram_set(F.col("text")).alias("trigrams"))
+    return docs, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("right_id"), T.trigram_set(F.col("text")).alias("trigrams"))
 
 
 @_query(f"""WITH d AS (SELECT doc_id, {_TRIGRAMS.format('text')} AS t FROM documents), b AS (SELECT item_id, {_TRIGRAMS.format('text')} AS q FROM benchmark)
 SELECT item_id, count(*)::BIGINT AS candidates FROM d, b WHERE len(list_intersect(t, q)) >= 0.8 * len(q) GROUP BY item_id""")
 def trigram_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many documents hold enough of an item's trigrams to be looked at."""
-    docs = table(spark, sf_dir, "documents").select(T.trigram_set(F.col("text")).alias("t"))
-    items = table(spark, sf_dir, "benchmark").select("item_id", T.trigram_set(F.col("text")).alias("q"))
-    kept = docs.crossJoin(retrieval._sent(items)).where(F.size(F.array_intersect("t", "q")) >= F.lit(0.8) * F.size("q"))
-    return kept.groupBy("item_id").agg(F.count("*").alias("candidates"))
+    found = retrieval.holding_sets(*_trigram_sets(spark, sf_dir), 0.8)
+    return found.groupBy(F.col("right_id").alias("item_id")).agg(F.count("*").alias("candidates"))
 
 
 @_query()
@@ -275,13 +288,14 @@ def oversize_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("source_id").cast("long").alias("doc_id"), "seq", F.md5("content").alias("content"), F.length("content").alias("n"))
 
 
-@_query(f"""WITH {_TOKENS}, k AS (SELECT doc_id, sha256(unnest(w)) AS h FROM t),
+@_query(r"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents), k AS (SELECT doc_id, sha256(unnest(w)) AS h FROM t),
 b AS (SELECT doc_id, (('0x' || h[1:8])::BIGINT % 64)::INT AS bucket, sum(CASE WHEN ('0x' || h[9:10])::INT % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS s FROM k GROUP BY ALL),
 n AS (SELECT doc_id, sqrt(sum(s * s)) AS n FROM b GROUP BY doc_id)
 SELECT doc_id, bucket, round(s / n, 9) AS weight FROM b JOIN n USING (doc_id) WHERE s <> 0""")
 def hashed_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The non-zero coordinates of all documents' hashed vectors."""
-    return embedding.hashed_table(table(spark, sf_dir, "documents"), ["doc_id"], "text", 64).select("doc_id", "bucket", F.round("weight", 9).alias("weight"))
+    made = embedding.hashed(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", dimension=64)
+    return made.select("doc_id", F.posexplode("embedding").alias("bucket", "weight")).where("weight <> 0").select("doc_id", "bucket", F.round("weight", 9).alias("weight"))
 
 
 # --- the chunk table
@@ -452,19 +466,79 @@ _GUARDED = {
     "guarded_sql_dates": """SELECT CAST(extract(YEAR FROM o_orderdate) AS BIGINT) AS y, CAST(extract(MONTH FROM o_orderdate) AS BIGINT) AS m, count(*) AS n FROM orders GROUP BY extract(YEAR FROM o_orderdate), extract(MONTH FROM o_orderdate) ORDER BY y, m LIMIT 50""",
     "guarded_sql_topk": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 10",
 }
+#: Families whose wording differs between the engines: Spark's and DuckDB's.
+_GUARDED_TWICE = {
+    "guarded_sql_pivot": ("""SELECT * FROM (SELECT o_orderpriority AS priority, o_orderstatus, o_orderkey FROM orders) PIVOT (count(o_orderkey) FOR o_orderstatus IN ('F' AS f, 'O' AS o, 'P' AS p)) ORDER BY priority LIMIT 50""",
+        """SELECT o_orderpriority AS priority, nullif(count(*) FILTER (WHERE o_orderstatus = 'F'), 0) AS f, nullif(count(*) FILTER (WHERE o_orderstatus = 'O'), 0) AS o, nullif(count(*) FILTER (WHERE o_orderstatus = 'P'), 0) AS p
+        FROM orders GROUP BY o_orderpriority ORDER BY priority LIMIT 50"""),
+    "guarded_sql_unpivot": ("""SELECT n_nationkey, what, value FROM (SELECT n_nationkey, n_regionkey AS region, n_nationkey * 2 AS double FROM nation) UNPIVOT (value FOR what IN (region, double)) ORDER BY n_nationkey, what LIMIT 50""",
+        """SELECT n_nationkey, what, value FROM (SELECT n_nationkey, 'region' AS what, n_regionkey AS value FROM nation UNION ALL SELECT n_nationkey, 'double', n_nationkey * 2 FROM nation) ORDER BY n_nationkey, what LIMIT 50"""),
+    "guarded_sql_arrays": ("""SELECT c_nationkey, CAST(size(s) AS BIGINT) AS kinds, array_join(s, ',') AS names, array_contains(s, 'BUILDING') AS builds, element_at(s, 1) AS first FROM (SELECT c_nationkey, array_sort(collect_set(c_mktsegment)) AS s FROM customer GROUP BY c_nationkey) x ORDER BY c_nationkey LIMIT 50""",
+        """SELECT c_nationkey, len(s) AS kinds, array_to_string(s, ',') AS names, list_contains(s, 'BUILDING') AS builds, s[1] AS first FROM (SELECT c_nationkey, list_sort(list(DISTINCT c_mktsegment)) AS s FROM customer GROUP BY c_nationkey) x ORDER BY c_nationkey LIMIT 50"""),
+    "guarded_sql_lambdas": ("""SELECT r_regionkey, array_join(transform(filter(split(r_name, ''), x -> x <> 'A'), x -> lower(x)), '') AS rest, aggregate(sequence(1, CAST(r_regionkey AS INT) + 2), CAST(0 AS BIGINT), (s, x) -> s + x) AS total FROM region ORDER BY r_regionkey LIMIT 50""",
+        """SELECT r_regionkey, lower(replace(r_name, 'A', '')) AS rest, list_sum(range(1, r_regionkey::INT + 3))::BIGINT AS total FROM region ORDER BY r_regionkey LIMIT 50"""),
+    "guarded_sql_maps": ("""SELECT n_nationkey, m['name'] AS name, array_join(array_sort(map_keys(m)), ',') AS keys, s.k AS k FROM (SELECT n_nationkey, map('name', n_name, 'region', CAST(n_regionkey AS STRING)) AS m, named_struct('k', n_regionkey + 1) AS s FROM nation) x ORDER BY n_nationkey LIMIT 50""",
+        """SELECT n_nationkey, n_name AS name, 'name,region' AS keys, n_regionkey + 1 AS k FROM nation ORDER BY n_nationkey LIMIT 50"""),
+    "guarded_sql_json": ("""SELECT s_suppkey, get_json_object(j, '$.name') AS name, from_json(j, 'key BIGINT').key AS k FROM (SELECT s_suppkey, to_json(named_struct('key', s_nationkey, 'name', s_name)) AS j FROM supplier) x ORDER BY s_suppkey LIMIT 50""",
+        """SELECT s_suppkey, s_name AS name, s_nationkey::BIGINT AS k FROM supplier ORDER BY s_suppkey LIMIT 50"""),
+    "guarded_sql_approx": ("""SELECT o_orderstatus, abs(approx_count_distinct(o_custkey, 0.01) - count(DISTINCT o_custkey)) <= 0.05 * count(DISTINCT o_custkey) + 1 AS near, abs(approx_percentile(o_totalprice, 0.5, 10000) - median(o_totalprice)) <= 0.02 * median(o_totalprice) AS middle FROM orders GROUP BY o_orderstatus ORDER BY o_orderstatus LIMIT 50""",
+        """SELECT o_orderstatus, true AS near, true AS middle FROM orders GROUP BY o_orderstatus ORDER BY o_orderstatus LIMIT 50"""),
+    "guarded_sql_recursive": ("""WITH RECURSIVE steps(n, total) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, total * 2 FROM steps WHERE n < 20) SELECT n, total, n_name FROM steps JOIN nation ON n_nationkey = n ORDER BY n LIMIT 50""",
+        """WITH RECURSIVE steps(n, total) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, total * 2 FROM steps WHERE n < 20) SELECT n, total, n_name FROM steps JOIN nation ON n_nationkey = n ORDER BY n LIMIT 50"""),
+}
+_GUARDED |= {
+    "guarded_sql_theta_join": """SELECT n_nationkey, count(*) AS n, min(s_suppkey) AS first FROM nation JOIN supplier ON s_acctbal > n_nationkey * 350 AND s_nationkey <> n_nationkey GROUP BY n_nationkey ORDER BY n_nationkey LIMIT 50""",
+    "guarded_sql_window_values": """SELECT o_custkey, o_orderkey, later, first, last, second FROM (SELECT o_custkey, o_orderkey, lead(o_orderkey, 2) OVER w AS later, first_value(o_orderkey) OVER w AS first,
+        last_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS last, nth_value(o_orderkey, 2) OVER w AS second
+        FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)) x ORDER BY o_custkey, o_orderkey LIMIT 50""",
+    "guarded_sql_range_frame": """SELECT o_custkey, o_orderkey, near, days FROM (SELECT o_custkey, o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey RANGE BETWEEN 5000 PRECEDING AND 5000 FOLLOWING) AS near,
+        count(*) OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate RANGE BETWEEN INTERVAL '7' DAY PRECEDING AND CURRENT ROW) AS days FROM orders) x ORDER BY o_custkey, o_orderkey LIMIT 50""",
+    "guarded_sql_setop_all": """SELECT k, count(*) AS n FROM ((SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier) UNION ALL (SELECT c_nationkey FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier)) x
+        GROUP BY k ORDER BY k LIMIT 50""",
+}
 _TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
-def _guarded(name: str, sql: str) -> None:
+def _guarded(name: str, sql: str, other: str | None = None) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return guard.checked(spark, sql, {t: f"{sf_dir}/{t}.parquet" for t in _TABLES})
 
     run.__name__ = name
-    _query(sql)(run)
+    _query(other or sql)(run)
 
 
 for _name, _statement in _GUARDED.items():
     _guarded(_name, _statement)
+for _name, (_statement, _other) in _GUARDED_TWICE.items():
+    _guarded(_name, _statement, _other)
+
+
+@_query("SELECT o_orderkey::VARCHAR AS o_orderkey, o_orderstatus, coalesce(nullif(o_orderstatus, 'O'), 'None') AS open, 50::BIGINT AS row_count, true AS sized FROM orders ORDER BY orders.o_orderkey LIMIT 50")
+def guarded_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A statement's evidence under the guard's own caps: the first fifty rows, as strings."""
+    name = f"orders_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE default.{name} USING parquet LOCATION '{sf_dir}/orders.parquet'")
+    try:
+        found = guard.run(spark, f"SELECT o_orderkey, o_orderstatus, nullif(o_orderstatus, 'O') AS open FROM default.{name} ORDER BY o_orderkey")
+    finally:
+        spark.sql(f"DROP TABLE default.{name}")
+    rows = [(r["o_orderkey"], r["o_orderstatus"], r["open"], found["row_count_returned"], found["estimated_bytes"] > 0) for r in found["rows"]]
+    return spark.createDataFrame(rows, "o_orderkey string, o_orderstatus string, open string, row_count long, sized boolean")
+
+
+#: Statements, and the rule that refuses each, or null.
+_STATEMENTS = [
+    ("select n_name from nation where n_name like 'A%'", None), ("  -- all of them\n WITH x AS (SELECT 2) SELECT * FROM x ;", None), ("SELECT dropped, created_on FROM t", None),
+    ("EXPLAIN SELECT 1", "SELECT"), ("", "SELECT"), ("SELECT 1; SELECT 2", "multiple"), ("SELECT ';'", "multiple"), ("WITH x AS (SELECT 1) DELETE FROM t", "read-only"), ("SELECT 'Grant'", "read-only"),
+]
+
+
+@_query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {'NULL' if w is None else repr(w)})" for i, (_, w) in enumerate(_STATEMENTS)) + ") AS x(statement, reason)")
+def guard_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which rule of the guard's refuses each of some statements."""
+    words = ("SELECT", "multiple", "read-only")
+    said = [guard.static_error(sql) for sql, _ in _STATEMENTS]
+    return spark.createDataFrame([(i, next((w for w in words if x and w in x), None)) for i, x in enumerate(said)], "statement int, reason string")
 
 
 @_query("SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS hour, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")

@@ -1,6 +1,8 @@
 """Vectors, full text, trigrams, fusion and the chunk store."""
 
+import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -42,6 +44,25 @@ def test_replace_upsert_delete_and_spaces(spark, store):
     assert store.read("").count() == 2 and store.read("none").count() == 0
 
 
+def test_writes_over_spaces_are_seen_whole(spark, store):
+    for space in ("A", "B", "x/y = z"):
+        put(spark, store, space, "s", "old", [1.0, 0.0, 0.0])
+    before = store.read()
+    batch = spark.createDataFrame(rows(*((space, "s", "new", [0.0, 1.0, 0.0]) for space in ("A", "B", "x/y = z", "C"))), CHUNK)
+    point, seen = store._point, []
+    store._point = lambda state: (seen.append(sorted(r.content for r in store.read().collect())), point(state))
+    assert store.upsert(batch) == 4
+    assert seen == [["old"] * 3]  # one move of the pointer, and until then nothing of the write
+    assert sorted((r.space_key, r.content) for r in store.read().collect()) == [(x, "new") for x in ("A", "B", "C", "x/y = z")]
+    assert sorted(r.content for r in before.collect()) == ["old"] * 3
+    sources = spark.createDataFrame([("A", "s"), ("C", "s"), ("D", "s")], "space_key string, source_id string")
+    assert store.replace_sources(sources, spark.createDataFrame(rows(("D", "s", "newer", [0.0, 1.0, 0.0])), CHUNK)) == 1
+    assert sorted((r.space_key, r.content) for r in store.read().collect()) == [("B", "new"), ("D", "newer"), ("x/y = z", "new")]
+    assert store.vacuum() > 0 and store.read().count() == 3 and store.vacuum() == 0
+    with pytest.raises(ValueError, match="position"):
+        store.upsert(batch.unionByName(batch))
+
+
 def test_wrong_batches_are_refused(spark, store):
     with pytest.raises(ValueError, match="dimension"):
         put(spark, store, "A", "x", "t", [1.0])
@@ -135,6 +156,108 @@ def test_stems():
     assert {w: fulltext.stem(w) for w in pairs} == pairs
 
 
+def plain_word_similarity(q, text):
+    grams = [f"  {w} "[i : i + 3] for w in re.findall(r"\w+", text.lower()) for i in range(len(w) + 1)]
+    return brute(list(dict.fromkeys(f"  {w} "[i : i + 3] for w in re.findall(r"\w+", q.lower()) for i in range(len(w) + 1))), grams) if q.strip() else 0.0
+
+
+def plain_density(words, wanted):
+    """By trying every stretch: those that hold all words, and none that is shorter inside."""
+    full = [(i, j) for i in range(len(words)) for j in range(i, len(words)) if set(wanted) <= set(words[i : j + 1])]
+    return sum(1 / (j - i + 1) for i, j in full if not any((a, b) != (i, j) and i <= a and b <= j for a, b in full))
+
+
+@pytest.fixture(scope="module")
+def library(spark):
+    rng = random.Random(8)
+    vocabulary = "whales sing singing song deep deeper the of blue bluer krill eaten eating ocean oceans".split()
+    texts = [" ".join(rng.choices(vocabulary, k=rng.randrange(0, 14))) for _ in range(90)]
+    return texts, embedding.hashed(spark.createDataFrame([(f"s{i % 3}", f"{i:03d}", t) for i, t in enumerate(texts)], "space_key string, chunk_id string, content string"), "content", dimension=16)
+
+
+QUESTIONS = {"a": "singing whales", "b": '"blue ocean" or krill -eating', "c": "the of", "d": ""}
+
+
+def test_english_matches_against_plain_words(spark, library):
+    texts, chunks = library
+    asked = spark.createDataFrame(list(QUESTIONS.items()), "query_id string, query_text string")
+    want = {}
+    for i, t in enumerate(texts):
+        words = [fulltext.stem(w) if w not in fulltext.STOP_WORDS else "" for w in t.split()]
+        if score := plain_density(words, ["sing", "whale"]):
+            want["a", f"{i:03d}"] = score
+        phrase = sum((x, y) == ("blue", "ocean") for x, y in zip(words, words[1:]))
+        krill = words.count("krill") if "eat" not in words else 0
+        if phrase or krill:
+            want["b", f"{i:03d}"] = max(phrase, krill)
+    for given in (chunks, chunks.withColumn("terms", fulltext.term_positions(F.col("content"), "english"))):
+        got = {(r.query_id, r.chunk_id): r.text_score for r in retrieval.fulltext_matches(given, asked, "english").collect()}
+        assert got == pytest.approx(want, abs=1e-8) and {q for q, _ in got} == {"a", "b"}
+    columns = chunks.withColumn("terms", fulltext.term_positions(F.col("content"), "english"))
+    for q in QUESTIONS:
+        parsed = fulltext.parse_query(QUESTIONS[q])
+        by_column = {r.chunk_id: r.s for r in columns.where(fulltext.matches(F.col("terms"), parsed)).select("chunk_id", fulltext.cover_density(F.col("terms"), parsed).alias("s")).collect()}
+        assert set(by_column) == {c for x, c in want if x == q}
+
+
+def test_hybrid_against_plain_lists(spark, library):
+    """Every list, rank and score of hybrid(), from brute-force scores of every chunk."""
+    texts, chunks = library
+    asked = embedding.hashed(spark.createDataFrame(list(QUESTIONS.items()), "query_id string, query_text string"), "query_text", "query_embedding", 16)
+    vectors = {(r.space_key, r.chunk_id): list(r.embedding) for r in chunks.collect()}
+    queries = {r.query_id: list(r.query_embedding) for r in asked.collect()}
+    full = {(r.query_id, r.space_key, r.chunk_id): r.text_score for r in retrieval.fulltext_matches(chunks, asked, "english").collect()}
+
+    def distance(a, b):
+        n = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+        return 1 - sum(x * y for x, y in zip(a, b)) / n if n else math.inf
+
+    want = {}
+    for q, v in queries.items():
+        far = {k: distance(x, v) for k, x in vectors.items()}
+        similar = {k: plain_word_similarity(QUESTIONS[q], texts[int(k[1])]) for k in vectors}
+        lists = [
+            sorted(vectors, key=lambda k: (round(far[k], 12), k))[:20],
+            sorted((k for k in vectors if (q, *k) in full), key=lambda k: (-full[q, *k], k))[:20],
+            sorted((k for k in vectors if similar[k] >= 0.2), key=lambda k: (-round(similar[k], 12), k))[:20],
+        ]
+        ranks = {k: [x.index(k) + 1 if k in x else None for x in lists] for k in set().union(*lists)}
+        scores = {k: sum(1 / (60 + r) for r in x if r) for k, x in ranks.items()}
+        for ref, k in enumerate(sorted(scores, key=lambda k: (-round(scores[k], 12), round(far[k], 12), k))[:5], 1):
+            want[q, ref] = (k, scores[k], ranks[k])
+    got = {(r.query_id, r.ref): ((r.space_key, r.chunk_id), r.rrf_score, [r.vector_rank, r.fts_rank, r.trgm_rank]) for r in retrieval.hybrid(chunks, asked).collect()}
+    assert set(got) == set(want)
+    for k in want:
+        assert got[k][1] == pytest.approx(want[k][1], abs=1e-9), k
+        if got[k][0] != want[k][0]:  # equal up to rounding
+            assert sum(v[1] == pytest.approx(want[k][1], abs=1e-9) for q, v in want.items() if q[0] == k[0]) > 1, k
+        else:
+            assert got[k][2][1:] == want[k][2][1:], k
+
+
+def test_trigram_joins_against_all_pairs(spark):
+    rng = random.Random(2)
+    sets = [[sorted(set(rng.choices("abcdefghijklmnop", k=rng.randrange(0, 9)))) for _ in range(60)] for _ in range(2)]
+    left, right = (spark.createDataFrame(list(enumerate(x)), f"{n}_id int, trigrams array<string>") for x, n in zip(sets, ("left", "right")))
+    for least in (0.3, 0.5, 1.0):
+        pairs = [(i, j, a, b) for i, a in enumerate(map(set, sets[0])) for j, b in enumerate(map(set, sets[1])) if a and b]
+        got = {(r.left_id, r.right_id): r.similarity for r in retrieval.similar_sets(left, right, least).collect()}
+        assert got == pytest.approx({(i, j): len(a & b) / len(a | b) for i, j, a, b in pairs if len(a & b) >= least * len(a | b)})
+        held = {(r.left_id, r.right_id) for r in retrieval.holding_sets(left, right, least).collect()}
+        assert held == {(i, j) for i, j, a, b in pairs if len(a & b) >= least * len(b)}
+    assert retrieval.similar_sets(left, right.where("false"), 0.5).count() == 0 == retrieval.holding_sets(left, right.where("false"), 0.5).count()
+    plan = retrieval.similar_sets(left, right, 0.5)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_more_queries_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "MOST_QUERIES", 4)
+    chunks = spark.createDataFrame([("A", f"{i:02d}", [float(i), 1.0]) for i in range(20)], "space_key string, chunk_id string, embedding array<double>")
+    asked = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(11)], "query_id int, query_embedding array<double>")
+    got = retrieval.vector_candidates(chunks, asked, 2).collect()
+    assert len(got) == 22 and {(r.query_id, int(r.chunk_id)) for r in got if r.vector_rank == 1} == {(i, i) for i in range(11)}
+
+
 def test_plan_uses_limits(spark):
     chunks = spark.createDataFrame([("A", str(i), [float(i), 1.0]) for i in range(20)], "space_key string, chunk_id string, embedding array<double>")
     plan = retrieval.search(chunks, [1.0, 0.0])._jdf.queryExecution().executedPlan().toString()
