@@ -20,8 +20,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from sentencepiece import sentencepiece_model_pb2 as pb
 
-#: Pre-tokens remembered by a worker; beyond that it forgets them all and starts again.
-CACHE = 600_000
+#: Pre-tokens of at most LONGEST characters that a worker remembers, some 50 MB; beyond CACHE of them it forgets all and starts again.
+CACHE, LONGEST = 200_000, 64
 
 
 def byte_characters() -> list[str]:
@@ -76,14 +76,16 @@ class Codec(dict):
         ids = self.whole.get(mapped)
         if ids is None:
             ids = " ".join(map(str, self.model.encode(mapped)))
-        self[word] = ids
+        if len(word) <= LONGEST:
+            self[word] = ids
         return ids
 
     def encode(self, text: str) -> str:
         """The ids of a text as decimals joined by one space."""
+        out = " ".join(map(self.__getitem__, self.cut(text)))
         if len(self) > CACHE:
             self.clear()
-        return " ".join(map(self.__getitem__, self.cut(text)))
+        return out
 
     def decode(self, ids: str) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids.split()))

@@ -21,10 +21,12 @@ from pyspark.sql.window import Window
 
 from spindrift.llm._words import U64, mix
 
-#: Training documents for each language, the most languages, and the natural logarithm that a switch costs.
-SAMPLE, MOST_LANGUAGES, SWITCH = 600, 500, 14.0
+#: Training documents for each language, the most languages (each is 0.8 MB of sums on the driver), and the natural logarithm that a switch costs.
+SAMPLE, MOST_LANGUAGES, SWITCH = 600, 100, 14.0
 _TRIGRAMS, _WORDS = 1 << 16, 1 << 17
-_CHUNK = 1_000_000
+_CHUNK = 250_000
+#: Parts of a language whose first documents are found apart.
+_PARTS = 16
 _OFF = np.float32(-400.0)
 UNKNOWN = "und"
 
@@ -115,7 +117,8 @@ class Model:
     def paths(self, w: Words) -> np.ndarray:
         """The best label of every word: Viterbi with a constant penalty for a switch.
 
-        A text in which no stretch gains more than one penalty over the best single language has that
+        A path with n switches has n + 1 stretches, so it can beat the best single language only if some stretch
+        gains more than n / (n + 1), that is half a penalty at least, over it. Texts without such a stretch have that
         language throughout, which sums find for all texts at once; only others go word by word.
         """
         s = self.scores(w)
@@ -136,7 +139,7 @@ class Model:
             d -= base[of]
             low = np.minimum.accumulate(np.minimum(np.concatenate([[0.0], d[:-1]]) * (np.concatenate([[-1], of[:-1]]) == of), 0) - span * of) + span * of
             gain = np.maximum(gain, np.maximum.reduceat(d - low, starts))
-        for r in np.flatnonzero(gain >= self.switch):
+        for r in np.flatnonzero(gain >= self.switch / 2 - 1e-3):
             a, b = starts[r], starts[r] + counts[r]
             path[a:b] = viterbi(s[a:b], self.switch)
         return path
@@ -168,13 +171,15 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE, switch: float = SWITCH)
     """
     labelled = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     ids = labelled.where("doc_id is not null and lang is not null").select("doc_id", "lang")
-    order = Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
-    chosen = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("doc_id", "lang")
+    order = [F.md5(F.col("doc_id").cast("string")), F.col("doc_id")]
+    chosen = ids
+    for group in (["lang", F.pmod(F.xxhash64("doc_id"), F.lit(_PARTS))], ["lang"]):  # the first of each part, and of those the first
+        chosen = chosen.withColumn("n", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("n") <= per_language).select("doc_id", "lang")
     texts = labelled.where("text is not null").join(F.broadcast(chosen), ["doc_id", "lang"])  # at most per_language x languages ids
 
     def count(key: tuple, rows: pa.Table) -> pa.Table:
         sums = [np.zeros(_TRIGRAMS, np.int64), np.zeros(_WORDS, np.int64), np.zeros(256, np.int64)]
-        for part in _parts(rows["text"].to_pylist()):
+        for part in _parts(rows["text"]):
             w = Words(part)
             for total, found in zip(sums, (w.trigram, w.word, w.script)):
                 total += np.bincount(found, minlength=len(total))
@@ -190,14 +195,16 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE, switch: float = SWITCH)
     return Model([r["lang"] for r in found], matrix("trigrams"), matrix("words"), matrix("scripts"), switch)
 
 
-def _parts(texts: list[str]) -> Iterator[list[str]]:
+def _parts(column: pa.Array | pa.ChunkedArray) -> Iterator[list[str]]:
+    """Texts in lists of about _CHUNK characters, one text at least; null counts as empty."""
     part, size = [], 0
-    for t in texts:
-        part.append(t or "")
-        size += len(part[-1])
-        if size > _CHUNK:
-            yield part
-            part, size = [], 0
+    for i in range(0, len(column), 64):
+        for t in column.slice(i, 64).to_pylist():
+            part.append(t or "")
+            size += len(part[-1])
+            if size > _CHUNK:
+                yield part
+                part, size = [], 0
     if part:
         yield part
 
@@ -209,7 +216,7 @@ def _mapped(docs: DataFrame, model: Model, schema: str, make) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             i = 0
-            for part in _parts(batch.column(text).to_pylist()):
+            for part in _parts(batch.column(text)):
                 w = Words(part)
                 path = model.paths(w) if model.langs else np.zeros(len(w.starts), np.int64)
                 names, columns = make(w, path, len(part))
