@@ -10,6 +10,10 @@ between those steps is packed: a row holds the n-grams that one block of documen
 partition, as sorted hashes with their differences in five bytes each, and the answer holds one count
 for each in the same order. An n-gram comes once for each block, so frequent ones make no large group.
 
+A block sends one row to each partition, to 4,096 at most, so rows grow with the input. Where the count table needs
+more partitions, the rows of a partition go on in teams of blocks: a team merges what its blocks ask for, asks the
+parts of the partition as one block would, and deals the answers out again.
+
 The blocks are a table in the shared folder: both steps that read them see the same rows, whatever
 executors are lost in between. A count is that of a hash of 48 bits and the partition's bits.
 """
@@ -33,6 +37,10 @@ from spindrift.llm._words import U64, mix, utf8, word_hashes
 ORDER, ALPHA = 3, 0.4
 #: Bytes of text in a block, and for each partition of the count table.
 BLOCK, PARTITION = 4 << 20, 8 << 20
+#: Bits of a hash that choose among the partitions that one row's sender knows, and at most in all.
+FAN, MOST_BITS = 12, 24
+_REQUEST = "part int, block long, n int, hashes binary, counts binary"
+_ANSWER = "block long, part int, n int, counts binary"
 
 
 def blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
@@ -134,27 +142,68 @@ def requests(packed: DataFrame, order: int, bits: int) -> DataFrame:
                 g, _ = ngrams(texts, len(ids), order)
                 distinct, counts = np.unique(_shorten(g[g != 0], bits), return_counts=True)
                 low = (distinct << U64(bits)) >> U64(16)
-                rows = [(p, block, b - a, pack_hashes(low[a:b]), pack_counts(counts[a:b])) for p, a, b in _slices(distinct, bits)]
-                columns = list(zip(*rows)) if rows else [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["part", "block", "n", "hashes", "counts"])
+                yield _requests([(p, block, b - a, pack_hashes(low[a:b]), pack_counts(counts[a:b])) for p, a, b in _slices(distinct, bits)])
 
-    return packed.select("block", "doc_ids", "texts").mapInArrow(run, "part int, block long, n int, hashes binary, counts binary")
+    return packed.select("block", "doc_ids", "texts").mapInArrow(run, _REQUEST)
 
 
-def counted(asked: DataFrame) -> DataFrame:
-    """block long, part int, n int, counts binary: the whole corpus' counts of what each block asked for."""
+class _Asked:
+    """All that some rows of requests ask for: distinct hashes, their counts, and where each row's hashes are among them."""
 
-    def one(rows: pa.Table) -> pa.Table:
-        n = rows["n"].to_numpy()
+    def __init__(self, rows: pa.Table) -> None:
+        self.rows, self.n = rows, rows["n"].to_numpy()
         x = np.concatenate([unpack_hashes(b) for b in rows["hashes"].to_pylist()])
-        c = np.concatenate([unpack_counts(b, k) for b, k in zip(rows["counts"].to_pylist(), n.tolist())])
-        _, where = np.unique(x, return_inverse=True)
-        totals = np.bincount(where, c).astype(np.int64)[where]
-        ends = np.cumsum(n)
-        answers = [pack_counts(totals[e - k : e]) for k, e in zip(n.tolist(), ends.tolist())]
-        return pa.table({"block": rows["block"], "part": rows["part"], "n": rows["n"], "counts": pa.array(answers, pa.binary())})
+        c = np.concatenate([unpack_counts(b, k) for b, k in zip(rows["counts"].to_pylist(), self.n.tolist())])
+        self.distinct, self.where = np.unique(x, return_inverse=True)
+        self.totals = np.bincount(self.where, c).astype(np.int64)
+
+    def answers(self, totals: np.ndarray) -> pa.Table:
+        found = totals[self.where]
+        ends = np.cumsum(self.n)
+        counts = [pack_counts(found[e - k : e]) for k, e in zip(self.n.tolist(), ends.tolist())]
+        return pa.table({"block": self.rows["block"], "part": self.rows["part"], "n": self.rows["n"], "counts": pa.array(counts, pa.binary())})
+
+
+def answered(asked: DataFrame, bits: int, fan: int) -> DataFrame:
+    """block long, part int, n int, counts binary: the whole corpus' counts of what each block asked for.
+
+    The next `bits` bits of the hashes divide a partition further, `fan` of them at a time.
+    """
+    if bits <= 0:
+
+        def one(rows: pa.Table) -> pa.Table:
+            found = _Asked(rows)
+            return found.answers(found.totals)
+
+        return asked.groupBy("part").applyInArrow(one, _ANSWER)
+    asked = saved(asked, "requests")
+    step = min(bits, fan)
+    teams = -(-asked.select("block").distinct().count() // (1 << fan))
+    asked = asked.withColumn("team", F.xxhash64("part", F.pmod(F.xxhash64("block"), F.lit(max(1, teams)))))
+
+    def onward(key: tuple, rows: pa.Table) -> pa.Table:
+        found, part = _Asked(rows), rows["part"][0].as_py() << step
+        next_bits, rest = found.distinct >> U64(48 - step), (found.distinct << U64(step)) & U64((1 << 48) - 1)
+        cut = [0, *(np.flatnonzero(next_bits[1:] != next_bits[:-1]) + 1).tolist(), len(rest)]
+        made = [(part | int(next_bits[a]), key[0].as_py(), b - a, pack_hashes(rest[a:b]), pack_counts(found.totals[a:b])) for a, b in zip(cut[:-1], cut[1:])]
+        return pa.Table.from_batches([_requests(made)])
+
+    def back(key: tuple, rows: pa.Table, told: pa.Table) -> pa.Table:
+        found = _Asked(rows)
+        totals = np.concatenate([unpack_counts(c, n) for _, n, c in sorted(zip(told["part"].to_pylist(), told["n"].to_pylist(), told["counts"].to_pylist()))])
+        if len(totals) != len(found.distinct):
+            raise RuntimeError(f"{len(found.distinct)} n-grams asked for, {len(totals)} counted")
+        return found.answers(totals)
+
+    told = saved(answered(asked.groupBy("team").applyInArrow(onward, _REQUEST), bits - step, fan), "answers")
+    told = told.withColumnRenamed("block", "team")
+    return asked.groupBy("team").cogroup(told.groupBy("team")).applyInArrow(back, _ANSWER)
+
 
-    return asked.groupBy("part").applyInArrow(one, "block long, part int, n int, counts binary")
+def _requests(made: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*made)) if made else [()] * 5
+    arrays = [pa.array(v, t) for v, t in zip(columns, (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))]
+    return pa.RecordBatch.from_arrays(arrays, ["part", "block", "n", "hashes", "counts"])
 
 
 def _scores(g: np.ndarray, bounds: np.ndarray, totals: np.ndarray, distinct: np.ndarray, all_words: int, alpha: float, bits: int) -> np.ndarray:
@@ -187,7 +236,7 @@ def _scores(g: np.ndarray, bounds: np.ndarray, totals: np.ndarray, distinct: np.
     return np.bincount(of, logs, rows)
 
 
-def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, block: int = BLOCK) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, block: int = BLOCK, partition: int = PARTITION, fan: int = FAN) -> DataFrame:
     """doc_id, n_words long, score double, mean_score double of every whole text.
 
     score is the sum of the words' natural logarithms of stupid-backoff scores against all other rows:
@@ -198,14 +247,16 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, block: int
 
     Null, empty and blank texts have no words and zeros. Every row is a document of its own, repeated
     rows as well, so each sees the other's n-grams; doc_id is only passed through, nulls too. Columns other
-    than doc_id and text are left out; no rows give no rows.
+    than doc_id and text are left out; no rows give no rows. block and partition are bytes of text, fan the
+    bits that one row's sender can tell partitions by; the result does not depend on them.
     """
     if order < 1 or not 0 < alpha <= 1:
         raise ValueError("order must be at least 1 and alpha in (0, 1]")
     packed = saved(blocks(docs, block), "blocks")
     all_words, all_bytes = packed.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
-    bits = min(24, max(3, math.ceil(math.log2(max(1, all_bytes / PARTITION)))))
-    answers = saved(counted(requests(packed, order, bits)), "counts")
+    whole = min(MOST_BITS, max(3, math.ceil(math.log2(max(1, all_bytes / partition)))))
+    bits = min(whole, fan)
+    answers = saved(answered(requests(packed, order, bits), whole - bits, fan), "counts")
 
     def one(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left):
