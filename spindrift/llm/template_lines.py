@@ -2,12 +2,14 @@
 
 A line's tokens are its runs of bytes other than white space; tokens with a digit are variable fields.
 The tree has one level for the token count and one for each of the first LEAD tokens, variable fields
-alike. A leaf keeps, for each position, whether all its lines agree there. Where enough of the positions
-after the leading ones agree, the leaf is one template, with variable fields where lines differ;
-elsewhere each sequence of tokens (variable fields alike) is a template of its own.
+alike. A leaf holds groups of lines: at each later position a token that min_docs of the leaf's lines have there
+is constant, any other is a variable field, and lines that are alike after that are a group. A group with
+enough constant positions is a template, so a few other lines in a leaf change nothing and a leaf may have
+several templates. Lines with fewer tokens than a leaf asks for are templates as they are, variable fields alike.
 
 A template that recurs in at least min_docs documents is dropped everywhere but at its first place.
-Leaves are summed inside each task before anything moves, so a frequent line is one row from each.
+Templates and leaves are counted inside each task before anything moves, so a frequent line is one row from
+each; of leaves below min_docs documents no line moves at all.
 """
 
 from __future__ import annotations
@@ -16,15 +18,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm._shared import saved
 from spindrift.llm._words import U64, chunks, mix, word_hashes
 
-LEAD, AGREE, SHORTEST, MIN_DOCS = 3, 0.5, 6, 10
-#: Templates that a task sums before it sends them.
-HELD = 200_000
+LEAD, AGREE, SHORTEST, MIN_DOCS = 3, 0.7, 6, 10
+#: Templates that a task counts before it sends them, some 200 bytes each.
+HELD = 150_000
 _FIELD = U64(0x5DEECE66D1234567)
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
@@ -55,18 +58,14 @@ class Lines:
         self.bounds = np.concatenate([np.searchsorted(word_starts, self.starts), [len(h)]])
         self.counts = np.diff(self.bounds)
 
-    def templates(self, lead: int) -> tuple[np.ndarray, np.ndarray]:
-        """Each line's leaf and sequence, as hashes; lines without tokens have none of use."""
+    def templates(self, lead: int, shortest: int) -> np.ndarray:
+        """Each line's leaf or, below `shortest` tokens, its sequence of tokens, as a hash; that of a line without tokens is of no use."""
         place = np.arange(len(self.tokens)) - np.repeat(self.bounds[:-1], self.counts)
         salted = mix(self.tokens + place.astype(U64) * U64(0x9E3779B97F4A7C15), 101)
-        size = mix(self.counts.astype(U64), 102)
-
-        def sums(values: np.ndarray) -> np.ndarray:
-            total = np.zeros(len(values) + 1, U64)
-            np.cumsum(values, out=total[1:])
-            return total[self.bounds[1:]] - total[self.bounds[:-1]]
-
-        return mix(sums(np.where(place < lead, salted, U64(0))) ^ size, 103), mix(sums(salted) ^ size, 104)
+        used = (place < lead) | np.repeat(self.counts < shortest, self.counts)
+        total = np.zeros(len(salted) + 1, U64)
+        np.cumsum(np.where(used, salted, U64(0)), out=total[1:])
+        return mix((total[self.bounds[1:]] - total[self.bounds[:-1]]) ^ mix(self.counts.astype(U64), 102), 103).view(np.int64)
 
 
 def _lines(column: pa.Array) -> Iterator[tuple[int, int, Lines]]:
@@ -78,132 +77,116 @@ def _batch(**columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
-_SUMS = "template long, leaf boolean, docs long, first_doc long, low binary, high binary"
-_TYPES = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-
+_SUMS = "template long, docs long, first_doc long"
 
-class Tree:
-    """Sums of templates: how many documents, the smallest doc_id, and the least and largest token at each position of a leaf."""
 
-    def __init__(self) -> None:
-        self.at: dict[int, list] = {}
-
-    def add(self, template: int, leaf: bool, docs: int, first: int | None, low: np.ndarray | None, high: np.ndarray | None) -> None:
-        got = self.at.get(template)
-        if got is None:
-            self.at[template] = [leaf, docs, first, low, high]
-            return
-        got[1] += docs
-        if first is not None and (got[2] is None or first < got[2]):
-            got[2] = first
-        if leaf:
-            got[3], got[4] = np.minimum(got[3], low), np.maximum(got[4], high)
+def _summed(docs: DataFrame, lead: int, shortest: int) -> DataFrame:
+    """template long, docs long, first_doc long: documents with each leaf and short template, and their smallest doc_id, by task."""
 
-    def take(self) -> pa.RecordBatch:
-        rows = [(t, *v[:3], *((v[3].tobytes(), None if v[3] is v[4] or (v[3] == v[4]).all() else v[4].tobytes()) if v[0] else (None, None))) for t, v in self.at.items()]
-        self.at = {}
-        columns = list(zip(*rows)) if rows else [()] * 6
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], ["template", "leaf", "docs", "first_doc", "low", "high"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
 
+        def take() -> pa.RecordBatch:
+            out = _batch(template=pa.array(held, pa.int64()), docs=pa.array([v[0] for v in held.values()], pa.int64()), first_doc=pa.array([v[1] for v in held.values()], pa.int64()))
+            held.clear()
+            return out
 
-def _summed(docs: DataFrame, lead: int, shortest: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = Tree()
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for i, _, x in _lines(batch.column(1)):
-                leaves, sequences = x.templates(lead)
-                leaves, sequences = leaves.view(np.int64).tolist(), sequences.view(np.int64).tolist()
-                low = (x.tokens >> U64(32)).astype(np.uint32)
-                doc, seen = -1, set()
-                for of, n, a, leaf, sequence in zip(x.of.tolist(), x.counts.tolist(), x.bounds.tolist(), leaves, sequences):
-                    if not n:
-                        continue
-                    if of != doc:
-                        doc, seen = of, set()
-                    if sequence not in seen:
-                        seen.add(sequence)
-                        tree.add(sequence, False, 1, ids[i + of], None, None)
-                        if n >= shortest:
-                            own = low[a : a + n].copy()
-                            tree.add(leaf, True, int(leaf not in seen), ids[i + of], own, own)
-                            seen.add(leaf)
-                if len(tree.at) > HELD:
-                    yield tree.take()
-        if tree.at:
-            yield tree.take()
+            for i, j, x in _lines(batch.column(1)):
+                ids = batch.column(0).slice(i, j - i).to_pylist()
+                templates, of = x.templates(lead, shortest), x.of
+                some = np.flatnonzero(x.counts > 0)
+                if not len(some):
+                    continue
+                pairs = np.unique(np.stack([of[some], templates[some]]), axis=1)  # a document's template once
+                for doc, t in zip(*(p.tolist() for p in pairs)):
+                    got, first = held.get(t), ids[doc]
+                    if got is None:
+                        held[t] = [1, first]
+                    else:
+                        got[0] += 1
+                        if first is not None and (got[1] is None or first < got[1]):
+                            got[1] = first
+                if len(held) > HELD:
+                    yield take()
+        if held:
+            yield take()
 
     return docs.select("doc_id", "text").mapInArrow(run, _SUMS)
 
 
-def recurring(docs: DataFrame, min_docs: int, lead: int, agree: float, shortest: int) -> DataFrame:
-    """template long, first_doc long: templates in min_docs documents or more; of leaves those whose lines agree."""
+def recurring(docs: DataFrame, min_docs: int, lead: int, shortest: int) -> DataFrame:
+    """template long, first_doc long: leaves and short templates in min_docs documents or more."""
+    sums = _summed(docs, lead, shortest).groupBy("template").agg(F.sum("docs").alias("docs"), F.min("first_doc").alias("first_doc"))
+    return sums.where(F.col("docs") >= min_docs).select("template", "first_doc")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by template."""
-        tree = Tree()
 
-        def close() -> pa.RecordBatch:
-            rows = []
-            for t, (leaf, n, first, low, high) in tree.at.items():
-                if n >= min_docs and (not leaf or int((low[lead:] == high[lead:]).sum()) >= agree * (len(low) - lead)):
-                    rows.append((t, first))
-            tree.at.clear()
-            return _batch(template=pa.array([r[0] for r in rows], pa.int64()), first_doc=pa.array([r[1] for r in rows], pa.int64()))
+def _places(docs: DataFrame, lead: int, shortest: int) -> DataFrame:
+    """row long, key long, doc_id long, line int, template long, tokens array<int>: every line with tokens; a leaf's with its later ones.
+
+    row is the number of a row of docs: of its task and in it.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
         for batch in batches:
-            for t, leaf, n, first, low, high in zip(*(c.to_pylist() for c in batch.columns)):
-                if t not in tree.at and len(tree.at) > 10_000:
-                    yield close()
-                low = np.frombuffer(low, np.uint32) if leaf else None
-                tree.add(t, leaf, n, first, low, np.frombuffer(high, np.uint32) if leaf and high is not None else low)
-        yield close()
+            for i, j, x in _lines(batch.column(2)):
+                keys, ids = (batch.column(k).slice(i, j - i) for k in (0, 1))
+                line = np.flatnonzero(x.counts > 0)
+                of = pa.array(x.of[line])
+                later = np.where(x.counts[line] >= shortest, x.counts[line] - lead, 0)
+                ends = np.cumsum(later)
+                take = np.arange(ends[-1] if len(ends) else 0) + np.repeat(x.bounds[line] + lead - (ends - later), later)
+                tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array((x.tokens[take] >> U64(32)).astype(np.uint32).view(np.int32)))
+                yield _batch(row=pa.array(row + x.of[line]), key=keys.take(of), doc_id=ids.take(of), line=pa.array(x.number[line].astype(np.int32)), template=pa.array(x.templates(lead, shortest)[line]), tokens=tokens)
+                row += j - i
 
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return _summed(docs, lead, shortest).repartition(n, "template").sortWithinPartitions("template").mapInArrow(run, "template long, first_doc long")
+    return docs.select("key", "doc_id", "text").mapInArrow(run, "row long, key long, doc_id long, line int, template long, tokens array<int>")
 
 
-def _places(docs: DataFrame, lead: int, shortest: int) -> DataFrame:
-    """key long, doc_id long, line int, template long, leaf boolean: both templates of every line with tokens, at their first place in a row."""
+def _hits(docs: DataFrame, min_docs: int, lead: int, agree: float, shortest: int) -> DataFrame:
+    """key long, doc_id long, line int, template long, first_doc long: the lines of recurring templates.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, ids = batch.column(0).to_numpy(), batch.column(1)
-            for i, _, x in _lines(batch.column(2)):
-                leaves, sequences = (t.view(np.int64) for t in x.templates(lead))
-                some, wide = np.flatnonzero(x.counts > 0), np.flatnonzero(x.counts >= shortest)
-                line = np.concatenate([some, wide])
-                template = np.concatenate([sequences[some], leaves[wide]])
-                row = x.of[line] + i
-                yield _batch(key=pa.array(keys[row]), doc_id=ids.take(pa.array(row)), line=pa.array(x.number[line].astype(np.int32)), template=pa.array(template), leaf=pa.array(np.arange(len(line)) >= len(some)))
-
-    return docs.select("key", "doc_id", "text").mapInArrow(run, "key long, doc_id long, line int, template long, leaf boolean")
+    Joins are by template, token and row; where one of them is frequent, adaptive execution splits it.
+    """
+    found = saved(recurring(docs, min_docs, lead, shortest), "templates")
+    hits = saved(_places(docs, lead, shortest).join(found, "template"), "hits")
+    short = hits.where(F.size("tokens") == 0).select("key", "doc_id", "line", "template", "first_doc")
+    wide = hits.where(F.size("tokens") > 0).select("row", "key", "doc_id", "line", "template", F.size("tokens").alias("later"), F.posexplode("tokens").alias("place", "token"))
+    wide = wide.select("row", "key", "doc_id", "line", "template", "later", F.xxhash64("template", "place", "token").alias("cell"))
+    common = saved(wide.groupBy("cell").count().where(F.col("count") >= min_docs).select("cell"), "common")
+    masks = wide.join(common, "cell").groupBy("row", "line", "key", "doc_id", "template", "later").agg(F.count("*").alias("constant"), F.bit_xor("cell").alias("mask"))
+    full = masks.where(F.col("constant") >= F.col("later") * agree)
+    groups = saved(full.select("row", "line", "key", "doc_id", F.xxhash64("template", "constant", "mask").alias("template")), "groups")
+    once = groups.groupBy("template", "row").agg(F.first("doc_id").alias("doc_id"))
+    firsts = once.groupBy("template").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc")).where(F.col("docs") >= min_docs).select("template", "first_doc")
+    return short.unionByName(groups.join(firsts, "template").select("key", "doc_id", "line", "template", "first_doc"))
 
 
 def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, lead: int = LEAD, agree: float = AGREE, shortest: int = SHORTEST) -> DataFrame:
     """docs with the recurring lines out of text, and n_lines int, n_dropped int beside its own columns.
 
-    A line is what stands between line feeds. It goes if its template (its leaf's, where the leaf is one
-    and the line has `shortest` tokens or more; else its own) recurs in min_docs rows or more, unless it
+    A line is what stands between line feeds. It goes if its template recurs in min_docs rows or more, unless it
     is the template's first line in the rows with the smallest doc_id that have it; so no template is lost
-    altogether. Lines without tokens stay. Kept lines are joined by line feeds; a text that loses all its
+    altogether. The template of a line of `shortest` tokens or more is its group in its leaf, if that has the
+    share `agree` of constant positions after the first `lead` ones; that of a shorter line is the line.
+    Lines without tokens stay. Kept lines are joined by line feeds; a text that loses all its
     lines is empty. A null text stays null, with no lines; a null doc_id is never a smallest one, so if all
     are null, all lines of the template go. Every row counts as a document; rows alike in doc_id and text
     fare alike. Other columns stay as they are, but for n_lines and n_dropped, which are replaced. No rows
     give no rows.
     """
+    if not 0 < lead < shortest:
+        raise ValueError(f"lead must be from 1 to below shortest, got {lead} and {shortest}")
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     keyed = docs.select(*names, F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("__text"))
-    keyed = keyed.withColumn("__key", F.xxhash64("__id", "__text"))
+    keyed = keyed.withColumn("__key", F.xxhash64("__text"))
     plain = keyed.select(F.col("__id").alias("doc_id"), F.col("__text").alias("text"), F.col("__key").alias("key")).where("text is not null")
-    found = saved(recurring(plain, min_docs, lead, agree, shortest), "templates")
-    hits = _places(plain, lead, shortest).join(found, "template")
-    # of a line in two recurring templates the leaf decides
-    best = hits.groupBy("key", "doc_id", "line").agg(F.max_by(F.struct("template", "first_doc"), "leaf").alias("t")).select("key", "doc_id", "line", "t.*")
-    first = best.where("doc_id = first_doc").groupBy("key", "template").agg(F.min("line").alias("line"))
-    gone = best.join(first.withColumn("first", F.lit(True)), ["key", "template", "line"], "left").where("first is null")
-    gone = gone.groupBy("key").agg(F.collect_set("line").alias("__gone"))  # of one text's lines
-    joined = keyed.join(gone, F.col("__key") == F.col("key"), "left")
+    hits = saved(_hits(plain, min_docs, lead, agree, shortest), "recurring")
+    first = hits.where("doc_id = first_doc").groupBy("key", "doc_id", "template").agg(F.min("line").alias("line"))
+    gone = hits.join(first.withColumn("first", F.lit(True)), ["key", "doc_id", "template", "line"], "left").where("first is null")
+    gone = gone.groupBy("key", "doc_id").agg(F.collect_set("line").alias("__gone"))  # of one text's lines
+    joined = keyed.join(gone, (F.col("__key") == F.col("key")) & F.col("__id").eqNullSafe(gone["doc_id"]), "left").drop(gone["doc_id"]).drop("key")
     lines = F.split("__text", "\n", -1)
     kept = F.filter(lines, lambda _, i: ~F.array_contains(F.col("__gone"), i.cast("int")))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
@@ -217,16 +200,14 @@ ORACLE_SQL = r"""
 WITH lines AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS s, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents),
 tokens AS (SELECT doc_id, line, s, list_transform(regexp_extract_all(s, '[^\x20\x09-\x0D]+'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t FROM lines),
 filled AS (SELECT *, len(t) AS n FROM tokens WHERE len(t) > 0),
-sequences AS (SELECT t, count(DISTINCT doc_id) AS docs, min(doc_id) AS first_doc FROM filled GROUP BY t),
-positions AS (SELECT n, t[1:3] AS lead, doc_id, unnest(t[4:]) AS token, unnest(range(n - 3)) AS i FROM filled WHERE n >= 6),
-agreed AS (SELECT n, lead, i, min(token) = max(token) AS same FROM positions GROUP BY n, lead, i),
-leaves AS (SELECT n, lead, (sum(same::INT) >= 0.5 * (n - 3)) AS good FROM agreed GROUP BY n, lead),
-counted AS (SELECT n, t[1:3] AS lead, count(DISTINCT doc_id) AS docs, min(doc_id) AS first_doc FROM filled WHERE n >= 6 GROUP BY ALL),
-found AS (SELECT s.doc_id, s.line,
-    CASE WHEN l.good AND c.docs >= 10 THEN [s.n::VARCHAR] || s.t[1:3] WHEN q.docs >= 10 THEN ['='] || s.t END AS template,
-    CASE WHEN l.good AND c.docs >= 10 THEN c.first_doc ELSE q.first_doc END AS first_doc
-  FROM filled s JOIN sequences q ON s.t = q.t LEFT JOIN leaves l ON s.n = l.n AND s.t[1:3] = l.lead LEFT JOIN counted c ON s.n = c.n AND s.t[1:3] = c.lead),
-gone AS (SELECT doc_id, line FROM (SELECT *, row_number() OVER (PARTITION BY template, doc_id ORDER BY line) AS k FROM found WHERE template IS NOT NULL) WHERE doc_id <> first_doc OR k > 1),
+short AS (SELECT t, min(doc_id) AS first_doc FROM filled WHERE n < 6 GROUP BY t HAVING count(DISTINCT doc_id) >= 10),
+wide AS (SELECT doc_id, line, n, t[1:3] AS lead, unnest(t[4:]) AS token, unnest(range(n - 3)) AS i FROM filled WHERE n >= 6),
+common AS (SELECT n, lead, i, token FROM wide GROUP BY ALL HAVING count(*) >= 10),
+masks AS (SELECT doc_id, line, n, lead, list([i::VARCHAR, token] ORDER BY i) AS mask FROM wide JOIN common USING (n, lead, i, token) GROUP BY doc_id, line, n, lead HAVING count(*) >= 0.7 * (n - 3)),
+wanted AS (SELECT n, lead, mask, min(doc_id) AS first_doc FROM masks GROUP BY n, lead, mask HAVING count(DISTINCT doc_id) >= 10),
+found AS (SELECT doc_id, line, ['='] || t AS template, first_doc FROM filled JOIN short USING (t)
+  UNION ALL SELECT doc_id, line, [n::VARCHAR] || lead || flatten(mask), first_doc FROM masks JOIN wanted USING (n, lead, mask)),
+gone AS (SELECT doc_id, line FROM (SELECT *, row_number() OVER (PARTITION BY template, doc_id ORDER BY line) AS k FROM found) WHERE doc_id <> first_doc OR k > 1),
 kept AS (SELECT l.doc_id, string_agg(l.s, chr(10) ORDER BY l.line) FILTER (WHERE g.line IS NULL) AS text, count(g.line) AS gone, count(*) AS n FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.line = g.line GROUP BY l.doc_id)
 SELECT doc_id, n::INT AS n_lines, gone::INT AS n_dropped, sha256(coalesce(text, '')) AS text_sha256 FROM kept
 """
