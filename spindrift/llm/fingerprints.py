@@ -82,10 +82,10 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     number = _bucket(cuts)
     heads = docs.groupBy(number.alias("part")).agg(F.min("doc_id").alias("head"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls")).orderBy("part").collect()
     before = {(None if h["nulls"] else h["head"]): heads[i - 1]["part"] for i, h in enumerate(heads)}
-    known = [(h, p) for h, p in before.items() if h is not None]
-    entries = [x for h, p in known for x in (F.lit(h).cast("long"), F.lit(p))]
-    back = F.element_at(F.create_map(*entries), F.coalesce("doc_id", F.lit(known[0][0]))) if known else F.lit(None).cast("int")
-    back = F.when(F.col("doc_id").isNull(), F.lit(before.get(None)).cast("int")).otherwise(back)
+    # as many rows as parts
+    table = spark.createDataFrame([(h, p) for h, p in before.items() if h is not None], "doc_id long, back int")
+    docs = docs.join(F.broadcast(table), "doc_id", "left")
+    back = F.when(F.col("doc_id").isNull(), F.lit(before.get(None)).cast("int")).otherwise(F.col("back"))
     copies = F.array(F.struct(number.cast("int").alias("part"), F.lit(False).alias("look")), F.struct(back.cast("int").alias("part"), F.lit(True).alias("look")))
     out = docs.withColumn("to", F.explode(F.filter(copies, lambda x: x["part"].isNotNull())))
     out = out.select("to.part", "to.look", "doc_id", "text")
@@ -93,15 +93,11 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
 
 
 def _bucket(cuts: list[int]) -> F.Column:
-    """How many of the ascending cuts lie below doc_id, by a balanced tree of comparisons."""
-
-    def tree(lo: int, hi: int) -> F.Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("doc_id") > cuts[mid], tree(mid + 1, hi)).otherwise(tree(lo, mid))
-
-    return F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(tree(0, len(cuts)))
+    """How many of the ascending cuts lie below doc_id, by steps that halve."""
+    held = F.lit(cuts).cast("array<long>") if cuts else F.array().cast("array<long>")
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(cuts).bit_length() or 1))))
+    below = F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.coalesce(F.get(held, n + step - 1) < F.col("doc_id"), F.lit(False)), n + step).otherwise(n))
+    return F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(below)
 
 
 def fingerprints(docs: DataFrame, bins: int = BINS, bits: int = BITS, words: int = WORDS) -> DataFrame:

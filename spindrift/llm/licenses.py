@@ -207,13 +207,14 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, least
     with_own = slim.join(own.select(F.col("key").alias("__key"), F.col("similarity").alias("__own"), F.col("template").alias("__template"), F.col("rank").alias("__rank")), "__key", "left")
     named = F.regexp_extract("path", r"([^/]*)$", 1).rlike(LICENCE_FILE)
     folders = with_own.where(named & F.col("__template").isNotNull()).groupBy(_folder(F.col("path")).alias("__dir")).agg(F.max(F.struct(F.col("__rank").alias("r"), F.col("__own").alias("s"), (-F.col("__template")).alias("t"))).alias("__best"))
-    # every path with each directory above it
-    parts = F.split(_folder(F.col("path")), "/")
+    # every directory with each above it
+    parts = F.split("__folder", "/")
     above = F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/")))
-    paths = with_own.where("__template is null and path is not null").select("path").distinct()
-    chains = paths.select("path", F.explode(F.array_distinct(above)).alias("__dir"))
-    nearest = chains.join(folders, "__dir").groupBy("path").agg(F.max(F.struct(F.length("__dir").alias("n"), "__dir", "__best")).alias("__from"))
-    out = with_own.join(nearest, "path", "left")
+    with_own = with_own.withColumn("__folder", _folder(F.col("path")))
+    inner = with_own.where("__template is null and path is not null").select("__folder").distinct()
+    chains = inner.select("__folder", F.explode(F.array_distinct(above)).alias("__dir"))
+    nearest = chains.join(folders, "__dir").groupBy("__folder").agg(F.max(F.struct(F.length("__dir").alias("n"), "__dir", "__best")).alias("__from"))
+    out = with_own.join(nearest, "__folder", "left")
     names = F.lit(names)
     own_name = F.when(F.col("__template").isNotNull(), F.element_at(names, F.col("__template") + 1))
     from_name = F.when(F.col("__from").isNotNull(), F.element_at(names, 1 - F.col("__from.__best.t")))
@@ -231,7 +232,7 @@ def document_paths(docs: DataFrame) -> DataFrame:
     """doc_id, path, text: documents have no paths, so their source and the digits of doc_id make some.
 
     A directory for each source, in it one for each 1,000 doc_ids and in that for each 100; one in ten
-    documents is its directory's licence file.
+    documents is its directory's licence file. A null doc_id has its source alone as path.
     """
     number = F.col("doc_id")
     name = F.when(number % 10 == 0, F.concat(F.lit("LICENSE-"), number)).otherwise(F.concat(number.cast("string"), F.lit(".txt")))

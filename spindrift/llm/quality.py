@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from spindrift.llm._words import U64, chunks, mix, word_hashes
 
-#: The bound on labelled documents for the fit, and on their features together; buckets; the fit's constants.
-SAMPLE, MOST_FEATURES, BUCKETS = 4000, 40_000_000, 1 << 18
+#: The bound on labelled documents for the fit, buckets; the fit's constants. A document is BUCKETS / 8 bytes on the driver at most.
+SAMPLE, BUCKETS = 4000, 1 << 18
 PASSES, COST, FOLDS, SMOOTH = 12, 1.0, 3, 1.0
 
 
@@ -46,6 +46,21 @@ def indicators(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
                 yield i + r, found
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Ascending buckets as numbers, or as a bitmap where that is shorter: BUCKETS / 8 bytes at most."""
+    if len(x) * 4 < BUCKETS // 8:
+        return x.astype(np.int32).tobytes()
+    flags = np.zeros(BUCKETS, bool)
+    flags[x] = True
+    return np.packbits(flags).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    if len(data) < BUCKETS // 8:
+        return np.frombuffer(data, np.int32)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8)))
+
+
 class Model:
     """weights of buckets (class ratios included), the offset, and the curve from margins to probabilities."""
 
@@ -62,30 +77,32 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(x) + self.middle, -500, 500))))
 
 
-def log_ratio(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+def log_ratio(rows: list[bytes], y: np.ndarray) -> np.ndarray:
     """Of each bucket: log of its smoothed share among rows of class 1 over that among class -1."""
     p, q = np.full(BUCKETS, SMOOTH), np.full(BUCKETS, SMOOTH)
     for x, label in zip(rows, y):
-        (p if label > 0 else q)[x] += 1
+        (p if label > 0 else q)[unpacked(x)] += 1
     return np.log((p / p.sum()) / (q / q.sum()))
 
 
-def dual_descent(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights and offset of least hinge loss, by coordinate descent in the dual; the classes weigh alike."""
-    values = []
-    for x in rows:
-        v = ratio[x]
-        norm = np.sqrt((v * v).sum())
-        values.append(v / norm if norm > 0 else v)
+def dual_descent(rows: list[bytes], y: np.ndarray, ratio: np.ndarray, passes: int = PASSES) -> tuple[np.ndarray, float]:
+    """Weights and offset of least hinge loss, by coordinate descent in the dual; the classes weigh alike.
+
+    A row's values are its buckets' ratios, scaled to length one; they are made again at each step, so that
+    memory holds packed rows only.
+    """
+    squares = np.array([(ratio[unpacked(x)] ** 2).sum() for x in rows])
+    scale = 1 / np.sqrt(np.where(squares > 0, squares, 1))
     w, b = np.zeros(BUCKETS), 0.0
     alpha = np.zeros(len(y))
     n = len(y)
-    most = np.where(y > 0, COST * n / (2 * max(1, (y > 0).sum())), COST * n / (2 * max(1, (y < 0).sum())))
-    square = np.array([(v * v).sum() + 1.0 for v in values])
+    most = costs(y)
+    square = squares * scale * scale + 1.0
     rng = np.random.default_rng(7)
-    for _ in range(PASSES):
+    for _ in range(passes):
         for i in rng.permutation(n).tolist():
-            x, v = rows[i], values[i]
+            x = unpacked(rows[i])
+            v = ratio[x] * scale[i]
             gradient = y[i] * (w[x] @ v + b) - 1
             new = min(max(alpha[i] - gradient / square[i], 0.0), most[i])
             step = (new - alpha[i]) * y[i]
@@ -96,6 +113,11 @@ def dual_descent(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray) -> tu
     return w, b
 
 
+def costs(y: np.ndarray) -> np.ndarray:
+    """What a row's hinge loss costs: both classes COST times half of all rows."""
+    return COST * len(y) / (2 * np.where(y > 0, max(1, (y > 0).sum()), max(1, (y < 0).sum())))
+
+
 def logistic(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and middle of the curve, by Newton steps on smoothed targets."""
     pos, neg = (y > 0).sum(), (y < 0).sum()
@@ -113,8 +135,8 @@ def logistic(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(a, 0.0), b
 
 
-def fit_rows(rows: list[np.ndarray], labels: np.ndarray) -> Model:
-    """A model of rows of buckets with labels 0 or 1; of one class only, or of none, a constant one."""
+def fit_rows(rows: list[bytes], labels: np.ndarray) -> Model:
+    """A model of packed rows of buckets with labels 0 or 1; of one class only, or of none, a constant one."""
     y = np.where(np.asarray(labels) > 0, 1.0, -1.0)
     pos, neg = int((y > 0).sum()), int((y < 0).sum())
     if not pos or not neg:
@@ -130,7 +152,7 @@ def fit_rows(rows: list[np.ndarray], labels: np.ndarray) -> Model:
         ratio = log_ratio(train, y[fit])
         part = Model(ratio, *dual_descent(train, y[fit], ratio), 1.0, 0.0)
         for i in np.flatnonzero(fold == k):
-            margins[i] = part.margin(rows[i])
+            margins[i] = part.margin(unpacked(rows[i]))
     ratio = log_ratio(rows, y)
     return Model(ratio, *dual_descent(rows, y, ratio), *logistic(margins, y))
 
@@ -139,7 +161,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model of the texts in docs(doc_id, text) with labels(doc_id, label): of at most `sample` of them.
 
     The sample is the first by md5 of doc_id. Documents with a null or with contradicting labels, a null
-    doc_id or no text row teach nothing. The driver gets the sample's buckets, MOST_FEATURES of them at most.
+    doc_id or no text row teach nothing; where a doc_id has several texts, each teaches. The driver gets the
+    sample's buckets: `sample` times BUCKETS / 8 bytes at most (131 MB), whatever the texts.
     """
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label")).where("doc_id is not null and label is not null")
     labels = labels.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("top")).where("label = top").select("doc_id", "label")
@@ -149,17 +172,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [x.astype(np.int32).tobytes() for _, x in indicators(batch.column(1))]
+            found = [packed(x) for _, x in indicators(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], ["doc_id", "label", "buckets"])
 
     got = texts.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, buckets binary")
     got = got.withColumn("order", F.md5(F.col("doc_id").cast("string"))).orderBy("order", "doc_id", "buckets").select("label", "buckets")
-    rows, y, size = [], [], 0
-    for r in got.toLocalIterator():
-        size += len(r["buckets"]) // 4
-        if size > MOST_FEATURES or len(y) == sample:
-            break
-        rows.append(np.frombuffer(r["buckets"], np.int32))
+    rows, y = [], []
+    for r in got.limit(sample).toLocalIterator():
+        rows.append(bytes(r["buckets"]))
         y.append(r["label"])
     return fit_rows(rows, np.array(y))
 

@@ -6,7 +6,7 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import public_tokenizers
@@ -72,6 +72,25 @@ def test_bpe_is_tiktoken(spark, docs, empty):
     assert byte_bpe.round_trip(empty, VOCABULARY, PATTERN).count() == 0
 
 
+def test_bpe_of_odd_rows(spark):
+    rows = [(None, "a b"), (1, "a b"), (1, "a b"), (2, None), (3, "x" * 70_000), (4, "é" * 3 + "\ud7ff")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_tokens", F.lit("clash")).withColumn("ids", F.lit(1))
+    got = [(r.doc_id, r.n_tokens, r.decoded_sha256) for r in byte_bpe.round_trip(df, VOCABULARY, PATTERN).collect()]
+    assert got == [(d, len(encoding().encode_ordinary(t or "")), hashlib.sha256((t or "").encode()).hexdigest()) for d, t in rows]
+    some = spark.createDataFrame([(1, [64, None, 65]), (2, None), (None, [])], "doc_id long, ids array<int>")
+    assert [(r.doc_id, bytes(r.data)) for r in byte_bpe.decode(some, VOCABULARY, PATTERN).collect()] == [(1, encoding().decode_bytes([64, 65])), (2, b""), (None, b"")]
+    with pytest.raises(Exception, match="KeyError"):
+        byte_bpe.decode(spark.createDataFrame([(1, [10**6])], "doc_id long, ids array<int>"), VOCABULARY, PATTERN).collect()
+
+
+def test_pre_tokens_are_forgotten(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "CACHE", 5)
+    c = byte_bpe.Codec(byte_bpe.serialise(byte_bpe.read_ranks(VOCABULARY)), PATTERN)
+    for i in range(30):
+        text = f"word{i} other{i * i} " + "long" * 50
+        assert c.encode(text) == " ".join(map(str, encoding().encode_ordinary(text))) and len(c) <= 5 + 6 and all(len(x) <= byte_bpe.LONGEST for x in c)
+
+
 # --- fingerprints
 
 
@@ -255,12 +274,15 @@ def test_lm_scores_are_plain_ones(spark, docs, empty):
             else:
                 score += math.log(0.4 ** (most - 1) / (n_all - len(w) + 1))
         want[d] = (len(w), score)
-    for block in (1 << 20, 500):  # one block, and many
-        got = {r.doc_id: (r.n_words, r.score) for r in lm_score.score(docs, block=block).collect()}
-        assert got.keys() == want.keys()
+    for options in ({}, {"block": 500}, {"block": 300, "partition": 100, "fan": 2}, {"block": 2000, "partition": 60, "fan": 5}):  # one block, many, teams of blocks
+        got = {r.doc_id: (r.n_words, r.score) for r in lm_score.score(docs, **options).collect()}
         for d in want:
             assert got[d][0] == want[d][0] and got[d][1] == pytest.approx(want[d][1], abs=1e-6)
     assert lm_score.score(empty).count() == 0
+    odd = spark.createDataFrame([(None, "a b c"), (7, "a b c"), (7, "a b c"), (8, None)], "doc_id long, text string").withColumn("n_words", F.lit("clash")).withColumn("score", F.lit(1))
+    got = sorted((r.doc_id or -1, r.n_words, round(r.score, 6)) for r in lm_score.score(odd).collect())
+    same = round(math.log(2 / 6 * 0.4**0) + 2 * math.log(1.0), 6)  # each row's words are in two others
+    assert got == [(-1, 3, same), (7, 3, same), (7, 3, same), (8, 0, 0.0)]
 
 
 def test_packed_numbers():
@@ -275,22 +297,23 @@ def test_packed_numbers():
 # --- line dedup
 
 
-def plain_dedup(rows, min_docs, lead=3, agree=0.5, shortest=6):
+def plain_dedup(rows, min_docs, lead=3, agree=0.7, shortest=6):
     lines = [(d, i, x, ["<*>" if re.search("[0-9]", t) else t for t in re.findall(r"[^\x20\x09-\x0D]+", x)]) for d, t in rows if t is not None for i, x in enumerate(t.split("\n"))]
-    leaves, exact = defaultdict(list), defaultdict(set)
-    for d, i, _, t in lines:
-        if t:
-            exact[tuple(t)].add(d)
-            if len(t) >= shortest:
-                leaves[len(t), tuple(t[:lead])].append((d, t))
-    good = set()
-    for k, members in leaves.items():
-        same = sum(len({t[p] for _, t in members}) == 1 for p in range(lead, k[0]))
-        if len({d for d, _ in members}) >= min_docs and same >= agree * (k[0] - lead):
-            good.add(k)
+    at = Counter((len(t), *t[:lead], p, t[p]) for _, _, _, t in lines if len(t) >= shortest for p in range(lead, len(t)))
+
+    def template(t):
+        if len(t) < shortest:
+            return tuple(t) or None
+        mask = tuple(x if at[(len(t), *t[:lead], p, x)] >= min_docs else None for p, x in enumerate(t) if p >= lead)
+        return (len(t), *t[:lead], mask) if sum(x is not None for x in mask) >= agree * len(mask) else None
+
+    seen = defaultdict(set)
+    for d, _, _, t in lines:
+        seen[template(t)].add(d)
     first, kept = {}, defaultdict(list)
     for d, i, x, t in sorted(lines, key=lambda r: (r[0], r[1])):
-        key = (len(t), tuple(t[:lead])) if (len(t), tuple(t[:lead])) in good else tuple(t) if t and len(exact[tuple(t)]) >= min_docs else None
+        key = template(t)
+        key = key if key is not None and len(seen[key]) >= min_docs else None
         if key is None or key not in first:
             kept[d].append(x)
         if key is not None:
@@ -317,6 +340,26 @@ def test_line_dedup_is_plain_one(spark, empty):
     assert template_lines.dedup(empty).count() == 0
 
 
+def test_templates_beside_other_lines(spark):
+    """Lines that only share a leaf with a template, or two templates in one leaf, do not hide it."""
+    names = "alice bob carol dave erin frank grace heidi ivan judy".split()
+    rows = [(i, f"Posted by the user {names[i % 10]} in the forum\nown {i} words of document {chr(97 + i)}") for i in range(12)]
+    rows += [(20 + i, f"Posted by the mayor for {names[i % 10]} only today") for i in range(12)]
+    rows += [(40, "Posted by the sea where nobody ever looks"), (41, "Posted by the wind over all those hills")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_dropped) for r in template_lines.dedup(df, min_docs=4).collect()}
+    assert {d: t for d, (t, _) in got.items()} == plain_dedup(rows, 4)
+    assert got[40][1] == got[41][1] == got[0][1] == got[20][1] == 0 and all(got[i][1] == 1 for i in [*range(1, 12), *range(21, 32)])
+
+
+def test_line_dedup_of_odd_rows(spark):
+    """Null ids, repeated rows, a very long line, and two texts of one id."""
+    long = " ".join(f"word{chr(97 + i % 26)}" for i in range(30_000))
+    rows = [(None, "same line here"), (None, "same line here"), (1, long), (2, long + "\nx"), (3, long), (3, "same line here"), (3, "same line here"), (3, "other")]
+    got = sorted((r.doc_id or -1, len(r.text), r.n_dropped) for r in template_lines.dedup(spark.createDataFrame(rows, "doc_id long, text string"), min_docs=3).collect())
+    assert got == [(-1, 0, 1), (-1, 0, 1), (1, len(long), 0), (2, 1, 1), (3, 0, 1), (3, 5, 0), (3, 14, 0), (3, 14, 0)]
+
+
 def test_lines_of_texts_that_end_in_line_feeds():
     import pyarrow as pa
 
@@ -345,6 +388,33 @@ def test_languages(spark, empty):
     assert language.predict(spark.createDataFrame(rows, "doc_id long, text string"), language.fit(empty)).where("lang_pred <> 'und'").count() == 0
 
 
+def test_viterbi_against_all_labellings():
+    rng = np.random.default_rng(3)
+    model = language.Model(["a", "b", "c"], np.ones((3, language._TRIGRAMS)), np.ones((3, language._WORDS)), np.ones((3, 256)))
+    for n in (1, 2, 3, 6, 7):
+        w = language.Words([" ".join(["ab"] * n)])
+        for _ in range(40):
+            s = -np.round(rng.choice([0, 1, 4, 8, 13], (n, 3)) + rng.random((n, 3)) * rng.choice([0, 1]), 3).astype(np.float32)
+            s -= s.max(axis=1, keepdims=True)
+            value = lambda p: float(s[np.arange(n), p].sum()) - model.switch * int((np.diff(p) != 0).sum())
+            best = max(value(np.array(p)) for p in product(range(3), repeat=n))
+            model.scores = lambda _, s=s: s
+            assert value(np.array(language.viterbi(s, model.switch))) == pytest.approx(best, abs=1e-3)
+            assert value(model.paths(w)) == pytest.approx(best, abs=1e-3)
+    third = np.full((4, 3), -8.0, np.float32)  # two halves in two languages, each close to a third one that is best in all
+    third[:2, 0], third[2:, 1], third[:, 2] = 0, 0, -4
+    model.scores = lambda _: third
+    assert model.paths(language.Words(["ab ab ab ab"])).tolist() == [0, 0, 1, 1]
+
+
+def test_language_of_long_texts_ties_and_null_ids(spark):
+    train = [(i, ("aa bb " if i % 2 else "xx yy ") * 30, "one" if i % 2 else "two") for i in range(40)]
+    model = language.fit(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    rows = [(None, "aa bb"), (None, None), (1, "aa bb xx yy"), (2, "aa bb " * 150_000 + "xx"), (3, "xx yy " * 20 + "aa bb " * 20)]
+    got = [(r.doc_id, r.lang_pred, r.n_spans) for r in language.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()]
+    assert got[0] == (None, "one", 1) and got[1] == (None, "und", 0) and got[3][:2] == (2, "one") and got[4] == (3, "one", 2)  # a tie goes to the first name
+
+
 def test_whole_texts_take_the_single_language_shortcut_only_where_it_is_exact():
     rng = np.random.default_rng(8)
     model = language.Model(["a", "b", "c"], np.ones((3, language._TRIGRAMS)), np.ones((3, language._WORDS)), np.ones((3, 256)))
@@ -417,9 +487,44 @@ def test_neighbours_against_brute_force(spark):
     assert [r.vec_id for r in rotated_codes.search(few, few.where("vec_id = 0")).orderBy("rank").collect()] == [2, 1]
 
 
+def test_neighbours_of_any_magnitude(spark):
+    rows = [(i, [m * x for x in v]) for i, (m, v) in enumerate([(1e50, [1.0, 0, 0]), (1e50, [1.0, 1, 0]), (2e50, [0, 1.0, 1]), (1e50, [1.0, 1, 1]), (3e50, [0.0, 0, 1])])]
+    for by in (1.0, 1e-45, 1e150, 1e-300):
+        df = spark.createDataFrame([(i, [x * by for x in v]) for i, v in rows] + [(9, [float("inf")] * 3)], "vec_id long, embedding array<double>")
+        got = rotated_codes.search(df, df).orderBy("query_id", "rank").collect()
+        assert len(got) == 20
+        for q, v in rows:
+            want = sorted((math.dist([x / 1e50 for x in v], [x / 1e50 for x in u]), i) for i, u in rows if i != q)
+            mine = [r for r in got if r.query_id == q]
+            assert [r.vec_id for r in mine] == [i for _, i in want] and [r.score for r in mine] == pytest.approx([d * 1e50 * by for d, _ in want])
+    with pytest.raises(ValueError, match="numbers"):
+        rotated_codes.search(df, spark.createDataFrame([(1, [1.0, 2.0])], "vec_id long, embedding array<double>"))
+
+
+def test_estimates_from_bit_planes():
+    """Against signs and coordinates multiplied out; the bound holds for all but a few pairs."""
+    rng = np.random.default_rng(3)
+    v, q = rng.normal(size=(300, 70)), rng.normal(size=(40, 70))
+    centre, turn = v.mean(axis=0), rotated_codes.rotations(70)
+    words, lengths, products = rotated_codes._encode(v, centre, turn)
+    assert words.shape == (300, rotated_codes.ROTATIONS * 2) and turn.shape == (rotated_codes.ROTATIONS * 128, 128)
+    near, error = rotated_codes.estimates(q, centre, turn, words, lengths, products, 1.0)
+    true = ((q[:, None, :] - v[None]) ** 2).sum(axis=2)
+    assert abs((near - true).mean()) < 0.02 * true.mean()
+    assert 0.55 < (np.abs(near - true) <= error).mean() < 0.85 and (np.abs(near - true) <= 4 * error).mean() > 0.999
+
+
 # --- licences
 
 
+def test_licence_ties_and_long_files(spark):
+    two = [("One", "alpha beta gamma delta"), ("Two", "alpha beta gamma delta")]
+    rows = [("x/a", "alpha beta gamma delta"), ("x/b", "word " * 200_000 + "\nalpha beta gamma delta\n" + "more " * 100_000), (None, "alpha beta gamma delta"), ("x/a", "alpha beta gamma delta")]
+    got = Counter((r.path, r.license, r.similarity) for r in licenses.scan(spark.createDataFrame(rows, "path string, text string"), two).collect())
+    assert got == Counter({("x/a", "One", 1.0): 2, ("x/b", "One", 1.0): 1, (None, "One", 1.0): 1})  # the first in the list
+
+
+
 def test_licences_and_inheritance(spark):
     mit, apache = "Released under the MIT License.", "intro\nLicensed under the Apache License, Version 2.0."
     rows = [("a/LICENSE", mit), ("a/b/x.txt", "text"), ("a/b/c/y.txt", apache), ("a/b/c/z.txt", None), ("d/x.txt", "nothing"), ("top.txt", ""), (None, "plain"), ("a/b/COPYING.md", "All rights\nreserved."), ("a/LICENSE-x", "no licence"), ("d/x.txt", "nothing")]
@@ -482,6 +587,64 @@ def test_quality_on_held_out_rows(spark, empty):
     assert {r.score for r in quality.scores(docs, none).collect()} == {0.5} and quality.scores(empty, none).count() == 0
 
 
+def dense(rows, width):
+    out = np.zeros((len(rows), width))
+    for i, x in enumerate(rows):
+        out[i, x] = 1
+    return out
+
+
+def test_hinge_loss_is_least(monkeypatch):
+    """Against the dual's own optimum: no weights can do better than a feasible dual value, so a closed gap proves both."""
+    monkeypatch.setattr(quality, "BUCKETS", 64)
+    rng = np.random.default_rng(2)
+    rows = [np.unique(rng.integers(0, 64, 12)) for _ in range(40)]
+    y = np.where(rng.random(40) < 0.3, 1.0, -1.0)
+    for x, label in zip(rows[:30], y):  # some signal
+        x[0] = 0 if label > 0 else 1
+    rows = [np.unique(x) for x in rows]
+    held = [quality.packed(x) for x in rows]
+    ratio = quality.log_ratio(held, y)
+    counts = [sum(b in x.tolist() for x, label in zip(rows, y) if label == side) + 1 for side in (1, -1) for b in range(64)]
+    p, q = np.array(counts[:64]), np.array(counts[64:])
+    assert ratio == pytest.approx(np.log(p / p.sum()) - np.log(q / q.sum()))
+    v = dense(rows, 64) * ratio
+    v = np.column_stack([v / np.sqrt((v * v).sum(axis=1, keepdims=True)), np.ones(40)])  # the offset is a weight too
+    w, b = quality.dual_descent(held, y, ratio, passes=400)
+    full = np.append(w, b)
+    most = quality.costs(y)
+    assert most[y > 0].sum() == pytest.approx(most[y < 0].sum()) == pytest.approx(20 * quality.COST)
+    primal = 0.5 * full @ full + (most * np.maximum(0, 1 - y * (v @ full))).sum()
+    gram, alpha = (v @ v.T) * np.outer(y, y), np.zeros(40)
+    for _ in range(60_000):  # projected gradient
+        alpha = np.clip(alpha + (1 - gram @ alpha) / np.linalg.norm(gram, 2), 0, most)
+    assert primal == pytest.approx(alpha.sum() - 0.5 * alpha @ gram @ alpha, abs=1e-4) and full == pytest.approx((alpha * y) @ v, abs=1e-2)
+
+
+def test_probability_curve_is_a_minimum():
+    rng = np.random.default_rng(1)
+    m, y = rng.normal(size=200), np.where(rng.random(200) < 0.4, 1.0, -1.0)
+    m += y
+    t = np.where(y > 0, ((y > 0).sum() + 1) / ((y > 0).sum() + 2), 1 / ((y < 0).sum() + 2))
+    loss = lambda a, b: -(t * np.log(1 / (1 + np.exp(-(a * m + b)))) + (1 - t) * np.log(1 - 1 / (1 + np.exp(-(a * m + b))))).sum()
+    a, b = quality.logistic(m, y)
+    assert all(loss(a, b) <= loss(a + x, b + z) + 1e-9 for x in (-0.01, 0, 0.01) for z in (-0.01, 0, 0.01))
+
+
+def test_packed_buckets_and_bounds(spark):
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 8191, 8192, 100_000, quality.BUCKETS):
+        x = np.sort(rng.choice(quality.BUCKETS, n, replace=False))
+        assert (quality.unpacked(quality.packed(x)) == x).all() and len(quality.packed(x)) <= quality.BUCKETS // 8
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "c d"), (None, "a b"), (2, "e f"), (3, "g")], "doc_id long, text string")
+    one_class = quality.fit(docs, spark.createDataFrame([(1, 1), (2, 1), (None, 0)], "doc_id long, label int"))
+    found = quality.scores(docs, one_class).collect()
+    assert len(found) == 6 and len({r.score for r in found}) == 1 and 0.5 < found[0].score < 1
+    both = quality.fit(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, label int"))
+    by_id = {(r.doc_id, round(r.score, 9)) for r in quality.scores(docs, both).collect()}
+    assert len([x for x in by_id if x[0] == 1]) <= 2
+
+
 # --- the pipeline
 
 
