@@ -129,9 +129,10 @@ def mix(docs: DataFrame, weights: Mapping[str, int] | None = None, block: int =
 
 
 def mixed(docs: DataFrame, weights: Mapping[str, int] | None = None, block: int = BLOCK) -> DataFrame:
-    """The rows of docs in the order of the mixture, with its own columns.
+    """The rows of docs in the order of the mixture, with its own columns, those named as mix()'s too.
 
     A writer keeps that order by file and row, but a reader that splits files does not: mix() of the same rows gives their places again.
     """
-    out = mix(docs.drop("block_no", "slot", "in_block"), weights, block)
-    return out.orderBy("slot", "in_block").drop("block_no", "slot", "in_block")
+    own = {c: f"__own_{c}" for c in ("block_no", "slot", "in_block") if c in docs.columns}
+    out = mix(docs.withColumnsRenamed(own), weights, block).orderBy("slot", "in_block").drop("block_no", "slot", "in_block")
+    return out.withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)

@@ -683,3 +683,23 @@ def test_pipeline_result_has_the_mixture(spark, tmp_path, monkeypatch):
     assert [(r.doc_id, r.slot, r.in_block) for r in got] == [(r.doc_id, r.slot, r.in_block) for r in mixing.mix(docs).orderBy("slot", "in_block").collect()]
     assert [r.doc_id for r in got] == [r.doc_id for r in mixing.mixed(docs).collect()]
     assert {r.doc_id: r.decoded_sha256 for r in got} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t, *_ in rows}
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls in every column, repeated rows and ids, a very long text, an extra column, and a table without rows."""
+    text = lambda k: " ".join(f"{w}{chr(97 + k)}" for w in "the sea is wide and the night is long for those who wait at home".split())
+    rows = [(i, text(i), "en", f"s{i % 2}", 60, i) for i in range(20)] + [(0, text(0), "en", "s0", 60, 0), (1, text(20), "en", None, 60, 1), (None, text(21), None, None, None, None)]
+    rows += [(30, None, None, None, None, None), (31, "", "en", "s1", 0, 1), (32, "12 34", "en", "s1", 5, 1), (33, " ".join(text(i % 26) for i in range(3000)), "en", "s1", 0, 2)]
+    docs = spark.createDataFrame(rows, DOC + ", slot long")
+    for some in (docs, docs.where("false")):
+        path = str(tmp_path / str(some.isEmpty()))
+        some.write.parquet(f"{path}/documents.parquet")
+        kept = spark.read.parquet(f"{path}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, kept, path)
+            assert kept.columns == docs.columns
+        want = Counter((d, t) for d, t, *_ in set(rows) if t and re.search("[a-z]", t)) if some is docs else Counter()
+        assert Counter((r.doc_id, r.text) for r in kept.collect()) == want
+        out = corpus_pipeline.run(spark, path).collect()
+        assert Counter((r.doc_id, r.decoded_sha256) for r in out) == Counter({(d, hashlib.sha256(t.encode()).hexdigest()): n for (d, t), n in want.items()})
+        assert len({(r.slot, r.in_block) for r in out}) == len(out)
