@@ -22,13 +22,21 @@ def _measured(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sets lang to the predicted language; documents without letters or without a main language go."""
+    """Sets lang to the predicted language; documents without letters or without a main language go.
+
+    Null and empty texts have no letters and go. A tie goes to the first language by name; a table without any lang
+    teaches none, so all rows go. Repeated rows and null doc_ids fare by their texts. No rows give no rows.
+    """
     found = language.annotate(docs, language.fit(docs)).where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SHARE))
     return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes recurring lines out of texts; all documents stay."""
+    """Takes recurring lines out of texts; all rows stay, if only with an empty text.
+
+    A template stays in the rows with the smallest doc_id that have it, at its first line there; rows alike in doc_id and
+    text fare alike, null texts stay null. No rows give no rows.
+    """
     return _measured(template_lines.dedup(docs), docs.columns)
 
 
@@ -42,7 +50,11 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the mixture of their sources."""
+    """All rows in the order of the mixture of their sources.
+
+    A null source is a source of its own; ties in the order of a source go by doc_id, then text; repeated rows
+    follow each other. No rows give no rows.
+    """
     return mixing.mixed(docs)
 
 
@@ -50,6 +62,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id and its tokens' number and digests, encoded and decoded again; slot and in_block, its place in the mixture.
 
     A table that is read again may come in any order; the places follow from its rows, as in the stage before.
+    Null and empty texts have no tokens, null doc_ids stay, repeated rows come repeatedly. No rows give no rows.
     """
     import public_tokenizers
 
