@@ -30,6 +30,8 @@ STOP_WORDS = frozenset(
     other some such no nor not only own same so than too very s t can will just don should now""".split()
 )
 
+#: The most words with wanted stems that go to every task as one table.
+MOST_NAMES = 100_000
 _VOWELS = "aeiou"
 
 
@@ -245,6 +247,9 @@ def word_rows(texts: DataFrame, key: list[str], text: str, wanted: DataFrame, an
         names = wanted.select(F.col("term").alias("word"), "term")
     else:
         words = texts.select(F.explode(F.array_distinct(T.terms(F.col(text)))).alias("word")).distinct().where(~F.col("word").isin(sorted(STOP_WORDS)))
-        names = words.withColumn("term", _stems("word")).join(wanted, "term")
+        names = words.withColumn("term", _stems("word")).join(wanted, "term").select("word", "term")
+        few = names.limit(MOST_NAMES + 1).collect()
+        if len(few) <= MOST_NAMES:  # else the join shuffles
+            names = F.broadcast(texts.sparkSession.createDataFrame(few, "word string, term string"))
     rows = texts.select(*key, F.posexplode(T.terms(F.col(text))).alias("i", "word")).join(names, "word")
     return rows.groupBy(*key, "term").agg(F.array_sort(F.collect_list(F.col("i") + 1)).alias("positions"))

@@ -11,6 +11,7 @@ import functools
 import math
 import re
 from collections.abc import Sequence
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +33,18 @@ MOST_SENT = 1_000_000
 KEY = ["space_key", "chunk_id"]
 
 
+class Index(NamedTuple):
+    """Inverted tables of chunks, partitioned by bucket(): terms(bucket, term, key, positions) and trigrams(bucket, trigram, key)."""
+
+    terms: DataFrame
+    trigrams: DataFrame
+    buckets: int
+
+    @staticmethod
+    def bucket(name: str, buckets: int) -> Column:
+        return F.pmod(F.xxhash64(name), F.lit(buckets)).cast("int")
+
+
 def check_arguments(top_k: int = TOP_K, candidate_k: int | None = None, rrf_k: int = RRF_K, trgm_threshold: float = TRGM_THRESHOLD, vector: Sequence[float] | None = None, dimension: int | None = None) -> None:
     """Raises ValueError, naming the argument."""
     if vector is not None and dimension is not None and len(vector) != dimension:
@@ -84,7 +97,7 @@ def vector_candidates(chunks: DataFrame, queries: DataFrame, k: int) -> DataFram
     Queries meet all chunks in blocks of MOST_QUERIES; a task keeps the k best of each query of what it reads.
     """
     base = chunks.select(*KEY, V.doubles(F.col("embedding")).alias("v"))
-    base = base.withColumn("n", V.norm(F.col("v")))
+    base = base.withColumn("n", V.norm(F.col("v"))) if "norm" not in chunks.columns else chunks.select(*KEY, V.doubles(F.col("embedding")).alias("v"), F.col("norm").alias("n"))
     asked = queries.select("query_id", V.doubles(F.col("query_embedding")).alias("q")).withColumn("m", V.norm(F.col("q")))
     distance = V.cosine_distance(F.col("v"), F.col("q"), F.col("n"), F.col("m"))
     found = [_ranked(base.crossJoin(some).select("query_id", *KEY, distance.alias("distance")), [F.col("distance").asc()], k, "vector_rank") for some in _blocks(asked)]
@@ -96,19 +109,21 @@ def search(chunks: DataFrame, query_embedding: Sequence[float], space_key: str |
     check_arguments(top_k, vector=query_embedding, dimension=dimension)
     q = F.array(*(F.lit(float(x)) for x in query_embedding))
     near = V.cosine_distance(V.doubles(F.col("embedding")), q)
-    return in_space(chunks, space_key).withColumn("distance", near).drop("embedding").orderBy("distance", *KEY).limit(top_k)
+    return in_space(chunks, space_key).withColumn("distance", near).drop("embedding", "norm").orderBy("distance", *KEY).limit(top_k)
 
 
-def fulltext_matches(chunks: DataFrame, queries: DataFrame, analyzer: str = "english") -> DataFrame:
+def fulltext_matches(chunks: DataFrame, queries: DataFrame, analyzer: str = "english", index: Index | None = None) -> DataFrame:
     """query_id, space_key, chunk_id, text_score of all chunks that satisfy queries(query_id, query_text).
 
-    Terms of queries meet the chunks' terms by an equi-join: stored ones (`terms`, maps of positions), or the
-    words of `content`. Only matching terms' positions move: they make phrases, phrases alternatives.
+    Terms of queries meet the chunks' terms by an equi-join: those of an index, of which only the queries'
+    buckets are read, stored ones (`terms`, maps of positions), or the words of `content`. Only matching terms' positions move: they make phrases, phrases alternatives.
     """
     asked = FT.query_terms(queries, analyzer)
     terms = asked.select("term").distinct()
     terms = _if_small(terms, terms.limit(MOST_SENT + 1).count())
-    if "terms" in chunks.columns:
+    if index:
+        rows = index.terms.join(terms.withColumn("bucket", Index.bucket("term", index.buckets)), ["bucket", "term"]).drop("bucket")
+    elif "terms" in chunks.columns:
         rows = chunks.select(*KEY, F.explode("terms").alias("term", "positions")).join(terms, "term")
     else:
         rows = FT.word_rows(chunks, KEY, "content", terms, analyzer)
@@ -123,9 +138,9 @@ def fulltext_matches(chunks: DataFrame, queries: DataFrame, analyzer: str = "eng
     return good.select("query_id", *KEY, FT.density(F.col("places")).alias("score")).groupBy("query_id", *KEY).agg(F.max("score").alias("text_score"))
 
 
-def fulltext_candidates(chunks: DataFrame, queries: DataFrame, k: int, analyzer: str = "english") -> DataFrame:
+def fulltext_candidates(chunks: DataFrame, queries: DataFrame, k: int, analyzer: str = "english", index: Index | None = None) -> DataFrame:
     """query_id, space_key, chunk_id, text_score, fts_rank: the k best matches of each query by (score, key)."""
-    return _ranked(fulltext_matches(chunks, queries, analyzer), [F.col("text_score").desc()], k, "fts_rank")
+    return _ranked(fulltext_matches(chunks, queries, analyzer, index), [F.col("text_score").desc()], k, "fts_rank")
 
 
 def _extent(q: list[str], t: list[str]) -> float:
@@ -172,17 +187,20 @@ def word_similarity(query: Column, content: Column) -> Column:
     return _similarity(query, content)
 
 
-def trigram_candidates(chunks: DataFrame, queries: DataFrame, k: int, threshold: float = TRGM_THRESHOLD) -> DataFrame:
+def trigram_candidates(chunks: DataFrame, queries: DataFrame, k: int, threshold: float = TRGM_THRESHOLD, index: Index | None = None) -> DataFrame:
     """query_id, space_key, chunk_id, trgm_score, trgm_rank: chunks with a word similarity of threshold or more.
 
     The share of a query's trigrams that a chunk has at all bounds the similarity. Trigrams of chunks meet
-    those of queries by an equi-join and are counted; contents come for pairs with a sufficient share only.
+    those of queries by an equi-join, through an index where there is one, and are counted; contents come for pairs with a sufficient share only.
     """
     asked = queries.select("query_id", "query_text", T.trigram_set(F.col("query_text")).alias("q")).withColumn("least", F.greatest(F.lit(threshold) * F.size("q"), F.lit(1)))
     wanted = asked.select("query_id", "least", F.explode("q").alias("trigram"))
     wanted = _if_small(wanted, wanted.limit(MOST_SENT + 1).count())
-    own = chunks.select(*KEY, F.explode(T.trigram_set(F.col("content"))).alias("trigram"))
-    shares = own.join(wanted, "trigram").groupBy("query_id", *KEY, "least").agg(F.count("*").alias("n")).where("n >= least").select("query_id", *KEY)
+    if index:
+        found = index.trigrams.join(wanted.withColumn("bucket", Index.bucket("trigram", index.buckets)), ["bucket", "trigram"])
+    else:
+        found = chunks.select(*KEY, F.explode(T.trigram_set(F.col("content"))).alias("trigram")).join(wanted, "trigram")
+    shares = found.groupBy("query_id", *KEY, "least").agg(F.count("*").alias("n")).where("n >= least").select("query_id", *KEY)
     texts = chunks.select(*KEY, "content").join(shares, KEY).join(_if_small(asked.select("query_id", "query_text"), asked.limit(MOST_SENT + 1).count()), "query_id")
     once = _similarity.asNondeterministic()  # else a filter would work it out again
     scored = texts.select("query_id", *KEY, once("query_text", "content").alias("trgm_score")).where((F.col("trgm_score") >= threshold) & (F.col("trgm_score") > 0))
@@ -246,17 +264,20 @@ def fuse(vector: DataFrame, fts: DataFrame, trgm: DataFrame, rrf_k: int = RRF_K)
     return merged.withColumn("rrf_score", score)
 
 
-def hybrid(chunks: DataFrame, queries: DataFrame, space_key: str | None = None, top_k: int = TOP_K, candidate_k: int = CANDIDATE_K, rrf_k: int = RRF_K, trgm_threshold: float = TRGM_THRESHOLD, analyzer: str = "english") -> DataFrame:
+def hybrid(chunks: DataFrame, queries: DataFrame, space_key: str | None = None, top_k: int = TOP_K, candidate_k: int = CANDIDATE_K, rrf_k: int = RRF_K, trgm_threshold: float = TRGM_THRESHOLD, analyzer: str = "english", index: Index | None = None) -> DataFrame:
     """Of each query the top_k chunks by fused ranks: query_id, ref, the chunk's columns, distance, rrf_score and ranks.
 
     queries has query_id, query_text and query_embedding. ref is 1 for the best; ties in rrf_score go by
-    distance, then key. Distances and contents are looked up for the few chunks that are left only.
+    distance, then key. Distances and contents are looked up for the few chunks that are left only. An index
+    must be of the same chunks.
     """
     check_arguments(top_k, candidate_k, rrf_k, trgm_threshold)
     found = in_space(chunks, space_key)
-    fused = fuse(vector_candidates(found, queries, candidate_k), fulltext_candidates(found, queries, candidate_k, analyzer), trigram_candidates(found, queries, candidate_k, trgm_threshold), rrf_k)
+    if index:
+        index = Index(in_space(index.terms, space_key), in_space(index.trigrams, space_key), index.buckets)
+    fused = fuse(vector_candidates(found, queries, candidate_k), fulltext_candidates(found, queries, candidate_k, analyzer, index), trigram_candidates(found, queries, candidate_k, trgm_threshold, index), rrf_k)
     n = queries.count()
-    kept = [c for c in found.columns if c not in ("embedding", "terms", *KEY)]
+    kept = [c for c in found.columns if c not in ("embedding", "terms", "norm", *KEY)]
     full = found.select(*KEY, *kept, V.doubles(F.col("embedding")).alias("v")).join(_if_small(fused, 3 * candidate_k * n), KEY)
     asked = queries.select("query_id", V.doubles(F.col("query_embedding")).alias("q"))
     near = full.join(F.broadcast(asked) if n <= MOST_QUERIES else asked, "query_id").withColumn("distance", V.cosine_distance(F.col("v"), F.col("q")))

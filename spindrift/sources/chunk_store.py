@@ -18,10 +18,11 @@ from pyspark.sql.window import Window
 from spindrift.functions import fulltext as FT
 from spindrift.functions import text as T
 from spindrift.functions import vectors as V
+from spindrift.operators import retrieval
 
 SCHEMA = "space_key string, chunk_id string, source_id string, title string, heading string, breadcrumb string, content string, embedding array<float>, updated_at timestamp"
 _COLUMNS = [x.split()[0] for x in SCHEMA.replace(", ", "\n").split("\n")]
-_STORED = f"{SCHEMA}, terms map<string,array<int>>"
+_STORED = f"{SCHEMA}, norm double, terms map<string,array<int>>"
 KEY = ["space_key", "chunk_id"]
 _SOURCE = ["space_key", "source_id"]
 #: The most spaces that one write may touch; their names pass through the driver.
@@ -149,6 +150,7 @@ class ChunkStore:
                 state["spaces"][space] = own
             else:
                 state["spaces"].pop(space, None)
+        state.pop("index", None)
         self._point(state)
 
     def _put(self, batch: DataFrame, spaces: list[str], gone: DataFrame | None) -> None:
@@ -158,7 +160,7 @@ class ChunkStore:
         if gone is not None:
             now = now.join(gone, _SOURCE, "left_anti").select(*now.columns)
         new = latest(batch, KEY) if "position" in batch.columns else batch
-        new = new.withColumn("updated_at", F.current_timestamp()).withColumn("terms", FT.term_positions(F.col("content"), state["analyzer"]))
+        new = with_norms(new.withColumn("updated_at", F.current_timestamp())).withColumn("terms", FT.term_positions(F.col("content"), state["analyzer"]))
         self._commit(spaces, merged(now, new, KEY))
 
     def replace_sources(self, sources: DataFrame, chunks: DataFrame) -> int:
@@ -194,9 +196,28 @@ class ChunkStore:
             self._commit([space_key], without_source(now, space_key, source_id))
         return n
 
+    def build_index(self, buckets: int = 64) -> None:
+        """Writes the inverted tables of all current chunks, which searches read from then on, until the next write."""
+        chunks = self.read()
+        path = f"{self.folder}/data/{uuid.uuid4().hex}"
+        for name, column, rows in (("terms", "term", postings(chunks)), ("trigrams", "trigram", trigram_postings(chunks))):
+            rows.withColumn("bucket", retrieval.Index.bucket(column, buckets)).repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/{name}")
+        self._point(self._state() | {"index": {"path": path, "buckets": buckets}})
+
+    def index(self) -> retrieval.Index | None:
+        """The inverted tables, if they are of the current chunks."""
+        found = self._state().get("index")
+        if not found:
+            return None
+        key = "space_key string, chunk_id string, bucket int"
+        terms = self.spark.read.schema(f"term string, positions array<int>, {key}").parquet(f"{found['path']}/terms")
+        return retrieval.Index(terms, self.spark.read.schema(f"trigram string, {key}").parquet(f"{found['path']}/trigrams"), found["buckets"])
+
     def vacuum(self) -> int:
         """Removes folders that the current version does not read, and returns their number. Readers of older versions lose them."""
-        used = {p.split("/data/")[1].split("/")[0] for p in self._state().get("spaces", {}).values()}
+        state = self._state()
+        paths = [*state.get("spaces", {}).values(), state.get("index", {}).get("path")]
+        used = {p.split("/data/")[1].split("/")[0] for p in paths if p}
         gone = 0
         for name in ("data", "staged"):
             fs, at = self._fs(f"{self.folder}/{name}")
@@ -207,21 +228,18 @@ class ChunkStore:
         return gone
 
     def search(self, query_embedding: list[float], space_key: str | None = None, top_k: int = 5) -> DataFrame:
-        from spindrift.operators import retrieval
-
         retrieval.check_arguments(top_k, vector=query_embedding, dimension=self.dimension)
         return retrieval.search(self.read(space_key).drop("terms"), query_embedding, None, top_k)
 
     def search_hybrid(self, query_embedding: list[float], query_text: str, space_key: str | None = None, **options) -> DataFrame:
-        from spindrift.operators import retrieval
-
         retrieval.check_arguments(**{"top_k": retrieval.TOP_K, "candidate_k": retrieval.CANDIDATE_K} | options, vector=query_embedding, dimension=self.dimension)
-        hits = retrieval.hybrid(self.read(space_key), retrieval.one_query(self.spark, query_text, query_embedding), None, analyzer=self.analyzer, **options)
+        query = retrieval.one_query(self.spark, query_text, query_embedding)
+        hits = retrieval.hybrid(self.read(space_key), query, space_key, analyzer=self.analyzer, index=self.index(), **options)
         return hits.drop("updated_at").orderBy("ref")
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """term, space_key, chunk_id, positions: the inverted table of `terms`, for very large stores to partition by term."""
+    """term, space_key, chunk_id, positions: the inverted table of `terms`."""
     return chunks.select(*KEY, F.explode("terms").alias("term", "positions")).select("term", *KEY, "positions")
 
 
@@ -231,4 +249,5 @@ def trigram_postings(chunks: DataFrame) -> DataFrame:
 
 
 def with_norms(chunks: DataFrame) -> DataFrame:
+    """chunks with the lengths of their vectors."""
     return chunks.withColumn("norm", V.norm(V.doubles(F.col("embedding"))))

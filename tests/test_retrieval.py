@@ -63,6 +63,25 @@ def test_writes_over_spaces_are_seen_whole(spark, store):
         store.upsert(batch.unionByName(batch))
 
 
+def test_searches_through_the_index(spark, store):
+    rng = random.Random(1)
+    words = "krill whale song deep ocean blue harbour tide".split()
+    made = rows(*((rng.choice("AB"), f"s{i}", " ".join(rng.choices(words, k=6)), [rng.random(), rng.random(), 1.0]) for i in range(40)))
+    store.upsert(spark.createDataFrame(made, CHUNK))
+    ask = lambda space: [tuple(r) for r in store.search_hybrid([1.0, 0.2, 0.0], '"blue whale" or singing tide', space_key=space).collect()]
+    before = [ask(None), ask("A")]
+    assert store.index() is None
+    store.build_index(4)
+    assert [ask(None), ask("A")] == before and before[0]
+    index = store.index()
+    asked = spark.createDataFrame([("q", "blue")], "query_id string, query_text string")
+    plan = retrieval.fulltext_matches(store.read(), asked, "english", index)._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan.lower()
+    assert store.vacuum() >= 0 and [ask(None), ask("A")] == before
+    put(spark, store, "A", "late", "blue whale", [1.0, 0.0, 0.0])
+    assert store.index() is None and ask("A")[0] != before[1][0]
+
+
 def test_wrong_batches_are_refused(spark, store):
     with pytest.raises(ValueError, match="dimension"):
         put(spark, store, "A", "x", "t", [1.0])
@@ -82,26 +101,28 @@ def test_argument_names_in_errors(spark, store):
 
 
 def test_fusion_of_signals(spark, store):
-    e0, back = [1.0, 0.0, 0.0], [-1.0, 0.0, 0.0]
-    put(spark, store, "A", "both", "exactterm", e0)
-    put(spark, store, "A", "vector", "unrelated", e0)
-    put(spark, store, "A", "fts", "exactterm", back)
-    hits = store.search_hybrid(e0, "exactterm", space_key="A", top_k=2, candidate_k=2).collect()
-    assert len(hits) == 2 and hits[0].source_id == "both" and hits[0].fts_rank is not None and hits[0].rrf_score > 0
-    assert [h.source_id for h in store.search(e0, "A", 2).collect()] == ["both", "vector"]
+    east, west = [0.0, 2.0, 0.0], [0.0, -2.0, 0.0]
+    for source, content, vector in (("lamp", "foghorn at dawn", east), ("buoy", "calm water", east), ("rock", "a foghorn far away", west), ("sand", "nothing here", west)):
+        put(spark, store, "SEA", source, content, vector)
+    hits = store.search_hybrid([0.0, 1.0, 0.0], "foghorn", space_key="SEA", top_k=3, candidate_k=3).collect()
+    assert [h.source_id for h in hits] == ["lamp", "rock", "buoy"]  # three signals, two and the far end of one, one
+    lamp, rock, buoy = hits
+    assert lamp.vector_rank is not None and lamp.fts_rank is not None and lamp.trgm_rank is not None and lamp.rrf_score > rock.rrf_score > buoy.rrf_score
+    assert buoy.fts_rank is None and buoy.trgm_rank is None and rock.distance > buoy.distance
+    assert [h.source_id for h in store.search([0.0, 1.0, 0.0], "SEA", 2).collect()] == ["buoy", "lamp"]
 
 
 def test_vector_only_and_zero_query(spark, store):
-    put(spark, store, "A", "x", "some text", [1.0, 0.0, 0.0])
-    (hit,) = store.search_hybrid([0.0, 0.0, 0.0], "!!!", space_key="A").collect()
-    assert hit.fts_rank is None and hit.trgm_rank is None and hit.vector_rank == 1
+    put(spark, store, "SEA", "x", "tide out", [1.0, 0.0, 0.0])
+    (hit,) = store.search_hybrid([0.0, 0.0, 0.0], "?!", space_key="SEA").collect()
+    assert (hit.fts_rank, hit.trgm_rank, hit.vector_rank) == (None, None, 1) and math.isnan(hit.distance)
 
 
-def test_trigrams_find_particles(spark):
-    body = "배포를 진행했다. 롤백 없이 안정적으로 완료했다."
-    chunks = embedding.hashed(spark.createDataFrame([("K", "ko#0", "ko", body)], "space_key string, chunk_id string, source_id string, content string"), "content", dimension=16)
-    query = embedding.hashed(spark.createDataFrame([("q", "배포 완료")], "query_id string, query_text string"), "query_text", "query_embedding", 16)
-    (hit,) = retrieval.hybrid(chunks, query).collect()
+def test_trigrams_find_words_with_particles(spark):
+    body = "고래들이 먼 바다에서 노래했다. 등대는 밤새 켜져 있었다."
+    chunks = embedding.hashed(spark.createDataFrame([("SEA", "k#0", "k", body)], "space_key string, chunk_id string, source_id string, content string"), "content", dimension=16)
+    query = embedding.hashed(spark.createDataFrame([("q", "고래 노래")], "query_id string, query_text string"), "query_text", "query_embedding", 16)
+    (hit,) = retrieval.hybrid(chunks, query, trgm_threshold=0.1).collect()
     assert hit.trgm_rank == 1 and hit.fts_rank is None
 
 
@@ -120,7 +141,7 @@ def test_word_similarity_against_all_stretches(spark):
         q = list(dict.fromkeys(rng.choices("abcdef", k=rng.randrange(1, 6))))
         t = rng.choices("abcdefghij", k=rng.randrange(0, 14))
         assert retrieval._extent(q, t) == pytest.approx(brute(q, t)), (q, t)
-    df = spark.createDataFrame([("word", "two words"), ("exactterm", "unrelated body")], "q string, t string")
+    df = spark.createDataFrame([("word", "two words"), ("krill", "other things")], "q string, t string")
     got = [r.s for r in df.select(retrieval.word_similarity(F.col("q"), F.col("t")).alias("s")).collect()]
     assert got == pytest.approx([0.8, 0.0])
 
