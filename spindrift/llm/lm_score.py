@@ -206,21 +206,31 @@ def _requests(made: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, ["part", "block", "n", "hashes", "counts"])
 
 
-def _scores(g: np.ndarray, bounds: np.ndarray, totals: np.ndarray, distinct: np.ndarray, all_words: int, alpha: float, bits: int) -> np.ndarray:
-    """The sum of each document's log scores."""
+def _scores(g: np.ndarray, bounds: np.ndarray, totals: np.ndarray, all_words: int, alpha: float, bits: int) -> np.ndarray:
+    """The sum of each document's log scores, from the counts of its block's distinct n-grams in ascending order.
+
+    A stable sort puts equal n-grams side by side, and of those the ones of one document, so runs give each
+    document's own counts.
+    """
     order, n = g.shape
     rows = len(bounds) - 1
     of = np.repeat(np.arange(rows), np.diff(bounds))
-    counts = np.zeros((order, n))
-    for k in range(order):
-        here = np.flatnonzero(g[k])
-        where = np.searchsorted(distinct, _shorten(g[k][here], bits))
-        c = totals[where]
-        again = np.flatnonzero(c > 1)  # a count of one is the document's own
-        _, group, own = np.unique(where[again] * rows + of[here[again]], return_inverse=True, return_counts=True)
-        rest = np.zeros(len(here))
-        rest[again] = c[again] - own[group]
-        counts[k][here] = rest
+    there = np.flatnonzero(g.ravel())
+    values = _shorten(g.ravel()[there], bits)
+    there = there[np.argsort(values, kind="stable")]
+    values, doc = _shorten(g.ravel()[there], bits), of[there % n]
+    first = np.ones(len(values), bool)
+    first[1:] = values[1:] != values[:-1]
+    if int(first.sum()) != len(totals):
+        raise RuntimeError(f"{first.sum()} n-grams asked for, {len(totals)} counted")
+    run = first.copy()
+    run[1:] |= doc[1:] != doc[:-1]
+    at = np.flatnonzero(run)
+    own = np.diff(np.append(at, len(run)))
+    rest = totals[np.cumsum(first)[at] - 1] - own
+    counts = np.zeros(order * n)
+    counts[there] = np.repeat(rest, own)
+    counts = counts.reshape(order, n)
     others = (all_words - np.diff(bounds))[of].astype(float)
     place = np.arange(n) - bounds[:-1][of]
     chance = np.where(counts[0] > 0, counts[0] / np.maximum(others, 1), 1 / (others + 1))
@@ -263,12 +273,9 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, block: int
             raise RuntimeError("counts without their block")
         ids = left["doc_ids"][0].as_py()
         g, bounds = ngrams(left["texts"][0].as_py(), len(ids), order)
-        distinct = np.unique(_shorten(g[g != 0], bits))
         sent = sorted(zip(right["part"].to_pylist(), right["n"].to_pylist(), right["counts"].to_pylist()))
         totals = np.concatenate([unpack_counts(c, n) for _, n, c in sent]) if sent else np.zeros(0, np.int64)
-        if len(totals) != len(distinct):
-            raise RuntimeError(f"{len(distinct)} n-grams asked for, {len(totals)} counted")
-        sums, n = _scores(g, bounds, totals, distinct, all_words, alpha, bits), np.diff(bounds)
+        sums, n = _scores(g, bounds, totals, all_words, alpha, bits), np.diff(bounds)
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(n, pa.int64()), "score": pa.array(sums, pa.float64()), "mean_score": pa.array(sums / np.maximum(n, 1), pa.float64())})
 
     texts = packed.select("block", "doc_ids", "texts")
