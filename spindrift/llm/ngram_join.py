@@ -498,6 +498,13 @@ def labelled(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, blo
     return full.unionByName(profile.where("n_shingles = 0").select("doc_id", "text_key", "n_shingles", F.lit(None).cast("long").alias("label")))
 
 
+def _saved_labels(docs: DataFrame, words: int, num: int, den: int, block: int) -> DataFrame:
+    with scratch() as kept:
+        rows = saved(labelled(docs, words, num, den, block), "labelled")
+        kept.append(rows)
+    return rows
+
+
 def join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles long, component_id long of every row of docs.
 
@@ -508,7 +515,7 @@ def join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, block:
     Columns other than doc_id and text are left out; no rows give no rows. `block` is the most nodes that
     one task compares with each other; the result does not depend on it.
     """
-    rows = saved(labelled(docs, words, num, den, block), "labelled")
+    rows = _saved_labels(docs, words, num, den, block)
     least = rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     full = rows.where("label is not null").join(least, "label").select("doc_id", "n_shingles", "component_id")
     return full.unionByName(rows.where("label is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
@@ -522,7 +529,7 @@ def representatives(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     that share a doc_id are safe. A null doc_id counts as in labelled(): such rows are copies of rows with the
     same set only. No rows give no rows.
     """
-    rows = saved(labelled(docs, words, num, den, block), "labelled")
+    rows = _saved_labels(docs, words, num, den, block)
     first = rows.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("r"))
     alone = rows.where("label is null").select("doc_id", "text_key").distinct()
     stay = saved(first.select("r.doc_id", "r.text_key").withColumn("full", F.lit(True)).unionByName(alone.withColumn("full", F.lit(False))), "stay")

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spindrift.llm._shared import saved
+from spindrift.llm._shared import saved, scratch
 
 #: Neighbours; standard errors in a bound; rotations; bits of a query's coordinate; queries and codes in a block.
 K, ERRORS, ROTATIONS, DEPTH, QUERY_BLOCK, CODE_BLOCK = 10, 2.5, 4, 4, 1024, 4096
@@ -124,6 +124,14 @@ def estimates(queries: np.ndarray, centre: np.ndarray, turn: np.ndarray, words:
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, errors: float = ERRORS) -> DataFrame:
+    """What nearest() gives, as a saved table of k rows a query; its intermediate tables are removed."""
+    with scratch() as kept:
+        found = saved(nearest(vectors, queries, k, errors), "neighbours")
+        kept.append(found)
+    return found
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, errors: float = ERRORS) -> DataFrame:
     """query_id long, rank int, vec_id long, score double: each query's k nearest vectors found, but itself.
 
     vectors and queries have vec_id and embedding. Nearness is the Euclidean distance in double precision

@@ -7,7 +7,8 @@ is constant, any other is a variable field, and lines that are alike after that
 enough constant positions is a template, so a few other lines in a leaf change nothing and a leaf may have
 several templates. Lines with fewer tokens than a leaf asks for are templates as they are, variable fields alike.
 
-A template that recurs in at least min_docs documents is dropped everywhere but at its first place.
+A template that recurs in at least min_docs documents is dropped everywhere but at its first place. For lines of LONG
+tokens or more FEW_DOCS take the place of min_docs: short lines recur by chance, passages don't.
 Templates and leaves are counted inside each task before anything moves, so a frequent line is one row from
 each; of leaves below min_docs documents no line moves at all.
 """
@@ -19,13 +20,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm._shared import saved
+from spindrift.llm._shared import saved, scratch
 from spindrift.llm._words import U64, chunks, mix, word_hashes
 
 LEAD, AGREE, SHORTEST, MIN_DOCS = 3, 0.7, 6, 10
+LONG, FEW_DOCS = 20, 3
 #: Templates that a task counts before it sends them, some 200 bytes each.
 HELD = 150_000
 _FIELD = U64(0x5DEECE66D1234567)
@@ -77,17 +79,23 @@ def _batch(**columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
-_SUMS = "template long, docs long, first_doc long"
+_SUMS = "template long, n int, docs long, first_doc long"
+
+
+def _least(n: Column, min_docs: int, few_docs: int) -> Column:
+    """How many documents make a template of lines of n tokens recurring."""
+    return F.when(n >= LONG, min(few_docs, min_docs)).otherwise(min_docs)
 
 
 def _summed(docs: DataFrame, lead: int, shortest: int) -> DataFrame:
-    """template long, docs long, first_doc long: documents with each leaf and short template, and their smallest doc_id, by task."""
+    """template long, n int, docs long, first_doc long: tokens of each leaf and short template, documents with it, and their smallest doc_id, by task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
 
         def take() -> pa.RecordBatch:
-            out = _batch(template=pa.array(held, pa.int64()), docs=pa.array([v[0] for v in held.values()], pa.int64()), first_doc=pa.array([v[1] for v in held.values()], pa.int64()))
+            columns = [pa.array([v[k] for v in held.values()], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32()))]
+            out = _batch(template=pa.array(held, pa.int64()), n=columns[2], docs=columns[0], first_doc=columns[1])
             held.clear()
             return out
 
@@ -98,11 +106,11 @@ def _summed(docs: DataFrame, lead: int, shortest: int) -> DataFrame:
                 some = np.flatnonzero(x.counts > 0)
                 if not len(some):
                     continue
-                pairs = np.unique(np.stack([of[some], templates[some]]), axis=1)  # a document's template once
-                for doc, t in zip(*(p.tolist() for p in pairs)):
+                triples = np.unique(np.stack([of[some], templates[some], x.counts[some]]), axis=1)  # a document's template once
+                for doc, t, n in zip(*(p.tolist() for p in triples)):
                     got, first = held.get(t), ids[doc]
                     if got is None:
-                        held[t] = [1, first]
+                        held[t] = [1, first, n]
                     else:
                         got[0] += 1
                         if first is not None and (got[1] is None or first < got[1]):
@@ -115,10 +123,10 @@ def _summed(docs: DataFrame, lead: int, shortest: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, _SUMS)
 
 
-def recurring(docs: DataFrame, min_docs: int, lead: int, shortest: int) -> DataFrame:
-    """template long, first_doc long: leaves and short templates in min_docs documents or more."""
-    sums = _summed(docs, lead, shortest).groupBy("template").agg(F.sum("docs").alias("docs"), F.min("first_doc").alias("first_doc"))
-    return sums.where(F.col("docs") >= min_docs).select("template", "first_doc")
+def recurring(docs: DataFrame, min_docs: int, few_docs: int, lead: int, shortest: int) -> DataFrame:
+    """template long, first_doc long: leaves and short templates in as many documents as it takes."""
+    sums = _summed(docs, lead, shortest).groupBy("template").agg(F.first("n").alias("n"), F.sum("docs").alias("docs"), F.min("first_doc").alias("first_doc"))
+    return sums.where(F.col("docs") >= _least(F.col("n"), min_docs, few_docs)).select("template", "first_doc")
 
 
 def _places(docs: DataFrame, lead: int, shortest: int) -> DataFrame:
@@ -144,30 +152,32 @@ def _places(docs: DataFrame, lead: int, shortest: int) -> DataFrame:
     return docs.select("key", "doc_id", "text").mapInArrow(run, "row long, key long, doc_id long, line int, template long, tokens array<int>")
 
 
-def _hits(docs: DataFrame, min_docs: int, lead: int, agree: float, shortest: int) -> DataFrame:
+def _hits(docs: DataFrame, min_docs: int, few_docs: int, lead: int, agree: float, shortest: int) -> DataFrame:
     """key long, doc_id long, line int, template long, first_doc long: the lines of recurring templates.
 
     Joins are by template, token and row; where one of them is frequent, adaptive execution splits it.
     """
-    found = saved(recurring(docs, min_docs, lead, shortest), "templates")
+    found = saved(recurring(docs, min_docs, few_docs, lead, shortest), "templates")
     hits = saved(_places(docs, lead, shortest).join(found, "template"), "hits")
     short = hits.where(F.size("tokens") == 0).select("key", "doc_id", "line", "template", "first_doc")
     wide = hits.where(F.size("tokens") > 0).select("row", "key", "doc_id", "line", "template", F.size("tokens").alias("later"), F.posexplode("tokens").alias("place", "token"))
     wide = wide.select("row", "key", "doc_id", "line", "template", "later", F.xxhash64("template", "place", "token").alias("cell"))
-    common = saved(wide.groupBy("cell").count().where(F.col("count") >= min_docs).select("cell"), "common")
+    least = _least(F.col("later") + lead, min_docs, few_docs)
+    common = saved(wide.groupBy("cell").agg(F.count("*").alias("n"), F.first("later").alias("later")).where(F.col("n") >= least).select("cell"), "common")
     masks = wide.join(common, "cell").groupBy("row", "line", "key", "doc_id", "template", "later").agg(F.count("*").alias("constant"), F.bit_xor("cell").alias("mask"))
     full = masks.where(F.col("constant") >= F.col("later") * agree)
-    groups = saved(full.select("row", "line", "key", "doc_id", F.xxhash64("template", "constant", "mask").alias("template")), "groups")
-    once = groups.groupBy("template", "row").agg(F.first("doc_id").alias("doc_id"))
-    firsts = once.groupBy("template").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc")).where(F.col("docs") >= min_docs).select("template", "first_doc")
+    groups = saved(full.select("row", "line", "key", "doc_id", "later", F.xxhash64("template", "constant", "mask").alias("template")), "groups")
+    once = groups.groupBy("template", "row").agg(F.first("doc_id").alias("doc_id"), F.first("later").alias("later"))
+    firsts = once.groupBy("template").agg(F.first("later").alias("later"), F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"))
+    firsts = firsts.where(F.col("docs") >= least).select("template", "first_doc")
     return short.unionByName(groups.join(firsts, "template").select("key", "doc_id", "line", "template", "first_doc"))
 
 
-def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, lead: int = LEAD, agree: float = AGREE, shortest: int = SHORTEST) -> DataFrame:
+def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, lead: int = LEAD, agree: float = AGREE, shortest: int = SHORTEST, few_docs: int = FEW_DOCS) -> DataFrame:
     """docs with the recurring lines out of text, and n_lines int, n_dropped int beside its own columns.
 
-    A line is what stands between line feeds. It goes if its template recurs in min_docs rows or more, unless it
-    is the template's first line in the rows with the smallest doc_id that have it; so no template is lost
+    A line is what stands between line feeds. It goes if its template recurs in min_docs rows or more
+    (in few_docs, where it has LONG tokens or more), unless it is the template's first line in the rows with the smallest doc_id that have it; so no template is lost
     altogether. The template of a line of `shortest` tokens or more is its group in its leaf, if that has the
     share `agree` of constant positions after the first `lead` ones; that of a shorter line is the line.
     Lines without tokens stay. Kept lines are joined by line feeds; a text that loses all its
@@ -182,7 +192,9 @@ def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, lead: int = LEAD, agree: fl
     keyed = docs.select(*names, F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("__text"))
     keyed = keyed.withColumn("__key", F.xxhash64("__text"))
     plain = keyed.select(F.col("__id").alias("doc_id"), F.col("__text").alias("text"), F.col("__key").alias("key")).where("text is not null")
-    hits = saved(_hits(plain, min_docs, lead, agree, shortest), "recurring")
+    with scratch() as kept_tables:
+        hits = saved(_hits(plain, min_docs, few_docs, lead, agree, shortest), "recurring")
+        kept_tables.append(hits)
     first = hits.where("doc_id = first_doc").groupBy("key", "doc_id", "template").agg(F.min("line").alias("line"))
     gone = hits.join(first.withColumn("first", F.lit(True)), ["key", "doc_id", "template", "line"], "left").where("first is null")
     gone = gone.groupBy("key", "doc_id").agg(F.collect_set("line").alias("__gone"))  # of one text's lines
@@ -202,9 +214,9 @@ tokens AS (SELECT doc_id, line, s, list_transform(regexp_extract_all(s, '[^\x20\
 filled AS (SELECT *, len(t) AS n FROM tokens WHERE len(t) > 0),
 short AS (SELECT t, min(doc_id) AS first_doc FROM filled WHERE n < 6 GROUP BY t HAVING count(DISTINCT doc_id) >= 10),
 wide AS (SELECT doc_id, line, n, t[1:3] AS lead, unnest(t[4:]) AS token, unnest(range(n - 3)) AS i FROM filled WHERE n >= 6),
-common AS (SELECT n, lead, i, token FROM wide GROUP BY ALL HAVING count(*) >= 10),
+common AS (SELECT n, lead, i, token FROM wide GROUP BY ALL HAVING count(*) >= CASE WHEN n >= 20 THEN 3 ELSE 10 END),
 masks AS (SELECT doc_id, line, n, lead, list([i::VARCHAR, token] ORDER BY i) AS mask FROM wide JOIN common USING (n, lead, i, token) GROUP BY doc_id, line, n, lead HAVING count(*) >= 0.7 * (n - 3)),
-wanted AS (SELECT n, lead, mask, min(doc_id) AS first_doc FROM masks GROUP BY n, lead, mask HAVING count(DISTINCT doc_id) >= 10),
+wanted AS (SELECT n, lead, mask, min(doc_id) AS first_doc FROM masks GROUP BY n, lead, mask HAVING count(DISTINCT doc_id) >= CASE WHEN n >= 20 THEN 3 ELSE 10 END),
 found AS (SELECT doc_id, line, ['='] || t AS template, first_doc FROM filled JOIN short USING (t)
   UNION ALL SELECT doc_id, line, [n::VARCHAR] || lead || flatten(mask), first_doc FROM masks JOIN wanted USING (n, lead, mask)),
 gone AS (SELECT doc_id, line FROM (SELECT *, row_number() OVER (PARTITION BY template, doc_id ORDER BY line) AS k FROM found) WHERE doc_id <> first_doc OR k > 1),

@@ -126,6 +126,25 @@ def test_fingerprints_estimate_similarity(spark, docs, empty):
     assert sorted((r.doc_id, r.near_next) for r in fingerprints.edited_prints(twice).collect()) == [(5, 0.0), (5, 1.0), (6, 0.0)]
 
 
+def test_fingerprints_of_odd_rows(spark):
+    """Null ids among others, clashing columns, repeated rows, and a very long text: every row meets its successor."""
+    long = " ".join(f"w{i % 5000}" for i in range(200_000))
+    rows = [(None, "a b c d e f"), (None, None), (3, "one two three"), (3, "one two three"), (5, long), (9, long[:-1]), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("part", F.lit("clash")).withColumn("look", F.lit(1)).withColumn("fingerprint", F.lit(2))
+    got = fingerprints.edited_prints(df).collect()
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    want = []
+    for (d, t), (_, n) in zip(order, order[1:] + order[:1]):
+        t, n = t or "", n or ""
+        want.append((d, len(t), hashlib.sha256((t[: len(t) - len(t) // 2] + n[: len(t) // 2]).encode()).hexdigest()))
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == Counter(want)
+    by = {r.doc_id: r for r in got if r.doc_id and r.doc_id != 3}
+    assert by[5].near_next < 0.2 and by[7].near_next < 0.2 and by[5].near_edited > 0.2
+    many = spark.createDataFrame([(i * 3, f"text {i}") for i in range(500)], "doc_id long, text string")
+    parts = fingerprints.with_next(many, 60).where("not look").groupBy("part").count().collect()
+    assert len(parts) > 40 and sum(r["count"] for r in parts) == 500
+
+
 # --- n-gram join
 
 
@@ -297,14 +316,15 @@ def test_packed_numbers():
 # --- line dedup
 
 
-def plain_dedup(rows, min_docs, lead=3, agree=0.7, shortest=6):
+def plain_dedup(rows, min_docs, lead=3, agree=0.7, shortest=6, few_docs=3):
+    least = lambda t: min(few_docs, min_docs) if len(t) >= template_lines.LONG else min_docs
     lines = [(d, i, x, ["<*>" if re.search("[0-9]", t) else t for t in re.findall(r"[^\x20\x09-\x0D]+", x)]) for d, t in rows if t is not None for i, x in enumerate(t.split("\n"))]
     at = Counter((len(t), *t[:lead], p, t[p]) for _, _, _, t in lines if len(t) >= shortest for p in range(lead, len(t)))
 
     def template(t):
         if len(t) < shortest:
             return tuple(t) or None
-        mask = tuple(x if at[(len(t), *t[:lead], p, x)] >= min_docs else None for p, x in enumerate(t) if p >= lead)
+        mask = tuple(x if at[(len(t), *t[:lead], p, x)] >= least(t) else None for p, x in enumerate(t) if p >= lead)
         return (len(t), *t[:lead], mask) if sum(x is not None for x in mask) >= agree * len(mask) else None
 
     seen = defaultdict(set)
@@ -313,7 +333,7 @@ def plain_dedup(rows, min_docs, lead=3, agree=0.7, shortest=6):
     first, kept = {}, defaultdict(list)
     for d, i, x, t in sorted(lines, key=lambda r: (r[0], r[1])):
         key = template(t)
-        key = key if key is not None and len(seen[key]) >= min_docs else None
+        key = key if key is not None and len(seen[key]) >= least(t) else None
         if key is None or key not in first:
             kept[d].append(x)
         if key is not None:
@@ -332,6 +352,10 @@ def test_line_dedup_is_plain_one(spark, empty):
             lines.insert(0, f"Posted by user{d} on {d} May in the forum")
         if d % 5 == 0:
             lines.append(f"Posted once again {rng.choice('xyz')} in the forum of old")
+        if d % 13 == 0:
+            lines.append(" ".join(["a passage of some length"] * 5 + [rng.choice("xy"), "ends"]))
+        if d % 20 == 0:
+            lines.append("one that only two documents have " * 4)
         rows.append((d, "\n".join(lines)))
     rows += [(50, ""), (51, "\n"), (52, "Read all about it at our shop today\n"), (53, " \n\t")]
     df = spark.createDataFrame([*rows, (54, None)], "doc_id long, text string").withColumn("n_lines", F.lit("clash"))
@@ -461,6 +485,17 @@ def test_mixture_places_every_row(spark, docs, empty):
         mixing.mix(docs, {"s0": 1}).collect()
 
 
+def test_mixture_of_null_ids_and_many_sources(spark):
+    rows = [(None, f"t{i}", None if i % 2 else "s") for i in range(40)] + [(1, "x", "s"), (1, "x", "s"), (2, None, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    placed = mixing.mix(docs, block=4).collect()
+    assert Counter((r.doc_id, r.text, r.source) for r in placed) == Counter(rows) and len({(r.slot, r.in_block) for r in placed}) == len(rows)
+    assert [r.text for r in mixing.mixed(docs, block=4).collect()] == [r.text for r in mixing.mixed(docs.repartition(5), block=4).collect()]
+    sizes = {f"s{i}": 1.0 + i % 7 for i in range(3000)} | {"large": 1e6}
+    weights = mixing.whole_weights(sizes)
+    assert sum(weights.values()) == 10 * 3001 and min(weights.values()) == 1 and len(mixing.schedule(weights)) == 10 * 3001
+
+
 # --- nearest neighbours
 
 
@@ -662,7 +697,7 @@ def test_pipeline_stages(spark, tmp_path):
         if name == "language ID":
             assert set(before) - set(after) == {i for i, r in before.items() if not re.search(r"[^\W\d_]", r.text or "")}
         if name == "line dedup":
-            assert set(after) == set(before) and {i: r.text for i, r in after.items()} == plain_dedup([(i, r.text) for i, r in before.items()], template_lines.MIN_DOCS)
+            assert set(after) == set(before) and {i: r.text for i, r in after.items()} == plain_dedup([(i, r.text) for i, r in before.items()], template_lines.MIN_DOCS, few_docs=template_lines.MIN_DOCS)
         if name == "n-gram Jaccard join":
             groups = brute_components({i: r.text for i, r in before.items()}, 5, 80, 100)
             assert set(after) == {i for i, (_, c) in groups.items() if i == c}
