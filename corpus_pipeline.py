@@ -32,12 +32,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes recurring lines out of texts; all rows stay, if only with an empty text.
+    """Takes lines that recur in ten documents out of texts; all rows stay, if only with an empty text.
+
+    Long lines have no lower limit here: that would empty the copies that the next stage has to recognise.
 
     A template stays in the rows with the smallest doc_id that have it, at its first line there; rows alike in doc_id and
     text fare alike, null texts stay null. No rows give no rows.
     """
-    return _measured(template_lines.dedup(docs), docs.columns)
+    return _measured(template_lines.dedup(docs, few_docs=template_lines.MIN_DOCS), docs.columns)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
