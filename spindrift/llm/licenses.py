@@ -25,6 +25,8 @@ from spindrift.llm._shared import saved
 from spindrift.llm.licence_forms import long_forms
 
 LEAST = 0.75
+#: Terms of templates that any text holds.
+COMMON = {"all", "by", "is", "of", "terms", "the", "this", "to", "under", "work"}
 #: Windows for a template start in steps of this part of its terms, or at every line and sentence where those are longer.
 STEPS = 32
 
@@ -81,6 +83,38 @@ class Weights:
         return out
 
 
+def _cost(term: str) -> float:
+    """About how often a term is part of some word of a line."""
+    return 100.0 if term in COMMON else 30.0 if len(term) < 3 else 5.0 if len(term) == 3 else 1.0
+
+
+def gate(weights: Weights, least: float) -> list[str]:
+    """A few terms of which a text must hold one, as parts of words at least, to reach the least cosine with any template.
+
+    Without them all, what is left of each template is too little. Terms that serve many templates and are in few
+    texts come first.
+    """
+    need = 1 - least * least + 1e-9
+    held = lambda terms: [sum(x * x for t, x in v.items() if any(s in t for s in terms)) for v in weights.vectors]
+    cover = {s: held([s]) for s in weights.idf}
+    out: list[str] = []
+    while min(held(out)) < need and len(out) < len(cover):
+        missing = [max(need - h, 0) for h in held(out)]
+        gain = {s: sum(min(c, m) for c, m in zip(cs, missing)) / _cost(s) for s, cs in cover.items() if s not in out}
+        out.append(max(sorted(gain), key=gain.__getitem__))
+    for s in sorted(out, key=lambda s: (-_cost(s), s)):  # what the later ones made needless
+        if min(held([x for x in out if x != s])) >= need:
+            out.remove(s)
+    return out if min(held(out)) >= need else list(weights.idf)
+
+
+def _any_of(text: Column, terms: list[str]) -> Column:
+    found = F.lit(False)
+    for t in terms:
+        found = found | F.contains(text, F.lit(t))
+    return found
+
+
 def _may_reach(line: Column, weights: Weights, least: float) -> Column:
     """Whether the terms of some template that a lower-case line holds, as parts of words at least, can make the least cosine."""
     out = F.lit(False)
@@ -89,7 +123,7 @@ def _may_reach(line: Column, weights: Weights, least: float) -> Column:
         for t, x in v.items():
             held = held + F.when(F.contains(line, F.lit(t)), x * x).otherwise(0.0)
         out = out | (held >= least * least - 1e-9)
-    return out
+    return _any_of(line, gate(weights, least)) & out
 
 
 def _folder(path: Column) -> Column:
@@ -102,7 +136,7 @@ def own_licences(files: DataFrame, weights: Weights, least: float) -> DataFrame:
     text = F.lower("text")
     named = F.regexp_extract("path", r"([^/]*)$", 1).rlike(LICENCE_FILE)
     whole = F.when(named, F.array(F.regexp_replace(text, "\n", " "))).otherwise(F.array().cast("array<string>"))
-    units = files.select("key", F.explode(F.concat(F.split(text, "\n", -1), whole)).alias("unit"))
+    units = files.where(_any_of(text, gate(weights, least))).select("key", F.explode(F.concat(F.split(text, "\n", -1), whole)).alias("unit"))
     units = saved(units.where(_may_reach(F.col("unit"), weights, least)), "units")
     units = units.withColumn("unit", F.regexp_replace("unit", NOTICE, "all rights reserved")).withColumn("id", F.md5("unit"))
     spark = files.sparkSession
@@ -138,8 +172,15 @@ def long_licences(files: DataFrame, weights: Weights, least: float) -> DataFrame
     named = F.coalesce(F.regexp_extract("path", r"([^/]*)$", 1).rlike(LICENCE_FILE), F.lit(False))
     may = [F.when((F.size("held") >= n) & (F.size(F.array_intersect(F.lit(t), F.col("held"))) >= n), F.lit(k)) for k, (n, t) in enumerate(zip(fewest, terms))]
     # an array of one value, exploded, is evaluated once
-    texts = files.select("key", "text", named.alias("named"), held.alias("held")).select("key", "text", "named", F.explode(F.array(F.array_compact(F.array(*may)))).alias("templates"))
+    texts = files.select("key", "text", named.alias("named"), held.alias("held")).select("key", "text", "named", "held", F.explode(F.array(F.array_compact(F.array(*may)))).alias("templates"))
     texts = saved(texts.where(F.size("templates") > 0), "texts")
+    # the root of the squared weights of the terms that a text holds bounds all cosines in it
+    spark = files.sparkSession
+    entries = {t: [(k, v[t] * v[t]) for k, v in enumerate(weights.vectors) if t in v] for t in weights.idf}
+    shares = F.broadcast(spark.createDataFrame(list(entries.items()), "term string, entries array<struct<template:int,square:double>>"))  # the templates' terms
+    sums = texts.select("key", F.explode("held").alias("term")).join(shares, "term").select("key", F.explode("entries").alias("e")).groupBy("key", "e.template").agg(F.sum("e.square").alias("square"))
+    fits = saved(sums.where(F.col("square") >= least * least - 1e-9).groupBy("key").agg(F.collect_set("template").alias("fits")), "fits")
+    texts = texts.join(fits, "key").select("key", "text", "named", F.array_intersect("templates", "fits").alias("templates"))
     # the first term of each line and sentence is marked
     marked = F.regexp_replace(F.translate(F.lower("text"), "\x01", " "), r"(^|\n|[.!?;:]\s)[^a-z0-9]*", " \x01")
     cut = F.filter(F.split(marked, "[^a-z0-9\x01]+"), lambda x: ~x.isin("", "\x01"))
@@ -156,7 +197,6 @@ def long_licences(files: DataFrame, weights: Weights, least: float) -> DataFrame
     windows = windows.select("key", "template", F.slice("terms", F.col("s.a"), F.col("s.n")).alias("window"))
     windows = windows.where(F.size(F.array_intersect("window", of(terms))) >= of(fewest)).withColumn("id", F.md5(F.array_join("window", " ")))
     windows = saved(windows, "windows")
-    spark = files.sparkSession
     table = F.broadcast(spark.createDataFrame([(t, x, [v.get(t, 0.0) for v in weights.vectors]) for t, x in weights.idf.items()], "term string, idf double, weights array<double>"))
     once = windows.groupBy("template", "id").agg(F.first("window").alias("window")).select("template", "id", F.explode("window").alias("term"))
     counts = once.groupBy("template", "id", "term").agg((1 + F.log(F.count("*"))).alias("n")).join(table, "term", "left")
