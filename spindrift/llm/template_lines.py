@@ -155,22 +155,23 @@ def _places(docs: DataFrame, lead: int, shortest: int) -> DataFrame:
 def _hits(docs: DataFrame, min_docs: int, few_docs: int, lead: int, agree: float, shortest: int) -> DataFrame:
     """key long, doc_id long, line int, template long, first_doc long: the lines of recurring templates.
 
-    Joins are by template, token and row; where one of them is frequent, adaptive execution splits it.
+    Joins are by template, token and row; where one of them is frequent, adaptive execution splits it. Both sides
+    of all of them grow with the corpus, so they are merge joins at every size.
     """
     found = saved(recurring(docs, min_docs, few_docs, lead, shortest), "templates")
-    hits = saved(_places(docs, lead, shortest).join(found, "template"), "hits")
+    hits = saved(_places(docs, lead, shortest).join(found.hint("merge"), "template"), "hits")
     short = hits.where(F.size("tokens") == 0).select("key", "doc_id", "line", "template", "first_doc")
     wide = hits.where(F.size("tokens") > 0).select("row", "key", "doc_id", "line", "template", F.size("tokens").alias("later"), F.posexplode("tokens").alias("place", "token"))
     wide = wide.select("row", "key", "doc_id", "line", "template", "later", F.xxhash64("template", "place", "token").alias("cell"))
     least = _least(F.col("later") + lead, min_docs, few_docs)
     common = saved(wide.groupBy("cell").agg(F.count("*").alias("n"), F.first("later").alias("later")).where(F.col("n") >= least).select("cell"), "common")
-    masks = wide.join(common, "cell").groupBy("row", "line", "key", "doc_id", "template", "later").agg(F.count("*").alias("constant"), F.bit_xor("cell").alias("mask"))
+    masks = wide.join(common.hint("merge"), "cell").groupBy("row", "line", "key", "doc_id", "template", "later").agg(F.count("*").alias("constant"), F.bit_xor("cell").alias("mask"))
     full = masks.where(F.col("constant") >= F.col("later") * agree)
     groups = saved(full.select("row", "line", "key", "doc_id", "later", F.xxhash64("template", "constant", "mask").alias("template")), "groups")
     once = groups.groupBy("template", "row").agg(F.first("doc_id").alias("doc_id"), F.first("later").alias("later"))
     firsts = once.groupBy("template").agg(F.first("later").alias("later"), F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"))
     firsts = firsts.where(F.col("docs") >= least).select("template", "first_doc")
-    return short.unionByName(groups.join(firsts, "template").select("key", "doc_id", "line", "template", "first_doc"))
+    return short.unionByName(groups.join(firsts.hint("merge"), "template").select("key", "doc_id", "line", "template", "first_doc"))
 
 
 def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, lead: int = LEAD, agree: float = AGREE, shortest: int = SHORTEST, few_docs: int = FEW_DOCS) -> DataFrame:
