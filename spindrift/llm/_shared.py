@@ -4,33 +4,25 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import os
-import tempfile
+import shutil
 import uuid
 from collections.abc import Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_made: dict[str, SparkSession] = {}
-_OWN = os.path.join(tempfile.gettempdir(), f"spindrift-{uuid.uuid4().hex}")
-
+from spindrift.sources.shared import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the session names it. Where it is unset, a folder of this process if Spark is one process, else ValueError."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return _OWN
+_made: dict[str, SparkSession] = {}
 
 
 def _drop(spark: SparkSession, path: str) -> None:
     """Removes a table; a session that has ended, or a folder that is gone, is no error."""
-    with contextlib.suppress(Exception):
+    try:
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001  Spark ended before the process
+        shutil.rmtree(path.removeprefix("file:"), ignore_errors=True)
 
 
 @atexit.register
