@@ -26,7 +26,7 @@ from spindrift.functions import vectors as V
 # The search's defaults.
 TOP_K, CANDIDATE_K, RRF_K, TRGM_THRESHOLD = 5, 20, 60, 0.2
 
-#: The most queries that go to every task as one table.
+#: The most queries that go to every task as one table; more are searched in blocks.
 MOST_QUERIES = 10_000
 #: The most short rows (terms, trigrams, candidates) that go to every task as one table; more are joined by shuffles.
 MOST_SENT = 1_000_000
@@ -64,14 +64,6 @@ def in_space(chunks: DataFrame, space_key: str | None) -> DataFrame:
     return chunks.where(F.col("space_key") == space_key) if space_key else chunks
 
 
-def _sent(queries: DataFrame) -> DataFrame:
-    """Queries as a table for every task, after a check of their number."""
-    n = queries.limit(MOST_QUERIES + 1).count()
-    if n > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries at once; search in blocks of queries")
-    return F.broadcast(queries)
-
-
 def _blocks(queries: DataFrame) -> list[DataFrame]:
     """Queries by blocks that go to every task, one after the other; a block has about half of MOST_QUERIES at most."""
     n = queries.count()

@@ -14,6 +14,8 @@ from spindrift.functions import text as T
 from spindrift.operators import chunking, citations, evaluation, grounding, retrieval
 from spindrift.plans import guard
 from spindrift.sources import chunk_store
+from spindrift.sources.shared import shared_dir
+from spindrift.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -541,13 +543,27 @@ def guard_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i, next((w for w in words if x and w in x), None)) for i, x in enumerate(said)], "statement int, reason string")
 
 
-@_query("SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS hour, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
+_HOURS = "SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS hour, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL"
+
+
+@_query(_HOURS)
 def events_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tumbling window over events, as a stream would have it."""
+    """A tumbling window over events as a table."""
     hours = table(spark, sf_dir, "events").groupBy("event_type", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"))
     return hours.agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
 
 
+@_query(_HOURS)
+def events_by_hour_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over events as a stream, with a watermark that all of them meet."""
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    at = f"{shared_dir(spark)}/events-{uuid.uuid4().hex}"
+    windows.keep_latest(windows.totals(stream.withColumn("ts", F.col("ts").cast("timestamp")), late="3650 days"), f"{at}/out", f"{at}/log").awaitTermination()
+    found = windows.latest(spark.read.parquet(f"{at}/out"))
+    return found.select("event_type", F.col("start").cast("timestamp_ntz").alias("hour"), "n", F.round("total", 6).alias("total"))
+
+
 @_query("WITH v AS (SELECT vec_id, sqrt(list_reduce(list_prepend(0::DOUBLE, embedding::DOUBLE[]), lambda s, x: s + x * x)) AS n FROM embeddings) SELECT vec_id, round(n, 9) AS norm FROM v")
 def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(vectors.norm(vectors.doubles(F.col("embedding"))), 9).alias("norm"))
