@@ -44,6 +44,12 @@ class Index(NamedTuple):
     def bucket(name: str, buckets: int) -> Column:
         return F.pmod(F.xxhash64(name), F.lit(buckets)).cast("int")
 
+    def joined(self, table: DataFrame, name: str, wanted: DataFrame) -> DataFrame:
+        """table's rows with what wanted has of the column `name`; buckets of nothing wanted are not read."""
+        wanted = wanted.withColumn("bucket", self.bucket(name, self.buckets))
+        some = [r[0] for r in wanted.select("bucket").distinct().collect()]  # no more than there are buckets
+        return table.where(F.col("bucket").isin(some)).join(wanted, ["bucket", name]).drop("bucket")
+
 
 def check_arguments(top_k: int = TOP_K, candidate_k: int | None = None, rrf_k: int = RRF_K, trgm_threshold: float = TRGM_THRESHOLD, vector: Sequence[float] | None = None, dimension: int | None = None) -> None:
     """Raises ValueError, naming the argument."""
@@ -114,7 +120,7 @@ def fulltext_matches(chunks: DataFrame, queries: DataFrame, analyzer: str = "eng
     terms = asked.select("term").distinct()
     terms = _if_small(terms, terms.limit(MOST_SENT + 1).count())
     if index:
-        rows = index.terms.join(terms.withColumn("bucket", Index.bucket("term", index.buckets)), ["bucket", "term"]).drop("bucket")
+        rows = index.joined(index.terms, "term", terms)
     elif "terms" in chunks.columns:
         rows = chunks.select(*KEY, F.explode("terms").alias("term", "positions")).join(terms, "term")
     else:
@@ -189,7 +195,7 @@ def trigram_candidates(chunks: DataFrame, queries: DataFrame, k: int, threshold:
     wanted = asked.select("query_id", "least", F.explode("q").alias("trigram"))
     wanted = _if_small(wanted, wanted.limit(MOST_SENT + 1).count())
     if index:
-        found = index.trigrams.join(wanted.withColumn("bucket", Index.bucket("trigram", index.buckets)), ["bucket", "trigram"])
+        found = index.joined(index.trigrams, "trigram", wanted)
     else:
         found = chunks.select(*KEY, F.explode(T.trigram_set(F.col("content"))).alias("trigram")).join(wanted, "trigram")
     shares = found.groupBy("query_id", *KEY, "least").agg(F.count("*").alias("n")).where("n >= least").select("query_id", *KEY)
