@@ -5,8 +5,10 @@ from __future__ import annotations
 import atexit
 import contextlib
 import shutil
+import threading
 import uuid
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,43 +34,69 @@ def release() -> None:
         _drop(_made.pop(path), path)
 
 
+#: The tables that the innermost scratch() of this thread has to look after.
+_open: ContextVar[list[str] | None] = ContextVar("open", default=None)
+
+
 @contextlib.contextmanager
 def scratch() -> Iterator[list[DataFrame]]:
-    """On leaving, removes the tables that were saved inside, but for those of the DataFrames in the list."""
-    before, kept = set(_made), []
-    yield kept
-    stay = before | {df._saved_at for df in kept}
-    for path in [p for p in _made if p not in stay]:
-        _drop(_made.pop(path), path)
+    """On leaving, removes the tables that this thread saved inside, but for those of the DataFrames in the list."""
+    own: list[str] = []
+    kept: list[DataFrame] = []
+    before = _open.set(own)
+    try:
+        yield kept
+    finally:
+        _open.reset(before)
+        stay = {df._saved_at for df in kept}
+        for path in own:
+            if path not in stay and path in _made:
+                _drop(_made.pop(path), path)
+        if (outer := _open.get()) is not None:
+            outer += [path for path in own if path in stay]
 
 
-#: Spark's own switch for removing an execution's shuffle files when it has ended, and its limits on Arrow batches.
-_CLEANUP, _ROWS, _BYTES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Spark's own switch for removing an execution's shuffle files when it has ended, and its limits on Arrow batches, while a table is saved.
+_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+#: By session: how many tables are being saved, and the settings that it had before.
+_held: dict[int, tuple[int, dict[str, str | None]]] = {}
+_lock = threading.Lock()
 
 
 @contextlib.contextmanager
-def _settings(spark: SparkSession, values: Mapping[str, str]) -> Iterator[None]:
-    """The session with other settings for a while; what it had comes back."""
-    was = {k: spark.conf.get(k, None) for k in values}
+def _settings(spark: SparkSession) -> Iterator[None]:
+    """The session with _SETTINGS for a while; when the last of its threads is done, what it had comes back."""
+    with _lock:
+        n, was = _held.get(id(spark), (0, {}))
+        if not n:
+            was = {k: spark.conf.get(k, None) for k in _SETTINGS}
+            for k, v in _SETTINGS.items():
+                spark.conf.set(k, v)
+        _held[id(spark)] = n + 1, was
     try:
-        for k, v in values.items():
-            spark.conf.set(k, v)
         yield
     finally:
-        for k, v in was.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+        with _lock:
+            n, was = _held.pop(id(spark))
+            if n > 1:
+                _held[id(spark)] = n - 1, was
+            else:
+                for k, v in was.items():
+                    spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def saved(df: DataFrame, name: str, rows: int = 2000) -> DataFrame:
+def saved(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, so that no later loss of an executor repeats its work.
 
     The shuffle files that made it are of no use then and are removed. Python functions in df get Arrow batches
-    of at most `rows` rows and 16 MB. The session's settings are as before afterwards.
+    of at most 2,000 rows and 16 MB. The session's settings are as before afterwards.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _made[path] = spark
-    with _settings(spark, {_CLEANUP: "true", _ROWS: str(rows), _BYTES: str(16 << 20)}):
+    if (own := _open.get()) is not None:
+        own.append(path)
+    with _settings(spark):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -15,7 +16,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spindrift.llm import byte_bpe, fingerprints, language, licenses, lm_score, mixing, ngram_join, quality, rotated_codes, template_lines
+from spindrift.llm import _shared, byte_bpe, fingerprints, language, licenses, lm_score, mixing, ngram_join, quality, rotated_codes, template_lines
 from spindrift.llm._shared import components
 
 VOCABULARY, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -264,6 +265,32 @@ def test_keys_of_linked_sets_meet_beyond_the_spare_ones():
             assert any(len([1 for k, v in both.items() if len(v) == 2 and k & 63 == x]) > max(max(v.values()) for k, v in both.items() if len(v) == 2 and k & 63 == x) for x in bands) and shared
 
 
+def test_saved_tables_and_settings(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    was = [spark.conf.get(k, None) for k in keys]
+
+    def work(n):
+        with _shared.scratch() as kept:
+            gone = _shared.saved(spark.range(n), "gone")
+            with _shared.scratch() as inner:
+                inner.append(_shared.saved(spark.range(n + 1), "inner"))
+                _shared.saved(spark.range(1), "gone")
+            assert gone.count() == n and inner[0].count() == n + 1
+            kept.append(_shared.saved(spark.range(n + 2), "kept"))
+        return gone._saved_at, inner[0]._saved_at, kept[0]
+
+    with ThreadPoolExecutor(4) as pool:
+        for n, (gone, inner, kept) in enumerate(pool.map(work, range(8))):
+            assert gone not in _shared._made and inner not in _shared._made and not os.path.exists(gone) and kept.count() == n + 2
+    with pytest.raises(ZeroDivisionError), _shared.scratch():
+        left = _shared.saved(spark.range(3), "left")._saved_at
+        raise ZeroDivisionError
+    assert not os.path.exists(left)
+    assert [spark.conf.get(k, None) for k in keys] == was
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (7, 7), (None, 3)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
