@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import byte_bpe, fingerprints, language, licenses, lm_score, mixing, ngram_join, quality, rotated_codes, template_lines
+from spindrift.llm import byte_bpe, fingerprints, language, licenses, lm_score, mixing, ngram_join, quality, rotated_codes, template_lines, turn_repair
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,8 +78,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's faults after damage, and its cheapest repair."""
+    turns = table(spark, sf_dir, "conversations")
+    return turn_repair.report(turn_repair.damaged(turns), turns.select("conv_id"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_byte_bpe, op3_template_lines, op4_language, op5_mixing, op6_rotated_codes, op7_licenses, op8_fingerprints, op9_ngram_join, op10_quality)}
+    return {f.__name__: f for f in (op1_lm_score, op2_byte_bpe, op3_template_lines, op4_language, op5_mixing, op6_rotated_codes, op7_licenses, op8_fingerprints, op9_ngram_join, op10_quality, op11_turn_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
