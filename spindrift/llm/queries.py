@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import byte_bpe, fingerprints, language, licenses, lm_score, mixing, ngram_join, quality, rotated_codes, template_lines, turn_repair
+from spindrift.llm import byte_bpe, fingerprints, language, licenses, lm_score, mixing, ngram_join, quality, rotated_codes, template_lines, turn_repair, word_runs
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,8 +84,13 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.report(turn_repair.damaged(turns), turns.select("conv_id"))
 
 
+def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's runs of words, a tenth of them with tails that repeat."""
+    return word_runs.report(word_runs.with_tails(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_byte_bpe, op3_template_lines, op4_language, op5_mixing, op6_rotated_codes, op7_licenses, op8_fingerprints, op9_ngram_join, op10_quality, op11_turn_repair)}
+    return {f.__name__: f for f in (op1_lm_score, op2_byte_bpe, op3_template_lines, op4_language, op5_mixing, op6_rotated_codes, op7_licenses, op8_fingerprints, op9_ngram_join, op10_quality, op11_turn_repair, op12_word_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
