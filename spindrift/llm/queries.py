@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import byte_bpe, fingerprints, language, licenses, lm_score, mixing, ngram_join, quality, rotated_codes, template_lines, turn_repair, word_runs
+from spindrift.llm import byte_bpe, fingerprints, language, licenses, lm_score, mixing, ngram_join, quality, rotated_codes, template_lines, toxicity, turn_repair, word_runs
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,8 +89,18 @@ def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_runs.report(word_runs.with_tails(table(spark, sf_dir, "documents")))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document and where its offending sentences are, learned from labels of those whose fold is not 0."""
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")).where(_fold(5) != 0)
+    found = toxicity.locate(docs, toxicity.fit(docs, labels))
+    worst = F.array_max(F.transform("offending", lambda s: F.struct(s["score"], (-s["start"]).alias("before"), s["end"])))
+    places = (F.size("offending").cast("long").alias("n_offending"), (-worst["before"]).alias("worst_start"), worst["end"].alias("worst_end"))
+    return found.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_sentences", *places)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_byte_bpe, op3_template_lines, op4_language, op5_mixing, op6_rotated_codes, op7_licenses, op8_fingerprints, op9_ngram_join, op10_quality, op11_turn_repair, op12_word_runs)}
+    return {f.__name__: f for f in (op1_lm_score, op2_byte_bpe, op3_template_lines, op4_language, op5_mixing, op6_rotated_codes, op7_licenses, op8_fingerprints, op9_ngram_join, op10_quality, op11_turn_repair, op12_word_runs, op13_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
