@@ -233,7 +233,9 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, least
     names = weights.names
     new = ("license", "similarity", "origin", "from_dir")
     kept = [c for c in files.columns if c not in (*new, "text")]
-    keyed = files.select(*kept, F.col("text").cast("string").alias("text"), F.xxhash64("path", "text").alias("key"))
+    # the caller's columns travel as one, so none of their names meets one from here
+    mine = F.struct(*(files[f"`{c}`"].alias(c) for c in kept)).alias("own")
+    keyed = files.select(mine, F.col("path"), F.col("text").cast("string").alias("text"), F.xxhash64("path", "text").alias("key"))
     texts = keyed.where("text is not null").select("path", "text", "key")
     own = own_licences(texts, weights, least).withColumn("rank", F.lit(1))
     if not templates:
@@ -243,7 +245,7 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, least
         own = own.groupBy("key").agg(F.max(F.struct("rank", "similarity", (-F.col("template")).alias("last"))).alias("best"))
         own = own.select("key", "best.rank", "best.similarity", (-F.col("best.last")).alias("template"))
         names = names + long.names
-    slim = keyed.select(*(F.col(c).alias(c) for c in kept), F.col("key").alias("__key"))
+    slim = keyed.select(F.col("own").alias("mine"), "path", F.col("key").alias("__key"))
     with_own = slim.join(own.select(F.col("key").alias("__key"), F.col("similarity").alias("__own"), F.col("template").alias("__template"), F.col("rank").alias("__rank")), "__key", "left")
     named = F.regexp_extract("path", r"([^/]*)$", 1).rlike(LICENCE_FILE)
     folders = with_own.where(named & F.col("__template").isNotNull()).groupBy(_folder(F.col("path")).alias("__dir")).agg(F.max(F.struct(F.col("__rank").alias("r"), F.col("__own").alias("s"), (-F.col("__template")).alias("t"))).alias("__best"))
@@ -260,7 +262,7 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, least
     from_name = F.when(F.col("__from").isNotNull(), F.element_at(names, 1 - F.col("__from.__best.t")))
     inherits = F.col("__template").isNull()
     return out.select(
-        *kept,
+        *(F.col("mine").getField(c).alias(c) for c in kept),
         F.coalesce(own_name, from_name).alias("license"),
         F.coalesce("__own", F.col("__from.__best.s")).alias("similarity"),
         F.when(~inherits, "own").when(F.col("__from").isNotNull(), "inherited").otherwise("none").alias("origin"),

@@ -535,13 +535,14 @@ def representatives(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     stay = saved(first.select("r.doc_id", "r.text_key").withColumn("full", F.lit(True)).unionByName(alone.withColumn("full", F.lit(False))), "stay")
     counts = rows.where("label is not null").join(stay.where("full"), _same_row(rows, stay), "left_semi").groupBy("doc_id", "text_key").count()
     many = saved(counts.where("count > 1").drop("count"), "repeated")
-    own = docs.withColumn("__key", text_key())
-    kept = own.join(stay, own["doc_id"].cast("long").eqNullSafe(stay["doc_id"]) & (own["__key"] == stay["text_key"]), "left_semi")
+    # the caller's columns travel as one, so none of their names meets one from here
+    own = docs.select(F.struct(*(docs[f"`{c}`"].alias(c) for c in docs.columns)).alias("own"), docs["doc_id"], docs["text"]).withColumn("row_key", text_key())
+    kept = own.join(stay, own["doc_id"].cast("long").eqNullSafe(stay["doc_id"]) & (own["row_key"] == stay["text_key"]), "left_semi")
     if many.isEmpty():
-        return kept.drop("__key")
-    again = kept["doc_id"].cast("long").eqNullSafe(many["doc_id"]) & (kept["__key"] == many["text_key"])
-    once = kept.join(many, again, "left_semi").groupBy("__key", "doc_id").agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
-    return kept.join(many, again, "left_anti").drop("__key").unionByName(once)
+        return kept.select("own.*")
+    again = kept["doc_id"].cast("long").eqNullSafe(many["doc_id"]) & (kept["row_key"] == many["text_key"])
+    once = kept.join(many, again, "left_semi").groupBy("row_key", "doc_id").agg(F.min("own").alias("own"))
+    return kept.join(many, again, "left_anti").select("own.*").unionByName(once.select("own.*"))
 
 
 def _same_row(one: DataFrame, two: DataFrame) -> Column:

@@ -190,22 +190,23 @@ def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, lead: int = LEAD, agree: fl
     if not 0 < lead < shortest:
         raise ValueError(f"lead must be from 1 to below shortest, got {lead} and {shortest}")
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    keyed = docs.select(*names, F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("__text"))
-    keyed = keyed.withColumn("__key", F.xxhash64("__text"))
-    plain = keyed.select(F.col("__id").alias("doc_id"), F.col("__text").alias("text"), F.col("__key").alias("key")).where("text is not null")
+    # the caller's columns travel as one, so none of their names meets one from here
+    own = F.struct(*(docs[f"`{c}`"].alias(c) for c in names)).alias("own")
+    keyed = docs.select(own, docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
+    plain = keyed.select("doc_id", "text", "key").where("text is not null")
     with scratch() as kept_tables:
         hits = saved(_hits(plain, min_docs, few_docs, lead, agree, shortest), "recurring")
         kept_tables.append(hits)
     first = hits.where("doc_id = first_doc").groupBy("key", "doc_id", "template").agg(F.min("line").alias("line"))
     gone = hits.join(first.withColumn("first", F.lit(True)), ["key", "doc_id", "template", "line"], "left").where("first is null")
-    gone = gone.groupBy("key", "doc_id").agg(F.collect_set("line").alias("__gone"))  # of one text's lines
-    joined = keyed.join(gone, (F.col("__key") == F.col("key")) & F.col("__id").eqNullSafe(gone["doc_id"]), "left").drop(gone["doc_id"]).drop("key")
-    lines = F.split("__text", "\n", -1)
-    kept = F.filter(lines, lambda _, i: ~F.array_contains(F.col("__gone"), i.cast("int")))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    out = [text.alias("text") if c == "text" else F.col(c) for c in names]
-    size = F.coalesce(F.size("__gone"), F.lit(0))
-    return joined.select(*out, F.when(F.col("__text").isNull(), 0).otherwise(F.size(lines)).alias("n_lines"), F.greatest(size, F.lit(0)).alias("n_dropped"))
+    gone = gone.groupBy(F.col("key").alias("gone_key"), F.col("doc_id").alias("gone_id")).agg(F.collect_set("line").alias("gone"))  # of one text's lines
+    joined = keyed.join(gone, (F.col("key") == F.col("gone_key")) & F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
+    lines = F.split("text", "\n", -1)
+    kept = F.filter(lines, lambda _, i: ~F.array_contains(F.col("gone"), i.cast("int")))
+    text = F.when(F.col("gone").isNull(), F.col("own.text")).otherwise(F.array_join(kept, "\n"))
+    out = [text.alias("text") if c == "text" else F.col("own").getField(c).alias(c) for c in names]
+    size = F.coalesce(F.size("gone"), F.lit(0))
+    return joined.select(*out, F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).alias("n_lines"), F.greatest(size, F.lit(0)).alias("n_dropped"))
 
 
 #: The same by explicit tokens, for tables that are small enough and have distinct doc_ids.
