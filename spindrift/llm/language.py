@@ -23,6 +23,8 @@ from spindrift.llm._words import U64, mix
 
 #: Training documents for each language, the most languages (each is 0.8 MB of sums on the driver), and the natural logarithm that a switch costs.
 SAMPLE, MOST_LANGUAGES, SWITCH = 600, 100, 14.0
+#: The most bytes of text that a language learns from: a task holds them.
+SAMPLE_BYTES = 64 << 20
 _TRIGRAMS, _WORDS = 1 << 16, 1 << 17
 _CHUNK = 250_000
 #: Parts of a language whose first documents are found apart.
@@ -164,18 +166,22 @@ def viterbi(s: np.ndarray, switch: float) -> list[int]:
 
 
 def fit(labelled: DataFrame, per_language: int = SAMPLE, switch: float = SWITCH) -> Model:
-    """A model of labelled(doc_id, text, lang): of at most per_language documents of each language.
+    """A model of labelled(doc_id, text, lang): of at most per_language documents and SAMPLE_BYTES of text of each language.
 
     The sample is the first of each language by md5 of doc_id, so it is the same at every run. Rows with a
-    null doc_id, text or lang teach nothing. Only the sample's texts and sums by language are moved.
+    null doc_id, text or lang teach nothing. A doc_id that a language has several times teaches it one text, that with
+    the smallest md5. Only the sample's texts and sums by language are moved.
     """
     labelled = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    ids = labelled.where("doc_id is not null and lang is not null").select("doc_id", "lang")
+    ids = labelled.where("doc_id is not null and lang is not null and text is not null").select("doc_id", "lang").distinct()
     order = [F.md5(F.col("doc_id").cast("string")), F.col("doc_id")]
     chosen = ids
     for group in (["lang", F.pmod(F.xxhash64("doc_id"), F.lit(_PARTS))], ["lang"]):  # the first of each part, and of those the first
         chosen = chosen.withColumn("n", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("n") <= per_language).select("doc_id", "lang")
     texts = labelled.where("text is not null").join(F.broadcast(chosen), ["doc_id", "lang"])  # at most per_language x languages ids
+    texts = texts.groupBy("doc_id", "lang").agg(F.min(F.struct(F.md5("text").alias("h"), "text")).alias("own")).select("doc_id", "lang", F.col("own.text").alias("text"))
+    before = Window.partitionBy("lang").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    texts = texts.withColumn("bytes", F.sum(F.octet_length("text")).over(before)).where(F.col("bytes") <= SAMPLE_BYTES).drop("bytes")
 
     def count(key: tuple, rows: pa.Table) -> pa.Table:
         sums = [np.zeros(_TRIGRAMS, np.int64), np.zeros(_WORDS, np.int64), np.zeros(256, np.int64)]
