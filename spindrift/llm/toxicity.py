@@ -22,6 +22,8 @@ from spindrift.llm._words import LOWER, U64, chunks, mix, word_hashes
 SAMPLE, SAMPLE_BYTES, BUCKETS = 4000, 48 << 20, 1 << 18
 #: Passes, the length of steps, the shrinking of weights; documents that must hold a bucket.
 PASSES, STEP, SHRINK, FEWEST = 100, 0.5, 1.0, 3
+#: How much larger a bucket's share of toxic documents must be than its share of clean ones; else it has no weight.
+LIFT = 2.0
 #: The share of buckets that a pass sees: words must do without the others that a document has, or one would speak for all.
 KEPT = 0.7
 #: From this score on a sentence offends.
@@ -103,19 +105,20 @@ def fit_bags(bags: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, passe
     offset = float(np.log(np.expm1(-np.log1p(-share) / max(1.0, counts.mean() if len(counts) else 1.0))))
     if not toxic.any() or toxic.all():
         return Model(weights, offset)
-    pairs = [np.unique(s * BUCKETS + b) for b, s in bags]
-    held = np.zeros(BUCKETS, np.int64)
-    for p in pairs:
-        held[np.unique(p % BUCKETS)] += 1
+    held = np.zeros((2, BUCKETS), np.int64)
+    for (b, _), y in zip(bags, toxic.astype(int)):
+        held[y, np.unique(b)] += 1
+    lift = (held[1] + 0.5) / toxic.sum() / ((held[0] + 0.5) / (~toxic).sum())
+    known = np.flatnonzero((held.sum(0) >= FEWEST) & (lift >= LIFT))
+    number = np.full(BUCKETS, -1, np.int32)
+    number[known] = np.arange(len(known))
     first = np.concatenate([[0], np.cumsum(counts)])[:-1]
-    flat = np.concatenate([p + f * BUCKETS for p, f in zip(pairs, first)])
-    flat = flat[held[flat % BUCKETS] >= FEWEST]
-    sentence, bucket = flat // BUCKETS, flat % BUCKETS
-    known, bucket = np.unique(bucket, return_inverse=True)
+    pairs = [(number[b], (s + f).astype(np.int32)) for (b, s), f in zip(bags, first)]
+    bucket, sentence = (np.concatenate([p[k][p[0] >= 0] for p in pairs]) for k in (0, 1))
     w, past, past_offset = np.zeros(len(known)), np.full(len(known), 1e-6), 1e-6
-    rng = np.random.default_rng(13)
-    for _ in range(passes):
-        kept = rng.random(len(bucket), np.float32) < KEPT
+    dice = np.random.default_rng(13).integers(0, 256, len(bucket), np.uint8)
+    for k in range(passes):
+        kept = dice + np.uint8(97 * k % 256) < KEPT * 256
         some, of = bucket[kept], sentence[kept]
         logits = offset + np.bincount(of, w[some], len(rows))
         _, pull = gradient(logits, rows, toxic)
@@ -170,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes:
 
     bags, y = [], []
     for r in texts.select("label", "text").mapInArrow(run, "label int, buckets binary, sentences binary").toLocalIterator():
-        bags.append((np.frombuffer(r["buckets"], np.int32).astype(np.int64), np.frombuffer(r["sentences"], np.int32).astype(np.int64)))
+        bags.append((np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["sentences"], np.int32)))
         y.append(r["label"])
     return fit_bags(bags, np.array(y))
 
