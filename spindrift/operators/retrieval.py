@@ -34,21 +34,28 @@ KEY = ["space_key", "chunk_id"]
 
 
 class Index(NamedTuple):
-    """Inverted tables of chunks, partitioned by bucket(): terms(bucket, term, key, positions) and trigrams(bucket, trigram, key)."""
+    """Inverted tables of segments of chunks, sorted by bucket(): terms(segment, bucket, term, key, positions) and trigrams(segment, bucket, trigram, key).
+
+    gone(segment, key) are the rows of segments that are dead.
+    """
 
     terms: DataFrame
     trigrams: DataFrame
     buckets: int
+    gone: DataFrame | None = None
 
     @staticmethod
     def bucket(name: str, buckets: int) -> Column:
         return F.pmod(F.xxhash64(name), F.lit(buckets)).cast("int")
 
     def joined(self, table: DataFrame, name: str, wanted: DataFrame) -> DataFrame:
-        """table's rows with what wanted has of the column `name`; buckets of nothing wanted are not read."""
+        """table's live rows with what wanted has of the column `name`; ranges of files without a wanted bucket are not read."""
         wanted = wanted.withColumn("bucket", self.bucket(name, self.buckets))
         some = [r[0] for r in wanted.select("bucket").distinct().collect()]  # no more than there are buckets
-        return table.where(F.col("bucket").isin(some)).join(wanted, ["bucket", name]).drop("bucket")
+        rows = table.where(F.col("bucket").isin(some)).join(wanted, ["bucket", name]).drop("bucket")
+        if self.gone is not None:
+            rows = rows.join(self.gone, ["segment", *KEY], "left_anti")
+        return rows.drop("segment")
 
 
 def check_arguments(top_k: int = TOP_K, candidate_k: int | None = None, rrf_k: int = RRF_K, trgm_threshold: float = TRGM_THRESHOLD, vector: Sequence[float] | None = None, dimension: int | None = None) -> None:
@@ -278,7 +285,7 @@ def hybrid(chunks: DataFrame, queries: DataFrame, space_key: str | None = None,
     check_arguments(top_k, candidate_k, rrf_k, trgm_threshold)
     found = in_space(chunks, space_key)
     if index:
-        index = Index(in_space(index.terms, space_key), in_space(index.trigrams, space_key), index.buckets)
+        index = index._replace(terms=in_space(index.terms, space_key), trigrams=in_space(index.trigrams, space_key))
     fused = fuse(vector_candidates(found, queries, candidate_k), fulltext_candidates(found, queries, candidate_k, analyzer, index), trigram_candidates(found, queries, candidate_k, trgm_threshold, index), rrf_k)
     n = queries.count()
     kept = [c for c in found.columns if c not in ("embedding", "terms", "norm", *KEY)]

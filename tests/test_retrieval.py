@@ -49,10 +49,10 @@ def test_writes_over_spaces_are_seen_whole(spark, store):
         put(spark, store, space, "s", "old", [1.0, 0.0, 0.0])
     before = store.read()
     batch = spark.createDataFrame(rows(*((space, "s", "new", [0.0, 1.0, 0.0]) for space in ("A", "B", "x/y = z", "C"))), CHUNK)
-    point, seen = store._point, []
-    store._point = lambda state: (seen.append(sorted(r.content for r in store.read().collect())), point(state))
+    commit, seen = store.log.commit, []
+    store.log.commit = lambda *a: (seen.append(sorted(r.content for r in store.read().collect())), commit(*a))[1]
     assert store.upsert(batch) == 4
-    assert seen == [["old"] * 3]  # one move of the pointer, and until then nothing of the write
+    assert seen == [["old"] * 3]  # one new version, and until then nothing of the write
     assert sorted((r.space_key, r.content) for r in store.read().collect()) == [(x, "new") for x in ("A", "B", "C", "x/y = z")]
     assert sorted(r.content for r in before.collect()) == ["old"] * 3
     sources = spark.createDataFrame([("A", "s"), ("C", "s"), ("D", "s")], "space_key string, source_id string")
@@ -63,23 +63,130 @@ def test_writes_over_spaces_are_seen_whole(spark, store):
         store.upsert(batch.unionByName(batch))
 
 
-def test_searches_through_the_index(spark, store):
-    rng = random.Random(1)
+def some_chunks(rng, n, space="AB"):
     words = "krill whale song deep ocean blue harbour tide".split()
-    made = rows(*((rng.choice("AB"), f"s{i}", " ".join(rng.choices(words, k=6)), [rng.random(), rng.random(), 1.0]) for i in range(40)))
-    store.upsert(spark.createDataFrame(made, CHUNK))
+    return rows(*((rng.choice(space), f"s{rng.randrange(60)}", " ".join(rng.choices(words, k=6)), [rng.random(), rng.random(), 1.0]) for _ in range(n)))
+
+
+def unique(batch):
+    return list({(r[0], r[1]): r for r in batch}.values())
+
+
+def size_of(folder):
+    return sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+
+
+def test_searches_through_segments_equal_a_rebuild(spark, store):
+    """A hundred random changes in a dozen writes; rows, index and searches are those of one segment of what is left."""
+    rng = random.Random(1)
     ask = lambda space: [tuple(r) for r in store.search_hybrid([1.0, 0.2, 0.0], '"blue whale" or singing tide', space_key=space).collect()]
+    want = {}
+    for k in range(12):
+        batch = unique(some_chunks(rng, 9))
+        if k % 3 == 2:
+            space, source = rng.choice(sorted({(x[0], x[2]) for x in want.values()}))
+            assert store.delete_source(space, source) == sum((x[0], x[2]) == (space, source) for x in want.values())
+            want = {key: x for key, x in want.items() if (x[0], x[2]) != (space, source)}
+        store.upsert(spark.createDataFrame(batch, CHUNK))
+        want |= {(x[0], x[1]): x for x in batch}
+    assert len(store.log.state()[1]["segments"]) > 1 and store.log.state()[1]["dead"]
+    assert {(r.space_key, r.chunk_id): r.content for r in store.read().collect()} == {k: x[6] for k, x in want.items()}
     before = [ask(None), ask("A")]
-    assert store.index() is None
-    store.build_index(4)
+    asked = spark.createDataFrame([("q", "blue")], "query_id string, query_text string")
+    matched = lambda index: sorted(map(tuple, retrieval.fulltext_matches(store.read(), asked, "english", index).collect()))
+    assert matched(store.index()) == matched(None) != []
+    plan = retrieval.fulltext_matches(store.read(), asked, "english", store.index())._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and re.search(r"PushedFilters: [^\n]*(In|EqualTo)\(bucket", plan)
+    store.compact(everything=True)
+    state = store.log.state()[1]
+    assert len(state["segments"]) == 1 and not state["dead"] and state["segments"][0]["rows"] == len(want)
     assert [ask(None), ask("A")] == before and before[0]
+    assert store.vacuum() > 0 and [ask(None), ask("A")] == before and store.vacuum() == 0
+
+
+def test_segments_are_merged_by_size(spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "store"), 3, fan=3)
+    store.ensure()
+    for i in range(9):
+        put(spark, store, "A", f"s{i}", "tide", [1.0, 0.0, 0.0])
+        state = store.log.state()[1]
+        assert sum(s["rows"] - s["gone"] for s in state["segments"]) == i + 1
+    assert [s["rows"] for s in state["segments"]] == [9]
+    assert [did for _, did, _ in store.history()].count("compact") == 4
+
+
+def test_a_write_follows_its_batch(spark, store, tmp_path):
+    rng = random.Random(3)
+    store.upsert(spark.createDataFrame([("A", f"c{i}", f"s{i}", "t", "S", None, " ".join(f"w{rng.randrange(10**9)}" for _ in range(40)), [1.0, 0.0, 0.0]) for i in range(3000)], CHUNK))
+    whole = size_of(tmp_path / "store")
+    put(spark, store, "A", "s5", "new words", [1.0, 0.0, 0.0])
+    assert size_of(tmp_path / "store") - whole < whole / 20
+    assert store.read("A").count() == 3000 and [r.content for r in store.read("A").where("source_id = 's5'").collect()] == ["new words"]
+
+
+def test_versions_can_be_read(spark, store):
+    for text in ("one", "two", "three"):
+        put(spark, store, "A", "s", text, [1.0, 0.0, 0.0])
+    contents = {v: [r.content for r in store.read(version=v).collect()] for v, _, _ in store.history()}
+    assert list(contents.values()) == [[], ["one"], ["two"], ["three"]]
+    first = min(v for v, c in contents.items() if c == ["one"])
+    assert [r.content for r in store.read(version=first).collect()] == ["one"]
+    store.vacuum(keep=1)
+    with pytest.raises(ValueError, match="version"):
+        store.read(version=first)
+    assert [r.content for r in store.read().collect()] == ["three"]
+
+
+@pytest.mark.parametrize("other", [("A", "same"), ("A", "next"), ("B", "same")])
+def test_interleaved_writers_lose_nothing(spark, store, other):
+    """A second writer commits between a first one's preparation and its commit, to its source, its space or another space."""
+    put(spark, store, "A", "same", "old", [1.0, 0.0, 0.0])
+    second = ChunkStore(spark, store.folder, 3)
+    commit, tried, killed = store.log.commit, [], []
+    kill = store._killed
+    store._killed = lambda *a: (killed.append(1), kill(*a))[1]
+
+    def slow(version, state):
+        if not tried:
+            put(spark, second, *other, "second", [1.0, 0.0, 0.0])
+        tried.append(version)
+        return commit(version, state)
+
+    store.log.commit = slow
+    put(spark, store, "A", "same", "first", [0.0, 1.0, 0.0])
+    store.log.commit = commit
+    assert len(tried) == 2 and len(killed) == (1 if other[0] == "B" else 2)  # in another space nothing has to be worked out anew
+    want = {("A", "same"): "first"} | ({} if other == ("A", "same") else {other: "second"})
+    assert {(r.space_key, r.source_id): r.content for r in store.read().collect()} == want
     index = store.index()
-    asked = spark.createDataFrame([("q", "blue")], "query_id string, query_text string")
-    plan = retrieval.fulltext_matches(store.read(), asked, "english", index)._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(bucket" in plan and "bucket#" in plan.split("PartitionFilters")[1].split("]")[0]
-    assert store.vacuum() >= 0 and [ask(None), ask("A")] == before
-    put(spark, store, "A", "late", "blue whale", [1.0, 0.0, 0.0])
-    assert store.index() is None and ask("A")[0] != before[1][0]
+    asked = spark.createDataFrame([("q", "first or second or old")], "query_id string, query_text string")
+    assert retrieval.fulltext_matches(store.read(), asked, "english", index).count() == len(want)
+
+
+def test_merging_meets_deletes(spark, store):
+    """What is deleted while segments are merged stays deleted."""
+    for i in range(4):
+        put(spark, store, "A", f"s{i}", "tide", [1.0, 0.0, 0.0])
+    second = ChunkStore(spark, store.folder, 3)
+    commit, tried = store.log.commit, []
+
+    def slow(version, state):
+        if not tried:
+            second.delete_source("A", "s1")
+        tried.append(version)
+        return commit(version, state)
+
+    store.log.commit = slow
+    store.compact(everything=True)
+    assert sorted(r.source_id for r in store.read().collect()) == ["s0", "s2", "s3"]
+
+
+def test_only_one_writer_makes_a_version(spark, store):
+    version, state = store.log.state()
+    assert store.log.commit(version + 1, state) and not store.log.commit(version + 1, state | {"did": "other"})
+    assert store.log.state() == (version + 1, state) and not [x for x in store.files.names("log") if x.startswith("staged")]
+    with pytest.raises(ValueError):
+        store.log.state(99)
 
 
 def test_wrong_batches_are_refused(spark, store):
