@@ -10,7 +10,7 @@ from __future__ import annotations
 import functools
 import math
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
 import pandas as pd
@@ -275,18 +275,19 @@ def fuse(vector: DataFrame, fts: DataFrame, trgm: DataFrame, rrf_k: int = RRF_K)
     return merged.withColumn("rrf_score", score)
 
 
-def hybrid(chunks: DataFrame, queries: DataFrame, space_key: str | None = None, top_k: int = TOP_K, candidate_k: int = CANDIDATE_K, rrf_k: int = RRF_K, trgm_threshold: float = TRGM_THRESHOLD, analyzer: str = "english", index: Index | None = None) -> DataFrame:
+def hybrid(chunks: DataFrame, queries: DataFrame, space_key: str | None = None, top_k: int = TOP_K, candidate_k: int = CANDIDATE_K, rrf_k: int = RRF_K, trgm_threshold: float = TRGM_THRESHOLD, analyzer: str = "english", index: Index | None = None, nearest: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
     """Of each query the top_k chunks by fused ranks: query_id, ref, the chunk's columns, distance, rrf_score and ranks.
 
     queries has query_id, query_text and query_embedding. ref is 1 for the best; ties in rrf_score go by
     distance, then key. Distances and contents are looked up for the few chunks that are left only. An index
-    must be of the same chunks.
+    must be of the same chunks, and so must `nearest`, which gives the vector candidates of queries (as cells.candidates() does).
     """
     check_arguments(top_k, candidate_k, rrf_k, trgm_threshold)
     found = in_space(chunks, space_key)
     if index:
         index = index._replace(terms=in_space(index.terms, space_key), trigrams=in_space(index.trigrams, space_key))
-    fused = fuse(vector_candidates(found, queries, candidate_k), fulltext_candidates(found, queries, candidate_k, analyzer, index), trigram_candidates(found, queries, candidate_k, trgm_threshold, index), rrf_k)
+    close = nearest(queries, candidate_k) if nearest else vector_candidates(found, queries, candidate_k)
+    fused = fuse(close, fulltext_candidates(found, queries, candidate_k, analyzer, index), trigram_candidates(found, queries, candidate_k, trgm_threshold, index), rrf_k)
     n = queries.count()
     kept = [c for c in found.columns if c not in ("embedding", "terms", "norm", *KEY)]
     full = found.select(*KEY, *kept, V.doubles(F.col("embedding")).alias("v")).join(_if_small(fused, 3 * candidate_k * n), KEY)

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import embedding, vectors
 from spindrift.functions import text as T
-from spindrift.operators import chunking, citations, evaluation, grounding, retrieval
+from spindrift.operators import cells, chunking, citations, evaluation, grounding, retrieval
 from spindrift.plans import guard
 from spindrift.sources import chunk_store
-from spindrift.sources.shared import shared_dir
+from spindrift.sources.shared import own_folder
 from spindrift.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,9 +82,9 @@ def vector_space_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH {_V}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, label, vec_id) AS k FROM d) SELECT query_id, k::INT AS vector_rank, vec_id, round(distance, 6) + 0 AS distance FROM r WHERE k <= 20")
 def vector_topk_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates of every hundredth vector."""
+    """Candidates of every hundredth vector, from the cells that can hold them."""
     chunks = _chunks(spark, sf_dir)
-    found = retrieval.vector_candidates(chunks, _asked(chunks), 20)
+    found = cells.candidates(cells.build(chunks, own_folder(spark, "cells")), _asked(chunks), 20)
     return found.select("query_id", "vector_rank", F.col("chunk_id").cast("long").alias("vec_id"), (F.round("distance", 6) + 0).alias("distance"))
 
 
@@ -558,7 +558,7 @@ def events_by_hour_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same over events as a stream, with a watermark that all of them meet."""
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    at = f"{shared_dir(spark)}/events-{uuid.uuid4().hex}"
+    at = own_folder(spark, "events")
     windows.keep_latest(windows.totals(stream.withColumn("ts", F.col("ts").cast("timestamp")), late="3650 days"), f"{at}/out", f"{at}/log").awaitTermination()
     found = windows.latest(spark.read.parquet(f"{at}/out"))
     return found.select("event_type", F.col("start").cast("timestamp_ntz").alias("hour"), "n", F.round("total", 6).alias("total"))
