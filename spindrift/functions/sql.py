@@ -6,6 +6,8 @@ batches. The guard admits built-in functions only, so guarded statements can't c
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -26,16 +28,48 @@ FUNCTIONS = [
 ]
 
 
+def _extent(q: list[str], t: list[str]) -> float:
+    """The largest similarity of a query's trigrams to the trigrams of any stretch of a text's.
+
+    A best stretch starts and ends with a trigram of the query, and ends at its first new one.
+    """
+    wanted = set(q)
+    at = [i for i, x in enumerate(t) if x in wanted]
+    best = 0.0
+    for n, i in enumerate(at):
+        if len(at) - n < best * len(wanted):
+            break
+        seen: set[str] = set()
+        shared = 0
+        last = i
+        for j in at[n:]:
+            if t[j] in seen:
+                continue
+            seen.update(t[last : j + 1])
+            last = j
+            shared += 1
+            best = max(best, shared / (len(wanted) + len(seen) - shared))
+            if shared == len(wanted):
+                break
+            if len(wanted) <= best * len(seen):  # longer stretches can't be better
+                break
+    return best
+
+
+def stretch_similarity(query: str, content: str) -> float:
+    """retrieval.word_similarity() of two strings, for SQL, which has no way to say it."""
+    q, t = ([f"  {w} "[i : i + 3] for w in re.findall(r"\w+", text.lower()) for i in range(len(w) + 1)] for text in (query, content))
+    return _extent(list(dict.fromkeys(q)), t) if q else 0.0
+
+
 def register(spark: SparkSession) -> list[str]:
     """Makes the functions known to a session for its life, and returns their names."""
-    from spindrift.operators import retrieval
-
     for name, parameters, result, body in FUNCTIONS:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {result} RETURN {body}")
 
     @F.pandas_udf("double")
     def word_similarity(query: pd.Series, content: pd.Series) -> pd.Series:
-        return pd.Series([retrieval.stretch_similarity(q or "", c or "") for q, c in zip(query, content)], dtype=float)
+        return pd.Series([stretch_similarity(q or "", c or "") for q, c in zip(query, content)], dtype=float)
 
     @F.pandas_udf("array<double>")
     def hashed_embedding(texts: pd.Series, dimension: pd.Series) -> pd.Series:

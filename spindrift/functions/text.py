@@ -59,6 +59,11 @@ def trigram_set(text: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.array_distinct(tokens(text)), word_trigrams)))
 
 
+def spaced(text: Column) -> Column:
+    """The tokens, with two blanks before the first, three between two and one at the end: it holds a trigram exactly where a token has it."""
+    return F.concat(F.lit("  "), F.array_join(tokens(text), "   "), F.lit(" "))
+
+
 def set_similarity(a: Column, b: Column) -> Column:
     """Shared elements over all elements of two sets; 0 for two empty ones."""
     shared = F.size(F.array_intersect(a, b))

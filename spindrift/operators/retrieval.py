@@ -9,14 +9,11 @@ from __future__ import annotations
 
 import functools
 import math
-import re
 from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as ST
 from pyspark.sql.window import Window
 
 from spindrift.functions import fulltext as FT
@@ -30,6 +27,8 @@ TOP_K, CANDIDATE_K, RRF_K, TRGM_THRESHOLD = 5, 20, 60, 0.2
 MOST_QUERIES = 10_000
 #: The most short rows (terms, trigrams, candidates) that go to every task as one table; more are joined by shuffles.
 MOST_SENT = 1_000_000
+#: The most trigrams of queries that texts are searched for one by one; for more, all trigrams of the texts are listed.
+MOST_LISTED = 2000
 KEY = ["space_key", "chunk_id"]
 
 
@@ -148,68 +147,94 @@ def fulltext_candidates(chunks: DataFrame, queries: DataFrame, k: int, analyzer:
     return _ranked(fulltext_matches(chunks, queries, analyzer, index), [F.col("text_score").desc()], k, "fts_rank")
 
 
-def _extent(q: list[str], t: list[str]) -> float:
-    """The largest similarity of a query's trigrams to the trigrams of any stretch of a text's.
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), then), 0)
 
-    A best stretch starts and ends with a trigram of the query, and ends at its first new one.
+
+#: After all positions.
+_NEVER = (1 << 31) - 1
+
+
+def best_stretch(q: Column, t: Column, least: Column) -> Column:
+    """The largest similarity, above least, of a query's distinct trigrams q to those of any stretch of a text's trigrams t; least if none is larger.
+
+    A best stretch starts at a trigram of the query, does not hold that again, and ends at its first sight of another one. So
+    the query's trigrams in the text are swept from the last to the first, with the next place of each: sorted,
+    these are the ends to be tried, of which the n-th shares n trigrams. An end is tried only if that many could do. Far ends are not
+    tried where the first stretch of three times the largest useful length has too many distinct trigrams already.
     """
-    wanted = set(q)
-    at = [i for i, x in enumerate(t) if x in wanted]
-    best = 0.0
-    for n, i in enumerate(at):
-        if len(at) - n < best * len(wanted):
-            break
-        seen: set[str] = set()
-        shared = 0
-        last = i
-        for j in at[n:]:
-            if t[j] in seen:
-                continue
-            seen.update(t[last : j + 1])
-            last = j
-            shared += 1
-            best = max(best, shared / (len(wanted) + len(seen) - shared))
-            if shared == len(wanted):
-                break
-            if len(wanted) <= best * len(seen):  # longer stretches can't be better
-                break
-    return best
-
-
-def stretch_similarity(query: str, content: str) -> float:
-    """word_similarity() of two strings."""
-    q, t = ([f"  {w} "[i : i + 3] for w in re.findall(r"\w+", text.lower()) for i in range(len(w) + 1)] for text in (query, content))
-    return _extent(list(dict.fromkeys(q)), t) if q else 0.0
-
-
-@F.pandas_udf(ST.DoubleType())
-def _similarity(q: pd.Series, t: pd.Series) -> pd.Series:
-    return pd.Series([stretch_similarity(a or "", b or "") for a, b in zip(q, t)], dtype=float)
+    m = F.size(q)
+    hits = F.filter(F.transform(t, lambda x, i: F.struct(i.alias("p"), F.array_position(q, x).cast("int").alias("k"))), lambda h: h["k"] > 0)
+
+    def distinct(start: Column, size: Column) -> Column:
+        return F.size(F.array_distinct(F.slice(t, start + 1, size)))
+
+    def tried(state: Column, h: Column) -> Column:
+        best, p = state["best"], h["p"]
+        most = F.ceil(m / F.greatest(best, F.lit(1e-6)))  # distinct trigrams of a better stretch
+
+        def near(ends: Column) -> Column:
+            wide = F.least(3 * most, F.lit(_NEVER >> 1).cast("long")).cast("int")
+            return F.when(F.element_at(ends, -1) < p + wide, ends).when(distinct(p, wide) > most, F.filter(ends, lambda v: v < p + wide)).otherwise(ends)
+
+        def values(ends: Column) -> Column:
+            own = F.transform(ends, lambda v, i: F.when(i + 1 > best * m, (i + 1) / (m + distinct(p, v - p + 1) - (i + 1))).otherwise(F.lit(0.0)))
+            return F.coalesce(F.array_max(own), F.lit(0.0))
+
+        def of(ends: Column) -> Column:
+            return F.when(F.size(ends) > best * m, _let(near(ends), lambda e: F.when(F.size(e) > best * m, values(e)).otherwise(F.lit(0.0)))).otherwise(F.lit(0.0))
+
+        return F.greatest(best, _let(F.array_sort(F.filter(state["next"], lambda v: v < state["until"])), of))
+
+    def step(state: Column, h: Column) -> Column:
+        moved = F.struct(F.transform(state["next"], lambda v, i: F.when(i + 1 == h["k"], h["p"]).otherwise(v)).alias("next"), F.element_at(state["next"], h["k"]).alias("until"), state["best"].alias("best"))
+        return _let(moved, lambda x: F.struct(x["next"].alias("next"), tried(x, h).alias("best")))
+
+    start = F.struct(F.array_repeat(F.lit(_NEVER), m).alias("next"), least.cast("double").alias("best"))
+    return F.aggregate(F.reverse(hits), start, step, lambda s: s["best"])
 
 
 def word_similarity(query: Column, content: Column) -> Column:
     """The similarity of a text's trigrams to the most similar contiguous stretch of a content's, from 0 to 1; 0 for a null."""
-    return _similarity(query, content)
+    q, t = T.trigram_set(query), T.trigrams(content)
+    found = F.when(F.size(q) > 0, _let(F.struct(q.alias("q"), t.alias("t")), lambda x: best_stretch(x["q"], x["t"], F.lit(0.0))))
+    return F.coalesce(found, F.lit(0.0))
 
 
 def trigram_candidates(chunks: DataFrame, queries: DataFrame, k: int, threshold: float = TRGM_THRESHOLD, index: Index | None = None) -> DataFrame:
-    """query_id, space_key, chunk_id, trgm_score, trgm_rank: chunks with a word similarity of threshold or more.
+    """query_id, space_key, chunk_id, trgm_score, trgm_rank: the k chunks most similar to each query, with a word similarity of threshold or more.
 
     The share of a query's trigrams that a chunk has at all bounds the similarity. Trigrams of chunks meet
-    those of queries by an equi-join, through an index where there is one, and are counted; contents come for pairs with a sufficient share only.
+    those of queries by an equi-join, through an index where there is one, and are counted. The chunks with the largest
+    shares are looked at first; contents of others come only where the share could reach the k-th best similarity of these.
     """
-    asked = queries.select("query_id", "query_text", T.trigram_set(F.col("query_text")).alias("q")).withColumn("least", F.greatest(F.lit(threshold) * F.size("q"), F.lit(1)))
-    wanted = asked.select("query_id", "least", F.explode("q").alias("trigram"))
+    asked = queries.select("query_id", T.trigram_set(F.col("query_text")).alias("q")).withColumn("m", F.size("q")).where("m > 0")
+    wanted = asked.select("query_id", "m", F.explode("q").alias("trigram"))
+    listed = [r[0] for r in wanted.select("trigram").distinct().limit(MOST_LISTED + 1).collect()]
     wanted = _if_small(wanted, wanted.limit(MOST_SENT + 1).count())
     if index:
         found = index.joined(index.trigrams, "trigram", wanted)
+    elif len(listed) <= MOST_LISTED:  # only these are looked for
+        has = _let(T.spaced(F.col("content")), lambda x: F.filter(F.lit(listed), lambda w: x.contains(w)))
+        found = chunks.select(*KEY, F.explode(has).alias("trigram")).join(wanted, "trigram")
     else:
         found = chunks.select(*KEY, F.explode(T.trigram_set(F.col("content"))).alias("trigram")).join(wanted, "trigram")
-    shares = found.groupBy("query_id", *KEY, "least").agg(F.count("*").alias("n")).where("n >= least").select("query_id", *KEY)
-    texts = chunks.select(*KEY, "content").join(shares, KEY).join(_if_small(asked.select("query_id", "query_text"), asked.limit(MOST_SENT + 1).count()), "query_id")
-    once = _similarity.asNondeterministic()  # else a filter would work it out again
-    scored = texts.select("query_id", *KEY, once("query_text", "content").alias("trgm_score")).where((F.col("trgm_score") >= threshold) & (F.col("trgm_score") > 0))
-    return _ranked(scored, [F.col("trgm_score").desc()], k, "trgm_rank")
+    shares = found.groupBy("query_id", *KEY, "m").agg(F.count("*").alias("n")).where(F.col("n") >= threshold * F.col("m") - 1e-9)
+    asked = _if_small(asked.select("query_id", "q"), asked.limit(MOST_SENT + 1).count())
+    texts = chunks.select(*KEY, "content")
+    tasks = chunks.sparkSession.sparkContext.defaultParallelism
+
+    def scored(some: DataFrame, least: Column) -> DataFrame:
+        near = some.join(texts, KEY).join(asked, "query_id").repartition(tasks, "query_id", *KEY)  # few bytes, much work
+        score = _let(T.trigrams(F.col("content")), lambda t: best_stretch(F.col("q"), t, F.greatest(least - 1e-9, F.lit(0.0))))  # what reaches least counts
+        once = F.explode(F.array(score))  # else a filter would work it out again
+        return near.select("query_id", *KEY, once.alias("trgm_score")).where((F.col("trgm_score") >= F.greatest(least - 1e-12, F.lit(threshold))) & (F.col("trgm_score") > 0))
+
+    first = _ranked(shares, [F.col("n").desc()], 3 * k, "first")
+    kth = _ranked(scored(first, F.lit(threshold)), [F.col("trgm_score").desc()], k, "r").where(F.col("r") == k).select("query_id", F.col("trgm_score").alias("kth"))
+    rest = shares.join(kth, "query_id", "left").withColumn("least", F.coalesce("kth", F.lit(threshold))).where(F.col("n") >= F.col("least") * F.col("m") - 1e-9)
+    return _ranked(scored(rest, F.col("least")), [F.col("trgm_score").desc()], k, "trgm_rank")
 
 
 def _rarest(sets: DataFrame, key: str, often: DataFrame, keep: Column) -> DataFrame:

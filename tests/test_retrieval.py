@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from spindrift.functions import embedding, fulltext
+from spindrift.functions import embedding, fulltext, sql
 from spindrift.functions import text as T
 from spindrift.operators import retrieval
 from spindrift.sources.chunk_store import ChunkStore
@@ -244,13 +244,46 @@ def brute(q, t):
 
 def test_word_similarity_against_all_stretches(spark):
     rng = random.Random(3)
-    for _ in range(400):
-        q = list(dict.fromkeys(rng.choices("abcdef", k=rng.randrange(1, 6))))
-        t = rng.choices("abcdefghij", k=rng.randrange(0, 14))
-        assert retrieval._extent(q, t) == pytest.approx(brute(q, t)), (q, t)
-    df = spark.createDataFrame([("word", "two words"), ("krill", "other things")], "q string, t string")
+    cases = [(list(dict.fromkeys(rng.choices("abcdef", k=rng.randrange(1, 6)))), rng.choices("abcdefghij", k=rng.randrange(0, 14))) for _ in range(400)]
+    cases += [(list("abcde"), rng.choices("abcdefghijklmnopqrstuvwxyz"[: rng.randrange(2, 27)], k=120)) for _ in range(60)]  # long enough for far ends to be left out
+    cases += [(list("abc"), list("xa" * 40 + "b" + "y" * 30 + "c")), (list("abc"), list("a" * 200 + "z" * 200 + "bc"))]
+    df = spark.createDataFrame([(i, q, t) for i, (q, t) in enumerate(cases)], "i int, q array<string>, t array<string>")
+    for least in (0.0, 0.4):
+        got = {r.i: r.s for r in df.select("i", retrieval.best_stretch(F.col("q"), F.col("t"), F.lit(least)).alias("s")).collect()}
+        for i, (q, t) in enumerate(cases):
+            want = brute(q, t)
+            assert got[i] == pytest.approx(max(want, least)), (q, t)
+            assert sql._extent(q, t) == pytest.approx(want), (q, t)
+    df = spark.createDataFrame([("word", "two words"), ("krill", "other things"), ("", "x"), (None, "x"), ("x", None)], "q string, t string")
     got = [r.s for r in df.select(retrieval.word_similarity(F.col("q"), F.col("t")).alias("s")).collect()]
-    assert got == pytest.approx([0.8, 0.0])
+    assert got == pytest.approx([0.8, 0.0, 0.0, 0.0, 0.0])
+
+
+def test_trigrams_are_looked_up_in_spaced_text(spark):
+    texts = ["two words", "a b", "", "a_b  é-x", "aaa", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(T.spaced(F.col("t")).alias("s"), T.trigram_set(F.col("t")).alias("g")).collect()
+    every = {g for r in df for g in r.g or []} | {"  w", "x  ", "   ", "o w", " a ", "ds "}
+    for r in df[:-1]:
+        assert {g for g in every if g in r.s} - {"x  ", "   "} == set(r.g)
+
+
+def test_trigram_candidates_against_all_texts(spark):
+    rng = random.Random(9)
+    words = "apache license version rights reserved creative commons free lance verse vision".split()
+    texts = [" ".join(rng.choices(words, k=rng.randrange(0, 25))) for _ in range(150)]
+    chunks = spark.createDataFrame([("A", f"{i:03d}", t) for i, t in enumerate(texts)], "space_key string, chunk_id string, content string")
+    questions = {"a": "apache license", "b": "free version", "c": "zzz", "d": "", "e": "l"}
+    asked = spark.createDataFrame(list(questions.items()), "query_id string, query_text string")
+    for k, threshold in ((5, 0.2), (40, 0.6), (3, 1.0)):
+        got = {(r.query_id, r.trgm_rank): (r.chunk_id, round(r.trgm_score, 9)) for r in retrieval.trigram_candidates(chunks, asked, k, threshold).collect()}
+        want = {}
+        for q, text in questions.items():
+            scores = [(round(plain_word_similarity(text, t), 9), f"{i:03d}") for i, t in enumerate(texts)]
+            for rank, (s, c) in enumerate(sorted((x for x in scores if x[0] >= threshold and x[0] > 0), key=lambda x: (-x[0], x[1]))[:k], 1):
+                want[q, rank] = (c, s)
+        assert got == want
+    plan = retrieval.trigram_candidates(chunks, asked, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 def test_trigram_set_padding(spark):
