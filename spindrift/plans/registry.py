@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.functions import embedding, vectors
+from spindrift.functions import embedding, fulltext, vectors
 from spindrift.functions import text as T
 from spindrift.operators import cells, chunking, citations, evaluation, grounding, retrieval
 from spindrift.plans import guard
@@ -117,12 +117,20 @@ def _as_chunks(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("lang").alias("space_key"), F.format_string("%012d", "doc_id").alias("chunk_id"), F.col("doc_id"), F.col("text").alias("content"))
 
 
-@_query()
+_ASKED = [("a", "apache license version"), ("b", "alle rechte der verlag"), ("c", '"rights reserved" or mit')]
+
+
+def _stored(chunks: DataFrame) -> DataFrame:
+    """chunks with the lengths of their vectors, as a table: vectors are made once, however often they are read."""
+    path = own_folder(chunks.sparkSession, "chunks")
+    chunk_store.with_norms(chunks).write.parquet(path)
+    return chunks.sparkSession.read.parquet(path)
+
+
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three questions over all documents: hashed vectors, English full text and trigrams, fused."""
-    chunks = embedding.hashed(_as_chunks(table(spark, sf_dir, "documents")), "content", dimension=64)
-    asked = spark.createDataFrame([("a", "apache license version"), ("b", "alle rechte der verlag"), ("c", '"rights reserved" or mit')], "query_id string, query_text string")
-    asked = embedding.hashed(asked, "query_text", "query_embedding", 64)
+    chunks = _stored(embedding.hashed(_as_chunks(table(spark, sf_dir, "documents")), "content", dimension=64))
+    asked = embedding.hashed(spark.createDataFrame(_ASKED, "query_id string, query_text string"), "query_text", "query_embedding", 64)
     hits = retrieval.hybrid(chunks, asked)
     return hits.select("query_id", "ref", "doc_id", (F.round("distance", 6) + 0).alias("distance"), F.round("rrf_score", 9).alias("rrf_score"), "vector_rank", "fts_rank", "trgm_rank")
 
@@ -205,14 +213,84 @@ def trigram_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(F.col("right_id").alias("item_id")).agg(F.count("*").alias("candidates"))
 
 
-@_query()
+def _similar_sql(asked: list[tuple[str, str]], k: int) -> str:
+    """CTEs up to trgm(query_id, doc_id, trgm_rank, trgm_score): every start and end of a stretch, but ends that have too many distinct trigrams on the way."""
+    values = ", ".join(f"('{i}', '{text}')" for i, text in asked)
+    repeated = _TRIGRAMS.replace("list_distinct(", "(", 1)
+    return f"""questions AS (SELECT * FROM (VALUES {values}) AS x(query_id, text)),
+qq AS (SELECT query_id, {_TRIGRAMS.format('text')} AS q FROM questions), qx AS (SELECT query_id, len(q) AS m, unnest(q) AS x FROM qq),
+tt AS (SELECT doc_id, lang, {repeated.format('text')} AS t FROM documents),
+places AS (SELECT doc_id, unnest(t) AS x, unnest(range(1, len(t) + 1)) AS p FROM tt),
+hit AS (SELECT query_id, m, doc_id, p, x, lag(p) OVER o AS before, lead(p) OVER o AS after FROM places JOIN qx USING (x) WINDOW o AS (PARTITION BY query_id, doc_id, x ORDER BY p)),
+ends AS (SELECT a.query_id, a.doc_id, a.m, a.p AS i, b.p AS j, row_number() OVER (PARTITION BY a.query_id, a.doc_id, a.p ORDER BY b.p) AS s
+  FROM hit a JOIN hit b ON a.query_id = b.query_id AND a.doc_id = b.doc_id AND b.p >= a.p AND coalesce(b.before, 0) < a.p AND b.p < coalesce(a.after, 1e9)),
+enough AS (SELECT * FROM ends WHERE s >= 0.2 * m - 1e-9),
+way AS (SELECT doc_id, i, len(list_distinct(t[i:i + 99])) AS least FROM (SELECT DISTINCT doc_id, i FROM enough) JOIN tt USING (doc_id)),
+tried AS (SELECT query_id, doc_id, m, i, j, s FROM enough JOIN way USING (doc_id, i) WHERE j <= i + 99 OR s >= 0.2 * (m + least - s)),
+alike AS (SELECT query_id, doc_id, any_value(lang) AS lang, max(s::DOUBLE / (m + len(list_distinct(t[i:j])) - s)) AS trgm_score FROM tried JOIN tt USING (doc_id) GROUP BY query_id, doc_id),
+trgm AS (SELECT * FROM (SELECT query_id, doc_id, trgm_score, row_number() OVER (PARTITION BY query_id ORDER BY trgm_score DESC, lang, doc_id)::INT AS trgm_rank FROM alike WHERE trgm_score >= 0.2) WHERE trgm_rank <= {k})"""
+
+
+_PHRASES = [("a", "Apache License"), ("b", "alle Rechte"), ("c", "creative commons by")]
+
+
+@_query(f"WITH {_similar_sql(_PHRASES, 20)} SELECT query_id, doc_id, trgm_rank, round(trgm_score, 6) AS trgm_score FROM trgm")
 def word_similarity_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty documents with the most similar stretch for each of three texts."""
-    asked = spark.createDataFrame([("a", "Apache License"), ("b", "alle Rechte"), ("c", "creative commons by")], "query_id string, query_text string")
+    asked = spark.createDataFrame(_PHRASES, "query_id string, query_text string")
     found = retrieval.trigram_candidates(_as_chunks(table(spark, sf_dir, "documents")), asked, 20)
     return found.select("query_id", F.col("chunk_id").cast("long").alias("doc_id"), "trgm_rank", F.round("trgm_score", 6).alias("trgm_score"))
 
 
+def _stemmed(word: str) -> str:
+    """The English words with the stem of a word, as a list of SQL strings: those that common endings make."""
+    base, ends = fulltext.stem(word), "e s es ed ing er ers or ion ions able al ly ness ment ments ful ive ize e'd".split()
+    made = {base, word, *(base + x for x in ends), *(base + x + y for x in ends for y in ends)}
+    return ", ".join(f"'{w}'" for w in sorted(made) if w.isalpha() and fulltext.stem(w) == base and w not in fulltext.STOP_WORDS)
+
+
+def _dense_sql(name: str, query_id: str, words: list[str]) -> str:
+    """CTEs up to {name}(query_id, doc_id, lang, score): the density of covers of all words."""
+    case = " ".join(f"WHEN x IN ({_stemmed(w)}) THEN {i}" for i, w in enumerate(words))
+    last = ", ".join(f"max(CASE WHEN k = {i} THEN i END) OVER o AS f{i}" for i in range(len(words)))
+    each = [f"f{i}" for i in range(len(words))]
+    return f"""{name}p AS (SELECT doc_id, lang, i, CASE {case} END AS k FROM w),
+{name}a AS (SELECT doc_id, lang, i AS e, {last} FROM {name}p WHERE k IS NOT NULL WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+{name}b AS (SELECT doc_id, lang, least({', '.join(each)}) AS s, e FROM {name}a WHERE {' AND '.join(f'{x} IS NOT NULL' for x in each)}),
+{name}c AS (SELECT *, lag(s) OVER (PARTITION BY doc_id ORDER BY e) AS before FROM {name}b),
+{name} AS (SELECT '{query_id}' AS query_id, doc_id, any_value(lang) AS lang, round(sum(1::DOUBLE / (e - s + 1)), 9) AS score FROM {name}c WHERE before IS NULL OR before < s GROUP BY doc_id)"""
+
+
+def _hybrid_sql() -> str:
+    vector = r"""buckets AS (SELECT kind, id, ('0x' || h[1:8])::BIGINT % 64 AS bucket, sum(CASE WHEN ('0x' || h[9:10])::INT % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS x FROM (
+  SELECT kind, id, sha256(unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) AS h FROM (SELECT 'd' AS kind, doc_id::VARCHAR AS id, text FROM documents UNION ALL SELECT 'q', query_id, text FROM questions)) GROUP BY ALL),
+spread AS (SELECT kind, id, list_transform(range(64), lambda i: coalesce(m[i], 0::DOUBLE)) AS v FROM (SELECT kind, id, map(list(bucket), list(x)) AS m FROM buckets GROUP BY kind, id)),
+scaled AS (SELECT kind, id, list_transform(v, lambda x: x / sqrt(list_reduce(list_prepend(0::DOUBLE, v), lambda s, y: s + y * y))) AS v FROM spread),
+vectors AS (SELECT kind, id, v, sqrt(list_reduce(list_prepend(0::DOUBLE, v), lambda s, y: s + y * y)) AS n FROM scaled),
+far AS (SELECT q.query_id, doc_id, lang, CASE WHEN d.n > 0 AND x.n > 0 THEN 1 - list_reduce(list_prepend(0::DOUBLE, list_transform(range(1, 65), lambda i: d.v[i] * x.v[i])), lambda s, y: s + y) / (d.n * x.n) ELSE 'nan'::DOUBLE END AS distance
+  FROM documents CROSS JOIN questions q LEFT JOIN vectors d ON d.kind = 'd' AND d.id = doc_id::VARCHAR LEFT JOIN vectors x ON x.kind = 'q' AND x.id = q.query_id),
+near AS (SELECT * FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, lang, doc_id)::INT AS vector_rank FROM far) WHERE vector_rank <= 20)"""
+    text = f"""{_TOKENS}, w AS (SELECT doc_id, lang, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM t),
+{_dense_sql('one', 'a', ['apache', 'license', 'version'])},
+{_dense_sql('two', 'b', ['alle', 'rechte', 'der', 'verlag'])},
+phrase AS (SELECT r.doc_id, r.lang, count(*)::DOUBLE AS score FROM w r JOIN w s ON r.doc_id = s.doc_id AND s.i = r.i + 1 WHERE r.x IN ({_stemmed('rights')}) AND s.x IN ({_stemmed('reserved')}) GROUP BY r.doc_id, r.lang),
+single AS (SELECT doc_id, lang, count(*)::DOUBLE AS score FROM w WHERE x IN ({_stemmed('mit')}) GROUP BY doc_id, lang),
+three AS (SELECT 'c' AS query_id, doc_id, lang, max(score) AS score FROM (SELECT * FROM phrase UNION ALL SELECT * FROM single) GROUP BY doc_id, lang),
+matched AS (SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three),
+fts AS (SELECT * FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, lang, doc_id)::INT AS fts_rank FROM matched) WHERE fts_rank <= 20)"""
+    return f"""WITH {_similar_sql(_ASKED, 20)},
+{vector},
+{text},
+fused AS (SELECT query_id, doc_id, max(v)::INT AS vector_rank, max(f)::INT AS fts_rank, max(g)::INT AS trgm_rank FROM (SELECT query_id, doc_id, vector_rank AS v, NULL AS f, NULL AS g FROM near
+  UNION ALL SELECT query_id, doc_id, NULL, fts_rank, NULL FROM fts UNION ALL SELECT query_id, doc_id, NULL, NULL, trgm_rank FROM trgm) GROUP BY query_id, doc_id),
+scored AS (SELECT *, coalesce(1::DOUBLE / (60 + vector_rank), 0) + coalesce(1::DOUBLE / (60 + fts_rank), 0) + coalesce(1::DOUBLE / (60 + trgm_rank), 0) AS rrf_score FROM fused JOIN far USING (query_id, doc_id)),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, distance, lang, doc_id)::INT AS ref FROM scored)
+SELECT query_id, ref, doc_id, round(distance, 6) + 0 AS distance, round(rrf_score, 9) AS rrf_score, vector_rank, fts_rank, trgm_rank FROM best WHERE ref <= 5"""
+
+
+_query(_hybrid_sql())(hybrid_search)
+
+
 # --- lines, headings and chunks; documents have no headings or fences, so both engines put some in
 
 _DERIVED = """x AS (SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda l, i:
