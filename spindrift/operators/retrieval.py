@@ -33,7 +33,7 @@ KEY = ["space_key", "chunk_id"]
 
 
 class Index(NamedTuple):
-    """Inverted tables of segments of chunks, sorted by bucket(): terms(segment, bucket, term, key, positions) and trigrams(segment, bucket, trigram, key).
+    """Inverted tables of segments of chunks, sorted by bucket(): terms(segment, bucket, term, key, positions, n: their number) and trigrams(segment, bucket, trigram, key).
 
     gone(segment, key) are the rows of segments that are dead.
     """
@@ -116,8 +116,8 @@ def search(chunks: DataFrame, query_embedding: Sequence[float], space_key: str |
     return in_space(chunks, space_key).withColumn("distance", near).drop("embedding", "norm").orderBy("distance", *KEY).limit(top_k)
 
 
-def fulltext_matches(chunks: DataFrame, queries: DataFrame, analyzer: str = "english", index: Index | None = None) -> DataFrame:
-    """query_id, space_key, chunk_id, text_score of all chunks that satisfy queries(query_id, query_text).
+def fulltext_matches(chunks: DataFrame, queries: DataFrame, analyzer: str = "english", index: Index | None = None, only: DataFrame | None = None) -> DataFrame:
+    """query_id, space_key, chunk_id, text_score of all chunks that satisfy queries(query_id, query_text), or of those of only(query_id, key).
 
     Terms of queries meet the chunks' terms by an equi-join: those of an index, of which only the queries'
     buckets are read, stored ones (`terms`, maps of positions), or the words of `content`. Only matching terms' positions move: they make phrases, phrases alternatives.
@@ -134,6 +134,8 @@ def fulltext_matches(chunks: DataFrame, queries: DataFrame, analyzer: str = "eng
     asked = _if_small(asked, asked.limit(MOST_SENT + 1).count())
     begin = F.transform("positions", lambda p: p - F.col("shift")).alias("begin")
     found = rows.join(asked, "term").select("query_id", *KEY, "alt", "phrase", "wanted", "size", "needed", begin)
+    if only is not None:  # before positions move
+        found = found.join(only, ["query_id", *KEY], "left_semi")
     phrases = found.groupBy("query_id", *KEY, "alt", "phrase", "wanted", "size", "needed").agg(F.collect_list("begin").alias("all")).where(F.size("all") == F.col("size"))
     starts = F.aggregate(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0))), F.element_at("all", 1), F.array_intersect)
     phrases = phrases.withColumn("starts", starts).where(F.size("starts") > 0)
@@ -142,9 +144,37 @@ def fulltext_matches(chunks: DataFrame, queries: DataFrame, analyzer: str = "eng
     return good.select("query_id", *KEY, FT.density(F.col("places")).alias("score")).groupBy("query_id", *KEY).agg(F.max("score").alias("text_score"))
 
 
+def fulltext_bounds(queries: DataFrame, analyzer: str, index: Index) -> DataFrame:
+    """query_id, key, bound: the chunks that have all wanted terms of an alternative, and what their scores can't exceed.
+
+    A score sums 1 / length over minimal stretches. Each starts at another place of a term, and a place of the rarest term lies in no
+    more of them than there are phrases; a stretch that holds so many different words is at least as long. Positions
+    are not read for it, only their numbers.
+    """
+    wanted = FT.query_terms(queries, analyzer).where("wanted")
+    words = F.count_distinct("term")
+    need = wanted.groupBy("query_id", "alt").agg(words.alias("total"), F.when(F.max("size") == 1, words).otherwise(1).alias("length"), F.max("needed").alias("phrases"))
+    terms = wanted.select("query_id", "alt", "term").distinct().join(need, ["query_id", "alt"])
+    found = index.joined(index.terms.drop("positions"), "term", _if_small(terms, terms.limit(MOST_SENT + 1).count()))
+    least = found.groupBy("query_id", *KEY, "alt", "total", "length", "phrases").agg(F.count("*").alias("held"), F.min("n").alias("n"), F.sum("n").alias("places")).where("held = total")
+    stretches = F.least(F.col("n") * F.col("phrases"), F.when(F.col("phrases") == F.col("total"), F.col("places")))
+    return least.groupBy("query_id", *KEY).agg(F.max(stretches / F.col("length")).alias("bound"))
+
+
 def fulltext_candidates(chunks: DataFrame, queries: DataFrame, k: int, analyzer: str = "english", index: Index | None = None) -> DataFrame:
-    """query_id, space_key, chunk_id, text_score, fts_rank: the k best matches of each query by (score, key)."""
-    return _ranked(fulltext_matches(chunks, queries, analyzer, index), [F.col("text_score").desc()], k, "fts_rank")
+    """query_id, space_key, chunk_id, text_score, fts_rank: the k best matches of each query by (score, key).
+
+    With an index, positions move for few chunks only: those with the largest bounds first, and others where the bound
+    reaches the k-th best score of these.
+    """
+    order = [F.col("text_score").desc()]
+    if index is None:
+        return _ranked(fulltext_matches(chunks, queries, analyzer), order, k, "fts_rank")
+    bounds = fulltext_bounds(queries, analyzer, index)
+    first = _ranked(bounds, [F.col("bound").desc()], 2 * k, "first").select("query_id", *KEY)
+    kth = _ranked(fulltext_matches(chunks, queries, analyzer, index, first), order, k, "r").where(F.col("r") == k).select("query_id", F.col("text_score").alias("kth"))
+    rest = bounds.join(kth, "query_id", "left").where(F.col("kth").isNull() | (F.col("bound") >= F.col("kth") - 1e-9)).select("query_id", *KEY)
+    return _ranked(fulltext_matches(chunks, queries, analyzer, index, rest), order, k, "fts_rank")
 
 
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:

@@ -116,7 +116,7 @@ class ChunkStore:
         if not self._paths(state, "rows"):
             return None
         key = "space_key string, chunk_id string, bucket int"
-        return retrieval.Index(self._table(state, "terms", f"term string, positions array<int>, {key}"), self._table(state, "trigrams", f"trigram string, {key}"), BUCKETS, self._dead(state))
+        return retrieval.Index(self._table(state, "terms", f"term string, positions array<int>, n int, {key}"), self._table(state, "trigrams", f"trigram string, {key}"), BUCKETS, self._dead(state))
 
     def search(self, query_embedding: list[float], space_key: str | None = None, top_k: int = 5) -> DataFrame:
         retrieval.check_arguments(top_k, vector=query_embedding, dimension=self.dimension)
@@ -343,8 +343,8 @@ class ChunkStore:
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """term, space_key, chunk_id, positions: the inverted table of `terms`."""
-    return chunks.select(*KEY, F.explode("terms").alias("term", "positions")).select("term", *KEY, "positions")
+    """term, space_key, chunk_id, positions, n (their number): the inverted table of `terms`."""
+    return chunks.select(*KEY, F.explode("terms").alias("term", "positions")).select("term", *KEY, "positions", F.size("positions").alias("n"))
 
 
 def trigram_postings(chunks: DataFrame) -> DataFrame:

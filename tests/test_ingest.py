@@ -153,3 +153,27 @@ def test_model_embedding_and_retries(spark):
     with pytest.raises(ValueError):
         embedding.retried(busy(0), attempts=0)
     assert len(waits) == 4
+
+
+def test_equal_texts_are_embedded_once_over_runs(spark, tmp_path):
+    asked = str(tmp_path / "asked")
+
+    class Counting:
+        dimension = 2
+
+        def embed(self, texts):
+            with open(asked, "a") as f:
+                f.write("".join(f"{t}\n" for t in texts))
+            return [[float(len(t)), 1.0] for t in texts]
+
+    def run(rows):
+        df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(rows)], "id int, t string, digest string").repartition(3)
+        found = embedding.by_content(df, "t", Counting(), str(tmp_path / "vectors"))
+        assert found.columns == ["id", "t", "digest", "embedding"]
+        assert sorted((r.id, r.t or "", r.digest, tuple(r.embedding)) for r in found.collect()) == [(i, t or "", "clash", (float(len(t or "")), 1.0)) for i, t in enumerate(rows)]
+
+    run(["whale", "krill", "whale", None, "", "whale"])
+    run(["krill", "plankton", "krill"])
+    run(["whale", ""])
+    assert sorted(open(asked).read().split("\n")[:-1]) == ["", "krill", "plankton", "whale"]
+    run([])

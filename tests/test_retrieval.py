@@ -104,6 +104,25 @@ def test_searches_through_segments_equal_a_rebuild(spark, store):
     assert store.vacuum() > 0 and [ask(None), ask("A")] == before and store.vacuum() == 0
 
 
+def test_bounded_search_equals_a_full_one(spark, store):
+    """Top lists by bounds are those of all matches; positions move for a few chunks only."""
+    rng = random.Random(6)
+    words = ["krill", "whale", "song", "deep", "ocean", "blue", *(f"w{i}" for i in range(40))]
+    made = [("AB"[i % 2], f"c{i:03d}", f"s{i}", "t", "S", None, " ".join(rng.choices(words, [9, 5, 5, 2, 2, 1, *[3] * 40], k=rng.randrange(1, 90))), [1.0, 0.0, 0.0]) for i in range(400)]
+    store.upsert(spark.createDataFrame(made, CHUNK))
+    store.delete_source("A", "s4")
+    asked = spark.createDataFrame([("a", "krill whale"), ("b", '"deep ocean" or blue -song'), ("c", "krill krill"), ("d", "whale song deep"), ("e", "the"), ("f", "none of it")], "query_id string, query_text string")
+    row = lambda r: (r.query_id, r.fts_rank, r.space_key, r.chunk_id, r.text_score)
+    for k in (1, 5, 300):
+        got, want = (sorted(map(row, retrieval.fulltext_candidates(store.read(), asked, k, "english", index).collect())) for index in (store.index(), None))
+        assert got == want != []
+    scores = {(r.query_id, r.space_key, r.chunk_id): r.text_score for r in retrieval.fulltext_matches(store.read(), asked).collect()}
+    bounds = {(r.query_id, r.space_key, r.chunk_id): r.bound for r in retrieval.fulltext_bounds(asked, "english", store.index()).collect()}
+    assert set(scores) <= set(bounds) and all(bounds[x] >= s - 1e-9 for x, s in scores.items())
+    fifth = sorted((s for (x, *_), s in scores.items() if x == "a"), reverse=True)[4]
+    assert sum(x[0] == "a" and b >= fifth for x, b in bounds.items()) < 0.8 * sum(x[0] == "a" for x in bounds)
+
+
 def test_segments_are_merged_by_size(spark, tmp_path):
     store = ChunkStore(spark, str(tmp_path / "store"), 3, fan=3)
     store.ensure()
