@@ -6,6 +6,7 @@ import functools
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -606,19 +607,25 @@ def guarded_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "o_orderkey string, o_orderstatus string, open string, row_count long, sized boolean")
 
 
-#: Statements, and the rule that refuses each, or null.
+#: Statements about a customer (its key is {0}, its name {1}), one for each remainder of the key, and the rule that refuses it, or null.
 _STATEMENTS = [
-    ("select n_name from nation where n_name like 'A%'", None), ("  -- all of them\n WITH x AS (SELECT 2) SELECT * FROM x ;", None), ("SELECT dropped, created_on FROM t", None),
-    ("EXPLAIN SELECT 1", "SELECT"), ("", "SELECT"), ("SELECT 1; SELECT 2", "multiple"), ("SELECT ';'", "multiple"), ("WITH x AS (SELECT 1) DELETE FROM t", "read-only"), ("SELECT 'Grant'", "read-only"),
+    ("select c_name from customer where c_custkey = {0}", None), ("  -- {1}; delete\n WITH x AS (SELECT {0}) SELECT * FROM x ;", None), ("SELECT dropped, created_on FROM t WHERE name = '{1}'", None),
+    ("EXPLAIN SELECT {0}", "SELECT"), ("-- {1}", "SELECT"), ("SELECT {0}; SELECT '{1}'", "multiple"), ("SELECT ';{1}'", "multiple"), ("WITH x AS (SELECT {0}) DELETE FROM t", "read-only"), ("SELECT 'Grant {1}'", "read-only"),
 ]
 
 
-@_query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {'NULL' if w is None else repr(w)})" for i, (_, w) in enumerate(_STATEMENTS)) + ") AS x(statement, reason)")
+@_query(f"SELECT c_custkey, CASE c_custkey % {len(_STATEMENTS)} " + " ".join(f"WHEN {i} THEN '{w}'" for i, (_, w) in enumerate(_STATEMENTS) if w) + " END AS reason FROM customer")
 def guard_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which rule of the guard's refuses each of some statements."""
-    words = ("SELECT", "multiple", "read-only")
-    said = [guard.static_error(sql) for sql, _ in _STATEMENTS]
-    return spark.createDataFrame([(i, next((w for w in words if x and w in x), None)) for i, x in enumerate(said)], "statement int, reason string")
+    """Which rule of the guard's refuses a statement about each customer."""
+
+    @F.pandas_udf("string")
+    def refused(statements: pd.Series) -> pd.Series:
+        said = statements.map(guard.static_error)
+        return said.map(lambda x: next((w for w in ("SELECT", "multiple", "read-only") if x and w in x), None))
+
+    forms = F.element_at(F.lit([x for x, _ in _STATEMENTS]), (F.col("c_custkey") % len(_STATEMENTS) + 1).cast("int"))
+    statement = F.replace(F.replace(forms, F.lit("{0}"), F.col("c_custkey").cast("string")), F.lit("{1}"), F.col("c_name"))
+    return table(spark, sf_dir, "customer").select("c_custkey", refused(statement).alias("reason"))
 
 
 _HOURS = "SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS hour, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL"

@@ -56,13 +56,13 @@ def parse(files: DataFrame, strict: bool = False) -> DataFrame:
             value["source_id"] = value["source_id"] if found.get("source_id") else (fallback or "").strip()
             missing = [k for k in ("source_id", "title", "space_key") if not value[k]]
             if missing:
-                rows.append((None, None, None, None, f"frontmatter requires {', '.join(missing)}"))
+                rows.append((None, None, None, None, f"the header lacks {', '.join(missing)}"))
             else:
                 rows.append((value["source_id"], value["title"], value["space_key"], value["breadcrumb"] if found.get("breadcrumb") else None, None))
         return pd.DataFrame(rows, columns=["source_id", "title", "space_key", "breadcrumb", "error"])
 
     found = parts.withColumn("f", fields("header", "fallback"))
-    error = F.when(~F.col("opened"), "missing frontmatter block").when(F.col("at") == 0, "unterminated frontmatter block").otherwise(F.col("f.error"))
+    error = F.when(~F.col("opened"), "a header between two lines of --- is missing").when(F.col("at") == 0, "the header is unterminated: no second line of ---").otherwise(F.col("f.error"))
     body = F.when(error.isNull(), F.regexp_replace("body", r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""))
     good = {k: F.when(error.isNull(), F.col(f"f.{k}")).alias(k) for k in ("source_id", "title", "space_key", "breadcrumb")}
     out = found.select(good["source_id"], good["title"], good["space_key"], body.alias("body"), good["breadcrumb"], error.alias("error"))
