@@ -236,11 +236,12 @@ def trigram_candidates(chunks: DataFrame, queries: DataFrame, k: int, threshold:
     """query_id, space_key, chunk_id, trgm_score, trgm_rank: the k chunks most similar to each query, with a word similarity of threshold or more.
 
     The share of a query's trigrams that a chunk has at all bounds the similarity. Trigrams of chunks meet
-    those of queries by an equi-join, through an index where there is one, and are counted. The chunks with the largest
-    shares are looked at first; contents of others come only where the share could reach the k-th best similarity of these.
+    those of queries by an equi-join, through an index where there is one, and are counted. Chunks that hold a query word for
+    word (known without an index only) and those with the largest shares are looked at first; contents of others come only where
+    the share could reach the k-th best similarity of these.
     """
-    asked = queries.select("query_id", T.trigram_set(F.col("query_text")).alias("q")).withColumn("m", F.size("q")).where("m > 0")
-    wanted = asked.select("query_id", "m", F.explode("q").alias("trigram"))
+    asked = queries.select("query_id", T.trigram_set(F.col("query_text")).alias("q"), T.spaced(F.col("query_text")).alias("whole")).withColumn("m", F.size("q")).where("m > 0")
+    wanted = asked.select("query_id", "m", F.explode(F.array_append("q", F.col("whole"))).alias("trigram"))
     listed = [r[0] for r in wanted.select("trigram").distinct().limit(MOST_LISTED + 1).collect()]
     wanted = _if_small(wanted, wanted.limit(MOST_SENT + 1).count())
     if index:
@@ -250,7 +251,8 @@ def trigram_candidates(chunks: DataFrame, queries: DataFrame, k: int, threshold:
         found = chunks.select(*KEY, F.explode(has).alias("trigram")).join(wanted, "trigram")
     else:
         found = chunks.select(*KEY, F.explode(T.trigram_set(F.col("content"))).alias("trigram")).join(wanted, "trigram")
-    shares = found.groupBy("query_id", *KEY, "m").agg(F.count("*").alias("n")).where(F.col("n") >= threshold * F.col("m") - 1e-9)
+    single = F.length("trigram") == 3
+    shares = found.groupBy("query_id", *KEY, "m").agg(F.count_if(single).alias("n"), F.count_if(~single).alias("whole")).where((F.col("n") >= threshold * F.col("m") - 1e-9) & (F.col("n") > 0))
     asked = _if_small(asked.select("query_id", "q"), asked.limit(MOST_SENT + 1).count())
     texts = chunks.select(*KEY, "content")
     tasks = chunks.sparkSession.sparkContext.defaultParallelism
@@ -261,7 +263,7 @@ def trigram_candidates(chunks: DataFrame, queries: DataFrame, k: int, threshold:
         once = F.explode(F.array(score))  # else a filter would work it out again
         return near.select("query_id", *KEY, once.alias("trgm_score")).where((F.col("trgm_score") >= F.greatest(least - 1e-12, F.lit(threshold))) & (F.col("trgm_score") > 0))
 
-    first = _ranked(shares, [F.col("n").desc()], 3 * k, "first")
+    first = _ranked(shares, [F.col("whole").desc(), F.col("n").desc()], 2 * k, "first")
     kth = _ranked(scored(first, F.lit(threshold)), [F.col("trgm_score").desc()], k, "r").where(F.col("r") == k).select("query_id", F.col("trgm_score").alias("kth"))
     rest = shares.join(kth, "query_id", "left").withColumn("least", F.coalesce("kth", F.lit(threshold))).where(F.col("n") >= F.col("least") * F.col("m") - 1e-9)
     return _ranked(scored(rest, F.col("least")), [F.col("trgm_score").desc()], k, "trgm_rank")

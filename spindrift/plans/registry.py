@@ -113,8 +113,15 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fused.select("query_id", F.col("chunk_id").cast("long").alias("vec_id"), "vector_rank", "fts_rank", "trgm_rank", F.round("rrf_score", 9).alias("rrf_score"))
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """A table of fewer parts than there are cores, dealt out to all of them; a larger one as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def _as_chunks(docs: DataFrame) -> DataFrame:
     """documents as chunks: a language is a space."""
+    docs = _spread(docs)
     return docs.select(F.col("lang").alias("space_key"), F.format_string("%012d", "doc_id").alias("chunk_id"), F.col("doc_id"), F.col("text").alias("content"))
 
 
@@ -375,7 +382,7 @@ n AS (SELECT doc_id, sqrt(sum(s * s)) AS n FROM b GROUP BY doc_id)
 SELECT doc_id, bucket, round(s / n, 9) AS weight FROM b JOIN n USING (doc_id) WHERE s <> 0""")
 def hashed_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The non-zero coordinates of all documents' hashed vectors."""
-    made = embedding.hashed(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", dimension=64)
+    made = embedding.hashed(_spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "text", dimension=64)
     return made.select("doc_id", F.posexplode("embedding").alias("bucket", "weight")).where("weight <> 0").select("doc_id", "bucket", F.round("weight", 9).alias("weight"))
 
 
