@@ -9,7 +9,8 @@ are ranked exactly first; then every vector whose lower bound is within the k-th
 
 For 64 dimensions a code has 32 bytes and its factors 24, against 256 of the vector in single precision, and a pair
 takes 16 word operations against 64 multiplications. Codes are packed in blocks and queries in blocks; each
-block of queries meets each block of codes. No table of all queries or of all codes is sent to every task.
+block of queries meets each block of codes: both are dealt to the fields of a grid by shuffles, never by a broadcast. No
+table of all queries or of all codes is sent to every task.
 """
 
 from __future__ import annotations
@@ -64,6 +65,14 @@ def _encode(v: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.nda
     return np.packbits(u > 0, axis=1).view(np.uint64), length, (np.abs(u).reshape(len(v), -1, d).sum(axis=2) / math.sqrt(d)).astype(np.float32)
 
 
+def grid(n: int, n_queries: int, d: int, tasks: int, split: int) -> tuple[int, int]:
+    """Rows and columns of about `tasks` fields: a block of queries goes to all columns, a block of codes to all rows, so that both move about as many bytes."""
+    words = -(-d // 64)
+    code, query = 8 + 8 * words * ROTATIONS + 8 + 4 * ROTATIONS, 8 * d + 16
+    columns = min(tasks, max(1, round(math.sqrt(tasks * n * code / (n_queries * query)))))
+    return min(split, max(1, round(tasks / columns))), columns
+
+
 def codes(vectors: DataFrame, centre: np.ndarray, turn: np.ndarray, size: int = CODE_BLOCK) -> DataFrame:
     """n int, ids binary, bits binary, lengths binary, products binary: the codes of all vectors, in blocks."""
 
@@ -148,7 +157,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, errors: float =
     asked = saved(valid(queries).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
     schema = "query_id long, rank int, vec_id long, score double"
     width, most = F.size("v"), F.array_max(F.transform("v", F.abs))
-    low, high, top = base.agg(F.min(width), F.max(width), F.max(most)).first()
+    n, low, high, top = base.agg(F.count("*"), F.min(width), F.max(width), F.max(most)).first()
     n_queries, asked_low, asked_high, asked_top = asked.agg(F.count("*"), F.min(width), F.max(width), F.max(most)).first()
     if low is None or not n_queries:
         return spark.createDataFrame([], schema)
@@ -159,10 +168,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, errors: float =
     centre = np.array(base.agg(*(F.avg(F.col("v")[i] / unit) for i in range(d))).first(), float)
     turn = rotations(d)
 
-    shards = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    small = base.select("vec_id", F.transform("v", lambda x: x / unit).alias("v"))
-    blocks = saved(codes(small, centre, turn), "codes").withColumn("shard", F.pmod(F.xxhash64("ids"), F.lit(shards)))
     split = max(1, math.ceil(n_queries / QUERY_BLOCK))
+    rows, columns = grid(n, n_queries, d, int(spark.conf.get("spark.sql.shuffle.partitions")), split)
+    small = base.select("vec_id", F.transform("v", lambda x: x / unit).alias("v"))
+    blocks = saved(codes(small, centre, turn), "codes").withColumn("column", F.pmod(F.xxhash64("ids"), F.lit(columns)).cast("int"))
+    blocks = blocks.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
 
     def scan(questions: DataFrame, pick) -> DataFrame:
         """query_id, vec_id, near of what pick(estimates, errors, limits) leaves of each block of codes; questions have vec_id, v and limit."""
@@ -183,8 +193,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, errors: float =
         dealt = questions.withColumn("query_block", F.pmod(F.xxhash64("vec_id"), F.lit(split)).cast("int"))
         query_blocks = dealt.groupBy("query_block").applyInArrow(pack, "query_block int, query_ids binary, vectors binary, limits binary")
         # each block of queries with each block of codes: the stated queries against all rows
-        left = query_blocks.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-        pairs = left.join(blocks, "shard").select("query_ids", "vectors", "limits", "n", "ids", "bits", "lengths", "products")
+        left = query_blocks.withColumn("row", F.pmod("query_block", F.lit(rows))).withColumn("column", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
+        # Spark takes an exploded table for as small as what it came from; unless told it would send it to the driver
+        pairs = left.hint("merge").join(blocks, ["row", "column"]).select("query_ids", "vectors", "limits", "n", "ids", "bits", "lengths", "products")
         return pairs.mapInArrow(run, "query_id long, vec_id long, near double")
 
     ahead = _AHEAD * k
@@ -204,7 +215,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, errors: float =
         return F.sqrt(F.aggregate(F.zip_with("v", "q", lambda a, b: (a / by - b / by) * (a / by - b / by) if by != 1 else (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
 
     def exact(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(base, "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
+        both = pairs.join(base.hint("merge"), "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
         plain = length(1)
         return both.select("query_id", "vec_id", F.when((plain == float("inf")) | (plain < 1e-140), length(unit) * unit).otherwise(plain).alias("score"))
 
