@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.functions import vectors as V
-from spindrift.operators import retrieval
+from spindrift.operators import blocks, retrieval
 
 #: The most vectors that centres are fitted to, the most centres, and the rounds of the fit.
 SAMPLE, MOST_CELLS, ROUNDS = 20_000, 4096, 8
@@ -164,6 +164,30 @@ def _scored(cells: Cells, asked: DataFrame, pairs: DataFrame, n: int) -> DataFra
     return full.select("query_id", *KEY, V.cosine_distance(F.col("embedding"), F.col("q"), F.col("norm"), F.col("m")).alias("distance"))
 
 
+def _rest(cells: Cells, asked: DataFrame, reach: DataFrame, k: int) -> DataFrame:
+    """query_id, key, distance of vectors that may be as near as a query's reach, the k nearest of each task; nothing is listed by query and cell."""
+    plain, numbers = Cells(None, *cells[1:]), cells.numbers[cells.numbers != NOWHERE]
+
+    def touched(x: np.ndarray, norms: np.ndarray, rows: pa.Table) -> np.ndarray:
+        reach, out = rows["reach"].to_numpy(), np.zeros((len(x), len(plain.numbers)), bool)
+        for i in range(0, len(x), 512):
+            s = slice(i, i + 512)
+            out[s] = plain.bounds(x[s] / norms[s][:, None])[1] <= reach[s][:, None] + SLACK
+        return out
+
+    found = []
+    for some in retrieval._blocks(asked.join(reach, "query_id").select("query_id", "q", "m", "reach")):
+        rows = some.toArrow().combine_chunks()
+        wanted = np.zeros(len(plain.numbers), bool)
+        for i in range(0, len(rows), 512):
+            few = rows.slice(i, 512).combine_chunks()
+            if len(plain.numbers):
+                wanted |= touched(np.stack(few["q"].to_numpy()), few["m"].to_numpy(), few).any(0)
+        near = cells.vectors.where(F.col("cell").isin(plain.numbers[wanted].tolist())).select("cell", *KEY, F.col("embedding").alias("v"), F.col("norm").alias("n"))
+        found.append(blocks.nearest(near, some, k, touched, numbers))
+    return functools.reduce(DataFrame.unionByName, found)
+
+
 def candidates(cells: Cells, queries: DataFrame, k: int) -> DataFrame:
     """retrieval.vector_candidates() by cells: query_id, key, distance, vector_rank of the k nearest of each of queries(query_id, query_embedding).
 
@@ -180,10 +204,10 @@ def candidates(cells: Cells, queries: DataFrame, k: int) -> DataFrame:
     reach = best.groupBy("query_id").agg(F.when(F.count("*") >= k, F.sqrt(F.greatest(2 * F.max("distance"), F.lit(0.0)))).otherwise(F.lit(float("inf"))).alias("reach"))
     if n <= retrieval.MOST_QUERIES:
         reach = asked.sparkSession.createDataFrame(reach.collect(), reach.schema)
-    rest = _scored(cells, aimed, _pairs(cells, aimed, k, reach), n)
+    rest = _rest(cells, aimed, reach, k)
     # vectors without a direction have no distance: the first by key follow all others; for a query without one that holds of all vectors
     nowhere = cells.vectors.where(F.col("cell") == NOWHERE).orderBy(*KEY).limit(k).select(*KEY, F.lit(float("nan")).alias("distance"))
     anywhere = cells.vectors.orderBy(*KEY).limit(k).select(*KEY, F.lit(float("nan")).alias("distance"))
     ends = [retrieval._if_small(few, k).join(some.select("query_id"), F.lit(True)) for few, some in ((nowhere, aimed), (anywhere, lost))]
-    every = [x.select("query_id", *KEY, "distance") for x in (best, rest, *ends)]
+    every = [x.select("query_id", *KEY, "distance") for x in (rest, *ends)]
     return retrieval._ranked(functools.reduce(DataFrame.unionByName, every), order, k, "vector_rank")

@@ -41,3 +41,15 @@ def test_closest_values(spark):
     for k in (1, 6, 200):
         found = blocks.closest(values, asked, k).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
         assert sorted(map(repr, found.collect())) == sorted(map(repr, want.where(F.col("r") <= k).collect()))
+
+
+def test_cells_list_no_pairs_of_queries_and_cells(spark, tmp_path, monkeypatch):
+    from spindrift.operators import cells
+
+    rng = np.random.default_rng(6)
+    chunks = spark.createDataFrame([("A", f"{i:03d}", rng.normal(size=6).tolist()) for i in range(200)], "space_key string, chunk_id string, embedding array<double>")
+    queries = spark.createDataFrame([(i, rng.normal(size=6).tolist()) for i in range(5)], "query_id int, query_embedding array<double>")
+    reached = []
+    monkeypatch.setattr(cells, "_pairs", lambda c, a, k, reach, real=cells._pairs: reached.append(reach) or real(c, a, k, reach))
+    found = cells.candidates(cells.build(chunks, str(tmp_path / "cells")), queries, 4)
+    assert reached == [None] and found.count() == 20
