@@ -43,3 +43,9 @@ def test_no_rows_of_single_trigrams_move_for_held_sets(spark):
     left, right = (spark.createDataFrame([(1, ["a", "b"])], f"{n}_id int, trigrams array<string>") for n in ("left", "right"))
     plan = retrieval.holding_sets(left, right, 0.8)._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "Exchange" not in plan
+
+
+def test_no_rows_of_single_trigrams_move_for_similar_sets(spark):
+    left, right = (spark.createDataFrame([(1, ["a", "b"])], f"{n}_id int, trigrams array<string>") for n in ("left", "right"))
+    plan = retrieval.similar_sets(left, right, 0.5)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Exchange" not in plan
