@@ -1,6 +1,7 @@
 """Equal similarities around the k-th, for several queries at once, and how often texts are searched."""
 
 import random
+import re
 
 from test_retrieval import plain_word_similarity
 
@@ -24,3 +25,10 @@ def test_ties_at_the_last_rank_go_by_key_and_texts_are_searched_once(spark):
         assert got == want
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "ReusedExchange" in plan and "collect_list" in plan
+
+
+def test_the_kth_is_learned_from_ten_times_as_many_texts(spark):
+    chunks = spark.createDataFrame([("A", "1", "creative commons")], "space_key string, chunk_id string, content string")
+    asked = spark.createDataFrame([("a", "commons")], "query_id string, query_text string")
+    plan = retrieval.trigram_candidates(chunks, asked, 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"first#\d+ <= 40\)", plan)
